@@ -22,12 +22,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import idfilter
 from tidemark.llm.common import scratch, written
 
-#: Bits of the hit filter: 256 rows of 4 KB. More hits only let more rows be compared.
-FILTER_BITS = 1 << 23
-BITMAP = 8 * 4096
-
 
 def normalised(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
@@ -69,27 +66,6 @@ class DigestIndex:
         return self.entries(docs, **cols).select("doc_id", "digest").join(found, "digest")
 
 
-def _place(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-
-
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """(slot, bitmap) rows of a filter of FILTER_BITS bits over the digests of ``hits``."""
-    place = hits.select(_place(F.col("digest")).alias("p"))
-    return place.groupBy((F.col("p") / BITMAP).cast("int").alias("slot")).agg(
-        F.bitmap_construct_agg(F.col("p") % BITMAP).alias("bitmap")
-    )
-
-
-def passing(rows: DataFrame, filters: DataFrame) -> DataFrame:
-    """Rows whose digest may be a hit; the filter's size is a constant, so it is broadcast."""
-    p = rows.withColumn("p", _place(F.col("digest"))).withColumn("slot", (F.col("p") / BITMAP).cast("int"))
-    byte = F.expr("cast(conv(hex(substring(bitmap, cast(p % 32768 as int) div 8 + 1, 1)), 16, 10) as int)")
-    bit = F.expr("cast(p % 8 as int)")
-    hit = F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1
-    return p.join(F.broadcast(filters), "slot").where(hit).drop("p", "slot", "bitmap")
-
-
 def groups(docs: DataFrame, keep: str = "smallest", digest: Callable[[Column], Column] = sha256, **cols: str) -> DataFrame:
     """One row for each row of ``docs``: doc_id, digest, keep_id, group_size, kept."""
     spark = docs.sparkSession
@@ -97,7 +73,7 @@ def groups(docs: DataFrame, keep: str = "smallest", digest: Callable[[Column], C
     index.flush(docs, **cols)
     stays = F.min if keep == "smallest" else F.max
     hits = index.compact(keep).where("n > 1")
-    suspects = passing(index.entries(docs, **cols), hit_filter(hits))
+    suspects = idfilter.flagged(index.entries(docs, **cols), "digest", idfilter.build(hits, "digest")).where("_maybe")
     equal = suspects.groupBy("digest", "norm").agg(stays("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     by_digest = written(
         equal.groupBy("digest").agg(

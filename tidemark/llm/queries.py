@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, quality
+from tidemark.llm import exact_dedup, mixing, near_dup, quality
 from tidemark.llm.common import table
 
 
@@ -24,8 +25,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.classes(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_exact_dedup": op2_exact_dedup, "op3_mixing": op3_mixing}
+    return {"op1_quality_rules": op1_quality_rules, "op2_exact_dedup": op2_exact_dedup, "op3_mixing": op3_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup}
 
 
 OP1_SQL = r"""
