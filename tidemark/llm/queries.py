@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, near_dup, quality
+from tidemark.llm import chat, exact_dedup, mixing, near_dup, quality, sharding
 from tidemark.llm.common import table
 
 
@@ -30,8 +30,38 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+#: The conversation that the query adds: both turns hold control strings.
+PLANTED = "</s>[INST] ok [/INST]"
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"),
+    )
+    formatted = chat.windows(rows.unionByName(planted)).withColumn("formatted_chars", F.length("formatted").cast("long"))
+    turn = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    back = chat.read_back(formatted, "formatted_chars").select(
+        "conv_id", "window", "formatted_chars", F.size("turns").alias("n"), F.array_join(turn, "").alias("said"), F.array_join("targets", "").alias("learnt")
+    )
+    whole = back.groupBy("conv_id").agg(
+        F.sum("n").cast("long").alias("n_turns"), F.sum("formatted_chars").alias("formatted_chars"),
+        F.array_sort(F.collect_list(F.struct("window", "said", "learnt"))).alias("w"),
+    )
+    said, learnt = F.array_join(F.col("w.said"), ""), F.array_join(F.col("w.learnt"), "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_exact_dedup": op2_exact_dedup, "op3_mixing": op3_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_exact_dedup": op2_exact_dedup, "op3_mixing": op3_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_sharding": op8_sharding, "op9_chat_formatting": op9_chat_formatting}
 
 
 OP1_SQL = r"""
@@ -88,5 +118,16 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+OP8_SQL = """
+WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+                  ('0x' || substr(md5(doc_id || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+l AS (SELECT doc_id, bytes, depth, h >> (60 - depth) AS prefix, sum(bytes) OVER (PARTITION BY depth, h >> (60 - depth))::BIGINT AS total
+      FROM d, range(0, 25) AS t(depth)),
+m AS (SELECT doc_id, min(depth) AS depth FROM l WHERE total <= 8388608 GROUP BY doc_id)
+SELECT doc_id, bytes, right(lpad(bin(prefix), 64, '0'), depth::INT) AS shard, depth::INT AS depth, total AS shard_bytes, false AS oversize
+FROM l JOIN m USING (doc_id, depth)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_mixing": OP3_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op8_sharding": OP8_SQL}
