@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, mixing, near_dup, quality, sharding
+from tidemark.llm import chat, exact_dedup, html_text, mixing, near_dup, pii, quality, sharding
 from tidemark.llm.common import table
 
 
@@ -25,6 +25,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.classes(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -60,8 +68,15 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.pages_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_exact_dedup": op2_exact_dedup, "op3_mixing": op3_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_sharding": op8_sharding, "op9_chat_formatting": op9_chat_formatting}
+    return {f.__name__: f for f in (
+        op1_quality_rules, op2_exact_dedup, op3_mixing, op5_pii, op7_minhash_near_dedup, op8_sharding, op9_chat_formatting,
+        op10_html_extraction,
+    )}
 
 
 OP1_SQL = r"""
