@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, html_text, mixing, near_dup, pii, quality, sharding
+from tidemark.llm import chat, exact_dedup, html_text, mixing, near_dup, pieces, pii, quality, sharding
 from tidemark.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.classes(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -74,7 +78,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quality_rules, op2_exact_dedup, op3_mixing, op5_pii, op7_minhash_near_dedup, op8_sharding, op9_chat_formatting,
+        op1_quality_rules, op2_exact_dedup, op3_mixing, op5_pii, op6_sentencepiece, op7_minhash_near_dedup, op8_sharding, op9_chat_formatting,
         op10_html_extraction,
     )}
 
