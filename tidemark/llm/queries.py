@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, html_text, mixing, near_dup, pieces, pii, quality, sharding
+from tidemark.llm import chat, exact_dedup, html_text, mixing, near_dup, pieces, pii, quality, sharding, token_files
 from tidemark.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -78,7 +82,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quality_rules, op2_exact_dedup, op3_mixing, op5_pii, op6_sentencepiece, op7_minhash_near_dedup, op8_sharding, op9_chat_formatting,
+        op1_quality_rules, op2_exact_dedup, op3_mixing, op4_token_files, op5_pii, op6_sentencepiece, op7_minhash_near_dedup, op8_sharding, op9_chat_formatting,
         op10_html_extraction,
     )}
 
