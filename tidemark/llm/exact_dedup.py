@@ -94,3 +94,22 @@ def groups(docs: DataFrame, keep: str = "smallest", digest: Callable[[Column], C
         "doc_id", "digest", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
     )
+
+
+def survivors(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, columns unchanged.
+
+    Rows that the fixed-size filter clears are not shuffled. Of repeated rows (equal id and
+    text) one stays.
+    """
+    key = lambda doc_id, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), digest)
+    found = groups(docs, keep, id_col=id_col, text_col=text_col)
+    several = found.where("group_size > 1").select(key(F.col("doc_id"), F.col("digest")).alias("_key"), "kept")
+    several = written(several.groupBy("_key").agg(F.first("kept").alias("_stays"), F.count("*").alias("_rows")).where("not _stays or _rows > 1"), "dropped")
+    keyed = docs.withColumn("_key", key(F.col(id_col).cast("long"), sha256(normalised(F.col(text_col)))))
+    marked = idfilter.flagged(keyed, "_key", idfilter.build(several, "_key"))
+    clear = marked.where("not _maybe")
+    rest = marked.where("_maybe").join(several, "_key", "left")
+    once = rest.where("_stays").dropDuplicates(["_key"])
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return clear.select(*cols).unionByName(rest.where("_stays is null").select(*cols)).unionByName(once.select(*cols))

@@ -88,3 +88,11 @@ def mix(
     named = rows.select("_row", F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), copies.cast("long").alias("copies"))
     kept = without(docs, ADDED).columns
     return named.select(*[F.col("_row")[c].alias(c) for c in kept], *ADDED)
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: whole rows of ``docs``, each as often as it is taken; a source ends with the document that fills its budget."""
+    named = {k: options.pop(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    packed = docs.select(F.struct("*").alias("_doc"), *[F.col(c).alias(f"_{k}") for k, c in named.items()])
+    planned = mix(packed, cut="document", **{k: f"_{k}" for k in named}, **options).where("copies > 0")
+    return planned.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_doc.*")

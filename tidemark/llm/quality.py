@@ -12,6 +12,7 @@ id and text columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 SYMBOLS = tuple(bytes([c]) for c in b"#*$%&|<>")
@@ -132,6 +134,24 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     return measured.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
 
+def passing(docs: DataFrame, policy: Policy = V1, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the base and the policy keep, in one scan without a shuffle; columns are unchanged."""
+    at = docs.columns.index(text_col)
+    added = [f"_measured_{m}" for m in MEASURES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [measure_text(None if x is None else x.encode("utf-8", "replace")) for x in batch.column(at).to_pylist()]
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(MEASURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *added])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(a, T.LongType()) for a in added)])
+    measured = docs.mapInArrow(run, schema)
+    chosen = {*policy.rules, *BASE.rules}
+    fails = [F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"_measured_\1", r.fails)) for r in rules if r.name in chosen]
+    return measured.where(~reduce(lambda a, b: a | b, fails)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def failed(policy: Policy, bits: str = "fail_bits", rules: tuple[Rule, ...] = RULES) -> Column:
     return F.col(bits).bitwiseAND(F.lit(mask(policy, rules))) != 0
 
