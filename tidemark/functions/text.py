@@ -56,9 +56,11 @@ def tokens(text: Column, pattern: str = TOKEN, stop: list[str] | None = None) ->
 
 
 def ngrams(words: Column, lo: int = 1, hi: int = 2) -> Column:
-    """All n-grams of lo to hi words, joined by a space; stop words are removed before."""
-    parts = []
-    for n in range(lo, hi + 1):
+    """All n-grams of lo to hi words, joined by a space; stop words are removed before. ``words`` should be a plain column: it is read once an n-gram."""
+
+    def of(n: int) -> Column:
         at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+        return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    parts = [of(n) for n in range(lo, hi + 1)]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
