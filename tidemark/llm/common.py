@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +52,28 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop columns whose names an operator is about to add (names match as Spark matches them)."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def lean(step: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """A batch function that, at the end of its task, calls ``forget`` (which empties caches) and returns freed memory to the system.
+
+    Idle Python workers then leave an executor's memory to the stages that follow.
+    """
+
+    @functools.wraps(step)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from step(batches)
+        finally:
+            if forget:
+                forget()
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to do
+        pass

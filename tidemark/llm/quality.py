@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import lean
+
 SPACE = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 SYMBOLS = tuple(bytes([c]) for c in b"#*$%&|<>")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters")
@@ -129,7 +131,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the measurements and ``fail_bits``: one row for each input row, one scan, no shuffle."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    measured = rows.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = rows.mapInArrow(lean(_measure), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules]
     return measured.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
@@ -141,12 +143,12 @@ def passing(docs: DataFrame, policy: Policy = V1, text_col: str = "text", rules:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure_text(None if x is None else x.encode("utf-8", "replace")) for x in batch.column(at).to_pylist()]
+            rows = [measure_text(x.as_buffer() and x.as_buffer().to_pybytes()) for x in batch.column(at)]
             cols = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *added])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(a, T.LongType()) for a in added)])
-    measured = docs.mapInArrow(run, schema)
+    measured = docs.mapInArrow(lean(run), schema)
     chosen = {*policy.rules, *BASE.rules}
     fails = [F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"_measured_\1", r.fails)) for r in rules if r.name in chosen]
     return measured.where(~reduce(lambda a, b: a | b, fails)).select(*[F.col(f"`{c}`") for c in docs.columns])
