@@ -3,7 +3,8 @@
 Pages are parsed twice. The first pass hashes the element subtrees left after structural
 removal (menus, forms, adverts, scripts, comments and the like) and Spark counts, for each
 host, the pages that hold each subtree. The second pass also deletes subtrees found on at
-least ``SHARE`` of the host's pages (and on ``LEAST`` pages), then joins the blocks.
+least ``SHARE`` of the host's pages (and on ``LEAST`` pages), then joins the blocks. Where
+that would take most of an article's text, the pages are copies of one article and it stays.
 
 Per host at most 1 / SHARE subtrees a page's worth qualify, so a host's list is small; the
 join on host is left to the planner (broadcast by measured size, else a skew-split join).
@@ -232,9 +233,13 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     part = main_part(root)
     if template:
         digest(part)
-        for x in _order(part):
-            if x is not part and x.hash in template:
-                x.dropped = True
+        whole = _size(part)
+        found = [x for x in _order(part) if x is not part and x.hash in template]
+        for x in found:
+            x.dropped = True
+        if 2 * _size(part) < whole:  # copies of one article, not a template around many
+            for x in found:
+                x.dropped = False
     return "\n".join(blocks(part))
 
 
