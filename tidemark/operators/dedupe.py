@@ -15,15 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set a temporary one only where none is named."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one is set only where none is named."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get().rstrip("/")
 
 
 def entering(rows: DataFrame) -> DataFrame:
     """Of rows (id, title_norm, seq), those that enter."""
-    ensure_checkpoints(rows.sparkSession)
+    shared_folder(rows.sparkSession)
     open_ = rows.select("id", "title_norm", "seq").checkpoint()
     entered = None
     while not open_.isEmpty():

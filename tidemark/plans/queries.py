@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -463,3 +464,40 @@ def utc_day_rollup(spark, d):
 @query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
 def json_scalar(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query(dates=("date",))
+def stream_ingest(spark, d):
+    """Events as a stream of headline files: upserted, scored, indexed; the index that results."""
+    from tidemark.sources.store import Store
+    from tidemark.streaming import ingest
+
+    base = f"{dedupe.shared_folder(spark)}/tidemark-stream-{uuid.uuid4().hex[:12]}"
+    e = table(spark, d, "events")
+    title = F.concat_ws(" ", "event_type", F.col("user_id").cast("string"), F.round("value").cast("string"))
+    url = F.concat(F.lit("https://events.example/"), F.col("event_id").cast("string"))
+    rows = e.select(
+        url_hash(url).alias("id"), F.concat(F.lit("src"), (F.col("user_id") % 3).cast("string")).alias("source"), title.alias("title"),
+        title_key(title, decode=False).alias("title_norm"), F.lit("").alias("summary"), url.alias("url"), F.col("ts").cast("timestamp").alias("published_at"),
+        F.lit("2024-01-31 00:00:00").cast("timestamp").alias("fetched_at"), F.col("event_id").alias("seq"),
+    )
+    rows.write.parquet(f"{base}/incoming")
+    store = Store(spark, f"{base}/store")
+    ingest.run(spark, f"{base}/incoming", store, f"{base}/offsets", classify.rule_classifier, dt.datetime(2024, 1, 31), TODAY)
+    return store.daily_index().select("date", "n_headlines", "n_positive", "n_neutral", "n_negative", F.round("mood_index", 6).alias("mood_index"))
+
+
+@query("""WITH e AS (SELECT event_id, value, (user_id % 3) AS k FROM events)
+SELECT 'label domain' AS "constraint", count(*) AS n FROM e WHERE k = 2 HAVING count(*) > 0
+UNION ALL SELECT 'confidence domain', count(*) FROM e WHERE value > 100 HAVING count(*) > 0""")
+def constraint_violations(spark, d):
+    """Constraint checks over a table with planted breaches: an unknown label and confidences over 1."""
+    from tidemark import schema
+
+    e = table(spark, d, "events")
+    label = F.element_at(F.array(F.lit("positive"), F.lit("negative"), F.lit("odd")), (F.col("user_id") % 3 + 1).cast("int"))
+    rows = e.select(
+        F.col("event_id").cast("string").alias("id"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("title_norm"), label.alias("label"),
+        (F.col("value") / 100).alias("confidence"), F.col("ts").cast("timestamp").alias("scored_at"),
+    )
+    return schema.violations(rows)
