@@ -233,3 +233,47 @@ def test_classifier_keeps_rows_together(spark):
 def test_early_stop():
     assert classify.early_stop([1.0, 0.9, 0.8999, 0.95, 0.91], patience=3) == (2, 5)
     assert classify.early_stop([1.0, 0.5]) == (2, 2)
+
+
+def test_split_files_are_pinned(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id"), F.concat(F.lit("t"), F.col("id")).alias("text"), (F.col("id") % 2).cast("string").alias("label"))
+    meta = splits.save(splits.stratified(rows), str(tmp_path / "s"))
+    assert meta["counts"] == {"train": 70, "val": 14, "test": 16}
+    assert splits.load(spark, str(tmp_path / "s"), "id long, text string, label string").count() == 100
+    with pytest.raises(FileNotFoundError):
+        splits.load(spark, str(tmp_path / "none"), "id long, text string, label string")
+
+
+def test_losses_and_missing_tokens(spark):
+    b = spark.createDataFrame([(1.0, 30, 2.0), (4.0, 10, 2.0)], "loss double, rows long, seconds double")
+    assert tuple(metrics.weighted_loss(b).first()) == (1.75, 10.0)
+    docs = spark.createDataFrame([("1", "steel steel banks chips"), ("2", "banks chips")], "doc_id string, text string")
+    vocab = spark.createDataFrame([("banks",)], "term string")
+    assert [tuple(r) for r in themes.top_missing(docs, vocab).collect()] == [("chips", 2), ("steel", 2)]
+    o = themes.oov(docs, vocab).first()
+    assert (o["n_tokens"], o["n_oov"], o["n_oov_types"], o["docs_all_oov"]) == (6, 4, 2, 0)
+
+
+def test_disagreements_order(spark):
+    rows = [("a", "negative", "neutral", 0.5), ("b", "negative", "neutral", 0.9), ("c", "neutral", "neutral", 0.9), ("d", "neutral", "positive", 0.7)]
+    got = metrics.disagreements(spark.createDataFrame(rows, "id string, y_true string, y_pred string, confidence double")).collect()
+    assert [r["id"] for r in got] == ["b", "a", "d"]
+
+
+def test_lede(spark):
+    day = dt.date(2026, 10, 1)
+    import hashlib
+
+    digest = hashlib.sha256(day.isoformat().encode()).digest()
+    pick = lambda slot, values: values[digest[slot] % len(values)]
+    c = lambda x, kind: F.lit(x).cast(kind)
+
+    def lede(mood, band, n, change, when, k, terms, clustered):
+        text = themes.lede(F.lit(day), c(mood, "double"), c(band, "string"), c(n, "long"), c(change, "double"), c(when, "string"), c(k, "long"), c(terms, "string"), F.lit(clustered))
+        return spark.range(1).select(text).first()[0]
+
+    moved = pick(1, themes.CHANGES)[1].format(d="12.8", when="yesterday")
+    want = f"{pick(0, themes.SUBJECTS)} leaned moderately negative today (index -21.8, {moved}) {pick(2, themes.COUNTS).format(n='40 headlines')}, "
+    assert lede(-21.8, "moderately negative", 40, -12.8, "yesterday", 3, "a and b", True) == want + pick(3, themes.DRIVERS).format(n="3 headlines", terms="a and b") + "."
+    assert lede(1.0, "roughly flat", 1, None, None, 3, "a", True).endswith(f"(index +1.0) {pick(2, themes.COUNTS).format(n='1 headline')}, {pick(3, themes.NO_DRIVERS)}.")
+    assert lede(1.0, "roughly flat", 2, None, None, None, None, False).endswith("2 headlines.")

@@ -165,3 +165,14 @@ def nearest_rank(values: DataFrame, column: str, q: float = 0.95) -> DataFrame:
     walk = F.aggregate("c", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(dict(values.dtypes)[column]).alias("v")), lambda s, x: F.struct(
         (s["seen"] + x["k"]).alias("seen"), F.when(s["v"].isNull() & (s["seen"] + x["k"] > at), x["v"]).otherwise(s["v"]).alias("v")))
     return listed.select(walk["v"].alias("value"), "n")
+
+
+def weighted_loss(batches: DataFrame, *group: str) -> DataFrame:
+    """Row-weighted mean of batch losses (loss, rows) and rows a second where ``seconds`` is there."""
+    speed = [F.try_divide(F.sum("rows").cast("double"), F.sum("seconds")).alias("rows_per_second")] if "seconds" in batches.columns else []
+    return batches.groupBy(*group).agg(F.try_divide(F.sum(F.col("loss") * F.col("rows")), F.sum("rows").cast("double")).alias("loss"), *speed)
+
+
+def disagreements(labels: DataFrame) -> DataFrame:
+    """Rows where hand and model labels differ, by both labels, then confidence falling."""
+    return labels.where("y_true <> y_pred").orderBy("y_true", "y_pred", F.col("confidence").desc())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Split
@@ -96,3 +98,24 @@ def blind_export(headlines: DataFrame, n: int, seed: int, first_fetch) -> DataFr
     if pool.count() < n:
         raise ValueError(f"the pool holds fewer than {n} headlines")
     return sample(pool, n, seed).select("id", "title", F.lit("").alias("label"), F.lit(False).alias("hard"))
+
+
+def save(rows: DataFrame, path: str, cfg: Split = Split(), text: str = "text") -> dict:
+    """Write rows with ``split`` as JSON lines a split, and a meta file with ratios, counts and the test split's hash."""
+    from tidemark.render import write_atomic
+
+    rows.write.mode("overwrite").partitionBy("split").json(f"{path}/rows")
+    counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+    pin = set_hash(rows.where("split = 'test'"), text).first()["set_hash"]
+    meta = {"train": cfg.train, "val": cfg.val, "test": cfg.test, "seed": cfg.seed, "counts": counts, "test_sha256": pin}
+    write_atomic(f"{path}/meta.json", json.dumps(meta, indent=2, sort_keys=True) + "\n")
+    return meta
+
+
+def load(spark: SparkSession, path: str, schema: str, text: str = "text") -> DataFrame:
+    """Rows written by ``save``; fails where the meta file is missing or the test split is not the one that was pinned."""
+    with open(f"{path}/meta.json", encoding="utf-8") as f:
+        meta = json.load(f)
+    rows = spark.read.schema(f"{schema}, split string").json(f"{path}/rows")
+    verify(rows.where("split = 'test'"), meta["test_sha256"], text)
+    return rows

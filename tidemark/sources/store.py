@@ -67,6 +67,13 @@ class Store:
         at = F.col("published_at")
         return self.headlines().where((at >= F.lit(start)) & (at < F.lit(end)) & F.col("label").isNotNull())
 
+    def recent_titles(self, now: dt.datetime, days: int) -> DataFrame:
+        return self.headlines().where(F.col("published_at") >= F.lit(now - dt.timedelta(days=days))).select("id", "title")
+
+    def freshness(self) -> DataFrame:
+        """Newest item and fetch of each source."""
+        return self.headlines().groupBy("source").agg(F.max("published_at").alias("newest_published_at"), F.max("fetched_at").alias("newest_fetched_at"))
+
     def fetch_span(self) -> DataFrame:
         return self.headlines().agg(F.min("fetched_at").alias("first"), F.max("fetched_at").alias("last"))
 
