@@ -428,7 +428,7 @@ def nearest_rank_length(spark, d):
     return metrics.nearest_rank(table(spark, d, "documents"), "n_chars")
 
 
-@query(f"""WITH {WORDS.split(',', 1)[0] if False else "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS term FROM documents)"},
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS term FROM documents),
 lex(term, valence) AS (VALUES ('the', 0.5), ('and', -0.25), ('der', 1.0), ('que', -1.0), ('idiot', -3.0)), s AS (SELECT doc_id, sum(valence) AS s FROM t JOIN lex USING (term) GROUP BY doc_id),
 c AS (SELECT documents.doc_id, coalesce(s, 0)::DOUBLE / sqrt(coalesce(s, 0)::DOUBLE * coalesce(s, 0)::DOUBLE + 15) AS compound FROM documents LEFT JOIN s USING (doc_id))
 SELECT doc_id, round(compound, 9) AS compound, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS y_pred FROM c""")
