@@ -2,7 +2,7 @@
 
 Every document gets a pseudo-random key from its id. Within a source the keys are cut
 into ranges; token sums of the ranges give each range its offset (a window over at most
-``RANGES`` rows a source), and a running sum inside the range gives each document its
+4096 rows a source), and a running sum inside the range gives each document its
 position in the source's order. The source's budget is then cut exactly: whole epochs
 first, then documents from the front of the order until the budget ends inside one.
 A hot source is spread over its ranges, so no task holds a source.
