@@ -129,14 +129,15 @@ def _steps(sizes: np.ndarray):
 
 def encode(ids: np.ndarray) -> bytes:
     """One segment of the ids (below 2 ** 16)."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     if len(ids) and not 0 <= ids.min() <= ids.max() < _ONE:
         raise ValueError("ids must be below 65536")
+    ids = ids.astype(np.uint16)
     lanes = -(-len(ids) // BLOCK)
     sizes = np.full(lanes, BLOCK)
     if lanes:
         sizes[-1] = len(ids) - BLOCK * (lanes - 1)
-    padded = np.zeros(lanes * BLOCK, np.int64)
+    padded = np.zeros(lanes * BLOCK, np.uint16)
     padded[: len(ids)] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
     freq = _order0(ids)
@@ -152,7 +153,7 @@ def encode(ids: np.ndarray) -> bytes:
             fill[i] += 1
 
     for t, n in _steps(sizes):
-        x = grid[t, :n]
+        x = grid[t, :n].astype(np.int64)
         first, second, pa, pb = model.predict(n)
         hit_a = first == x
         hit_b = (second == x) & ~hit_a
@@ -198,18 +199,18 @@ def decode(segment: bytes) -> np.ndarray:
     freq_u = freq.astype(_U)
     of_slot = np.repeat(np.arange(_ONE), freq)
     sizes, fill = blocks[:, 0], blocks[:, 2]
-    words = np.concatenate([np.frombuffer(segment, "<u2", -1, at), np.zeros(8, np.uint16)]).astype(_U)
+    words = np.concatenate([np.frombuffer(segment, "<u2", -1, at), np.zeros(8, np.uint16)])
     take = np.concatenate(([0], np.cumsum(fill)))[:-1]
     coder, model = _Coder(lanes), _Model(lanes)
     code = np.zeros(lanes, _U)
     for k in range(4):
-        code = code << _U(16) | words[np.minimum(take + k, len(words) - 1)]
+        code = code << _U(16) | words[np.minimum(take + k, len(words) - 1)].astype(_U)
     take = take + 4
-    grid = np.zeros((BLOCK, lanes), np.int64)
+    grid = np.zeros((BLOCK, lanes), np.uint16)
 
     def refill(n: int) -> None:
         for i in coder.ready(n):
-            code[i] = code[i] << _U(16) | words[np.minimum(take[i], len(words) - 1)]
+            code[i] = code[i] << _U(16) | words[np.minimum(take[i], len(words) - 1)].astype(_U)
             take[i] += 1
 
     for t, n in _steps(sizes):

@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import rangecoder
-from tidemark.llm.common import scratch
+from tidemark.llm.common import lean, scratch
 
 END_ID = 0
 SEGMENT = rangecoder.BLOCK * rangecoder.LANES
 #: Words kept in a worker's cache, and the words that are encoded in one call.
-CACHE, CALL = 600_000, 4096
+CACHE, CALL = 400_000, 4096
 SCHEMA = "part int, seq int, doc_ids array<long>, n_tokens array<int>, data binary"
 
 _split_alone = re.compile(r"\s\x20|\x20\s|\A\x20|\x20\Z")
@@ -135,7 +135,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Write the file set of all documents to ``path``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.select("doc_id", "text").mapInArrow(_segments(tokenizer), SCHEMA).write.parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(lean(_segments(tokenizer)), SCHEMA).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in a file set, from its decoded ids."""
     placed = _placed(spark, path).select("doc_ids", "n_tokens", "data", "before")
-    return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(lean(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def ids(spark: SparkSession, path: str) -> DataFrame:
@@ -185,7 +185,7 @@ def ids(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum(row.column("n_tokens")[0].as_py()))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([row.column("doc_ids")[0].values, pa.ListArray.from_arrays(pa.array(ends), pa.array(found))], ["doc_id", "ids"])
 
-    return spark.read.schema(SCHEMA).parquet(path).select("doc_ids", "n_tokens", "data").mapInArrow(run, "doc_id long, ids array<int>")
+    return spark.read.schema(SCHEMA).parquet(path).select("doc_ids", "n_tokens", "data").mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
