@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Explain
 from tidemark.operators import classify, dedupe, gates, index, metrics, report, splits, themes
+from tidemark.plans import queries
 
 DAY = dt.date(2026, 10, 1)
 SCORED = "id string, label string, confidence double, source string, published_at timestamp, day date"
@@ -277,3 +278,15 @@ def test_lede(spark):
     assert lede(-21.8, "moderately negative", 40, -12.8, "yesterday", 3, "a and b", True) == want + pick(3, themes.DRIVERS).format(n="3 headlines", terms="a and b") + "."
     assert lede(1.0, "roughly flat", 1, None, None, 3, "a", True).endswith(f"(index +1.0) {pick(2, themes.COUNTS).format(n='1 headline')}, {pick(3, themes.NO_DRIVERS)}.")
     assert lede(1.0, "roughly flat", 2, None, None, None, None, False).endswith("2 headlines.")
+
+
+def test_term_lift_takes_every_other_document_as_background(spark, tmp_path):
+    texts = [("src1", "steel chips steel"), ("src1", "steel rates"), ("src2", "oil rates"), ("src17", "steel oil"), (None, "chips gold"), ("src9", "gold rates")]
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(texts)], "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.term: (r.n, r.lift) for r in queries.QUERIES["term_lift_all_others"](spark, str(tmp_path)).collect()}
+    terms = themes.term_rows(docs)
+    weights = {(r.doc_id, r.term): r.tfidf for r in themes.transform(terms, themes.vocabulary(terms, 6)).collect()}
+    mean = lambda ids: sum(weights.get((i, "steel"), 0) for i in ids) / len(ids)
+    assert got == {"steel": (2, round(mean([0, 1]) / mean([2, 3, 4, 5]), 4))}  # only src17 has it outside src1
+    assert {r.term: r.lift for r in queries.QUERIES["term_lift"](spark, str(tmp_path)).collect()} == {"steel": -1.0}

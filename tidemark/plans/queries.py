@@ -276,6 +276,19 @@ def term_lift(spark, d):
     return ranked.select("term", "n", F.when(F.col("lift") == float("inf"), -1.0).otherwise(F.round("lift", 4)).alias("lift"))
 
 
+@query(f"""WITH {TFIDF}, s AS (SELECT doc_id, source IS NOT DISTINCT FROM 'src1' AS t FROM documents),
+c AS (SELECT count(*) FILTER (WHERE t) AS nt, count(*) FILTER (WHERE NOT t) AS nb FROM s),
+m AS (SELECT term, count(*) FILTER (WHERE t) AS n, coalesce(sum(tfidf) FILTER (WHERE t), 0) AS st, coalesce(sum(tfidf) FILTER (WHERE NOT t), 0) AS sb FROM x JOIN s USING (doc_id) GROUP BY term)
+SELECT term, n, CASE WHEN sb = 0 THEN -1.0 ELSE round((st / nt) / (sb / nb), 4) END AS lift FROM m, c WHERE n >= 2""")
+def term_lift_all_others(spark, d):
+    """One source against every other document, those without a source too."""
+    docs = table(spark, d, "documents")
+    own = F.col("source").eqNullSafe("src1")
+    target, background = (docs.where(side).select("doc_id") for side in (own, ~own))
+    ranked = themes.rank_terms(_tfidf(spark, d), target, background)
+    return ranked.select("term", "n", F.when(F.col("lift") == float("inf"), -1.0).otherwise(F.round("lift", 4)).alias("lift"))
+
+
 @query(f"""WITH {WORDS}, b AS (SELECT DISTINCT unnest(regexp_extract_all({CLEAN}, '[\\p{{L}}][\\p{{L}}\\p{{N}}_-]+')) AS term FROM benchmark),
 u AS (SELECT doc_id, unnest(t) AS term FROM w), m AS (SELECT u.doc_id, u.term, b.term IS NULL AS outside FROM u LEFT JOIN b USING (term))
 SELECT count(*) AS n_tokens, count(*) FILTER (WHERE outside) AS n_oov, count(DISTINCT term) FILTER (WHERE outside) AS n_oov_types,
