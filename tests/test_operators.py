@@ -290,3 +290,19 @@ def test_term_lift_takes_every_other_document_as_background(spark, tmp_path):
     mean = lambda ids: sum(weights.get((i, "steel"), 0) for i in ids) / len(ids)
     assert got == {"steel": (2, round(mean([0, 1]) / mean([2, 3, 4, 5]), 4))}  # only src17 has it outside src1
     assert {r.term: r.lift for r in queries.QUERIES["term_lift"](spark, str(tmp_path)).collect()} == {"steel": -1.0}
+
+
+def test_full_threshold_sweep_finds_optima_beyond_a_half(spark, tmp_path):
+    score = {"negative": -60, "neutral": 60, "positive": 80}  # n_chars % 201 - 100, in hundredths
+    kinds = [k for k in score for _ in range(4)]
+    docs = [(i, "en", "src1", score[k] + 100) for i, k in enumerate(kinds)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(k == "positive"), int(k == "negative")) for i, k in enumerate(kinds)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {(r.pos_cut, r.neg_cut): r.accuracy for r in queries.QUERIES["threshold_sweep_full"](spark, str(tmp_path)).collect()}
+    grid = [round(k * 0.05, 2) for k in range(-19, 20)]
+    assert set(got) == {(p, n) for p in grid for n in grid if p >= n} and len(got) == 780
+    said = lambda x, p, n: "positive" if x / 100 >= p else "negative" if x / 100 <= n else "neutral"
+    for (p, n), accuracy in got.items():
+        assert accuracy == round(sum(said(score[k], p, n) == k for k in kinds) / len(kinds), 6)
+    assert got[0.7, -0.3] == 1.0 and max(a for (p, n), a in got.items() if p <= 0.5) < 1

@@ -389,6 +389,21 @@ def threshold_sweep(spark, d):
     return metrics.sweep(scores, CUTS, CUTS).withColumns({k: F.round(k, 6) for k in ("accuracy", "macro_f1", "negative_recall")})
 
 
+FULL_CUTS = [round(k * 0.05, 2) for k in range(-19, 20)]
+
+
+@query(f"""WITH {GOLD}, s AS (SELECT y_true, (n_chars % 201 - 100) / 100::DOUBLE AS score FROM gold), k AS (SELECT round(i * 0.05::DOUBLE, 2) AS c FROM range(-19, 20) t(i)),
+p AS (SELECT a.c AS pos_cut, b.c AS neg_cut, y_true, CASE WHEN score >= a.c THEN 'positive' WHEN score <= b.c THEN 'negative' ELSE 'neutral' END AS y_pred FROM s, k a, k b WHERE a.c >= b.c),
+f AS (SELECT pos_cut, neg_cut, label, count(*) FILTER (WHERE y_true = label AND y_pred = label) AS hit, count(*) FILTER (WHERE y_pred = label) AS said, count(*) FILTER (WHERE y_true = label) AS sup
+      FROM p, (VALUES ('negative'), ('neutral'), ('positive')) v(label) GROUP BY ALL)
+SELECT pos_cut, neg_cut, round(sum(hit)::DOUBLE / sum(sup), 6) AS accuracy, round(avg(coalesce((2 * hit)::DOUBLE / nullif(said + sup, 0), 0)), 6) AS macro_f1,
+       round(coalesce(sum(hit) FILTER (WHERE label = 'negative')::DOUBLE / nullif(sum(sup) FILTER (WHERE label = 'negative'), 0), 0), 6) AS negative_recall FROM f GROUP BY pos_cut, neg_cut""")
+def threshold_sweep_full(spark, d):
+    """The inventory's 39 cut-offs on both sides: 780 pairs."""
+    scores = gold(spark, d).select("y_true", ((F.col("n_chars") % 201 - 100) / 100).alias("score"))
+    return metrics.sweep(scores, FULL_CUTS, FULL_CUTS).withColumns({k: F.round(k, 6) for k in ("accuracy", "macro_f1", "negative_recall")})
+
+
 @query(f"WITH {GOLD} SELECT y_true AS label, round((SELECT count(*) FROM gold)::DOUBLE / (3 * count(*)), 9) AS weight FROM gold GROUP BY y_true")
 def class_weights(spark, d):
     return metrics.class_weights(gold(spark, d), "y_true").withColumn("weight", F.round("weight", 9))
