@@ -94,6 +94,20 @@ def test_html_structure_and_site_template(spark):
     assert {x.text for x in html_text.pages_text(copies).collect()} == {"Same\nFirst 1 bold & café line\nSecond <p> 1\nRead more on our site\none 1\ntwo 1"}
 
 
+def test_html_template_goes_whatever_its_share(spark):
+    legal = "".join(f"<div>Legal notice part {k}: {'all rights are with the owner of this site ' * 3}</div>" for k in range(5))
+    page = "<html><body><article><p>{own}</p>{legal}</article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(own=f"Short story {i}", legal=legal)) for i in range(10)]  # the notice is over nine tenths
+    rows += [(10 + i, f"http://h.example/c{i}", page.format(own="Copied story", legal=legal)) for i in range(12)]  # over half of the host's pages
+    edits = ["", "", "", "", "", "", "", "<p>Edited.</p>"]  # copies alone, one of them edited, each with an id of its own
+    alone = "<html><body><article id='post-{i}'><p>One story that many addresses serve</p><p>Its end</p>{more}</article></body></html>"
+    rows += [(30 + i, f"http://c.example/{i}", alone.format(i=i, more=e)) for i, e in enumerate(edits)]
+    got = {x.page_id: x.text for x in html_text.pages_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(10)] == [f"Short story {i}" for i in range(10)]
+    assert {got[10 + i] for i in range(12)} == {"Copied story"}
+    assert [got[30 + i] for i in range(8)] == ["One story that many addresses serve\nIts end" + ("\nEdited." if e else "") for e in edits]
+
+
 def test_html_never_fails():
     r = random.Random(2)
     for _ in range(500):

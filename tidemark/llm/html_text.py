@@ -3,8 +3,9 @@
 Pages are parsed twice. The first pass hashes the element subtrees left after structural
 removal (menus, forms, adverts, scripts, comments and the like) and Spark counts, for each
 host, the pages that hold each subtree. The second pass also deletes subtrees found on at
-least ``SHARE`` of the host's pages (and on ``LEAST`` pages), then joins the blocks. Where
-that would take most of an article's text, the pages are copies of one article and it stays.
+least ``SHARE`` of the host's pages (and on ``LEAST`` pages), then joins the blocks. A
+template surrounds different texts: a subtree whose pages hold fewer than ``TEXTS`` different
+main texts belongs to copies of an article and stays, whatever share of a page it is.
 
 Per host at most 1 / SHARE subtrees a page's worth qualify, so a host's list is small; the
 join on host is left to the planner (broadcast by measured size, else a skew-split join).
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
-SHARE, LEAST = 0.5, 8
+SHARE, LEAST, TEXTS = 0.5, 8, 4
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -233,13 +234,8 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     part = main_part(root)
     if template:
         digest(part)
-        whole = _size(part)
-        found = [x for x in _order(part) if x is not part and x.hash in template]
-        for x in found:
+        for x in [x for x in _order(part) if x is not part and x.hash in template]:
             x.dropped = True
-        if 2 * _size(part) < whole:  # copies of one article, not a template around many
-            for x in found:
-                x.dropped = False
     return "\n".join(blocks(part))
 
 
@@ -249,14 +245,16 @@ def _text(value) -> str:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, hashes = [], []
+        hosts, texts, hashes = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             root = parse(_text(page))
             prune(root)
-            found = {-1, *digest(main_part(root))}  # -1 counts the page
+            part = main_part(root)
+            found = {-1, *digest(part)}  # -1 counts the page
             hosts += [host] * len(found)
+            texts += [xxhash.xxh64_intdigest("\n".join(blocks(part))) >> 1] * len(found)
             hashes += found
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "subtree"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(hashes, pa.int64())], ["host", "text", "subtree"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,14 +263,16 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def pages_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = LEAST) -> DataFrame:
+def pages_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = LEAST, texts: int = TEXTS) -> DataFrame:
     """page_id, url, text: one row for each page."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("binary").alias("html"))
-    counts = rows.select("host", "html").mapInArrow(_subtrees, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    found = rows.select("host", "html").mapInArrow(_subtrees, "host string, text long, subtree long")
+    by_text = found.groupBy("host", "subtree", "text").agg(F.count("*").alias("n"))  # a busy host's subtrees add up by text first
+    counts = by_text.groupBy("host", "subtree").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
     counts = written(counts.where((F.col("n") >= least)), "subtrees")
     totals = counts.where("subtree = -1").select("host", F.col("n").alias("pages"))
-    often = counts.where("subtree <> -1").join(totals, "host").where(F.col("n") >= share * F.col("pages"))
+    often = counts.where((F.col("subtree") != -1) & (F.col("texts") >= texts)).join(totals, "host").where(F.col("n") >= share * F.col("pages"))
     template = written(often.groupBy("host").agg(F.collect_list("subtree").alias("template")), "templates")
     joined = rows.join(template, "host", "left").select("page_id", "url", "html", "template")
     kind = dict(pages.dtypes)[id_col]
