@@ -108,6 +108,13 @@ def test_html_template_goes_whatever_its_share(spark):
     assert [got[30 + i] for i in range(8)] == ["One story that many addresses serve\nIts end" + ("\nEdited." if e else "") for e in edits]
 
 
+def test_html_joins_sibling_articles():
+    page = "<body><main><article><p>Part one</p><article class='x'><p>inner</p></article></article><div><article><h2>Two</h2><p>Part two is longer than one</p></article></div></main>{}</body>"
+    beside = "<article class='comment'><p>Nice</p></article><article class='teaser big'><p>Elsewhere</p></article><div class='teasers'><article><p>Also elsewhere</p></article></div>"
+    assert html_text.extract(page.format(beside)) == "Part one\ninner\nTwo\nPart two is longer than one"
+    assert html_text.extract("<body><article class='teaser'>a</article><article class='teaser'>longer</article></body>") == "longer"
+
+
 def test_html_never_fails():
     r = random.Random(2)
     for _ in range(500):

@@ -49,6 +49,8 @@ BESIDE = frozenset(
     "footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification paywall popup promo promotion "
     "recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Words that mark an article as a pointer to another page.
+TEASER = frozenset("card cards preview previews teaser teasers".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: An element that starts closes these if they are open (up to the nearest of their containers).
 _closes = {
@@ -175,11 +177,31 @@ def _size(node: Node) -> int:
     return sum(len(k) for x in _order(node) for k in x.kids if isinstance(k, str) and not k.isspace())
 
 
+def _articles(root: Node) -> list[Node]:
+    """Articles that are not inside another one, in page order, without teasers unless there is nothing else (then the largest)."""
+    found, teasers = [], []
+    todo = [(root, False)]
+    while todo:
+        x, teaser = todo.pop()
+        if x.tag not in ("html", "body", "main", "#root"):
+            teaser = teaser or bool(TEASER & set(_words.findall(f"{x.marks.get('class', '')} {x.marks.get('id', '')}")))
+        if x.tag == "article" or x.marks.get("role") == "article":
+            (teasers if teaser else found).append(x)
+        else:
+            todo.extend((k, teaser) for k in reversed(x.kids) if not isinstance(k, str) and not k.dropped)
+    return found or [max(teasers, key=_size)] if found or teasers else []
+
+
 def main_part(root: Node) -> Node:
-    """The largest article that is not inside another one, else the main element or content part, else the body."""
+    """The articles (joined in page order), else the largest main element or content part, else the body."""
+    if articles := _articles(root):
+        if len(articles) == 1:
+            return articles[0]
+        joined = Node("#articles", {})
+        joined.kids = articles
+        return joined
     nodes = _order(root)
     for is_it in (
-        lambda x: x.tag == "article" or x.marks.get("role") == "article",
         lambda x: x.tag == "main" or x.marks.get("role") == "main",
         lambda x: x.tag in ("div", "section", "td") and bool({"content", "article", "post", "entry", "story"} & set(_words.findall(f"{x.marks.get('class', '')} {x.marks.get('id', '')}"))),
     ):
