@@ -306,3 +306,36 @@ def test_full_threshold_sweep_finds_optima_beyond_a_half(spark, tmp_path):
     for (p, n), accuracy in got.items():
         assert accuracy == round(sum(said(score[k], p, n) == k for k in kinds) / len(kinds), 6)
     assert got[0.7, -0.3] == 1.0 and max(a for (p, n), a in got.items() if p <= 0.5) < 1
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.97])
+@pytest.mark.parametrize("room", [0, 1 << 20])
+def test_sparse_linkage_agrees_with_the_matrix(monkeypatch, threshold, room):
+    monkeypatch.setattr(themes, "KEPT_BYTES", room)
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        x = r.random((60, 25)) * (r.random((60, 25)) < 0.15)
+        x[:, 0] += 0.01
+        x[50:] = x[r.integers(0, 10, 10)]  # copies
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        at, col = np.nonzero(x)
+        at, col = np.append(at, at[:9]), np.append(col, col[:9])  # repeated entries
+        assert themes.sparse_linkage(at, col, x[at, col], 60, threshold).tolist() == themes.linkage(np.round(1 - x @ x.T, 12), threshold).tolist()
+
+
+def test_clusters_of_a_group_over_the_matrix_limit(spark):
+    n = themes.MAX_ROWS + 100
+    rows = [("hot", i, str(i), f"t{i // 2}", 0.6) for i in range(n)] + [("hot", i, str(i), f"u{i // 4}", 0.8) for i in range(n)]
+    rows += [("other", i, f"o{i}", "t", 1.0) for i in range(3)]
+    tfidf = spark.createDataFrame(rows, "group string, position int, doc_id string, term string, tfidf double")
+    got = themes.clusters(tfidf, Explain()).toPandas()
+    want = {("hot", str(i), i // 4 * 4) for i in range(n)} | {("other", f"o{i}", 0) for i in range(3)}
+    assert {tuple(x) for x in got.itertuples(index=False)} == want and len(got) == len(want)
+
+
+def test_registered_themes_at_default_distance_and_size(spark, tmp_path):
+    texts = ["steel chips", "steel chips", "steel chips rates", "oil gold", "oil gold"]
+    turns = [(1, i, "assistant", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(turns, "conv_id int, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: sorted(r["size"] for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    assert (run("theme_clusters"), run("theme_clusters_default"), run("driver_default")) == ([2, 3], [3], [3])
