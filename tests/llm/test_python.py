@@ -73,6 +73,13 @@ def test_pii_added_kinds_and_rows(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_long_identifiers_are_whole():
+    for long in ("04dbebab91ab8568" * 8, "x" * 100 + "1234", "-".join(["ab12"] * 40), " ".join(["12ab"] * 40)):
+        t = f"secret: {long}, and so on"
+        assert [(k, t[a:b]) for k, a, b in pii.spans(t) if k == "account"] == [("account", long)]
+        assert pii.redact(t, [s for s in pii.spans(t) if s[0] == "account"]) == "secret: [ACCOUNT], and so on"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no";</script></head><body>
 <header class="site"><h2>Site name</h2></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><header><h1>{title}</h1><p>by someone</p></header><p>First {n} <b>bold</b> &amp; caf&eacute;<br>line<p>Second &lt;p&gt; {n}

@@ -36,7 +36,8 @@ _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _url = re.compile(r"[^\s<>\"'`|\\^{}]+")
 _host = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]{1,5})?(?=[/?#]|$)")
-_account = re.compile(r"(?:[ \t]{0,3}(?:number|no\.?|nr\.?|id|is))?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,63})")
+_account = re.compile(r"(?:[ \t]{0,3}(?:number|no\.?|nr\.?|id|is))?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5})")
+_word = re.compile(r"[A-Za-z0-9]++(?:-[A-Za-z0-9]++)*+")
 _iban = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 
 Span = tuple[str, int, int]
@@ -83,17 +84,31 @@ def iban(found: str) -> bool:
     return bool(_iban.fullmatch(flat)) and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
-def _identifier(found: str) -> str | None:
-    """The identifier at the start of what follows a cue: an IBAN, or words until the last with a digit, four digits at least."""
-    parts = found.split(" ")
-    for n in range(len(parts), 0, -1):
-        if iban(" ".join(parts[:n])):
-            return " ".join(parts[:n])
-    n = 0
-    while n < len(parts) and any(c.isdigit() for c in parts[n]):
-        n += 1
-    got = " ".join(parts[:n])
-    return got if len(_digits(got)) >= 4 else None
+def _word_ends(text: str, at: int) -> Iterator[int]:
+    """Ends of the words from ``at`` on that are one space apart."""
+    while m := _word.match(text, at):
+        yield m.end()
+        at = m.end() + 1
+        if text[m.end() : at] != " ":
+            break
+
+
+def _identifier(text: str, start: int) -> int | None:
+    """The end of the identifier that starts after a cue: an IBAN, or words until the last with a digit, four digits at least."""
+    ends = []
+    for end in _word_ends(text, start):
+        if end - start > 67:  # 34 characters with a separator between any two
+            break
+        ends.append(end)
+    for end in reversed(ends):
+        if iban(text[start:end]):
+            return end
+    at = last = start
+    for end in _word_ends(text, start):
+        if not any(c.isdigit() for c in text[at:end]):
+            break
+        at, last = end + 1, end
+    return last if len(_digits(text[start:last])) >= 4 else None
 
 
 def spans(text: str | None) -> list[Span]:
@@ -141,8 +156,8 @@ def spans(text: str | None) -> list[Span]:
                     url = end
                     out["url"].append(("url", at, end))
         elif at >= account and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
-            if (m := _account.match(text, last + 1)) and m.start(1) > last + 1 and (got := _identifier(m[1])):
-                account = m.start(1) + len(got)
+            if (m := _account.match(text, last + 1)) and m.start(1) > last + 1 and (end := _identifier(text, m.start(1))):
+                account = end
                 out["account"].append(("account", m.start(1), account))
     return [s for k in KINDS for s in out[k]]
 
