@@ -48,6 +48,17 @@ def test_quality_measures_and_policies(spark):
     assert quality.ledger(df.limit(0)).count() == 0
 
 
+def test_passing_goes_by_the_ledgers_bits(spark, monkeypatch):
+    df = clashing(spark.createDataFrame([(1, "word " * 60), (2, " ".join(f"w{i}" for i in range(60))), (3, " ".join(f"W{i}A" for i in range(60))), (4, "few"), (5, None)], DOCS))
+    used, real = [], quality.failed
+    monkeypatch.setattr(quality, "failed", lambda policy, *a, **k: used.append(policy.version) or real(policy, *a, **k))
+    for policy in (quality.BASE, quality.V1, quality.Policy("capitals", ("capitals",))):
+        used.clear()
+        kept = {x.doc_id for x in quality.passing(df, policy).collect()}
+        assert used == ["base", policy.version]
+        assert kept == {x.doc_id for x in quality.apply_policy(quality.ledger(df), policy).where("kept").collect()}
+
+
 def brute_pii(t):
     d = lambda s: re.sub("[^0-9]", "", s)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]

@@ -128,12 +128,18 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *MEASURES])
 
 
+def fail_bits(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
+    """One failure bit a rule, over the measurements of MEASURES with a prefix."""
+    fails = [re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"{prefix}\1", r.fails) for r in rules]
+    bits = [F.when(F.expr(f), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for f, r in zip(fails, rules)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the measurements and ``fail_bits``: one row for each input row, one scan, no shuffle."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     measured = rows.mapInArrow(lean(_measure), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules]
-    return measured.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    return measured.withColumn("fail_bits", fail_bits(rules))
 
 
 def passing(docs: DataFrame, policy: Policy = V1, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -149,9 +155,9 @@ def passing(docs: DataFrame, policy: Policy = V1, text_col: str = "text", rules:
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(a, T.LongType()) for a in added)])
     measured = docs.mapInArrow(lean(run), schema)
-    chosen = {*policy.rules, *BASE.rules}
-    fails = [F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"_measured_\1", r.fails)) for r in rules if r.name in chosen]
-    return measured.where(~reduce(lambda a, b: a | b, fails)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    book = measured.withColumn("_measured_bits", fail_bits(rules, "_measured_"))
+    rejected = failed(BASE, "_measured_bits", rules) | failed(policy, "_measured_bits", rules)
+    return book.where(~rejected).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def failed(policy: Policy, bits: str = "fail_bits", rules: tuple[Rule, ...] = RULES) -> Column:
