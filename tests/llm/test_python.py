@@ -197,6 +197,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dup.classes(spark.createDataFrame([(None, "x y"), (None, None)], DOCS)).count() == 2
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    r = random.Random(9)
+    a, b, c = ([f"{k}{r.randint(0, 10**6)}" for _ in range(120)] for k in "abc")
+    text = lambda words, edit="": " ".join([*words[:60], edit, *words[60:]])
+    rows = [(1, text(a)), (1, text(b)), (2, text(a, "x")), (3, text(b, "y")), (3, text(b, "y")), (4, text(c)), (4, text(c)), (None, text(a)), (5, None), (6, "")]
+    df = clashing(spark.createDataFrame(rows, DOCS)).withColumns({n: F.lit("x") for n in ("row", "key", "maybe", "_slot", "win", "stays")})
+    got = sorted(((x.doc_id, x.class_id) for x in near_dup.classes(df).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (4, 4), (4, 4), (None, None), (5, 5), (6, 5)], key=str)
+    left = near_dup.survivors(df)
+    assert left.columns == df.columns
+    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(1, text(a)), (1, text(b)), (4, text(c)), (None, text(a)), (5, None)], key=str)
+
+
 def test_consistent_samples_estimate_similarity():
     levels = np.full(S.SLOTS, S.LEVELS - 1, np.uint8)
     base = [f"w{k}" for k in range(500)]

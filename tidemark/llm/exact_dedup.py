@@ -1,24 +1,32 @@
 """Exact duplicates through a log-structured merge index of text digests (DataFrame functions only).
 
-* flush: each task is a memtable; it leaves one run, sorted by digest, as a Parquet file
-  with min/max statistics and a Bloom filter on the digest.
-* compact: runs merge into one entry a digest with the identifier that stays (the
-  smallest under the chosen order) and the number of rows; partial aggregation means a
-  hot digest sends one row a task.
-* hits: a fixed-size bit filter of the digests that occur more than once (1 MB at any
-  scale, so it may be broadcast) selects the rows whose bytes are compared. Only those
-  texts are shuffled, and grouping by digest *and text* compares them byte for byte.
-
-Texts are equal when identical after lower-casing A-Z; null counts as empty. Ties:
-rows with the same id and text are one document and share ``kept``; a null id ranks
-below every other one. Empty tables give empty results; other columns are not read.
+* flush: each task is a memtable; it leaves one sorted run of (digest, id). Beside a run lies
+  its bit filter (see idfilter; none for a run too large for one).
+* compact: the live runs merge into one sorted run of the next level that replaces them: one
+  entry a digest with the identifier that stays (the smallest under the chosen order) and
+  the number of rows. Partial aggregation means a hot digest sends one row a task. A
+  manifest names the live runs; replaced runs stay readable until ``vacuum``.
+* lookup: a batch is screened by the runs' filters, joined with the live runs, and every hit is
+  compared byte for byte with the text of the identifier that stays.
+* groups: the same for one table. A bit filter of the digests that occur more than once selects
+  the rows whose bytes are compared; only those texts are shuffled, and grouping by digest
+  *and text* compares them byte for byte.
+
+Texts are equal when identical after lower-casing A-Z; null counts as empty, and long texts
+are compared whole. Ties: rows with the same id and text are one document and share
+``kept``; a null id ranks below every other one. Empty tables give empty results; other
+columns are not read, and none is added to the rows of ``survivors``.
 """
 
 from __future__ import annotations
 
+import json
 import string
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,45 +44,117 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+ENTRY = "digest string, doc_id long, n long"
+
+
 class DigestIndex:
-    """Runs and their compaction under one folder of the shared store."""
+    """Sorted runs by level under one folder of the shared store, and the manifest of the live ones."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, digest: Callable[[Column], Column] = sha256):
-        self.spark, self.digest = spark, digest
+    def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "smallest", digest: Callable[[Column], Column] = sha256):
+        self.spark, self.digest, self.keep = spark, digest, keep
+        self.stays = F.min if keep == "smallest" else F.max
         self.path = path or scratch(spark, "digests")
 
+    def _manifest(self) -> DataFrame:
+        return self.spark.read.schema("version long, runs array<struct<name: string, level: int, rows: long>>").json(f"{self.path}/manifest")
+
+    def live(self) -> list[dict]:
+        """Name, level and rows of the runs that hold the index: a few names, whatever the number of documents."""
+        try:
+            last = self._manifest().orderBy(F.desc("version")).first()
+        except AnalysisException:  # no manifest yet
+            return []
+        return [r.asDict() for r in last.runs] if last else []
+
+    def _publish(self, runs: list[dict]) -> None:
+        try:
+            version = self._manifest().agg(F.max("version")).first()[0] or 0
+        except AnalysisException:
+            version = 0
+        line = json.dumps({"version": version + 1, "runs": runs})
+        self.spark.range(1).select(F.lit(line).alias("value")).coalesce(1).write.mode("append").text(f"{self.path}/manifest")
+
+    def _write(self, entries: DataFrame, level: int) -> dict:
+        name = f"level{level}-{uuid.uuid4().hex[:12]}"
+        entries.select("digest", "doc_id", "n").sortWithinPartitions("digest", "doc_id").write.parquet(f"{self.path}/{name}/entries")
+        rows = self._entries(name).count()
+        if (size := idfilter.bits(rows)) is not None:
+            idfilter.build(self._entries(name), "digest", size).write.parquet(f"{self.path}/{name}/filter")
+        return {"name": name, "level": level, "rows": rows}
+
+    def _entries(self, name: str) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/{name}/entries")
+
     def entries(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
         return rows.withColumn("digest", self.digest(F.col("norm")))
 
-    def flush(self, docs: DataFrame, **cols: str) -> None:
-        """Add the rows of a batch as sorted runs, one a task."""
-        run = self.entries(docs, **cols).select("digest", "doc_id").sortWithinPartitions("digest", "doc_id")
-        run.write.mode("append").option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.path}/runs")
+    def flush(self, docs: DataFrame, **cols: str) -> DataFrame:
+        """Add the rows of a batch as sorted runs of level 0, one a task, and return them (digest, doc_id, n = 1)."""
+        run = self._write(self.entries(docs, **cols).withColumn("n", F.lit(1).cast("long")), 0)
+        self._publish([*self.live(), run])
+        return self._entries(run["name"])
 
     def runs(self) -> DataFrame:
-        return self.spark.read.schema("digest string, doc_id long").parquet(f"{self.path}/runs")
-
-    def compact(self, keep: str = "smallest") -> DataFrame:
-        """One entry a digest: the id that stays and the rows that have it."""
-        stays = F.min("doc_id") if keep == "smallest" else F.max("doc_id")
-        return self.runs().groupBy("digest").agg(stays.alias("keep_id"), F.count("*").alias("n"))
-
-    def lookup(self, docs: DataFrame, keep: str = "smallest", **cols: str) -> DataFrame:
-        """Rows of a later batch whose digest the index holds, with the id it holds."""
-        found = self.compact(keep).select("digest", "keep_id")
-        return self.entries(docs, **cols).select("doc_id", "digest").join(found, "digest")
+        """The entries of all live runs."""
+        found = [self._entries(r["name"]) for r in self.live()]
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], ENTRY)
+
+    def _merged(self, entries: DataFrame) -> DataFrame:
+        return entries.groupBy("digest").agg(self.stays("doc_id").alias("doc_id"), F.sum("n").alias("n"))
+
+    def compact(self) -> DataFrame:
+        """Merge the live runs into one that replaces them; returns it: one entry a digest (digest, keep_id, n)."""
+        live = self.live()
+        if len(live) != 1 or live[0]["level"] == 0:
+            live = [self._write(self._merged(self.runs()), 1 + max((r["level"] for r in live), default=0))]
+            self._publish(live)
+        return self._entries(live[0]["name"]).withColumnRenamed("doc_id", "keep_id")
+
+    def vacuum(self) -> None:
+        """Delete the runs that the manifest no longer names; for times without readers of older versions."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        names = {r["name"] for r in self.live()} | {"manifest"}
+        for status in store.listStatus(folder):
+            if status.getPath().getName() not in names:
+                store.delete(status.getPath(), True)
+
+    def lookup(self, docs: DataFrame, store: DataFrame, **cols: str) -> DataFrame:
+        """doc_id and keep_id of the rows of a later batch whose text the index holds.
+
+        ``store`` has the indexed documents under the same column names; only the texts of hits are read from it.
+        """
+        batch = written(self.entries(docs, **cols), "batch")
+        found = []
+        for run in self.live():
+            keys = batch.select("digest").distinct()
+            if idfilter.bits(run["rows"]) is not None:
+                keys = idfilter.screened(keys, F.col("digest"), self.spark.read.schema("slot int, bitmap binary").parquet(f"{self.path}/{run['name']}/filter"), idfilter.bits(run["rows"]))
+            found.append(self._entries(run["name"]).join(keys.select("digest"), "digest", "left_semi"))
+        if not found:
+            return batch.select("doc_id", F.col("doc_id").alias("keep_id")).limit(0)
+        hits = written(self._merged(reduce(DataFrame.unionByName, found)).select("digest", F.col("doc_id").alias("keep_id")), "hits")
+        asked = batch.join(hits, "digest").groupBy("digest", "norm").agg(F.first("keep_id").alias("keep_id"))  # a hot text is compared once
+        ids = written(hits.select("keep_id").distinct(), "hit-ids")
+        held = idfilter.semi(store, F.col(cols.get("id_col", "doc_id")).cast("long"), ids, "keep_id")
+        held = written(self.entries(held, **cols).withColumnRenamed("doc_id", "keep_id"), "held")
+        equal = written(asked.join(held.select("keep_id", "norm").distinct(), ["keep_id", "norm"]), "verified")
+        other = written(asked.select("digest", "norm").join(equal, ["digest", "norm"], "left_anti"), "collided")
+        if not other.isEmpty():  # another text has the digest: compared with all texts that have it
+            rest = self.entries(store, **cols).join(other.select("digest").distinct(), "digest", "left_semi")
+            rest = rest.groupBy("digest", "norm").agg(self.stays("doc_id").alias("keep_id")).join(other, ["digest", "norm"], "left_semi")
+            equal = equal.select("digest", "norm", "keep_id").unionByName(rest)
+        return batch.join(equal.select("digest", "norm", "keep_id"), ["digest", "norm"]).select("doc_id", "keep_id")
 
 
 def groups(docs: DataFrame, keep: str = "smallest", digest: Callable[[Column], Column] = sha256, **cols: str) -> DataFrame:
     """One row for each row of ``docs``: doc_id, digest, keep_id, group_size, kept."""
-    spark = docs.sparkSession
-    index = DigestIndex(spark, digest=digest)
-    index.flush(docs, **cols)
-    stays = F.min if keep == "smallest" else F.max
-    hits = index.compact(keep).where("n > 1")
-    suspects = idfilter.flagged(index.entries(docs, **cols), "digest", idfilter.build(hits, "digest")).where("_maybe")
-    equal = suspects.groupBy("digest", "norm").agg(stays("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    index = DigestIndex(docs.sparkSession, keep=keep, digest=digest)
+    rows = index.flush(docs, **cols).select("digest", "doc_id")
+    hits = written(index.compact().where("n > 1").select("digest"), "hits")
+    suspects = idfilter.flagged(index.entries(docs, **cols), F.col("digest"), hits, "digest").where("maybe").select("row.*")
+    equal = suspects.groupBy("digest", "norm").agg(index.stays("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     by_digest = written(
         equal.groupBy("digest").agg(
             F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")
@@ -82,7 +162,7 @@ def groups(docs: DataFrame, keep: str = "smallest", digest: Callable[[Column], C
         "verified",
     )
     one = by_digest.where("texts = 1").drop("texts")
-    out = index.runs().join(one, "digest", "left")
+    out = rows.join(one, "digest", "left")
     split = by_digest.where("texts > 1")
     if not split.isEmpty():  # different texts under one digest: told apart by their bytes
         split = split.select("digest")
@@ -99,17 +179,15 @@ def groups(docs: DataFrame, keep: str = "smallest", digest: Callable[[Column], C
 def survivors(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of equal texts, columns unchanged.
 
-    Rows that the fixed-size filter clears are not shuffled. Of repeated rows (equal id and
+    Rows whose id is clear of the filter are neither hashed again nor shuffled. Of repeated rows (equal id and
     text) one stays.
     """
-    key = lambda doc_id, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), digest)
-    found = groups(docs, keep, id_col=id_col, text_col=text_col)
-    several = found.where("group_size > 1").select(key(F.col("doc_id"), F.col("digest")).alias("_key"), "kept")
-    several = written(several.groupBy("_key").agg(F.first("kept").alias("_stays"), F.count("*").alias("_rows")).where("not _stays or _rows > 1"), "dropped")
-    keyed = docs.withColumn("_key", key(F.col(id_col).cast("long"), sha256(normalised(F.col(text_col)))))
-    marked = idfilter.flagged(keyed, "_key", idfilter.build(several, "_key"))
-    clear = marked.where("not _maybe")
-    rest = marked.where("_maybe").join(several, "_key", "left")
-    once = rest.where("_stays").dropDuplicates(["_key"])
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return clear.select(*cols).unionByName(rest.where("_stays is null").select(*cols)).unionByName(once.select(*cols))
+    found = groups(docs, keep, id_col=id_col, text_col=text_col).where("group_size > 1")
+    several = found.groupBy("doc_id", "digest").agg(F.first("kept").alias("stays"), F.count("*").alias("rows"))
+    several = written(several.where("not stays or rows > 1").select(F.struct("doc_id", "digest").alias("name"), "stays", "doc_id"), "dropped")
+    marked = idfilter.flagged(docs, F.col(id_col).cast("long"), several, "doc_id")
+    name = F.struct(F.col("key").alias("doc_id"), sha256(normalised(F.col("row")[text_col])).alias("digest"))
+    rest = marked.where("maybe").select("row", name.alias("name"))
+    rest = rest.join(several.select(F.col("name").alias("dropped"), "stays"), F.col("name").eqNullSafe(F.col("dropped")), "left")
+    once = rest.where("stays").dropDuplicates(["name"])
+    return marked.where("not maybe").select("row.*").unionByName(rest.where("stays is null").select("row.*")).unionByName(once.select("row.*"))
