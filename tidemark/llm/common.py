@@ -57,6 +57,23 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: A key is hot where it has over one row in so many; there are at most so many hot keys, whatever the input.
+HOT_SHARE = 1000
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, how: str = "left") -> DataFrame:
+    """rows left (or inner) joined with ``side``, which has at most one row a key, without sending a hot key's rows to one task.
+
+    ``counts`` is (key, n): the rows of each key of ``rows``, a written table. Rows of hot keys
+    stay where they are (at most HOT_SHARE rows of ``side`` are broadcast); others are joined by key.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("n") * HOT_SHARE > total).select(key)
+    marked = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
+    parted = marked.where("is_hot").drop("is_hot").join(F.broadcast(side.join(F.broadcast(hot), key, "left_semi")), key, how)
+    return marked.where("is_hot is null").drop("is_hot").join(side, key, how).unionByName(parted)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as long; null counts as no text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

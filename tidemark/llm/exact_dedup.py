@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import idfilter
-from tidemark.llm.common import scratch, written
+from tidemark.llm.common import hot_join, scratch, written
 
 
 def normalised(text: Column) -> Column:
@@ -152,7 +152,8 @@ def groups(docs: DataFrame, keep: str = "smallest", digest: Callable[[Column], C
     """One row for each row of ``docs``: doc_id, digest, keep_id, group_size, kept."""
     index = DigestIndex(docs.sparkSession, keep=keep, digest=digest)
     rows = index.flush(docs, **cols).select("digest", "doc_id")
-    hits = written(index.compact().where("n > 1").select("digest"), "hits")
+    merged = index.compact().select("digest", "n")
+    hits = written(merged.where("n > 1").select("digest"), "hits")
     suspects = idfilter.flagged(index.entries(docs, **cols), F.col("digest"), hits, "digest").where("maybe").select("row.*")
     equal = suspects.groupBy("digest", "norm").agg(index.stays("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     by_digest = written(
@@ -162,7 +163,7 @@ def groups(docs: DataFrame, keep: str = "smallest", digest: Callable[[Column], C
         "verified",
     )
     one = by_digest.where("texts = 1").drop("texts")
-    out = rows.join(one, "digest", "left")
+    out = hot_join(rows, one, "digest", merged)
     split = by_digest.where("texts > 1")
     if not split.isEmpty():  # different texts under one digest: told apart by their bytes
         split = split.select("digest")
