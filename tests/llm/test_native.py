@@ -19,7 +19,8 @@ lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def clashing(df):
     """Extra columns with the operators' own names."""
-    return df.withColumns({c: F.lit("x") for c in ("digest", "size", "taken", "shard", "bytes", "h", "norm", "_row", "keep_id")})
+    names = ("digest", "size", "taken", "shard", "bytes", "h", "norm", "_row", "keep_id", "row", "key", "maybe", "slot", "at", "bitmap", "name", "stays", "_key", "_slot", "_maybe", "id", "rest")
+    return df.withColumns({c: F.lit("x") for c in names})
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
@@ -49,19 +50,44 @@ def test_exact_empty_and_survivors(spark):
     assert exact_dedup.survivors(df.limit(0)).count() == 0
 
 
-def test_index_lookup(spark, tmp_path):
-    index = exact_dedup.DigestIndex(spark, str(tmp_path / "i"))
-    index.flush(spark.createDataFrame([(1, "a", ""), (2, "b", "")], DOCS))
-    index.flush(spark.createDataFrame([(0, "B", "")], DOCS))
-    found = index.lookup(spark.createDataFrame([(7, "b", ""), (8, "c", "")], DOCS)).collect()
-    assert [(r.doc_id, r.keep_id) for r in found] == [(7, 0)]
+@pytest.mark.parametrize("weak", [False, True])
+def test_index_levels_and_lookup(spark, tmp_path, weak):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "i"), digest=(lambda c: F.substring(exact_dedup.sha256(c), 1, 0)) if weak else exact_dedup.sha256)
+    assert index.live() == [] and index.lookup(spark.createDataFrame([(1, "a", "")], DOCS), spark.createDataFrame([], DOCS)).count() == 0
+    held = [(1, "a", ""), (2, "b", ""), (0, "B", ""), (3, None, ""), (9, "b", "")]
+    batch = [(7, "b", ""), (8, "c", ""), (10, "", ""), (11, "A", ""), (7, "b", "")]
+    store = spark.createDataFrame(held, DOCS)
+    for a, b in ((0, 2), (2, 3), (3, 5)):
+        index.flush(spark.createDataFrame(held[a:b], DOCS))
+    look = lambda: sorted((r.doc_id, r.keep_id) for r in index.lookup(spark.createDataFrame(batch, DOCS), store).collect())
+    want = [(7, 0), (7, 0), (10, 3), (11, 1)]
+    assert [r["level"] for r in index.live()] == [0, 0, 0] and look() == want
+    index.compact()
+    assert [r["level"] for r in index.live()] == [1] and look() == want
+    index.flush(spark.createDataFrame([(-5, "C", "")], DOCS))
+    store = store.unionByName(spark.createDataFrame([(-5, "C", "")], DOCS))
+    merged = {r.keep_id: r.n for r in index.compact().collect()}
+    assert [r["level"] for r in index.live()] == [2] and merged == ({-5: 6} if weak else {1: 1, 0: 3, 3: 1, -5: 1})
+    index.vacuum()
+    assert sorted(p.name[:6] for p in (tmp_path / "i").iterdir()) == ["level2", "manife"] and look() == sorted([*want, (8, -5)])
 
 
 def test_filters_lose_no_member(spark):
     rows = spark.range(5000).withColumnRenamed("id", "k")
     members = rows.where("k % 7 = 0")
-    assert idfilter.semi(rows, "k", members).count() == members.count()
-    assert idfilter.anti(rows, "k", members).count() == 5000 - members.count()
+    assert idfilter.semi(rows, F.col("k"), members, "k").count() == members.count()
+    assert idfilter.anti(rows, F.col("k"), members, "k").count() == 5000 - members.count()
+
+
+def test_filters_grow_with_their_members_and_end(spark, monkeypatch):
+    assert idfilter.bits(0) == idfilter.LEAST_BITS and idfilter.bits(1 << 20) == 1 << 24 and idfilter.bits(1 << 30) is None
+    rows = spark.range(900).withColumnsRenamed({"id": "row"}).withColumns({c: F.lit("x") for c in ("key", "at", "slot", "bitmap", "maybe")})
+    members = spark.range(0, 900, 3).withColumnRenamed("id", "k")
+    for most in (idfilter.MOST_BITS, 1):  # past the most there is no filter, only the join
+        monkeypatch.setattr(idfilter, "MOST_BITS", most)
+        assert sorted(x.row for x in idfilter.semi(rows, F.col("row"), members, "k").collect()) == list(range(0, 900, 3))
+        left = idfilter.anti(rows, F.col("row"), members, "k")
+        assert left.columns == rows.columns and left.count() == 600
 
 
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
@@ -99,8 +125,24 @@ def test_mixing(spark, seed):
     again = {x.doc_id: x.taken for x in mixing.mix(df.repartition(5)).collect()}
     assert again == {x.doc_id: x.taken for x in got}
     copies = mixing.mixture(df)
-    assert copies.columns == df.columns and max(x["count"] for x in copies.groupBy("doc_id").count().collect()) <= 2
-    assert mixing.mix(df.limit(0)).count() == 0
+    assert copies.columns == df.columns
+    times = {x.doc_id: x["count"] for x in copies.groupBy("doc_id").count().collect()}
+    assert times == {x.doc_id: x.copies for x in got if x.copies} and max(times.values()) <= 2
+    words = defaultdict(int)
+    for x in copies.collect():
+        words[x.source] += len((x.text or "").split())
+    assert all(want[s] - 1 - 1e-6 < words[s] < want[s] + 40 for s in by)
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixture(df.limit(0)).count() == 0
+
+
+def test_mixing_of_awkward_rows(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "a b", "s"), (None, "x y", "s"), (None, "z", "s"), (None, None, "s"), (5, "w " * 9000, "s"), (6, "", None), (7, "q r", None)]
+    df = clashing(spark.createDataFrame(rows, DOCS))
+    got = mixing.mix(df)
+    assert sorted(r.size for r in got.collect()) == sorted(len((t or "").split()) for _, t, _ in rows)
+    assert abs(sum(r.taken for r in got.collect()) - 1.5 * 9012) < 2
+    first, again = mixing.mixture(df), mixing.mixture(df.repartition(3))
+    assert first.columns == df.columns and sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
 
 
 @pytest.mark.parametrize("limit", [500, 3000, 10**9])

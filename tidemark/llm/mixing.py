@@ -1,14 +1,20 @@
 """Mixing sources to target weights by hash-random order and distributed prefix sums (DataFrame functions only).
 
-Every document gets a pseudo-random key from its id. Within a source the keys are cut
-into ranges; token sums of the ranges give each range its offset (a window over at most
+Every document gets a pseudo-random key from its id. All planning is on one narrow written
+table (id, source, size, key), for which texts are read once. Within a source the keys are
+cut into ranges; token sums of the ranges give each range its offset (a window over at most
 4096 rows a source), and a running sum inside the range gives each document its
 position in the source's order. The source's budget is then cut exactly: whole epochs
 first, then documents from the front of the order until the budget ends inside one.
 A hot source is spread over its ranges, so no task holds a source.
 
-Defined results: null texts have size 0; the null source is a source of its own, last;
-equal ids share a key and are ordered by size; a source without words gets target 0.
+The mix itself needs one row a source: its whole epochs and the place in its order where the
+budget ends. Rows are compared with that place where they lie, so no text is shuffled.
+
+Defined results: null texts have size 0, and long ones are counted whole; the null source is a
+source of its own, last; a null id takes its key from the text; equal ids share a key and are
+ordered by size; a source without words gets target 0; an empty table gives an empty result.
+In ``mixture``, rows equal in source, id and size are taken or left together.
 Columns that clash with the ones added (size, source_size, target, taken, copies) are replaced.
 """
 
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import without, word_count
+from tidemark.llm.common import WORD, without, word_count, written
 
 #: Hex digits of the key that name a range: 4096 ranges a source.
 RANGE_DIGITS = 3
@@ -25,8 +31,9 @@ WEIGHTS = (5, 2, 1)
 ADDED = ("size", "source_size", "target", "taken", "copies")
 
 
-def order_key(id_col: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))).cast("binary"))
+def order_key(id_col: Column, text: Column, seed: str) -> Column:
+    unnamed = F.concat(F.lit("null:"), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), unnamed)).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -50,49 +57,68 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("source", "source_size", target.alias("target"))
 
 
+def _positions(narrow: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """The narrow rows (source, id, size, key) with their source's size and target, whole epochs, and ``rest``: the budget left at the row in the last epoch."""
+    placed = narrow.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    ranges = placed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
+    plan = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
+    plan = plan.select(F.col("source").alias("p_source"), "source_size", "target")
+    offsets = ranges.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).select(
+        F.col("source").alias("o_source"), F.col("range").alias("o_range"), "range_before", "source_size", "target"
+    )
+    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = placed.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
+    budget = F.floor("target").cast("long")
+    epochs = F.coalesce(F.floor(F.try_divide(budget, F.col("source_size"))), F.lit(0)).cast("long")
+    rest = budget - epochs * F.col("source_size") - F.col("range_before") - F.col("inside")
+    return rows.select("source", "id", "size", "key", *[F.col(c) for c in narrow.columns if c == "row"], "source_size", "target", epochs.alias("epochs"), rest.alias("rest"))
+
+
+def _narrow(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str, *carry: Column) -> DataFrame:
+    """The planning table, in as many files as its own size asks for (not as many as the texts had)."""
+    return written(docs.select(
+        F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"),
+        order_key(F.col(id_col), F.col(text_col), seed).alias("key"), *carry,
+    ).repartition("key"), "mix")
+
+
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix",
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cut: str = "words",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """The rows of ``docs`` with size, source_size, target, taken (words, repeats counted) and copies.
+    """The rows of ``docs`` without their text, with size, source_size, target, taken (words, repeats counted) and copies.
 
-    cut="words" ends a source inside the document where its budget ends; cut="document"
-    takes that document whole. ``copies`` is the number of times the document appears.
+    A source ends inside the document where its budget ends. ``copies`` is the number of
+    times the document appears, whole or in part.
     """
-    keyed = docs.select(
-        F.struct("*").alias("_row"),
-        F.col(source_col).alias("_source"),
-        F.col(id_col).alias("_id"),
-        word_count(F.col(text_col)).alias("_size"),
-        order_key(F.col(id_col), seed).alias("_key"),
-    ).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
-    ranges = keyed.groupBy("_source", "_range").agg(F.sum("_size").alias("range_size"))
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-    per_source = ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("range_size").alias("source_size"))
-    plan = targets(per_source, weights, share, most)
-    offsets = ranges.join(plan, F.col("_source").eqNullSafe(F.col("source"))).select(
-        F.col("_source").alias("o_source"), F.col("_range").alias("o_range"), "range_before", "source_size", "target"
-    )
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    rows = placed.join(offsets, F.col("_source").eqNullSafe(F.col("o_source")) & (F.col("_range") == F.col("o_range")))
-    budget = F.floor("target").cast("long")
-    epochs = F.coalesce(F.floor(F.try_divide(budget, F.col("source_size"))), F.lit(0)).cast("long")
-    left = budget - epochs * F.col("source_size") - F.col("range_before") - F.col("_inside")
-    part = F.greatest(F.lit(0), F.least(F.col("_size"), left))
-    if cut == "document":
-        part = F.when(part > 0, F.col("_size")).otherwise(F.lit(0))
-    taken = epochs * F.col("_size") + part
-    copies = epochs + F.when(part > 0, 1).otherwise(0)
-    named = rows.select("_row", F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), copies.cast("long").alias("copies"))
-    kept = without(docs, ADDED).columns
-    return named.select(*[F.col("_row")[c].alias(c) for c in kept], *ADDED)
-
-
-def mixture(docs: DataFrame, **options) -> DataFrame:
+    kept = [c for c in without(docs, ADDED).columns if c != text_col]
+    narrow = _narrow(docs, seed, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    rows = _positions(narrow, weights, share, most)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest")))
+    return rows.select(
+        "row.*", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
+        (F.col("epochs") + F.when(part > 0, 1).otherwise(0)).cast("long").alias("copies"),
+    )
+
+
+def mixture(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
     """The mix itself: whole rows of ``docs``, each as often as it is taken; a source ends with the document that fills its budget."""
-    named = {k: options.pop(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
-    packed = docs.select(F.struct("*").alias("_doc"), *[F.col(c).alias(f"_{k}") for k, c in named.items()])
-    planned = mix(packed, cut="document", **{k: f"_{k}" for k in named}, **options).where("copies > 0")
-    return planned.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_doc.*")
+    rows = _positions(_narrow(docs, seed, id_col, text_col, source_col), weights, share, most)
+    last = F.max(F.when((F.col("rest") > 0) & (F.col("size") > 0), F.struct("key", "id", "size")))
+    plan = written(rows.groupBy("source").agg(F.max("epochs").alias("epochs"), last.alias("last")), "mix-plan")  # one row a source
+    here = docs.select(
+        F.struct("*").alias("row"), F.col(source_col).alias("r_source"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+        order_key(F.col(id_col), F.col(text_col), seed).alias("key"),
+    )
+    joined = here.join(plan, F.col("r_source").eqNullSafe(F.col("source")))
+    key, has_words = F.col("last.key"), F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    up_to_end = F.struct("id", word_count(F.col("text")).alias("size")) <= F.struct(F.col("last.id").alias("id"), F.col("last.size").alias("size"))
+    taken = F.when(F.col("key") < key, has_words).when(F.col("key") == key, has_words & up_to_end).otherwise(False)
+    copies = F.col("epochs") + F.when(taken, 1).otherwise(0)
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")
