@@ -1,19 +1,26 @@
 """Adaptive context-mixing range coder for token ids, vectorised over blocks.
 
-A segment is a byte string that holds many blocks of at most BLOCK ids. Each block is coded
-by itself (contexts, probabilities and coder start anew) and carries a CRC-32 of its ids,
-so a damaged block spoils no other. All blocks of a segment advance together, one id a step,
-as numpy arrays.
-
-Model of a block: an order-2 and an order-1 context each predict one id, with a confidence
-that grows while they are right. The more specific trusted prediction is tried first, the
-other second; adaptive probabilities, chosen by both confidences and by whether the
-predictions agree, mix them with order 0. Order 0 codes what neither predicts, by the
-segment's id frequencies (stored once a segment).
-
-Layout, little-endian: magic "TMRC", u16 version, u32 blocks, u32 bytes of the packed order-0
-table; a block table (u32 ids, u32 crc32 of the ids as u32, u32 payload words of 16 bits); the
-order-0 table (zlib: u16 ids and u32 frequencies); the payloads.
+A segment is a byte string that holds many blocks. Each block is coded by itself (all
+statistics and the coder start anew) and carries a CRC-32 of its ids, so a damaged block
+spoils no other: ``decode_blocks`` returns the good ones and names the bad. All blocks of a
+segment advance together, one id a step, as numpy arrays.
+
+Model of a block: a mixture of three predictions, of which one interval a step is coded.
+
+* order 0: the ids' counts in the block so far, on top of a fixed prior by rank (ids of a
+  merge vocabulary fall in frequency as they grow). Every id has weight 1 at least. Sums are
+  held by 32 groups of 32 groups of 8 groups of 8 ids.
+* orders 1 and 2: the last id, or the last two, predict the id that followed them last.
+
+An id's probability is w0 * order0(id) + w1 * [id is order 1's] + w2 * [id is order 2's]. The
+weights adapt in the block, chosen by how often either was right before and by whether
+both agree. w0 never falls under FLOOR / 65536, so every id has an interval of 1 at least.
+
+The alphabet is laid out as the predicted ids first, then the others in id order.
+
+Layout, little-endian: magic "TMRC", u16 version, u32 blocks, u32 ids in a block, u32 crc32 of
+the block table; the block table (u32 ids, u32 crc32 of the ids as u32, u32 payload words of 16
+bits); the payloads.
 """
 
 from __future__ import annotations
@@ -23,31 +30,38 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"TMRC", 1
-BLOCK, LANES = 2048, 2048
-#: Ids are below 2 ** 16. Order-0 frequencies add up to TOTAL.
-TOTAL_BITS = 18
-TOTAL = 1 << TOTAL_BITS
-SLOTS = 2048
-_ONE, _SURE, _RATE = 1 << 16, 7, 4
+MAGIC, VERSION = b"TMRC", 2
+#: Most ids in a block, blocks in a segment, and fewest ids in a block of a segment that has several.
+BLOCK, LANES, SMALL = 4096, 1024, 1024
+SLOTS = 4096
+#: Ids are below 2 ** 16: 5, 5 and 3 bits choose the groups, 3 the id. An occurrence weighs INC.
+_ONE, _BITS = 1 << 16, 30
+INC = 96
+FLOOR = 128
+_SURE, _RATE = 7, 4
 _U = np.uint64
-_TOP, _LOW32 = _U(1 << 32), _U((1 << 32) - 1)
+_TOP = _U(1 << 32)
 
 
-class Damaged(ValueError):
-    """A segment or block that does not read back as it was written."""
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of what stands before, along the last axis."""
+    return np.cumsum(x, axis=-1) - x
+
 
+_prior = (1 + (1 << 14) // (np.arange(_ONE) + 64)).astype(np.int32)
+#: The prior's running sums: by group, by group in a group, by 8 ids in those, by id in those. The first two have their total as a 33rd column.
+_P1 = np.append(_sums(_prior.reshape(32, -1).sum(1)), _prior.sum()).astype(np.int32)
+_P2 = _prior.reshape(32, 32, 64).sum(2)
+_P2 = np.concatenate([_sums(_P2), _P2.sum(1)[:, None]], axis=1).astype(np.int32)
+_P8, _P = _sums(_prior.reshape(1024, 8, 8).sum(2)).astype(np.int32), _sums(_prior.reshape(8192, 8)).astype(np.int32)
+PRIOR = int(_prior.sum())
+_add33 = (INC * (np.arange(33) > np.arange(32)[:, None])).astype(np.int32)
+_under8 = (np.arange(8) < np.arange(8)[:, None]).astype(np.uint16)
+assert PRIOR + INC * BLOCK < 1 << 20 and FLOOR << (_BITS - 16) > PRIOR + INC * BLOCK  # no interval is empty, no product overflows
 
-def _order0(ids: np.ndarray) -> np.ndarray:
-    """Frequencies of the segment's ids, each used id at least 1, adding up to TOTAL."""
-    count = np.bincount(ids, minlength=_ONE).astype(np.int64)
-    used = np.flatnonzero(count)
-    f = np.zeros(_ONE, np.int64)
-    if len(used):
-        room = TOTAL - len(used)
-        f[used] = 1 + count[used] * room // len(ids)
-        f[used[np.argmax(count[used])]] += TOTAL - f.sum()
-    return f
+
+class Damaged(ValueError):
+    """A segment or block that does not read back as it was written."""
 
 
 class _Coder:
@@ -56,11 +70,13 @@ class _Coder:
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
 
-    def narrow(self, at, start, freq, bits: int) -> None:
-        """Take the sub-interval [start, start + freq) of 2 ** bits; ``at`` selects lanes (a slice or indices)."""
-        r = self.range[at] >> _U(bits)
-        self.low[at] += r * start
-        self.range[at] = r * freq
+    def narrow(self, n: int, start: np.ndarray, width: np.ndarray) -> None:
+        """Take the sub-interval [start, start + width) of 2 ** _BITS in the first n lanes."""
+        if n and width.min() < 1:
+            raise AssertionError("an id without an interval")
+        r = self.range[:n] >> _U(_BITS)
+        self.low[:n] += r * start.astype(_U)
+        self.range[:n] = r * width.astype(_U)
 
     def ready(self, n: int):
         """Yields lanes whose range fell under 2 ** 32, which emit or take a word; afterwards none is left."""
@@ -79,50 +95,110 @@ class _Coder:
 
 
 class _Model:
-    """Contexts and adaptive probabilities of all lanes."""
+    """Counts, contexts and weights of all lanes."""
 
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes, dtype=np.int64) * SLOTS
+        self.k1, self.k2 = np.tile(_P1, (lanes, 1)), np.tile(_P2, (lanes, 1))
+        self.n8, self.n = np.zeros(lanes << 13, np.uint16), np.zeros(lanes << 16, np.uint16)
+        self.by8, self.by1 = self.n8.reshape(-1, 8), self.n.reshape(-1, 8)
+        self.lane = np.arange(lanes)
+        self.row = self.lane * SLOTS
         self.t1, self.t2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.pick = np.arange(lanes, dtype=np.int64) * 32
-        self.a, self.b = np.full(lanes * 32, 1 << 13, np.int32), np.full(lanes * 32, 1 << 12, np.int32)
+        self.a, self.b = np.full(lanes * 32, 1 << 13, np.int64), np.full(lanes * 32, 1 << 12, np.int64)
         self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.seen = 0
+
+    def weight(self, lane: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Order-0 weights of the ids x in lanes."""
+        return _prior[x] + INC * self.n[(lane << 16) + x].astype(np.int64)
+
+    def below(self, lane: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Order-0 weight of all ids under x."""
+        g, g8 = x >> 6, x >> 3
+        count = (self.by8[(lane << 10) + g] * _under8[g8 & 7]).sum(1, dtype=np.int64)
+        count += (self.by1[(lane << 13) + g8] * _under8[x & 7]).sum(1, dtype=np.int64)
+        return self.k1[lane, x >> 11] + self.k2[(lane << 5) + (x >> 11), g & 31] + _P8[g, g8 & 7] + _P[g8, x & 7] + INC * count
+
+    def predict(self, n: int) -> None:
+        """Guesses (-1 for none), the interval of either, and the interval and weight of all other ids."""
+        p1, lane = self.p1[:n], self.lane[:n]
+        self.i1 = self.row[:n] + ((p1 * 40503 >> 5) & (SLOTS - 1))
+        self.i2 = self.row[:n] + (((p1 * 60493 + self.p2[:n] * 9377) >> 7) & (SLOTS - 1))
+        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
+        g1, g2 = (self.e1 >> 3) - 1, (self.e2 >> 3) - 1  # stored plus one, so an empty entry predicts -1
+        same, some = g1 == g2, g2 >= 0
+        self.first = np.where(some, g2, g1).astype(np.int64)
+        self.second = np.where(some & ~same, g1, -1).astype(np.int64)
+        self.at = (lane << 5) + (np.minimum(self.e2 & _SURE, 3) << 3 | np.minimum(self.e1 & _SURE, 3) << 1 | same)
+        self.has_a, self.has_b = self.first >= 0, self.second >= 0
+        self.was_a, self.was_b = self.a[self.at], self.b[self.at]
+        wa = (self.was_a * (_ONE - FLOOR) >> 16) * self.has_a
+        wb = (self.was_b * (_ONE - FLOOR - wa) >> 16) * self.has_b
+        w0 = (_ONE - wa - wb) << (_BITS - 16)
+        total = PRIOR + INC * self.seen
+        self.fa = self.weight(lane, self.first * self.has_a) * self.has_a
+        self.fb = self.weight(lane, self.second * self.has_b) * self.has_b
+        self.wide_a = (wa << (_BITS - 16)) + w0 * self.fa // total
+        self.wide_b = (wb << (_BITS - 16)) + w0 * self.fb // total
+        self.guessed = self.wide_a + self.wide_b
+        self.left = (1 << _BITS) - self.guessed
+        self.rest = total - self.fa - self.fb
+
+    def interval(self, i: np.ndarray, x: np.ndarray, below: np.ndarray, weight: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """Fill in start and width of the ids x of lanes i, which no guess meets: of ``below`` the guesses are left out."""
+        left, rest = self.left[i], self.rest[i]
+        begin = left * below // rest
+        start[i] = self.guessed[i] + begin
+        width[i] = left * (below + weight) // rest - begin
+
+    def others_below(self, i: np.ndarray, x: np.ndarray) -> np.ndarray:
+        a, b = self.first[i], self.second[i]
+        return self.below(i, x) - self.fa[i] * (a < x) - self.fb[i] * (b < x)
 
-    def predict(self, n: int):
-        """First guess, second guess (-1 for none) and the probabilities of both, in 1 / 65536."""
-        self.i1 = self.row[:n] + ((self.p1[:n] * 40503 >> 5) & (SLOTS - 1))
-        self.i2 = self.row[:n] + (((self.p1[:n] * 60493 + self.p2[:n] * 9377) >> 7) & (SLOTS - 1))
-        e1, e2 = self.t1[self.i1], self.t2[self.i2]
-        c1, c2 = e1 & _SURE, e2 & _SURE
-        g1, g2 = (e1 >> 3) - 1, (e2 >> 3) - 1  # stored plus one, so an empty entry predicts -1
-        same = g1 == g2
-        first = np.where(c2 > 0, g2, g1)
-        second = np.where((c2 > 0) & ~same, g1, -1)
-        at = self.pick[:n] + (np.minimum(c2, 3) << 3 | np.minimum(c1, 3) << 1 | same)
-        self.at = at
-        pa = np.where(first >= 0, self.a[at], 0)
-        pb = np.where(second >= 0, (self.b[at].astype(np.int64) * (_ONE - pa)) >> 16, 0).astype(np.int64)
-        return first, second, pa.astype(np.int64), pb
-
-    def update(self, n: int, ids: np.ndarray, hit_a: np.ndarray, hit_b: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
-        at = self.at
-        a = self.a[at]
-        a += np.where(hit_a, (_ONE - 64 - a) >> _RATE, -((a - 64) >> _RATE)) * (first >= 0)
-        self.a[at] = a
-        b = self.b[at]
-        b += np.where(hit_b, (_ONE - 64 - b) >> _RATE, -((b - 64) >> _RATE)) * ((second >= 0) & ~hit_a)
-        self.b[at] = b
-        value = (ids + 1).astype(np.int32) << 3
-        for t, i in ((self.t1, self.i1), (self.t2, self.i2)):
-            e = t[i]
-            right = (e & ~_SURE) == value
-            t[i] = np.where(right, e + ((e & _SURE) < _SURE), value | 1)
+    def find(self, i: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lanes i whose intervals, guesses left out, hold the targets, and what stands below them."""
+        a, b, fa, fb = self.first[i], self.second[i], self.fa[i], self.fb[i]
+        under_a = self.below(i, a * (a >= 0)) - fb * (b < a)
+        under_b = self.below(i, b * (b >= 0)) - fa * (a < b)
+        left = target + fa * (target >= under_a) + fb * (target >= under_b)  # among all ids
+        each = np.arange(len(i))
+        sums = self.k1[i]
+        g = np.argmax(sums > left[:, None], axis=1) - 1
+        left -= sums[each, g]
+        sums = self.k2[(i << 5) + g]
+        g2 = np.argmax(sums > left[:, None], axis=1) - 1
+        left -= sums[each, g2]
+        g = g << 5 | g2
+        for counts, prior, width in ((self.by8, _P8, 10), (self.by1, _P, 13)):
+            own = counts[(i << width) + g]
+            sums = np.cumsum(own, axis=1, dtype=np.int32)
+            sums -= own
+            sums *= INC
+            sums += prior[g]
+            k = 7 - np.argmax(sums[:, ::-1] <= left[:, None], axis=1)
+            left -= sums[each, k]
+            g = g << 3 | k
+        return g, target - left
+
+    def update(self, n: int, x: np.ndarray, hit_a: np.ndarray, hit_b: np.ndarray) -> None:
+        a, b = self.was_a, self.was_b
+        self.a[self.at] = a + (np.where(hit_a, _ONE - 64 - a, 64 - a) >> _RATE) * self.has_a
+        self.b[self.at] = b + (np.where(hit_b, _ONE - 64 - b, 64 - b) >> _RATE) * (self.has_b & ~hit_a)
+        value = (x + 1).astype(np.int32) << 3
+        for t, i, e in ((self.t1, self.i1, self.e1), (self.t2, self.i2, self.e2)):
+            t[i] = np.where(e & ~_SURE == value, e + ((e & _SURE) < _SURE), value | 1)
+        lane = self.lane[:n]
+        self.k1[:n] += _add33[x >> 11]
+        self.k2[(lane << 5) + (x >> 11)] += _add33[(x >> 6) & 31]
+        self.n8[(lane << 13) + (x >> 3)] += 1
+        self.n[(lane << 16) + x] += 1
         self.p2[:n] = self.p1[:n]
-        self.p1[:n] = ids
+        self.p1[:n] = x
+        self.seen += 1
 
 
 def _steps(sizes: np.ndarray):
-    """(step, lanes still in it); sizes fall from lane to lane, but for the last only by at most one lane."""
+    """(step, lanes still in it); all lanes but the last have the same size, and the last no more."""
     for t in range(int(sizes.max(initial=0))):
         yield t, int(np.count_nonzero(sizes > t))
 
@@ -132,108 +208,87 @@ def encode(ids: np.ndarray) -> bytes:
     ids = np.asarray(ids)
     if len(ids) and not 0 <= ids.min() <= ids.max() < _ONE:
         raise ValueError("ids must be below 65536")
-    ids = ids.astype(np.uint16)
-    lanes = -(-len(ids) // BLOCK)
-    sizes = np.full(lanes, BLOCK)
+    block = min(BLOCK, max(SMALL, -(-len(ids) // LANES)))
+    lanes = -(-len(ids) // block)
+    sizes = np.full(lanes, block)
     if lanes:
-        sizes[-1] = len(ids) - BLOCK * (lanes - 1)
-    padded = np.zeros(lanes * BLOCK, np.uint16)
+        sizes[-1] = len(ids) - block * (lanes - 1)
+    padded = np.zeros(lanes * block, np.uint16)
     padded[: len(ids)] = ids
-    grid = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    freq = _order0(ids)
-    start = np.concatenate(([0], np.cumsum(freq)))[:-1].astype(_U)
-    freq_u = freq.astype(_U)
+    grid = np.ascontiguousarray(padded.reshape(lanes, block).T)
     coder, model = _Coder(lanes), _Model(lanes)
-    out = np.zeros((lanes, 3 * BLOCK + 8), np.uint16)
+    out = np.zeros((lanes, 3 * block + 8), np.uint16)
     fill = np.zeros(lanes, np.int64)
-
-    def emit(n: int) -> None:
+    for t, n in _steps(sizes):
+        x = grid[t, :n].astype(np.int64)
+        model.predict(n)
+        hit_a, hit_b = x == model.first, x == model.second
+        start, width = model.wide_a * hit_b, np.where(hit_a, model.wide_a, model.wide_b)
+        i = np.flatnonzero(~(hit_a | hit_b))
+        model.interval(i, x[i], model.others_below(i, x[i]), model.weight(i, x[i]), start, width)
+        coder.narrow(n, start, width)
         for i in coder.ready(n):
             out[i, fill[i]] = (coder.low[i] >> _U(48)).astype(np.uint16)
             fill[i] += 1
-
-    for t, n in _steps(sizes):
-        x = grid[t, :n].astype(np.int64)
-        first, second, pa, pb = model.predict(n)
-        hit_a = first == x
-        hit_b = (second == x) & ~hit_a
-        begin = np.where(hit_a, 0, np.where(hit_b, pa, pa + pb))
-        width = np.where(hit_a, pa, np.where(hit_b, pb, _ONE - pa - pb))
-        coder.narrow(slice(0, n), begin.astype(_U), width.astype(_U), 16)
-        emit(n)
-        rest = np.flatnonzero(~(hit_a | hit_b))
-        if len(rest):
-            coder.narrow(rest, start[x[rest]], freq_u[x[rest]], TOTAL_BITS)
-            emit(n)
-        model.update(n, x, hit_a, hit_b, first, second)
-    for k in range(4):  # the low end itself, which the decoder compares with
+        model.update(n, x, hit_a, hit_b)
+    for _ in range(4):  # the low end itself, which the decoder compares with
         out[np.arange(lanes), fill] = (coder.low >> _U(48)).astype(np.uint16)
         coder.low <<= _U(16)
         fill += 1
-    used = np.flatnonzero(freq)
-    table = zlib.compress(used.astype("<u2").tobytes() + freq[used].astype("<u4").tobytes(), 6)
     blocks = np.zeros((lanes, 3), "<u4")
     blocks[:, 0], blocks[:, 2] = sizes, fill
-    whole = ids.astype("<u4")
-    blocks[:, 1] = [zlib.crc32(whole[i * BLOCK : i * BLOCK + s].tobytes()) for i, s in enumerate(sizes.tolist())]
+    whole = padded.astype("<u4")
+    blocks[:, 1] = [zlib.crc32(whole[i * block : i * block + s].tobytes()) for i, s in enumerate(sizes.tolist())]
     words = out[np.arange(out.shape[1]) < fill[:, None]].astype("<u2").tobytes()
-    return MAGIC + struct.pack("<HII", VERSION, lanes, len(table)) + blocks.tobytes() + table + words
+    return MAGIC + struct.pack("<HIII", VERSION, lanes, block, zlib.crc32(blocks.tobytes())) + blocks.tobytes() + words
 
 
-def decode(segment: bytes) -> np.ndarray:
-    """The ids of a segment; raises Damaged where a block does not match its checksum."""
-    if segment[:4] != MAGIC:
+def decode_blocks(segment: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The ids of a segment and the (start, end) of blocks that do not match their checksum, whose ids are not to be used."""
+    if segment[:4] != MAGIC or len(segment) < 18:
         raise Damaged("not a segment")
-    version, lanes, packed = struct.unpack_from("<HII", segment, 4)
+    version, lanes, block, crc = struct.unpack_from("<HIII", segment, 4)
     if version != VERSION:
         raise Damaged(f"version {version}")
-    at = 14
-    blocks = np.frombuffer(segment, "<u4", lanes * 3, at).reshape(lanes, 3).astype(np.int64)
-    at += lanes * 12
-    table = zlib.decompress(segment[at : at + packed])
-    at += packed
-    used = len(table) // 6
-    freq = np.zeros(_ONE, np.int64)
-    freq[np.frombuffer(table, "<u2", used)] = np.frombuffer(table, "<u4", used, 2 * used)
-    start = np.concatenate(([0], np.cumsum(freq)))[:-1].astype(_U)
-    freq_u = freq.astype(_U)
-    of_slot = np.repeat(np.arange(_ONE), freq)
+    at = 18 + lanes * 12
+    if not 0 < block <= BLOCK or len(segment) < at or zlib.crc32(segment[18:at]) != crc:
+        raise Damaged("the block table does not match its checksum")
+    blocks = np.frombuffer(segment, "<u4", lanes * 3, 18).reshape(lanes, 3).astype(np.int64)
     sizes, fill = blocks[:, 0], blocks[:, 2]
-    words = np.concatenate([np.frombuffer(segment, "<u2", -1, at), np.zeros(8, np.uint16)])
+    words = np.concatenate([np.frombuffer(segment, "<u2", (len(segment) - at) // 2, at), np.zeros(8, np.uint16)])
     take = np.concatenate(([0], np.cumsum(fill)))[:-1]
     coder, model = _Coder(lanes), _Model(lanes)
     code = np.zeros(lanes, _U)
     for k in range(4):
         code = code << _U(16) | words[np.minimum(take + k, len(words) - 1)].astype(_U)
     take = take + 4
-    grid = np.zeros((BLOCK, lanes), np.uint16)
-
-    def refill(n: int) -> None:
+    grid = np.zeros((block, lanes), np.uint16)
+    for t, n in _steps(sizes):
+        model.predict(n)
+        value = np.minimum((code[:n] - coder.low[:n]) // (coder.range[:n] >> _U(_BITS)), _U((1 << _BITS) - 1)).astype(np.int64)
+        hit_a = value < model.wide_a
+        hit_b = ~hit_a & (value < model.guessed)
+        x = np.where(hit_a, model.first, model.second)
+        start, width = model.wide_a * hit_b, np.where(hit_a, model.wide_a, model.wide_b)
+        i = np.flatnonzero(value >= model.guessed)
+        y, below = model.find(i, ((value[i] - model.guessed[i] + 1) * model.rest[i] - 1) // model.left[i])
+        x[i] = y
+        model.interval(i, y, below, model.weight(i, y), start, width)
+        coder.narrow(n, start, width)
         for i in coder.ready(n):
             code[i] = code[i] << _U(16) | words[np.minimum(take[i], len(words) - 1)].astype(_U)
             take[i] += 1
-
-    for t, n in _steps(sizes):
-        first, second, pa, pb = model.predict(n)
-        value = np.minimum((code[:n] - coder.low[:n]) // (coder.range[:n] >> _U(16)), _U(_ONE - 1)).astype(np.int64)
-        hit_a = value < pa
-        hit_b = ~hit_a & (value < pa + pb)
-        begin = np.where(hit_a, 0, np.where(hit_b, pa, pa + pb))
-        width = np.where(hit_a, pa, np.where(hit_b, pb, _ONE - pa - pb))
-        coder.narrow(slice(0, n), begin.astype(_U), width.astype(_U), 16)
-        refill(n)
-        x = np.where(hit_a, first, second).astype(np.int64)
-        rest = np.flatnonzero(~(hit_a | hit_b))
-        if len(rest):
-            slot = (code[rest] - coder.low[rest]) // (coder.range[rest] >> _U(TOTAL_BITS))
-            x[rest] = of_slot[np.minimum(slot, _U(TOTAL - 1)).astype(np.int64)]
-            coder.narrow(rest, start[x[rest]], freq_u[x[rest]], TOTAL_BITS)
-            refill(n)
-        model.update(n, x, hit_a, hit_b, first, second)
+        model.update(n, x, hit_a, hit_b)
         grid[t, :n] = x
     whole = grid.T.reshape(-1)[: int(sizes.sum())].astype("<u4")
     ends = np.cumsum(sizes)
-    for a, b, crc in zip((ends - sizes).tolist(), ends.tolist(), blocks[:, 1].tolist()):
-        if zlib.crc32(whole[a:b].tobytes()) != crc:
-            raise Damaged(f"ids {a} to {b} do not match their checksum")
-    return whole
+    spans = zip((ends - sizes).tolist(), ends.tolist(), blocks[:, 1].tolist())
+    return whole, [(a, b) for a, b, sum_ in spans if zlib.crc32(whole[a:b].tobytes()) != sum_]
+
+
+def decode(segment: bytes) -> np.ndarray:
+    """The ids of a segment; raises Damaged, naming the blocks, where one does not match its checksum."""
+    ids, bad = decode_blocks(segment)
+    if bad:
+        raise Damaged("; ".join(f"ids {a} to {b} do not match their checksum" for a, b in bad))
+    return ids

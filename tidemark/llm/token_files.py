@@ -1,7 +1,7 @@
 """Token-id output: documents as range-coded id files in ascending id order, and reading them.
 
 Write: rows are range-partitioned and sorted by document id, each task encodes its texts
-and emits segments (see rangecoder), whole documents of LANES * BLOCK ids or a little more.
+and emits segments (see rangecoder), whole documents of SEGMENT ids or a little more.
 A file set is a Parquet table of segments (part, seq, doc_ids, n_tokens, data): Spark's
 commit makes it appear whole or not at all, retried tasks replace their own output, and it
 reads from any store. (part, seq) is the order of ids in the file set.
@@ -10,11 +10,13 @@ Read: segments are decoded and checked block by block; a document's start is the
 ids before it, from sums by part, then by segment, then within the segment.
 
 Encoding keeps the tokenizer's results for words between single spaces, which its pattern
-never joins, in a bounded cache; texts with other white space next to a space are encoded whole.
+never joins, in a bounded cache; texts with other white space next to a space, or with the string
+of a special token, are encoded whole. The tokenizer's settings are its file's: the string of a special
+token in a text becomes that token.
 
 Defined results: null and empty texts have the end id only; equal ids are ordered by text;
 null ids come first; a repeated row is a document of its own; an empty table writes no
-segment. Only id and text are read. Special-token strings in a text are ordinary text.
+segment; long texts are encoded whole. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ SEGMENT = rangecoder.BLOCK * rangecoder.LANES
 CACHE, CALL = 400_000, 4096
 SCHEMA = "part int, seq int, doc_ids array<long>, n_tokens array<int>, data binary"
 
-_split_alone = re.compile(r"\s\x20|\x20\s|\A\x20|\x20\Z")
+_SPLIT_ALONE = r"\s\x20|\x20\s|\A\x20|\x20\Z"
 _loaded: dict = {}
 
 
@@ -57,7 +59,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path or tokenizer_path())
-        self.t.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.t.get_added_tokens_decoder().values()]
+        self.alone = re.compile("|".join([_SPLIT_ALONE, *special]))
         vocab = self.t.get_vocab()
         if max(vocab.values()) >= 1 << 16:
             raise ValueError("ids do not fit 16 bits")
@@ -82,7 +85,7 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known.clear()
         known, out = self.known, []
-        split = [None if _split_alone.search(t) else t.split(" ") for t in texts]
+        split = [None if self.alone.search(t) else t.split(" ") for t in texts]
         new = list(dict.fromkeys(w for s in split if s for w in s[1:] if w not in known))
         for i in range(0, len(new), CALL):
             self._learn(new[i : i + CALL])
