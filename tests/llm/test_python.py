@@ -230,29 +230,92 @@ def test_components(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 150: 150, 200: 150}
 
 
-@pytest.mark.parametrize("ids", [[], [0], [7] * 5, list(range(65536)), [1, 2, 3, 50000] * 3000, random.Random(4).choices(range(500), k=9000)])
+@pytest.mark.parametrize("ids", [[], [0], [7] * 5, list(range(65536)), [1, 2, 3, 50000] * 3000, random.Random(4).choices(range(500), k=9000), [0, 65535] * 2000])
 def test_range_coder_round_trip(ids):
     assert rangecoder.decode(rangecoder.encode(np.array(ids, np.int64))).tolist() == ids
 
 
-def test_range_coder_finds_damage_and_learns():
+def adverse(r):
+    """Blocks that first teach a context one id and then break it: cycles with single mismatches, runs, swapped guesses."""
+    a = r.sample(range(65536), 12)
+    out = []
+    for _ in range(r.randint(1, 30)):
+        kind = r.randint(0, 4)
+        if kind == 0:  # two contexts that share their last id
+            cycle = [a[0], a[1], a[2], a[3], a[1], a[4]]
+            out += cycle * r.randint(1, 40)
+            out[-r.randint(1, len(cycle))] = r.choice(a)
+        elif kind == 1:
+            out += [r.choice(a)] * r.randint(1, 90)
+        elif kind == 2:
+            out += r.sample(a, 6) * r.randint(1, 9)
+        elif kind == 3:
+            out += r.choices(range(65536), k=r.randint(1, 30))
+        else:  # what order 1 predicts where order 2 was always right
+            out += [a[5], a[6], a[7]] * 60 + [a[8], a[6], a[9]] * 3 + [a[5], a[6], a[9]]
+    return out[: r.randint(1, rangecoder.BLOCK)]
+
+
+def test_range_coder_survives_adverse_blocks(monkeypatch):
+    monkeypatch.setattr(rangecoder, "SMALL", 1)
+    r = random.Random(8)
+    blocks = 0
+    for block in [16, 300, 1200]:  # all lanes at once, so that each segment holds many generated blocks
+        monkeypatch.setattr(rangecoder, "BLOCK", block)
+        for _ in range(7):
+            ids = []
+            for _ in range(500):
+                x = adverse(r)
+                ids += (x * (block // len(x) + 1))[:block]
+                blocks += 1
+            monkeypatch.setattr(rangecoder, "LANES", 500)
+            assert rangecoder.decode(rangecoder.encode(np.array(ids))).tolist() == ids
+    assert blocks > 10000
+
+
+def test_range_coder_keeps_intervals_when_guesses_are_trusted():
+    p, a, x, q, y = 10, 11, 12, 13, 14
+    ids = []
+    for k in range(30):
+        ids += [p, a, x, q, a, y]
+        ids[-1] = 100 + k
+    ids += [p, a, x, q, a, y] * 60 + [p, a, y]
+    for extra in range(34):
+        assert rangecoder.decode(rangecoder.encode(np.array(ids + [extra, a, x]))).tolist() == ids + [extra, a, x]
+
+
+def test_range_coder_limits_damage_to_its_block_and_learns():
     ids = np.array(random.Random(5).choices(range(3000), k=6000))
-    s = bytearray(rangecoder.encode(ids))
-    s[-500] ^= 1
-    with pytest.raises(rangecoder.Damaged):
+    whole = rangecoder.encode(ids)
+    s = bytearray(whole)
+    s[-500] ^= 1  # in the last of six blocks
+    good, bad = rangecoder.decode_blocks(bytes(s))
+    assert bad == [(5120, 6000)] and (good[:5120] == ids[:5120]).all()
+    first = bytearray(whole)
+    first[18 + 6 * 12 + 40] ^= 255
+    good, bad = rangecoder.decode_blocks(bytes(first))
+    assert bad == [(0, 1024)] and (good[1024:] == ids[1024:]).all()
+    with pytest.raises(rangecoder.Damaged, match="ids 5120 to 6000"):
         rangecoder.decode(bytes(s))
+    for cut in (whole[:10], whole[:40], b"XXXX" + whole[4:], whole[:20] + b"z" + whole[21:]):
+        with pytest.raises(rangecoder.Damaged):
+            rangecoder.decode(cut)
+    assert rangecoder.decode_blocks(whole[:-2000])[1]
     assert len(rangecoder.encode(np.tile(ids[:200], 100))) < 0.3 * 2 * 20000
 
 
 def test_token_files(spark, tmp_path):
     r = random.Random(6)
     parts = ["a", "b'", "s ", "  ", " ", "\n", "é", "1", "!!", " the", "\t", "don't", "漢"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(300)] + [None, "", "word " * 20000]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(300)] + [None, "", "word " * 20000, "x <|endoftext|> y", "a<|endoftext|>", " <|endoftext|> b c"]
     rows = list(enumerate(texts))
     r.shuffle(rows)
     df = clashing(spark.createDataFrame(rows, DOCS).repartition(5))
     got = {x.doc_id: (x.start, x.n_tokens, x.ids_crc32) for x in token_files.round_trip(df, str(tmp_path / "f")).collect()}
-    t = token_files.Encoder().t
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.tokenizer_path())
+    assert t.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
     start = 0
     for i, text in enumerate(texts):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -261,11 +324,15 @@ def test_token_files(spark, tmp_path):
     whole = {x.doc_id: x.ids for x in token_files.ids(spark, str(tmp_path / "f")).collect()}
     assert whole[300] == [0] and len(whole) == len(texts)
     assert token_files.round_trip(df.limit(0), str(tmp_path / "e")).count() == 0
+    twice = spark.createDataFrame([(5, "b"), (5, "b"), (None, "a"), (5, "c"), (None, None)], DOCS)
+    got = [(x.doc_id, x.start, x.n_tokens) for x in token_files.round_trip(twice, str(tmp_path / "t")).collect()]
+    assert sorted(x[1] for x in got) == [0, 1, 3, 5, 7] or sorted(x[1] for x in got) == [0, 2, 3, 5, 7]
+    assert [x[0] for x in sorted(got, key=lambda x: x[1])] == [None, None, 5, 5, 5]
 
 
 def all_segmentations(vocab, text):
     s = lattice.SPACE + text.replace(" ", lattice.SPACE)
-    ids = {p: i for i, p in enumerate(vocab.pieces) if i > 258 and (vocab.scores[i] > -1e8 or len(p) == 1)}
+    ids = {p: i for i, p in enumerate(vocab.pieces) if i > 258}
     weight = lambda i: -math.log(2 + min(-vocab.scores[i], len(vocab.pieces)))
     out = {}
 
@@ -286,7 +353,7 @@ def all_segmentations(vocab, text):
     return {k: w - z for k, w in out.items()}
 
 
-@pytest.mark.parametrize("text", ["the cat", "a\nb é★", "hi 漢"])
+@pytest.mark.parametrize("text", ["the cat", "a\nb é★", "hi 漢", "a  b", "  x   y", "a\n     ", "ab    \n  c"])
 def test_samples_are_distinct_exact_and_unbiased(text):
     _, lat = pieces._tools(None, 1.0)
     want, n = all_segmentations(lat.vocab, text), 3000
@@ -305,6 +372,32 @@ def test_samples_are_distinct_exact_and_unbiased(text):
     assert abs(np.mean(total) - 1) < 0.05
 
 
+def test_the_librarys_own_segmentation_can_be_drawn():
+    sp, lat = pieces._tools(None, 1.0)
+    r = random.Random(11)
+    for _ in range(40):
+        t = "".join(r.choice(["a", "the", " ", "  ", "    ", "\n", "é"]) for _ in range(r.randint(1, 7)))
+        s = lattice.Sampler(lat, [t], np.zeros(1, np.uint64))
+        at = 0
+        for i in sp.encode(t):
+            if not lat.vocab.bytes[i] or 3 <= i < 259 and at < s.n and lat.piece[s.node[at], 0] == lattice._FALLBACK:
+                at = None
+                break
+            n = len(sp.id_to_piece(i)) if i >= 259 else 1
+            assert lat.piece[s.node[at], n - 1] == i and np.isfinite(lat.log[s.node[at], n - 1])
+            at += n
+        assert at is None or at == s.n
+
+
+def test_copies_of_a_row_get_samples_of_their_own(spark):
+    df = clashing(spark.createDataFrame([(1, "some words to cut here")] * 3 + [(2, None)] * 2 + [(None, "x y")], DOCS)).withColumn("copy", F.lit("x"))
+    got = pieces.sample(df, 2, copies=True).collect()
+    assert sorted((str(x.doc_id), x.copy) for x in got) == [("1", 0), ("1", 1), ("1", 2), ("2", 0), ("2", 1), ("None", 0)]
+    assert len({str(x.samples) for x in got if x.doc_id == 1}) == 3
+    first = {str(x.samples) for x in pieces.sample(df, 2).collect() if x.doc_id == 1}
+    assert first == {str(x.samples) for x in got if x.doc_id == 1 and x.copy == 0}
+
+
 def test_samples_round_trip_and_ignore_partitioning(spark):
     texts = ["", None, "a", "  x  y ", "漢字 é★\n\nz", "日" * 400, "word " * 3000, "x" * 3000]
     df = clashing(spark.createDataFrame(list(enumerate(texts)) + [(None, "b c")], DOCS))
