@@ -292,7 +292,7 @@ def test_range_coder_limits_damage_to_its_block_and_learns():
     good, bad = rangecoder.decode_blocks(bytes(s))
     assert bad == [(5120, 6000)] and (good[:5120] == ids[:5120]).all()
     first = bytearray(whole)
-    first[18 + 6 * 12 + 40] ^= 255
+    first[18 + 6 * 16 + 40] ^= 255  # in the first block's list of ids
     good, bad = rangecoder.decode_blocks(bytes(first))
     assert bad == [(0, 1024)] and (good[1024:] == ids[1024:]).all()
     with pytest.raises(rangecoder.Damaged, match="ids 5120 to 6000"):

@@ -5,22 +5,23 @@ statistics and the coder start anew) and carries a CRC-32 of its ids, so a damag
 spoils no other: ``decode_blocks`` returns the good ones and names the bad. All blocks of a
 segment advance together, one id a step, as numpy arrays.
 
-Model of a block: a mixture of three predictions, of which one interval a step is coded.
+A block names its different ids first, in order; what is coded are their numbers. Model: a
+mixture of three predictions, of which one interval a step is coded.
 
-* order 0: the ids' counts in the block so far, on top of a fixed prior by rank (ids of a
-  merge vocabulary fall in frequency as they grow). Every id has weight 1 at least. Sums are
-  held by 32 groups of 32 groups of 8 groups of 8 ids.
-* orders 1 and 2: the last id, or the last two, predict the id that followed them last.
+* order 0: the counts of the block so far. Every number has weight 1 at least. Sums are held
+  by 16 groups of 16 groups of 16 numbers.
+* orders 1 and 2: the last number, or the last two, predict the one that followed them last.
 
-An id's probability is w0 * order0(id) + w1 * [id is order 1's] + w2 * [id is order 2's]. The
+A number's probability is w0 * order0 + w1 * [it is order 1's] + w2 * [it is order 2's]. The
 weights adapt in the block, chosen by how often either was right before and by whether
-both agree. w0 never falls under FLOOR / 65536, so every id has an interval of 1 at least.
+both agree. w0 never falls under FLOOR / 65536, so every number has an interval of 1 at least.
 
-The alphabet is laid out as the predicted ids first, then the others in id order.
+The predicted numbers come first on the line, then the others in order.
 
 Layout, little-endian: magic "TMRC", u16 version, u32 blocks, u32 ids in a block, u32 crc32 of
 the block table; the block table (u32 ids, u32 crc32 of the ids as u32, u32 payload words of 16
-bits); the payloads.
+bits, u32 bytes of the id list); the id lists (zlib: gaps less one as bytes, 255 for those of
+255 or more; a byte 255; those as u16; u16 ids); the payloads.
 """
 
 from __future__ import annotations
@@ -30,34 +31,19 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"TMRC", 2
-#: Most ids in a block, blocks in a segment, and fewest ids in a block of a segment that has several.
+MAGIC, VERSION = b"TMRC", 3
+#: Most ids in a block (and different ids: three levels of 16), blocks in a segment, and fewest ids in a block of a segment that has several.
 BLOCK, LANES, SMALL = 4096, 1024, 1024
-SLOTS = 4096
-#: Ids are below 2 ** 16: 5, 5 and 3 bits choose the groups, 3 the id. An occurrence weighs INC.
+#: Ids are below 2 ** 16. An occurrence weighs INC, a number that did not occur yet 1.
 _ONE, _BITS = 1 << 16, 30
-INC = 96
+INC = 3
 FLOOR = 128
 _SURE, _RATE = 7, 4
 _U = np.uint64
 _TOP = _U(1 << 32)
-
-
-def _sums(x: np.ndarray) -> np.ndarray:
-    """Sums of what stands before, along the last axis."""
-    return np.cumsum(x, axis=-1) - x
-
-
-_prior = (1 + (1 << 14) // (np.arange(_ONE) + 64)).astype(np.int32)
-#: The prior's running sums: by group, by group in a group, by 8 ids in those, by id in those. The first two have their total as a 33rd column.
-_P1 = np.append(_sums(_prior.reshape(32, -1).sum(1)), _prior.sum()).astype(np.int32)
-_P2 = _prior.reshape(32, 32, 64).sum(2)
-_P2 = np.concatenate([_sums(_P2), _P2.sum(1)[:, None]], axis=1).astype(np.int32)
-_P8, _P = _sums(_prior.reshape(1024, 8, 8).sum(2)).astype(np.int32), _sums(_prior.reshape(8192, 8)).astype(np.int32)
-PRIOR = int(_prior.sum())
-_add33 = (INC * (np.arange(33) > np.arange(32)[:, None])).astype(np.int32)
-_under8 = (np.arange(8) < np.arange(8)[:, None]).astype(np.uint16)
-assert PRIOR + INC * BLOCK < 1 << 20 and FLOOR << (_BITS - 16) > PRIOR + INC * BLOCK  # no interval is empty, no product overflows
+_add17 = (INC * (np.arange(17) > np.arange(16)[:, None])).astype(np.uint16)
+_under16 = (np.arange(16) < np.arange(16)[:, None]).astype(np.uint16)
+assert FLOOR << (_BITS - 16) > BLOCK * (1 + INC) < _ONE  # no interval is empty, sums fit 16 bits
 
 
 class Damaged(ValueError):
@@ -95,108 +81,125 @@ class _Coder:
 
 
 class _Model:
-    """Counts, contexts and weights of all lanes."""
-
-    def __init__(self, lanes: int):
-        self.k1, self.k2 = np.tile(_P1, (lanes, 1)), np.tile(_P2, (lanes, 1))
-        self.n8, self.n = np.zeros(lanes << 13, np.uint16), np.zeros(lanes << 16, np.uint16)
-        self.by8, self.by1 = self.n8.reshape(-1, 8), self.n.reshape(-1, 8)
-        self.lane = np.arange(lanes)
-        self.row = self.lane * SLOTS
-        self.t1, self.t2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
+    """Counts, contexts and weights of all lanes; ``kinds`` is the number of different ids of each."""
+
+    def __init__(self, kinds: np.ndarray):
+        lanes = len(kinds)
+        self.kinds, self.lane = kinds, np.arange(lanes)
+        at = np.minimum(np.arange(17) * 256, kinds[:, None])
+        self.k1 = at.astype(np.uint16)
+        at = np.clip(kinds[:, None, None] - np.arange(16)[:, None] * 256, 0, np.arange(17) * 16)
+        self.k2 = at.astype(np.uint16).reshape(-1, 17)
+        self.n = np.zeros(lanes << 12, np.uint16)
+        self.by16 = self.n.reshape(-1, 16)
+        self.t1, self.t2 = np.zeros(lanes << 12, np.uint16), np.zeros(lanes << 12, np.uint16)
         self.a, self.b = np.full(lanes * 32, 1 << 13, np.int64), np.full(lanes * 32, 1 << 12, np.int64)
         self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.seen = 0
 
     def weight(self, lane: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Order-0 weights of the ids x in lanes."""
-        return _prior[x] + INC * self.n[(lane << 16) + x].astype(np.int64)
+        """Order-0 weights of the numbers x in lanes."""
+        return 1 + INC * self.n[(lane << 12) + x].astype(np.int64)
 
     def below(self, lane: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Order-0 weight of all ids under x."""
-        g, g8 = x >> 6, x >> 3
-        count = (self.by8[(lane << 10) + g] * _under8[g8 & 7]).sum(1, dtype=np.int64)
-        count += (self.by1[(lane << 13) + g8] * _under8[x & 7]).sum(1, dtype=np.int64)
-        return self.k1[lane, x >> 11] + self.k2[(lane << 5) + (x >> 11), g & 31] + _P8[g, g8 & 7] + _P[g8, x & 7] + INC * count
+        """Order-0 weight of all numbers under x."""
+        g, k = x >> 4, x & 15
+        row = (lane << 8) + g
+        count = (self.by16[row] * _under16[k]).sum(1, dtype=np.int64)
+        return INC * count + self.k1[lane, g >> 4] + self.k2[row >> 4, g & 15] + k
 
     def predict(self, n: int) -> None:
-        """Guesses (-1 for none), the interval of either, and the interval and weight of all other ids."""
+        """Guesses (-1 for none), the interval of either, and the interval and weight of all other numbers."""
         p1, lane = self.p1[:n], self.lane[:n]
-        self.i1 = self.row[:n] + ((p1 * 40503 >> 5) & (SLOTS - 1))
-        self.i2 = self.row[:n] + (((p1 * 60493 + self.p2[:n] * 9377) >> 7) & (SLOTS - 1))
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
-        g1, g2 = (self.e1 >> 3) - 1, (self.e2 >> 3) - 1  # stored plus one, so an empty entry predicts -1
-        same, some = g1 == g2, g2 >= 0
-        self.first = np.where(some, g2, g1).astype(np.int64)
-        self.second = np.where(some & ~same, g1, -1).astype(np.int64)
-        self.at = (lane << 5) + (np.minimum(self.e2 & _SURE, 3) << 3 | np.minimum(self.e1 & _SURE, 3) << 1 | same)
-        self.has_a, self.has_b = self.first >= 0, self.second >= 0
+        base = lane << 12
+        self.i1 = base + p1
+        self.i2 = base + ((p1 * 2531 + self.p2[:n] * 1049 + (self.p2[:n] >> 5)) & 4095)
+        self.e1, self.e2 = self.t1[self.i1].astype(np.int64), self.t2[self.i2].astype(np.int64)
+        c1, c2 = self.e1 & _SURE, self.e2 & _SURE
+        g1, g2 = self.e1 >> 3, self.e2 >> 3  # an entry that was never right nor written has confidence 0
+        some1, some2 = c1 > 0, c2 > 0
+        same = some1 & some2 & (g1 == g2)
+        self.has_a, self.has_b = some1 | some2, some1 & some2 & ~same
+        self.first, self.second = np.where(some2, g2, g1), g1
+        self.at = (lane << 5) + (np.minimum(c2, 3) << 3 | np.minimum(c1, 3) << 1 | same)
         self.was_a, self.was_b = self.a[self.at], self.b[self.at]
         wa = (self.was_a * (_ONE - FLOOR) >> 16) * self.has_a
         wb = (self.was_b * (_ONE - FLOOR - wa) >> 16) * self.has_b
         w0 = (_ONE - wa - wb) << (_BITS - 16)
-        total = PRIOR + INC * self.seen
-        self.fa = self.weight(lane, self.first * self.has_a) * self.has_a
-        self.fb = self.weight(lane, self.second * self.has_b) * self.has_b
+        total = self.kinds[:n] + INC * self.seen
+        self.fa = self.weight(lane, self.first) * self.has_a
+        self.fb = self.weight(lane, self.second) * self.has_b
         self.wide_a = (wa << (_BITS - 16)) + w0 * self.fa // total
         self.wide_b = (wb << (_BITS - 16)) + w0 * self.fb // total
         self.guessed = self.wide_a + self.wide_b
         self.left = (1 << _BITS) - self.guessed
         self.rest = total - self.fa - self.fb
 
-    def interval(self, i: np.ndarray, x: np.ndarray, below: np.ndarray, weight: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        """Fill in start and width of the ids x of lanes i, which no guess meets: of ``below`` the guesses are left out."""
+    def interval(self, i: np.ndarray, below: np.ndarray, weight: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """Fill in start and width of numbers of lanes i that no guess meets: of ``below`` the guesses are left out."""
         left, rest = self.left[i], self.rest[i]
         begin = left * below // rest
         start[i] = self.guessed[i] + begin
         width[i] = left * (below + weight) // rest - begin
 
     def others_below(self, i: np.ndarray, x: np.ndarray) -> np.ndarray:
-        a, b = self.first[i], self.second[i]
-        return self.below(i, x) - self.fa[i] * (a < x) - self.fb[i] * (b < x)
+        return self.below(i, x) - self.fa[i] * (self.first[i] < x) - self.fb[i] * (self.second[i] < x)
 
     def find(self, i: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of lanes i whose intervals, guesses left out, hold the targets, and what stands below them."""
+        """The numbers of lanes i whose intervals, guesses left out, hold the targets, and what stands below them."""
         a, b, fa, fb = self.first[i], self.second[i], self.fa[i], self.fb[i]
-        under_a = self.below(i, a * (a >= 0)) - fb * (b < a)
-        under_b = self.below(i, b * (b >= 0)) - fa * (a < b)
-        left = target + fa * (target >= under_a) + fb * (target >= under_b)  # among all ids
+        left = target + fa * (target >= self.below(i, a) - fb * (b < a))  # among all numbers
+        two = np.flatnonzero(fb)
+        left[two] += fb[two] * (target[two] >= self.below(i[two], b[two]) - fa[two] * (a[two] < b[two]))
         each = np.arange(len(i))
-        sums = self.k1[i]
-        g = np.argmax(sums > left[:, None], axis=1) - 1
-        left -= sums[each, g]
-        sums = self.k2[(i << 5) + g]
-        g2 = np.argmax(sums > left[:, None], axis=1) - 1
-        left -= sums[each, g2]
-        g = g << 5 | g2
-        for counts, prior, width in ((self.by8, _P8, 10), (self.by1, _P, 13)):
-            own = counts[(i << width) + g]
-            sums = np.cumsum(own, axis=1, dtype=np.int32)
-            sums -= own
-            sums *= INC
-            sums += prior[g]
-            k = 7 - np.argmax(sums[:, ::-1] <= left[:, None], axis=1)
-            left -= sums[each, k]
-            g = g << 3 | k
-        return g, target - left
+        g, row = np.zeros(len(i), np.int64), i
+        for sums in (self.k1, self.k2):
+            own = sums[row]
+            k = np.argmax(own[:, 1:] > left.astype(np.uint16)[:, None], axis=1)
+            left -= own[each, k]
+            g = g << 4 | k
+            row = (row << 4) + k
+        own = np.cumsum(self.by16[row], axis=1, dtype=np.uint16)
+        own *= np.uint16(INC)
+        own += np.arange(1, 17, dtype=np.uint16)
+        k = np.argmax(own > left.astype(np.uint16)[:, None], axis=1)
+        left -= np.where(k > 0, own[each, k - 1], 0)
+        return g << 4 | k, target - left
 
     def update(self, n: int, x: np.ndarray, hit_a: np.ndarray, hit_b: np.ndarray) -> None:
         a, b = self.was_a, self.was_b
         self.a[self.at] = a + (np.where(hit_a, _ONE - 64 - a, 64 - a) >> _RATE) * self.has_a
         self.b[self.at] = b + (np.where(hit_b, _ONE - 64 - b, 64 - b) >> _RATE) * (self.has_b & ~hit_a)
-        value = (x + 1).astype(np.int32) << 3
+        value = x << 3
         for t, i, e in ((self.t1, self.i1, self.e1), (self.t2, self.i2, self.e2)):
             t[i] = np.where(e & ~_SURE == value, e + ((e & _SURE) < _SURE), value | 1)
-        lane = self.lane[:n]
-        self.k1[:n] += _add33[x >> 11]
-        self.k2[(lane << 5) + (x >> 11)] += _add33[(x >> 6) & 31]
-        self.n8[(lane << 13) + (x >> 3)] += 1
-        self.n[(lane << 16) + x] += 1
+        row = (self.lane[:n] << 8) + (x >> 4)
+        self.k1[:n] += _add17[x >> 8]
+        self.k2[row >> 4] += _add17[(x >> 4) & 15]
+        self.n[(self.lane[:n] << 12) + x] += 1
         self.p2[:n] = self.p1[:n]
         self.p1[:n] = x
         self.seen += 1
 
 
+def _list(ids: np.ndarray) -> bytes:
+    """Rising different ids as bytes."""
+    gaps = np.diff(ids, prepend=-1) - 1
+    return zlib.compress(np.minimum(gaps, 255).astype(np.uint8).tobytes() + b"\xff" + gaps[gaps >= 255].astype("<u2").tobytes() + struct.pack("<H", len(ids)), 1)
+
+
+def _listed(raw: bytes) -> np.ndarray:
+    """The ids of a list; one id 0 if the bytes are no list."""
+    try:
+        x = zlib.decompress(raw)
+        n = struct.unpack("<H", x[-2:])[0]
+        gaps = np.frombuffer(x, np.uint8, n).astype(np.int64)
+        gaps[gaps == 255] = np.frombuffer(x[n + 1 : -2], "<u2")
+    except (zlib.error, struct.error, ValueError):
+        return np.zeros(1, np.int64)
+    return (np.cumsum(gaps + 1) - 1)[:BLOCK] & (_ONE - 1) if n else np.zeros(1, np.int64)
+
+
 def _steps(sizes: np.ndarray):
     """(step, lanes still in it); all lanes but the last have the same size, and the last no more."""
     for t in range(int(sizes.max(initial=0))):
@@ -215,17 +218,21 @@ def encode(ids: np.ndarray) -> bytes:
         sizes[-1] = len(ids) - block * (lanes - 1)
     padded = np.zeros(lanes * block, np.uint16)
     padded[: len(ids)] = ids
-    grid = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    coder, model = _Coder(lanes), _Model(lanes)
+    lists, grid = [], np.zeros((block, lanes), np.uint16)
+    for i, size in enumerate(sizes.tolist()):
+        known, number = np.unique(padded[i * block : i * block + size], return_inverse=True)
+        lists.append(known.astype(np.int64))
+        grid[:size, i] = number
+    coder, model = _Coder(lanes), _Model(np.array([len(x) for x in lists], np.int64))
     out = np.zeros((lanes, 3 * block + 8), np.uint16)
     fill = np.zeros(lanes, np.int64)
     for t, n in _steps(sizes):
         x = grid[t, :n].astype(np.int64)
         model.predict(n)
-        hit_a, hit_b = x == model.first, x == model.second
+        hit_a, hit_b = (x == model.first) & model.has_a, (x == model.second) & model.has_b
         start, width = model.wide_a * hit_b, np.where(hit_a, model.wide_a, model.wide_b)
         i = np.flatnonzero(~(hit_a | hit_b))
-        model.interval(i, x[i], model.others_below(i, x[i]), model.weight(i, x[i]), start, width)
+        model.interval(i, model.others_below(i, x[i]), model.weight(i, x[i]), start, width)
         coder.narrow(n, start, width)
         for i in coder.ready(n):
             out[i, fill[i]] = (coder.low[i] >> _U(48)).astype(np.uint16)
@@ -235,12 +242,13 @@ def encode(ids: np.ndarray) -> bytes:
         out[np.arange(lanes), fill] = (coder.low >> _U(48)).astype(np.uint16)
         coder.low <<= _U(16)
         fill += 1
-    blocks = np.zeros((lanes, 3), "<u4")
-    blocks[:, 0], blocks[:, 2] = sizes, fill
+    blocks = np.zeros((lanes, 4), "<u4")
+    tables = [_list(x) for x in lists]
+    blocks[:, 0], blocks[:, 2], blocks[:, 3] = sizes, fill, [len(x) for x in tables]
     whole = padded.astype("<u4")
     blocks[:, 1] = [zlib.crc32(whole[i * block : i * block + s].tobytes()) for i, s in enumerate(sizes.tolist())]
     words = out[np.arange(out.shape[1]) < fill[:, None]].astype("<u2").tobytes()
-    return MAGIC + struct.pack("<HIII", VERSION, lanes, block, zlib.crc32(blocks.tobytes())) + blocks.tobytes() + words
+    return MAGIC + struct.pack("<HIII", VERSION, lanes, block, zlib.crc32(blocks.tobytes())) + blocks.tobytes() + b"".join(tables) + words
 
 
 def decode_blocks(segment: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -250,14 +258,21 @@ def decode_blocks(segment: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     version, lanes, block, crc = struct.unpack_from("<HIII", segment, 4)
     if version != VERSION:
         raise Damaged(f"version {version}")
-    at = 18 + lanes * 12
+    at = 18 + lanes * 16
     if not 0 < block <= BLOCK or len(segment) < at or zlib.crc32(segment[18:at]) != crc:
         raise Damaged("the block table does not match its checksum")
-    blocks = np.frombuffer(segment, "<u4", lanes * 3, 18).reshape(lanes, 3).astype(np.int64)
+    blocks = np.frombuffer(segment, "<u4", lanes * 4, 18).reshape(lanes, 4).astype(np.int64)
     sizes, fill = blocks[:, 0], blocks[:, 2]
-    words = np.concatenate([np.frombuffer(segment, "<u2", (len(segment) - at) // 2, at), np.zeros(8, np.uint16)])
+    ends = at + np.cumsum(blocks[:, 3])
+    lists = [_listed(segment[b - size : b]) for b, size in zip(ends.tolist(), blocks[:, 3].tolist())]
+    at = int(ends[-1]) if lanes else at
+    words = np.concatenate([np.frombuffer(segment, "<u2", max(0, len(segment) - at) // 2, min(at, len(segment))), np.zeros(8, np.uint16)])
     take = np.concatenate(([0], np.cumsum(fill)))[:-1]
-    coder, model = _Coder(lanes), _Model(lanes)
+    kinds = np.array([len(x) for x in lists], np.int64)
+    name_of = np.zeros((lanes, int(kinds.max(initial=1))), np.uint16)
+    for i, x in enumerate(lists):
+        name_of[i, : len(x)] = x
+    coder, model = _Coder(lanes), _Model(kinds)
     code = np.zeros(lanes, _U)
     for k in range(4):
         code = code << _U(16) | words[np.minimum(take + k, len(words) - 1)].astype(_U)
@@ -266,20 +281,20 @@ def decode_blocks(segment: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     for t, n in _steps(sizes):
         model.predict(n)
         value = np.minimum((code[:n] - coder.low[:n]) // (coder.range[:n] >> _U(_BITS)), _U((1 << _BITS) - 1)).astype(np.int64)
-        hit_a = value < model.wide_a
+        hit_a = value < model.wide_a  # 0 where there is no such guess
         hit_b = ~hit_a & (value < model.guessed)
         x = np.where(hit_a, model.first, model.second)
         start, width = model.wide_a * hit_b, np.where(hit_a, model.wide_a, model.wide_b)
         i = np.flatnonzero(value >= model.guessed)
         y, below = model.find(i, ((value[i] - model.guessed[i] + 1) * model.rest[i] - 1) // model.left[i])
         x[i] = y
-        model.interval(i, y, below, model.weight(i, y), start, width)
+        model.interval(i, below, model.weight(i, y), start, width)
         coder.narrow(n, start, width)
         for i in coder.ready(n):
             code[i] = code[i] << _U(16) | words[np.minimum(take[i], len(words) - 1)].astype(_U)
             take[i] += 1
         model.update(n, x, hit_a, hit_b)
-        grid[t, :n] = x
+        grid[t, :n] = name_of[model.lane[:n], x]
     whole = grid.T.reshape(-1)[: int(sizes.sum())].astype("<u4")
     ends = np.cumsum(sizes)
     spans = zip((ends - sizes).tolist(), ends.tolist(), blocks[:, 1].tolist())
