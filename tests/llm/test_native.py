@@ -197,6 +197,50 @@ def test_chat_round_trip(spark):
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def test_chat_windows_hold_their_budget_and_history(spark):
+    r = random.Random(12)
+    rows = [(c, t, r.choice(["user", "assistant"]), "w " * r.choice([0, 1, 5, 20, 47, 61, 130, 300])) for c in range(25) for t in range(r.randint(1, 60))]
+    rows += [(c, -1, "system", "sys " * 3) for c in range(0, 25, 2)]
+    out = chat.windows(spark.createDataFrame(rows, TURNS), budget=60, history=40).collect()
+    turns = defaultdict(list)
+    for c, t, role, text in sorted(rows):
+        turns[c].append((role, text))
+    for c, want in turns.items():
+        ws = sorted((x for x in out if x.conv_id == c), key=lambda x: x.window)
+        led = want[0][0] == "system" and len(want) > 1
+        done = 0
+        for x in ws:
+            shown = [p.split("|>\n", 1) for p in x.formatted.split("<|end|>\n")[:-1]]
+            shown = [(h[2:], t) for h, t in shown]
+            new = shown[x.n_repeated :]
+            assert new == want[done : done + len(new)]
+            cost = [len(t.split()) + chat.TURN_TOKENS for _, t in new]
+            if led and done == 0:
+                cost = cost[1:]
+            assert sum(cost) <= 60 or len(cost) == 1
+            old = shown[: x.n_repeated]
+            if led and done:
+                assert old[0] == want[0]
+                old = old[1:]
+            sizes = [len(t.split()) + chat.TURN_TOKENS for _, t in want]
+            k = 0  # as many turns before the span as 40 tokens hold
+            while done - k - 1 >= led and sum(sizes[done - k - 1 : done]) <= 40:
+                k += 1
+            assert old == (want[done - k : done] if done else [])
+            done += len(new)
+        assert done == len(want)
+
+
+def test_chat_of_one_long_conversation_is_linear(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id")).alias("text"))
+    none = spark.range(3000).select(F.lit(None).cast("long").alias("conv_id"), (F.col("id") % 7).alias("turn"), F.lit("assistant").alias("role"), F.lit("x").alias("text"))
+    back = chat.read_back(chat.windows(rows.unionByName(none))).select("conv_id", "window", "turns", "targets").collect()
+    long = [t.text for x in sorted((x for x in back if x.conv_id == 1), key=lambda x: x.window) for t in x.turns]
+    assert long == [f"turn {i}" for i in range(n)]
+    assert sum(len(x.targets) for x in back if x.conv_id == 1) == n // 2 and sum(len(x.targets) for x in back if x.conv_id is None) == 3000
+
+
 def test_chat_digest_of_the_query(spark):
     from tidemark.llm import queries
 

@@ -1,16 +1,24 @@
 """Chat formatting into budgeted windows (DataFrame functions only).
 
-Prefix sums of turn tokens cut a conversation into turn-aligned spans of at most ``budget``
-tokens (a longer turn is a span of its own). A window is the conversation's system turn,
-up to ``history`` tokens of the turns before its span, and the span. Repeated turns carry
-no loss, so over all windows each assistant text is a target exactly once.
+Prefix sums of turn tokens, without the conversation's system turn, lay its turns on a line that
+is cut into cells of ``budget`` tokens. The turns that start in a cell are one span if they
+fit the budget; else the last, which reaches past the cell's end, is a span of its own (so
+only one turn longer than the budget passes it). A window is the conversation's system turn, up
+to ``history`` tokens of the turns before its span, and the span. Repeated turns carry no
+loss, so over all windows each assistant text is a target exactly once.
+
+Work is linear in the turns and no conversation is one task's: sums go by (conversation, block
+of TURNS turn numbers) first, a window over those few rows gives each block its offset, and
+every turn is sent to its own cell and to the one or two next ones whose history it may be
+(for a history up to the budget). A cell's turns are few, as each has TURN_TOKENS at least.
 
 Template: ``<|role|>`` newline text ``<|end|>`` newline. Control strings inside texts and
 roles, the template's and the common public ones, become U+241B and a digit, and back.
 
 Defined results: a null text or role is empty; null turns come first; equal turn numbers
 are ordered by role, then text; repeated rows are repeated turns; a null conversation id is
-a conversation of its own. Other columns are not read.
+a conversation of its own; an empty table gives no window; long texts are one turn each, whole.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +35,8 @@ END = "<|end|>\n"
 #: Tokens that the template adds to a turn.
 TURN_TOKENS = 4
 BUDGET, HISTORY = 512, 128
+#: Turn numbers in a block of the prefix sums.
+TURNS = 256
 
 
 def escape(text: Column) -> Column:
@@ -42,41 +52,56 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit(MARK + "0"), F.lit(MARK))
 
 
-def _turns(rows: DataFrame) -> DataFrame:
-    """One row a conversation: its turns in order, with tokens, their prefix sum and formatted parts."""
-    r = rows.select(
+def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns with their number i, tokens and prefix sum ``upto`` without the system turn that leads; and those leading turns, one a conversation at most."""
+    t = rows.select(
         F.col("conv_id").alias("conv_id"), F.col("turn").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("tokens", word_count(F.col("text")) + TURN_TOKENS)
-    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    r = r.withColumn("i", F.row_number().over(by)).withColumn("upto", F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    part = F.struct(
-        "i", "upto", "tokens", F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n")).alias("head"),
-        escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("target"), (F.col("role") == "system").alias("system"),
-    )
-    return r.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("turns"))
+    ).withColumn("tokens", word_count(F.col("text")) + TURN_TOKENS).withColumn("block", F.floor(F.col("turn") / TURNS))
+    sums = t.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.min(F.struct("turn", "role")).alias("first"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    blocks = sums.select("conv_id", "block", earlier("n").alias("n_before"), earlier("sum").alias("sum_before"))
+    opening = sums.groupBy(F.col("conv_id").alias("o_conv")).agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("first.role = 'system' and n > 1")
+    led = t.where("role = 'system'").join(opening, F.col("conv_id").eqNullSafe(F.col("o_conv")) & F.col("turn").eqNullSafe(F.col("first.turn")))
+    leads = led.groupBy("o_conv").agg(F.min("text").alias("lead")).withColumn("lead_tokens", word_count(F.col("lead")) + TURN_TOKENS)
+    offsets = blocks.join(leads.select("o_conv", "lead_tokens"), F.col("conv_id").eqNullSafe(F.col("o_conv")), "left")
+    offsets = offsets.select(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), "n_before", "sum_before", "lead_tokens")
+    by = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    t = t.withColumn("i", F.row_number().over(by)).withColumn("upto", F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.join(offsets, F.col("conv_id").eqNullSafe(F.col("b_conv")) & F.col("block").eqNullSafe(F.col("b_block")))
+    t = t.withColumn("i", F.col("i") + F.col("n_before")).where("i > 1 or lead_tokens is null")
+    return t.withColumn("upto", F.col("upto") + F.col("sum_before") - F.coalesce("lead_tokens", F.lit(0))), leads
 
 
 def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, n_repeated (leading turns repeated from before), formatted, loss (code point spans, end exclusive)."""
-    c = _turns(rows).withColumn("lead", F.expr("if(turns[0].system and size(turns) > 1, 1, 0)"))
-    # starts of spans: a turn whose prefix sum passes the budget counted from the last start opens the next one
-    c = c.withColumn("starts", F.expr(f"""
-        aggregate(slice(turns, lead + 1, size(turns)),
-            named_struct('at', array(lead + 1), 'from', if(lead = 1, turns[0].upto, 0L)),
-            (s, t) -> if(t.upto - s.from > {budget} and t.i > s.at[size(s.at) - 1],
-                         named_struct('at', concat(s.at, array(t.i)), 'from', t.upto - t.tokens), s),
-            s -> s.at)"""))
-    w = c.select("conv_id", "turns", "lead", "starts", F.posexplode("starts").alias("window", "first"))
-    w = w.withColumn("last", F.expr("if(window + 1 < size(starts), starts[window + 1] - 1, size(turns))"))
-    w = w.withColumn("before", F.expr("if(first > 1, turns[first - 2].upto, 0L)"))
-    w = w.withColumn("repeated", F.expr(f"""
-        concat(if(window > 0, slice(turns, 1, lead), slice(turns, 1, 0)),
-               filter(slice(turns, lead + 1, first - 1 - lead), t -> before - t.upto + t.tokens <= {history}))"""))
-    w = w.withColumn("new", F.expr("if(window = 0, slice(turns, 1, last), slice(turns, first, last - first + 1))"))
-    w = w.withColumn("parts", F.expr(f"""
-        concat(transform(repeated, t -> named_struct('head', t.head, 'body', t.body, 'target', false)),
-               transform(new, t -> named_struct('head', t.head, 'body', t.body, 'target', t.target)))"""))
+    """conv_id, window (rising within a conversation), n_repeated (leading turns repeated from before), formatted, loss (code point spans, end exclusive)."""
+    placed, leads = _placed(rows)
+    part = F.struct(
+        "i", "upto", (F.col("upto") - F.col("tokens")).alias("from"), F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n")).alias("head"),
+        escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("target"),
+    )
+    own = F.floor((F.col("upto") - F.col("tokens")) / budget)
+    sent = placed.select("conv_id", part.alias("t"), own.alias("own"), F.explode(F.sequence(own, F.floor((F.col("upto") - F.col("tokens") + history) / budget))).alias("cell"))
+    cells = sent.groupBy("conv_id", "cell").agg(
+        F.array_sort(F.collect_list(F.when(F.col("own") == F.col("cell"), F.col("t")))).alias("new"),
+        F.array_sort(F.collect_list(F.when(F.col("own") < F.col("cell"), F.col("t")))).alias("old"),
+    ).where("size(new) > 0")
+    # all of the cell's turns, or those before the last and the last alone
+    last = "new[size(new) - 1]"
+    spans = F.expr(f"""
+        if(size(new) = 1 or {last}.upto - new[0].from <= {budget},
+           array(named_struct('k', 0, 'at', 1, 'n', size(new))),
+           array(named_struct('k', 0, 'at', 1, 'n', size(new) - 1), named_struct('k', 1, 'at', size(new), 'n', 1)))""")
+    w = cells.select("conv_id", "cell", "new", "old", F.explode(spans).alias("s"))
+    w = w.select("conv_id", (F.col("cell") * 2 + F.col("s.k")).alias("window"), F.expr("slice(new, s.at, s.n)").alias("new"), F.expr(f"""
+        filter(concat(old, slice(new, 1, s.at - 1)), t -> new[s.at - 1].from - t.from <= {history})""").alias("repeated"))
+    w = w.join(leads.select("o_conv", "lead"), F.col("conv_id").eqNullSafe(F.col("o_conv")), "left").withColumn("led", F.col("lead").isNotNull())
+    plain = lambda t, target: F.struct(t["head"].alias("head"), t["body"].alias("body"), target.alias("target"))
+    lead = F.array(F.struct(F.lit("<|system|>\n").alias("head"), escape(F.coalesce("lead", F.lit(""))).alias("body"), F.lit(False).alias("target")))
+    turns = F.concat(F.transform("repeated", lambda t: plain(t, F.lit(False))), F.transform("new", lambda t: plain(t, t["target"])))
+    w = w.withColumn("parts", F.when(F.col("led"), F.concat(lead, turns)).otherwise(turns))
+    opens = F.col("led") & (F.col("new")[0]["i"] > 2)  # the first window holds the system turn as a new one
     loss = F.expr(f"""
         aggregate(parts, named_struct('at', 0, 'spans', cast(array() as array<struct<start: int, end: int>>)),
             (s, p) -> named_struct(
@@ -84,7 +109,7 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
                 'spans', if(p.target, concat(s.spans, array(named_struct('start', s.at + length(p.head), 'end', s.at + length(p.head) + length(p.body)))), s.spans)),
             s -> s.spans)""")
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return w.select("conv_id", F.col("window").cast("int").alias("window"), F.size("repeated").alias("n_repeated"), text.alias("formatted"), loss.alias("loss"))
+    return w.select("conv_id", "window", (F.size("repeated") + F.when(opens, 1).otherwise(0)).cast("int").alias("n_repeated"), text.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame, *carry: str) -> DataFrame:
