@@ -126,6 +126,61 @@ def test_html_template_goes_whatever_its_share(spark):
     assert [got[30 + i] for i in range(8)] == ["One story that many addresses serve\nIts end" + ("\nEdited." if e else "") for e in edits]
 
 
+def test_html_keeps_formulas_and_names_that_only_sound_beside():
+    page = "<body><article><p>Area is <math><mi>r</mi><annotation>r</annotation></math> squared.</p><div class='share-price'><p>Shares rose.</p></div><section class='related-work'><p>Earlier studies.</p></section>"
+    page += "<svg><title>t</title><text>axis</text></svg><div class='post-header'><h1>Head</h1></div><div class='share-buttons'>Share</div><div id='reader-comments-2'>Nice</div><p class='big ad-slot-3'>Buy</p><div class='cookie notice-bar'>C</div>End</article></body>"
+    assert html_text.extract(page) == "Area is r squared.\nShares rose.\nEarlier studies.\naxis\nHead\nEnd"
+
+
+def test_html_template_equals_a_brute_force_count(spark):
+    import xml.etree.ElementTree as ET
+
+    r = random.Random(13)
+
+    def block(pool, own, depth=0):
+        tag, kids = r.choice(["div", "p", "section"]), ""
+        if depth < 2 and tag != "p" and r.random() < 0.5:
+            kids = "".join(block(pool, own, depth + 1) for _ in range(r.randint(1, 3)))
+        text = r.choice(pool) if r.random() < 0.6 else f"{own} {r.randint(0, 3)}"
+        return f"<{tag} class='k{r.randint(0, 1)}'>{text}{kids}</{tag}>"
+
+    pages = []
+    for h in range(6):
+        pool = [f"host {h} line {k}" for k in range(4)]
+        shared = [block(pool, "shared") for _ in range(5)]
+        for i in range(r.choice([5, 9, 16, 30])):
+            own = f"story {r.randint(0, 2) if h == 5 else i}"
+            body = "".join(r.choice(shared) if r.random() < 0.6 else block(pool, own) for _ in range(r.randint(2, 7)))
+            pages.append((len(pages), f"http://h{h}.example/{i}", f"<html><body><article>{body}</article></body></html>"))
+    blocks_of = lambda x: [t for t in [" ".join((x.text or "").split())] if t] + [t for k in x for t in blocks_of(k) + ([" ".join(k.tail.split())] if (k.tail or "").strip() else [])]
+    trees = {i: (u.split("/")[2], ET.fromstring(t).find("body/article")) for i, u, t in pages}
+    key = lambda x: ET.tostring(x, encoding="unicode")
+    hosts, counts = Counter(h for h, _ in trees.values()), {}
+    for i, (h, tree) in trees.items():
+        for k in {key(x) for x in tree.iter() if x is not tree}:
+            counts.setdefault((h, k), []).append("\n".join(blocks_of(tree)))
+    gone = {k for k, texts in counts.items() if len(texts) >= html_text.LEAST and len(texts) >= html_text.SHARE * hosts[k[0]] and len(set(texts)) >= html_text.TEXTS}
+    assert gone
+
+    def cut(host, x):
+        for k in list(x):
+            if (host, key(k)) in gone:
+                x.remove(k)
+            else:
+                cut(host, k)
+        return x
+
+    got = {x.page_id: x.text for x in html_text.pages_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(blocks_of(cut(h, tree))) for i, (h, tree) in trees.items()}
+
+
+def test_html_of_awkward_rows(spark):
+    page = "<p>x</p>" + "<p>long text</p>" * 20_000
+    df = spark.createDataFrame([(None, "http://a", page), (1, "http://a", "<p>y</p>"), (1, "http://a", "<p>y</p>")], "page_id long, url string, html string")
+    got = sorted((str(x.page_id), len(x.text)) for x in html_text.pages_text(df).collect())
+    assert got == [("1", 1), ("1", 1), ("None", 1 + 10 * 20_000)]
+
+
 def test_html_joins_sibling_articles():
     page = "<body><main><article><p>Part one</p><article class='x'><p>inner</p></article></article><div><article><h2>Two</h2><p>Part two is longer than one</p></article></div></main>{}</body>"
     beside = "<article class='comment'><p>Nice</p></article><article class='teaser big'><p>Elsewhere</p></article><div class='teasers'><article><p>Also elsewhere</p></article></div>"

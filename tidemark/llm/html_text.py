@@ -11,12 +11,14 @@ Per host at most 1 / SHARE subtrees a page's worth qualify, so a host's list is
 join on host is left to the planner (broadcast by measured size, else a skew-split join).
 
 Defined results: a null html has empty text; a null or unreadable url belongs to the host
-''; repeated rows give repeated results; unclosed and crossed tags are closed as browsers
-close them; only id, url and html are read.
+''; a null id is carried; repeated rows give repeated results; an empty table gives an empty result;
+long pages are worked on whole; unclosed and crossed tags are closed as browsers close them; only id,
+url and html are read, so no other column can clash.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import re
 from collections.abc import Iterator
@@ -38,17 +40,26 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that never hold the article.
+#: Elements that never hold the article: parts beside it, controls, what is shown only where an element does not work, and a formula's or drawing's notes.
 DROPPED = frozenset(
-    "head script style noscript template nav footer aside form dialog menu iframe noembed noframes object embed audio video canvas svg math select "
-    "textarea input button title search".split()
+    "head script style noscript template nav footer aside form dialog menu iframe noembed noframes object embed audio video canvas select "
+    "textarea input button title search annotation annotation-xml desc metadata defs".split()
 )
-#: Words of class and id that mark parts beside the article.
+#: Words of class and id that mark parts beside the article, if all the name's other words are among PLAIN.
 BESIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus "
     "footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification paywall popup promo promotion "
     "recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Words of layout, which leave a name's meaning to its other words ("share-price" is not about sharing, "share-buttons" is).
+PLAIN = frozenset(
+    "a and area article articles bar block body bottom box btn button buttons center col column container content desktop entry fixed float form global group "
+    "holder icon icons inline inner item items js left link links list main media message mobile module new news of outer overlay page pages panel part policy post "
+    "posts pre primary reader readers region right row secondary section site slot social square sticky stories story strip tags text the thread title to top "
+    "unit up user users view wrap wrapper zone".split()
+)
+#: The article's own head and foot, and what names them its own.
+OWN, OWNERS = frozenset({"header", "masthead"}), frozenset({"article", "post", "entry", "story", "content"})
 #: Words that mark an article as a pointer to another page.
 TEASER = frozenset("card cards preview previews teaser teasers".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -144,8 +155,16 @@ def _beside(node: Node) -> bool:
     m = node.marks
     if "hidden" in m or m.get("aria-hidden") == "true" or m.get("role") in ROLES or node.tag == "header":
         return True
-    named = set(_words.findall(f"{m.get('class', '')} {m.get('id', '')}"))
-    return bool(named & BESIDE)
+    return any(_names_beside(name) for key in ("class", "id") for name in m.get(key, "").split())
+
+
+@functools.lru_cache(10_000)
+def _names_beside(name: str) -> bool:
+    words = set(_words.findall(name))
+    told = words & BESIDE
+    if told and told <= OWN and words & OWNERS:
+        return False
+    return bool(told) and words <= BESIDE | PLAIN
 
 
 def prune(node: Node, inside: bool = False, beside: bool = False) -> None:
