@@ -137,7 +137,7 @@ def test_gates(spark, change, gate, status):
     row = HEALTHY | change
     names = [c.split()[0] for c in gates.INPUTS.replace("array<struct<name: string, responded: boolean, newest_published_at: timestamp>>", "x").split(", ")]
     got = gates.evaluate(spark.createDataFrame([tuple(row[n] for n in names)], gates.INPUTS)).orderBy("position").collect()
-    assert [g["gate"] for g in got] == [n for n, _ in gates.NAMES]
+    assert [g["gate"] for g in got] == [n for n, *_ in gates.NAMES]
     assert {g["gate"]: g["status"] for g in got}[gate] == status
 
 

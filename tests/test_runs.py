@@ -1,10 +1,13 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import render
-from tidemark.operators import classify
+from tidemark.config import load
+from tidemark.functions.text import stop_words
+from tidemark.operators import classify, gates, themes
 from tidemark.plans import report_run
 from tidemark.sources import feeds
 from tidemark.sources.store import Store
@@ -84,6 +87,11 @@ def test_daily_run_is_repeatable_and_blocks(spark, tmp_path):
     rows, _ = batch(spark)
     path = report_run.run(store, TODAY, NOW, TODAY, classify.rule_classifier, out, rows, [("outlet", True, NOW)])
     first = open(path).read()
+    quality = json.loads(open(f"{out}/quality/{TODAY}.json").read())
+    limits = {g["name"]: (g["threshold_key"], g["threshold"]) for g in quality["gates"]}
+    assert list(limits) == [n for n, *_ in gates.NAMES] and quality["date"] == str(TODAY) and quality["blocked"] is False
+    assert limits["stale_feed"] == ("gates.staleness_hours", 36.0) and limits["all_scored"] == (None, None) and limits["thin_day"] == ("explain.min_headlines", 8.0)
+    assert "on prices fall, steel, steel prices" in first or "on fall, prices, " in first
     assert "9 headlines from 1 source" in first and "| outlet | 9 |" in first and "100% of headlines from outlet" in first
     assert report_run.run(store, TODAY, NOW, TODAY, classify.rule_classifier, out, rows, [("outlet", True, NOW)]) == path
     assert open(path).read() == first
@@ -92,6 +100,47 @@ def test_daily_run_is_repeatable_and_blocks(spark, tmp_path):
         report_run.run(store, late.date(), late, late.date(), classify.rule_classifier, out)
 
 
+def test_day_of_the_index_zone():
+    at = lambda h: dt.datetime(2026, 10, 2, h, 30, tzinfo=dt.timezone.utc)
+    assert [report_run.civil_today(at(h)) for h in (3, 4)] == [dt.date(2026, 10, 1), dt.date(2026, 10, 2)]
+    assert report_run.civil_today(dt.datetime(2026, 10, 2, 3, 30)) == dt.date(2026, 10, 1)
+
+
+def test_fixed_vocabulary(spark, tmp_path):
+    store, out = Store(spark, str(tmp_path / "s")), str(tmp_path / "out")
+    rows, _ = batch(spark)
+    kept = str(tmp_path / "v")
+    s = load(env={}, explain={"vocabulary": kept})
+    with pytest.raises(ValueError, match="no vocabulary at"):
+        report_run.run(store, TODAY, NOW, TODAY, classify.rule_classifier, out, rows, None, s)
+    known = ["steel", "prices", "fall", "banks"]
+    themes.save_vocabulary(spark.createDataFrame([(t, 1, 1.0) for t in known], "term string, df long, idf double"), kept)
+    text = open(report_run.run(store, TODAY, NOW, TODAY, classify.rule_classifier, out, rows, None, s)).read()
+    words = [w for t in TITLES for w in t.lower().split() if w not in stop_words()]
+    n = sum(w not in known for w in words)
+    assert f"({n} of {len(words)}) are outside it._" in text and "fit on" not in text
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    from tidemark import cli
+
+    listed = tmp_path / "feeds.json"
+    listed.write_text(json.dumps({"a": "u", "b": "v"}))
+    bodies = {"u": feed([(t, f"https://x.example/{k}", "Thu, 01 Oct 2026 12:00:00 +0000") for k, t in enumerate(TITLES)]), "v": ValueError("down")}
+    real = feeds.fetch_all
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    monkeypatch.setattr(feeds, "fetch_all", lambda spark, found, now: real(spark, found, now, fake(bodies), lambda s: None))
+    store = str(tmp_path / "s")
+    assert cli.main(["ingest", "--store", store, "--feeds", str(listed), "--dry-run"]) == 0
+    said = capsys.readouterr()
+    assert said.out == "a: 9 headlines\n" and "feed b failed: ValueError: down" in said.err and "1/2 feeds live" in said.err
+    assert cli.main(["ingest", "--store", store, "--feeds", str(listed)]) == 0 and "9 inserted" in capsys.readouterr().out
+    assert cli.main(["score", "--store", store]) == 0 and capsys.readouterr().out == "9 headlines scored\n"
+    pred = str(tmp_path / "p")
+    spark.createDataFrame([("m", "positive", "positive"), ("m", "neutral", "positive")], "method string, y_true string, y_pred string").write.parquet(pred)
+    assert cli.main(["eval", "--pred", pred]) == 0 and "| m | 50.00 % |" in capsys.readouterr().out
+
+
 def test_empty_report():
     r = render.Report(TODAY, None, None, 0, 0, 0, [], [], [], [], "m@1")
     text = render.markdown(r)

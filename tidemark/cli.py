@@ -1,4 +1,4 @@
-"""Command line: report, score, eval and queries."""
+"""Command line: ingest, report, score, eval and queries."""
 
 from __future__ import annotations
 
@@ -22,35 +22,77 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--out", default="reports")
     r.add_argument("--date")
     r.add_argument("--batch", help="Parquet headlines to ingest first")
-    s = sub.add_parser("score", help="classify JSON lines or one text")
+    r.add_argument("--feeds", help="JSON file of feed names and addresses to fetch first")
+    i = sub.add_parser("ingest", help="fetch feeds into the store")
+    i.add_argument("--store", required=True)
+    i.add_argument("--feeds", required=True)
+    i.add_argument("--dry-run", action="store_true", help="print what was fetched and store nothing")
+    v = sub.add_parser("eval", help="metrics of predictions (Parquet with y_true, y_pred, method) as a Markdown table")
+    v.add_argument("--pred", required=True)
+    v.add_argument("--doc", help="document whose region named metrics is replaced")
+    s = sub.add_parser("score", help="classify JSON lines, one text or the store's unscored headlines")
     mode = s.add_mutually_exclusive_group(required=True)
     mode.add_argument("--text")
     mode.add_argument("--file")
+    mode.add_argument("--store")
     q = sub.add_parser("query", help="run a registered query and print rows")
     q.add_argument("name")
     q.add_argument("dir")
     q.add_argument("--rows", type=int, default=20)
     a = p.parse_args(argv)
-    from tidemark.operators import classify
+    from tidemark import render
+    from tidemark.operators import classify, metrics
     from tidemark.plans import queries, report_run
     from tidemark.sources import feeds
     from tidemark.sources.store import Store
 
-    spark = session()
+    spark, now = session(), dt.datetime.now(dt.timezone.utc)
+    say = lambda text: print(text, file=sys.stderr)
+
+    def fetched():
+        """Rows and feed status of the feeds in the file; failures are said, not raised."""
+        with open(a.feeds, encoding="utf-8") as f:
+            rows, status = feeds.fetch_all(spark, list(json.load(f).items()), now)
+        rows, status = rows.cache(), status.collect()
+        for x in status:
+            if x["error"]:
+                say(f"warning: feed {x['name']} failed: {x['error']}")
+        say(f"ingest: {sum(x['error'] is None for x in status)}/{len(status)} feeds live, {sum(x['received'] for x in status)} entries")
+        return rows, [(x["name"], x["error"] is None, x["newest_published_at"]) for x in status]
+
     if a.command == "report":
-        now = dt.datetime.now(dt.timezone.utc)
-        today = now.date()
+        today = report_run.civil_today(now)
         try:
             day = report_run.request(a.date, today)
         except ValueError as e:
-            print(e, file=sys.stderr)
+            say(e)
             return 2
         try:
-            batch = spark.read.parquet(a.batch) if a.batch else None
-            print(report_run.run(Store(spark, a.store), day, now, today, classify.rule_classifier, a.out, batch))
+            batch, seen = fetched() if a.feeds else (spark.read.parquet(a.batch) if a.batch else None, None)
+            print(report_run.run(Store(spark, a.store), day, now, today, classify.rule_classifier, a.out, batch, seen))
         except report_run.Blocked as e:
-            print(e, file=sys.stderr)
+            say(e)
             return 1
+    elif a.command == "ingest":
+        rows, _ = fetched()
+        if a.dry_run:
+            for x in rows.groupBy("source").count().orderBy("source").collect():
+                print(f"{x['source']}: {x['count']} headlines")
+        else:
+            done = Store(spark, a.store).ingest(rows)
+            print(", ".join(f"{n} {name}" for name, n in done.items()))
+    elif a.command == "eval":
+        found = metrics.overall(metrics.require_rows(spark.read.parquet(a.pred)), "method").orderBy("method").collect()
+        table = render.metrics_table([x.asDict() for x in found])
+        if a.doc:
+            with open(a.doc, encoding="utf-8") as f:
+                render.write_atomic(a.doc, render.replace_region(f.read(), "metrics", table))
+        else:
+            print(table, end="")
+    elif a.command == "score" and a.store:
+        store = Store(spark, a.store)
+        n = store.write_scores(classify.score_unscored(store.headlines(), classify.rule_classifier), now.replace(tzinfo=None))
+        print(f"{n} headlines scored")
     elif a.command == "score":
         rows = spark.createDataFrame([(a.text,)], "sentence string") if a.text is not None else feeds.read_jsonl(spark, a.file)
         for row in classify.score_records(rows.select("sentence"), classify.rule_classifier).toLocalIterator():

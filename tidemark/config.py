@@ -41,6 +41,8 @@ class Explain:
     ngram_hi: int = 2
     min_df: int = 2
     oov_warn: float = 0.20
+    #: Path of a kept vocabulary that themes use instead of a fit of their window; empty for none.
+    vocabulary: str = ""
 
 
 @dataclass(frozen=True)

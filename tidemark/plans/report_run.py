@@ -5,8 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Callable
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import render
@@ -14,6 +15,7 @@ from tidemark.config import Settings
 from tidemark.functions.calendar import civil_day, when_text
 from tidemark.functions.numbers import half_up
 from tidemark.functions.scalars import band
+from tidemark.functions.text import TOKEN, stop_words
 from tidemark.operators import classify, gates, index, report, themes
 from tidemark.sources.store import Store
 
@@ -37,7 +39,13 @@ def _dated(store: Store, s: Settings) -> DataFrame:
     return rows.withColumn("day", civil_day(rows, "published_at", s.index.timezone))
 
 
-def gate_rows(store: Store, day: dt.date, today: dt.date, now: dt.datetime, feeds: list[tuple] | None, idx, s: Settings) -> list:
+def civil_today(now: dt.datetime, s: Settings = Settings()) -> dt.date:
+    """The date of an instant (without a zone: UTC) in the index's zone."""
+    return (now if now.tzinfo else now.replace(tzinfo=dt.timezone.utc)).astimezone(ZoneInfo(s.index.timezone)).date()
+
+
+def gate_rows(store: Store, day: dt.date, today: dt.date, now: dt.datetime, feeds: list[tuple] | None, idx, s: Settings) -> tuple[list, str]:
+    """The seven results and the quality document."""
     spark = store.spark
     last = store.fetch_span().first()["last"]
     unscored = _dated(store, s).where((F.col("day") == F.lit(day)) & F.col("label").isNull()).count()
@@ -46,7 +54,10 @@ def gate_rows(store: Store, day: dt.date, today: dt.date, now: dt.datetime, feed
         n, low = idx["n_headlines"], idx["n_low_conf"]
         top, count = min(idx["source_counts"].items(), key=lambda kv: (-kv[1], kv[0])) if n else (None, None)
     row = [(day, day == today, now, last, unscored, feeds, n, top, count, low)]
-    return gates.evaluate(spark.createDataFrame(row, gates.INPUTS), s.gates, s.explain).collect()
+    results = gates.evaluate(spark.createDataFrame(row, gates.INPUTS), s.gates, s.explain)
+    found = results.orderBy("position").collect()
+    document = gates.documents(spark.createDataFrame(found, results.schema), F.lit(now.isoformat(timespec="microseconds"))).first()["document"]
+    return found, gates.pretty(document)
 
 
 def _index_days(store: Store, day: dt.date, today: dt.date, now: dt.datetime, s: Settings) -> None:
@@ -74,46 +85,55 @@ def _index_days(store: Store, day: dt.date, today: dt.date, now: dt.datetime, s:
         store.write_days(fresh.where(keep), s.model.id, now)
 
 
+def _themes(store: Store, r: render.Report, rows: DataFrame, s: Settings) -> DataFrame | None:
+    """The day's named clusters with what they moved, in order; sets the report's line on the fit."""
+    spark, day, e = store.spark, r.date, s.explain
+    stop = stop_words()
+    near = _dated(store, s).where("label is not null").where(F.col("day").between(F.lit(day - dt.timedelta(days=e.background_days)), F.lit(day)))
+    ours = rows.select("id", F.lit(True).alias("ours"))
+    near = near.join(ours, "id", "left").where((F.col("day") < F.lit(day)) | F.col("ours"))
+    docs = near.select(F.col("id").alias("doc_id"), F.col("title").alias("text"), "day", "ours")
+    terms = themes.term_rows(docs, e.ngram_lo, e.ngram_hi, stop, TOKEN)
+    if e.vocabulary:
+        vocab = themes.load_vocabulary(spark, e.vocabulary)
+        out = themes.oov(docs.where("ours"), vocab, TOKEN, stop).select("n_oov", "n_tokens", half_up(100 * F.coalesce("oov_rate", F.lit(0.0))).alias("pct"), "oov_rate").first()
+        r.oov = (out["pct"], out["n_oov"] or 0, out["n_tokens"] or 0)
+        r.extra["advise_window"] = (out["oov_rate"] or 0) > e.oov_warn
+    else:
+        vocab = themes.vocabulary(terms, docs.count(), e.min_df)
+        span = docs.agg(F.min("day").alias("a"), F.count("*").alias("n")).first()
+        r.fit = (span["n"], span["a"] or day, day)
+    if r.n_headlines < e.min_headlines:
+        return None
+    tfidf = themes.transform(terms, vocab).cache()
+    place = F.row_number().over(Window.partitionBy("day").orderBy(*report.canonical()))
+    spot = rows.withColumn("day", F.lit(day)).select(F.col("day").alias("group"), F.col("id").alias("doc_id"), "label", index.term().alias("term_weight"), place.alias("position"))
+    members = themes.clusters(tfidf.join(spot.select("doc_id", "group", "position"), "doc_id"), e).cache()
+    stats = themes.cluster_stats(members, spot.drop("position"))
+    first = members.join(spot.select("doc_id", "position"), "doc_id").groupBy("cluster").agg(F.min("position").alias("first"))
+    opened = store.fetch_span().first()["first"]
+    by_count = opened is None or (day - civil_today(opened, s)).days < e.background_days
+    names = themes.names(tfidf, members, docs.where(F.col("day") < F.lit(day)).select("doc_id"), e, by_count)
+    found = stats.join(names, "cluster", "left").join(first, "cluster").orderBy(F.abs("share_pct").desc(), F.col("size").desc(), "first")
+    kept = spark.createDataFrame(found.collect(), found.schema)  # of one day, at most its headlines / min_cluster_size
+    tfidf.unpersist()
+    members.unpersist()
+    return kept
+
+
 def _explain(store: Store, r: render.Report, rows: DataFrame, prev, s: Settings) -> None:
     spark, day = store.spark, r.date
-    e = s.explain
-    near = _dated(store, s).where("label is not null").where(F.col("day").between(F.lit(day - dt.timedelta(days=e.background_days)), F.lit(day)))
-    near = near.where((F.col("day") < F.lit(day)) | F.col("id").isin([h["id"] for h in r.headlines]))
-    docs = near.select(F.col("id").alias("doc_id"), F.col("title").alias("text"), "day")
-    clusters, best = None, None
-    if r.n_headlines >= e.min_headlines:
-        terms = themes.term_rows(docs, e.ngram_lo, e.ngram_hi)
-        tfidf = themes.transform(terms, themes.vocabulary(terms, docs.count(), e.min_df)).cache()
-        order = spark.createDataFrame([(h["id"], i) for i, h in enumerate(sorted(r.headlines, key=lambda h: (-h["confidence"], h["published_at"] is None, h["published_at"], h["id"])))], "doc_id string, position int")
-        members = themes.clusters(tfidf.join(F.broadcast(order), "doc_id").withColumn("group", F.lit(day)), e)
-        label = rows.select(F.lit(day).alias("group"), F.col("id").alias("doc_id"), "label", index.term().alias("term_weight"))
-        first_at = members.join(order, "doc_id").groupBy("cluster").agg(F.min("position").alias("first"))
-        stats = themes.cluster_stats(members, label).join(first_at, "cluster").orderBy(F.abs("share_pct").desc(), F.col("size").desc(), "first").collect()
-        held = members.collect()
-        span = store.fetch_span().first()["first"]
-        by_count = span is None or (day - span.date()).days < e.background_days
-        background = docs.where(F.col("day") < F.lit(day)).select("doc_id")
-        clusters = []
-        for c in stats:
-            ids = [(m["doc_id"],) for m in held if m["cluster"] == c["cluster"]]
-            ranked = themes.rank_terms(tfidf, spark.createDataFrame(ids, "doc_id string"), background, e, by_count)
-            key = F.col("n").desc() if by_count else F.col("lift").desc()
-            names = [t["term"] for t in ranked.orderBy(key, "term").limit(e.name_terms).collect()]
-            clusters.append(c.asDict() | {"name": names})
-        span_days = docs.agg(F.min("day"), F.max("day"), F.count("*")).first()
-        r.fit = (span_days[2], span_days[0], span_days[1])
-        tfidf.unpersist()
-        named = [c for c in clusters if c["name"]]
-        sign = 1 if (r.mood or 0) > 0 else -1
-        side = "n_positive" if sign > 0 else "n_negative"
-        ok = [c for c in named if c[side] / c["size"] >= e.cluster_purity and c["share_pct"] * sign > 0]
-        best = min(ok, key=lambda c: (-c["share_pct"] * sign, -c["size"])) if ok and r.band != "roughly flat" else None
-    r.clusters = clusters
+    found = _themes(store, r, rows, s)
+    best = None
+    if found is not None:
+        r.clusters = [c.asDict() | {"name": c["name"] or []} for c in found.collect()]
+        mood = spark.createDataFrame([(day, r.mood)], "group date, mood double")
+        best = themes.driver(found, mood, s.explain, s.lede.flat).first()
     moved = prev["change"] if prev else None
     one = spark.createDataFrame([(day, r.mood, r.band, r.n_headlines, moved, prev["prev_day"] if prev else None, best["size"] if best else None, best["name"] if best else None)],
                                 "day date, mood double, band string, n long, change double, prev date, k long, names array<string>")
     c = F.col
-    text = themes.lede(c("day"), c("mood"), c("band"), c("n"), c("change"), when_text(c("prev"), c("day")), c("k"), themes.joined(c("names")), F.lit(clusters is not None))
+    text = themes.lede(c("day"), c("mood"), c("band"), c("n"), c("change"), when_text(c("prev"), c("day")), c("k"), themes.joined(c("names")), F.lit(found is not None))
     r.lede = one.select(text).first()[0]
 
 
@@ -153,15 +173,14 @@ def run(
     if batch is not None:
         store.ingest(batch)
     store.write_scores(classify.score_unscored(store.headlines(), load, s.model.batch_size), now)
-    first = gate_rows(store, day, today, now, feeds, None, s)
-    failed = [g for g in first if g["status"] == "fail"]
     quality = f"{out_dir}/quality/{day.isoformat()}.json"
-    if failed:
-        render.write_atomic(quality, gates.to_json(first, day, now))
-        raise Blocked("; ".join(f"{g['gate']}: {gates.describe_failure(g, now, s.gates)}" for g in failed))
+    found, document = gate_rows(store, day, today, now, feeds, None, s)
+    if reasons := [f"{g['gate']}: {g['reason']}" for g in found if g["reason"]]:
+        render.write_atomic(quality, document)
+        raise Blocked("; ".join(reasons))
     _index_days(store, day, today, now, s)
-    second = gate_rows(store, day, today, now, feeds, store.day(day).first(), s)
-    render.write_atomic(quality, gates.to_json(second, day, now))
+    second, document = gate_rows(store, day, today, now, feeds, store.day(day).first(), s)
+    render.write_atomic(quality, document)
     r = build(store, day, s)
     block = [g for g in second if g["kind"] == "block"]
     notes = [(g["gate"], json.loads(g["observed"]) | {"hours": s.gates.staleness_hours}) for g in sorted(second, key=lambda g: g["position"]) if g["status"] == "fired"]
