@@ -12,18 +12,20 @@ def values(spark, rows, schema, *cols):
 
 
 def test_title_key(spark):
-    cases = [
-        ("Stocks don&#39;t rally &amp; bonds slip", "stocks don t rally bonds slip"),
-        ("S&amp;amp;P 500 &quot;rallies&quot;", "s amp p 500 rallies"),
-        ("Fed holds rates steady — stocks: rise.", "fed holds rates steady stocks rise"),
-        ("Fed holds rates steady\nstocks rise", "fed holds rates steady stocks rise"),
-        ("Rates up 2.5%", "rates up 2 5"),
-        ("Rates up 25%", "rates up 25"),
-        ("...", ""),
-        (None, None),
-    ]
-    got = values(spark, [(a,) for a, _ in cases], "t string", text.title_key(F.col("t")))
-    assert [g[0] for g in got] == [b for _, b in cases]
+    import html
+    import random
+    import unicodedata
+
+    r = random.Random(3)
+    parts = ["Oil", "ＧＯＬＤ", "&lt;b&gt;", "&amp;amp;", "it&#8217;s", " — ", "\t", "\u00a0", "3.75", "$", "Ünï", "ﬁve", "%", "(", "…"]
+    titles = ["".join(r.choices(parts, k=r.randint(0, 7))) for _ in range(200)] + [None]
+
+    def by_hand(t):
+        t = unicodedata.normalize("NFKC", html.unescape(t)).lower()
+        return " ".join("".join(" " if unicodedata.category(c)[0] in "PS" else c for c in t).split())
+
+    got = values(spark, [(t,) for t in titles], "t string", text.title_key(F.col("t")))
+    assert [g[0] for g in got] == [None if t is None else by_hand(t) for t in titles]
 
 
 def test_clean_and_ngrams(spark):
@@ -38,18 +40,22 @@ def test_tokens_keep_letters_of_all_scripts(spark):
     assert got[0][0] == ["Étude", "b2b", "don", "self-made"]
 
 
-@pytest.mark.parametrize("x, shown", [(12.25, 12.3), (-21.45, -21.5), (1.005, 1.0), (-0.04, 0.0), (34.9, 34.9)])
-def test_half_up(spark, x, shown):
-    got = values(spark, [(x,)], "x double", numbers.half_up(F.col("x")))[0][0]
-    assert got == shown and str(got) != "-0.0"
+def by_decimal(x, places):
+    from decimal import ROUND_HALF_UP, Decimal
 
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)) + 0.0
 
-def test_certainty_and_percent(spark):
-    cases = [(0.955, 96), (0.945, 95), (0.9549, 95), (0.999, 100), (0.5, 50), (0.333, 33), (0.29, 29), (1.0, 100)]
-    got = values(spark, [(c,) for c, _ in cases], "c double", numbers.certainty(F.col("c")))
-    assert [g[0] for g in got] == [b for _, b in cases]
-    got = values(spark, [(1, 16), (15, 16), (1, 3), (0, 0)], "a long, b long", numbers.percent(F.col("a"), F.col("b")))
-    assert [g[0] for g in got] == [6.3, 93.8, 33.3, None]
+
+def test_rounding_agrees_with_decimals(spark):
+    xs = [k / 1000 for k in range(-300, 300, 5)] + [k + 0.05 for k in range(-30, 30)] + [-0.049, 0.0, 1e6 + 0.25]
+    got = [g[0] for g in values(spark, [(x,) for x in xs], "x double", numbers.half_up(F.col("x")))]
+    assert got == [by_decimal(x, 1) for x in xs] and "-0.0" not in map(str, got)
+    shares = [k / 2000 for k in range(2001)]
+    got = values(spark, [(c,) for c in shares], "c double", numbers.certainty(F.col("c")))
+    assert [g[0] for g in got] == [int(by_decimal(float(f"{c * 100:.10f}"), 0)) for c in shares]
+    pairs = [(a, b) for b in (1, 3, 7, 16, 40) for a in range(b + 1)]
+    got = values(spark, [*pairs, (0, 0)], "a long, b long", numbers.percent(F.col("a"), F.col("b")))
+    assert [g[0] for g in got] == [*[by_decimal(100 * a / b, 1) for a, b in pairs], None]
 
 
 def test_band_edges(spark):
