@@ -10,7 +10,7 @@ loss, so over all windows each assistant text is a target exactly once.
 Work is linear in the turns and no conversation is one task's: sums go by (conversation, block
 of TURNS turn numbers) first, a window over those few rows gives each block its offset, and
 every turn is sent to its own cell and to the one or two next ones whose history it may be
-(for a history up to the budget). A cell's turns are few, as each has TURN_TOKENS at least.
+(for a history up to the budget), the system turn to all: texts are shuffled twice, by block and by cell. A cell's turns are few, as each has TURN_TOKENS at least.
 
 Template: ``<|role|>`` newline text ``<|end|>`` newline. Control strings inside texts and
 roles, the template's and the common public ones, become U+241B and a digit, and back.
@@ -52,56 +52,54 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit(MARK + "0"), F.lit(MARK))
 
 
-def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns with their number i, tokens and prefix sum ``upto`` without the system turn that leads; and those leading turns, one a conversation at most."""
+def _sent(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """Every turn once for each cell that shows it: (c, conv_id, cell, kind, t), kind being new, old or lead."""
+    named = F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))  # a key that joins nulls too
     t = rows.select(
-        F.col("conv_id").alias("conv_id"), F.col("turn").alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("tokens", word_count(F.col("text")) + TURN_TOKENS).withColumn("block", F.floor(F.col("turn") / TURNS))
-    sums = t.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.min(F.struct("turn", "role")).alias("first"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    blocks = sums.select("conv_id", "block", earlier("n").alias("n_before"), earlier("sum").alias("sum_before"))
-    opening = sums.groupBy(F.col("conv_id").alias("o_conv")).agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("first.role = 'system' and n > 1")
-    led = t.where("role = 'system'").join(opening, F.col("conv_id").eqNullSafe(F.col("o_conv")) & F.col("turn").eqNullSafe(F.col("first.turn")))
-    leads = led.groupBy("o_conv").agg(F.min("text").alias("lead")).withColumn("lead_tokens", word_count(F.col("lead")) + TURN_TOKENS)
-    offsets = blocks.join(leads.select("o_conv", "lead_tokens"), F.col("conv_id").eqNullSafe(F.col("o_conv")), "left")
-    offsets = offsets.select(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), "n_before", "sum_before", "lead_tokens")
-    by = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+        named.alias("c"), "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-(1 << 62))).cast("long").alias("block"),
+    ).withColumn("tokens", word_count(F.col("text")) + TURN_TOKENS)
+    opening = F.min(F.when(F.col("role") == "system", F.struct("turn", "role", "text"))).alias("lead")
+    sums = t.groupBy("c", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.min(F.struct("turn", "role")).alias("first"), opening)
+    before = Window.partitionBy("c").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
+    blocks = sums.select("c", "block", earlier("n").alias("n_before"), earlier("sum").alias("sum_before"))
+    whole = sums.groupBy("c").agg(F.sum("n").alias("n"), F.sum("sum").alias("all_tokens"), F.min("first").alias("first"), F.min("lead").alias("lead"))
+    led = (F.col("first.role") == "system") & (F.col("n") > 1)
+    whole = whole.select("c", "all_tokens", F.when(led, word_count(F.col("lead.text")) + TURN_TOKENS).otherwise(0).alias("lead_tokens"))
+    by = Window.partitionBy("c", "block").orderBy("turn", "role", "text")
     t = t.withColumn("i", F.row_number().over(by)).withColumn("upto", F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.join(offsets, F.col("conv_id").eqNullSafe(F.col("b_conv")) & F.col("block").eqNullSafe(F.col("b_block")))
-    t = t.withColumn("i", F.col("i") + F.col("n_before")).where("i > 1 or lead_tokens is null")
-    return t.withColumn("upto", F.col("upto") + F.col("sum_before") - F.coalesce("lead_tokens", F.lit(0))), leads
+    t = t.join(blocks.join(whole, "c"), ["c", "block"]).withColumn("i", F.col("i") + F.col("n_before"))
+    t = t.withColumn("upto", F.col("upto") + F.col("sum_before") - F.col("lead_tokens")).withColumn("from", F.col("upto") - F.col("tokens"))
+    lead = (F.col("i") == 1) & (F.col("lead_tokens") > 0)
+    own = F.floor(F.col("from") / budget)
+    last = F.when(lead, F.floor((F.col("all_tokens") - F.col("lead_tokens") - 1) / budget)).otherwise(F.floor((F.col("from") + history) / budget))
+    part = F.struct(
+        "i", "upto", "from", F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n")).alias("head"), escape(F.col("text")).alias("body"),
+        (F.col("role") == "assistant").alias("target"),
+    )
+    out = t.select("c", "conv_id", lead.alias("lead"), own.alias("own"), part.alias("t"), F.explode(F.sequence(F.when(lead, 0).otherwise(own), last)).alias("cell"))
+    kind = F.when(F.col("lead"), "lead").when(F.col("own") == F.col("cell"), "new").otherwise("old")
+    return out.select("c", "conv_id", "cell", kind.alias("kind"), "t")
 
 
 def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window (rising within a conversation), n_repeated (leading turns repeated from before), formatted, loss (code point spans, end exclusive)."""
-    placed, leads = _placed(rows)
-    part = F.struct(
-        "i", "upto", (F.col("upto") - F.col("tokens")).alias("from"), F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n")).alias("head"),
-        escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("target"),
-    )
-    own = F.floor((F.col("upto") - F.col("tokens")) / budget)
-    sent = placed.select("conv_id", part.alias("t"), own.alias("own"), F.explode(F.sequence(own, F.floor((F.col("upto") - F.col("tokens") + history) / budget))).alias("cell"))
-    cells = sent.groupBy("conv_id", "cell").agg(
-        F.array_sort(F.collect_list(F.when(F.col("own") == F.col("cell"), F.col("t")))).alias("new"),
-        F.array_sort(F.collect_list(F.when(F.col("own") < F.col("cell"), F.col("t")))).alias("old"),
-    ).where("size(new) > 0")
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("t")))).alias(kind)
+    cells = _sent(rows, budget, history).groupBy("c", "cell").agg(F.first("conv_id").alias("conv_id"), *map(of, ("new", "old", "lead"))).where("size(new) > 0")
     # all of the cell's turns, or those before the last and the last alone
     last = "new[size(new) - 1]"
     spans = F.expr(f"""
         if(size(new) = 1 or {last}.upto - new[0].from <= {budget},
            array(named_struct('k', 0, 'at', 1, 'n', size(new))),
            array(named_struct('k', 0, 'at', 1, 'n', size(new) - 1), named_struct('k', 1, 'at', size(new), 'n', 1)))""")
-    w = cells.select("conv_id", "cell", "new", "old", F.explode(spans).alias("s"))
-    w = w.select("conv_id", (F.col("cell") * 2 + F.col("s.k")).alias("window"), F.expr("slice(new, s.at, s.n)").alias("new"), F.expr(f"""
+    w = cells.select("conv_id", "cell", "new", "old", "lead", F.explode(spans).alias("s"))
+    w = w.select("conv_id", (F.col("cell") * 2 + F.col("s.k")).alias("window"), "lead", F.expr("slice(new, s.at, s.n)").alias("new"), F.expr(f"""
         filter(concat(old, slice(new, 1, s.at - 1)), t -> new[s.at - 1].from - t.from <= {history})""").alias("repeated"))
-    w = w.join(leads.select("o_conv", "lead"), F.col("conv_id").eqNullSafe(F.col("o_conv")), "left").withColumn("led", F.col("lead").isNotNull())
     plain = lambda t, target: F.struct(t["head"].alias("head"), t["body"].alias("body"), target.alias("target"))
-    lead = F.array(F.struct(F.lit("<|system|>\n").alias("head"), escape(F.coalesce("lead", F.lit(""))).alias("body"), F.lit(False).alias("target")))
-    turns = F.concat(F.transform("repeated", lambda t: plain(t, F.lit(False))), F.transform("new", lambda t: plain(t, t["target"])))
-    w = w.withColumn("parts", F.when(F.col("led"), F.concat(lead, turns)).otherwise(turns))
-    opens = F.col("led") & (F.col("new")[0]["i"] > 2)  # the first window holds the system turn as a new one
+    shown = lambda turns: F.transform(turns, lambda t: plain(t, F.lit(False)))
+    w = w.withColumn("parts", F.concat(shown("lead"), shown("repeated"), F.transform("new", lambda t: plain(t, t["target"]))))
+    opens = F.col("new")[0]["i"] == F.size("lead") + 1  # the first window holds the system turn as a new one
     loss = F.expr(f"""
         aggregate(parts, named_struct('at', 0, 'spans', cast(array() as array<struct<start: int, end: int>>)),
             (s, p) -> named_struct(
@@ -109,7 +107,8 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
                 'spans', if(p.target, concat(s.spans, array(named_struct('start', s.at + length(p.head), 'end', s.at + length(p.head) + length(p.body)))), s.spans)),
             s -> s.spans)""")
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return w.select("conv_id", "window", (F.size("repeated") + F.when(opens, 1).otherwise(0)).cast("int").alias("n_repeated"), text.alias("formatted"), loss.alias("loss"))
+    n_repeated = F.when(opens, 0).otherwise(F.size("lead")) + F.size("repeated")
+    return w.select("conv_id", "window", n_repeated.cast("int").alias("n_repeated"), text.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame, *carry: str) -> DataFrame:
