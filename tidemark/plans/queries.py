@@ -337,274 +337,6 @@ def driver_default(spark, d):
     return _driver(*_conversation_themes(spark, d, S.explain))
 
 
-@query(f"""WITH {IDX}, m AS (SELECT day, {SHOWN} AS mood FROM idx)
-SELECT day, mood, CASE WHEN abs(mood) < 5 THEN 'roughly flat' ELSE (CASE WHEN abs(mood) < 15 THEN 'mildly' WHEN abs(mood) < 35 THEN 'moderately' ELSE 'strongly' END)
-       || CASE WHEN mood > 0 THEN ' positive' ELSE ' negative' END END AS band FROM m""", dates=("day",))
-def mood_bands(spark, d):
-    return index.daily_index(headlines(spark, d)).select("day", displayed().alias("mood")).withColumn("band", band(F.col("mood")))
-
-
-@query(f"""WITH {EV} SELECT day, source, count(*) AS n FROM ev GROUP BY day, source""", dates=("day",))
-def source_counts(spark, d):
-    return index.daily_index(headlines(spark, d)).select("day", F.explode("source_counts").alias("source", "n"))
-
-
-@query(f"""WITH {EV}
-SELECT id, day, CASE WHEN s <> 0 THEN round(((100 * c100)::DOUBLE / sum(c100 * abs(s)) OVER (PARTITION BY day))::DECIMAL(18,9), 1)::DOUBLE END AS contribution_pct FROM ev""", dates=("day",))
-def contribution_share(spark, d):
-    return report.contributions(headlines(spark, d)).select("id", "day", "contribution_pct")
-
-
-@query(f"""WITH {EV}, r AS (SELECT day, label, id, c100::INT AS certainty_pct, row_number() OVER (PARTITION BY day, label ORDER BY confidence DESC, published_at NULLS LAST, id) AS rank FROM ev)
-SELECT * FROM r WHERE rank <= CASE label WHEN 'neutral' THEN 2 ELSE 3 END""", dates=("day",))
-def top_recommended(spark, d):
-    top = report.recommended(headlines(spark, d))
-    return top.select("day", "label", "id", certainty(F.col("confidence")).alias("certainty_pct"), F.col("rank").cast("long").alias("rank"))
-
-
-@query(f"""WITH {EV}, w AS (SELECT day, label, w FROM (SELECT DISTINCT day FROM ev), (VALUES ('negative', 3), ('positive', 3), ('neutral', 2)) v(label, w))
-SELECT w.day, w.label, count(id) AS n, w AS wanted FROM w LEFT JOIN ev ON ev.day = w.day AND ev.label = w.label GROUP BY w.day, w.label, w HAVING count(id) < w""", dates=("day",))
-def report_shortfalls(spark, d):
-    return report.shortfalls(headlines(spark, d))
-
-
-@query(f"""WITH {EV} SELECT day, source, count(*) FILTER (WHERE s = -1) AS negative, count(*) FILTER (WHERE s = 0) AS neutral, count(*) FILTER (WHERE s = 1) AS positive, count(*) AS total
-FROM ev GROUP BY day, source""", dates=("day",))
-def source_sentiment_pivot(spark, d):
-    return report.sources(headlines(spark, d))
-
-
-@query(f"""WITH {EV}, t AS (SELECT day, count(*) AS total FROM ev GROUP BY day), c AS (SELECT t.day, v.sentiment, v.position, total, count(ev.id) AS count
-  FROM t CROSS JOIN (VALUES ('negative', 0), ('positive', 1), ('neutral', 2)) v(sentiment, position) LEFT JOIN ev ON ev.day = t.day AND ev.label = v.sentiment GROUP BY ALL)
-SELECT day, sentiment, count, round((100 * count)::DECIMAL(18,9) / total, 1)::DOUBLE AS share_pct,
-       CASE WHEN count > 0 THEN row_number() OVER (PARTITION BY day ORDER BY count DESC, position)::INT END AS pie_rank FROM c""", dates=("day",))
-def sentiment_slices(spark, d):
-    return report.slices(headlines(spark, d))
-
-
-@query(f"""WITH {EV}, c AS (SELECT day, source, count(*) AS n FROM ev GROUP BY day, source),
-r AS (SELECT *, sum(n) OVER (PARTITION BY day)::BIGINT AS n_headlines, row_number() OVER (PARTITION BY day ORDER BY n DESC, source) AS k FROM c)
-SELECT day, source, n, n_headlines, round((100 * n)::DECIMAL(18,9) / n_headlines)::INT AS share_pct FROM r WHERE k = 1""", dates=("day",))
-def top_source_share(spark, d):
-    return report.top_source(headlines(spark, d))
-
-
-@query(f"""WITH {EV}, c AS (SELECT day, source, count(*) AS n FROM ev GROUP BY day, source),
-t AS (SELECT day, max(n) AS top, sum(n) AS n FROM c GROUP BY day), l AS (SELECT day, count(*) FILTER (WHERE confidence < 0.6) AS low FROM ev GROUP BY day),
-u AS (SELECT day, count(*) FILTER (WHERE label IS NULL) AS unscored, max(published_at) AS newest FROM raw GROUP BY day),
-a AS (SELECT u.day, u.unscored, u.day = DATE '2024-01-30' AS today, t.n, t.top, l.low, (SELECT max(published_at) FROM raw) AS last FROM u LEFT JOIN t USING (day) LEFT JOIN l USING (day))
-SELECT day, v.gate, CASE v.gate
-  WHEN 'pipeline_fresh' THEN CASE WHEN NOT today THEN 'not_applicable' WHEN TIMESTAMP '2024-01-31 00:00:00' - last >= INTERVAL 36 HOUR THEN 'fail' ELSE 'pass' END
-  WHEN 'all_scored' THEN CASE WHEN unscored > 0 THEN 'fail' ELSE 'pass' END
-  WHEN 'thin_day' THEN CASE WHEN n IS NULL THEN 'not_applicable' WHEN n < 8 THEN 'fired' ELSE 'pass' END
-  WHEN 'single_source' THEN CASE WHEN n IS NULL THEN 'not_applicable' WHEN top::DOUBLE / n > 0.7 THEN 'fired' ELSE 'pass' END
-  WHEN 'low_confidence' THEN CASE WHEN n IS NULL THEN 'not_applicable' WHEN low::DOUBLE / n > 0.5 THEN 'fired' ELSE 'pass' END
-  ELSE 'not_applicable' END AS status
-FROM a, (VALUES ('pipeline_fresh'), ('all_scored'), ('thin_day'), ('feeds_down'), ('single_source'), ('low_confidence'), ('stale_feed')) v(gate)""", dates=("day",))
-def gate_status(spark, d):
-    raw = raw_headlines(spark, d)
-    top = report.top_source(raw.where("label is not null")).select("day", "n_headlines", F.col("source").alias("top_source"), F.col("n").alias("top_count"))
-    low = index.daily_index(raw.where("label is not null")).select("day", "n_low_conf")
-    last = raw.agg(F.max(F.col("published_at").cast("timestamp")).alias("last_fetched_at"))
-    per_day = raw.groupBy("day").agg(F.count_if(F.col("label").isNull()).alias("n_unscored"))
-    feeds = F.lit(None).cast("array<struct<name: string, responded: boolean, newest_published_at: timestamp>>")
-    inputs = per_day.join(top, "day", "left").join(low, "day", "left").crossJoin(F.broadcast(last)).withColumns(
-        {"is_today": F.col("day") == F.lit(TODAY), "now": F.lit("2024-01-31 00:00:00").cast("timestamp"), "feeds": feeds}
-    )
-    return gates.evaluate(inputs).select("day", "gate", "status")
-
-
-@query(f"WITH {RAW} SELECT id, day FROM raw WHERE label IS NULL", dates=("day",))
-def unscored_scan(spark, d):
-    return raw_headlines(spark, d).where("label is null").select("id", "day").orderBy("id")
-
-
-@query(f"""WITH {EV} SELECT id, source, label, confidence, published_at FROM ev WHERE published_at >= TIMESTAMP '2024-01-10 05:00:00' AND published_at < TIMESTAMP '2024-01-11 05:00:00'""", dates=("published_at",))
-def scored_between(spark, d):
-    at = F.col("published_at")
-    start, end = (F.lit(x).cast("timestamp_ntz") for x in ("2024-01-10 05:00:00", "2024-01-11 05:00:00"))
-    return headlines(spark, d).where((at >= start) & (at < end)).select("id", "source", "label", "confidence", "published_at")
-
-
-@query(f"""WITH {IDX}, req AS (SELECT unnest(generate_series(DATE '2023-12-28', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day),
-old AS (SELECT day, round((100 * sum(c100 * s))::DOUBLE / sum(c100), 9) AS mood, count(*) AS n FROM ev WHERE value < 30 AND day < DATE '2024-01-20' GROUP BY day),
-j AS (SELECT req.day, old.n AS old_n, old.mood AS old_mood, idx.n AS new_n, idx.mood AS new_mood, req.day >= DATE '2024-01-29' AS recent FROM req LEFT JOIN old USING (day) LEFT JOIN idx USING (day)),
-a AS (SELECT *, CASE WHEN NOT recent AND old_n IS NOT NULL THEN 'kept' WHEN new_n IS NULL THEN 'empty' WHEN recent THEN 'recomputed' ELSE 'written' END AS action FROM j)
-SELECT day, action, coalesce(CASE action WHEN 'kept' THEN old_n ELSE new_n END, 0) AS n_headlines, round(CASE action WHEN 'kept' THEN old_mood ELSE new_mood END, 6) AS mood_index FROM a""", dates=("day",))
-def freeze_policy(spark, d):
-    rows = headlines(spark, d)
-    stored = index.daily_index(rows.where((F.col("value") < 30) & (F.col("day") < F.lit(dt.date(2024, 1, 20)))))
-    days = spark.sql("SELECT explode(sequence(DATE'2023-12-28', DATE'2024-01-30')) AS day")
-    out = index.freeze(days, stored, index.daily_index(rows), TODAY)
-    return out.select("day", "action", F.coalesce("n_headlines", F.lit(0)).alias("n_headlines"), F.round("mood_index", 6).alias("mood_index"))
-
-
-@query(f"WITH {EV} SELECT day, count(*) AS n_late FROM ev WHERE value >= 40 GROUP BY day", dates=("day",))
-def late_rows(spark, d):
-    rows = headlines(spark, d)
-    held = index.snapshot_terms(rows.where("value < 40"))
-    return index.late(rows, held).groupBy("day").agg(F.count("*").alias("n_late"))
-
-
-@query(f"""WITH {IDX}, m AS (SELECT day, {SHOWN} AS mood, n FROM idx),
-p AS (SELECT a.day, a.mood, b.day AS prev_day, b.mood AS prev_mood, row_number() OVER (PARTITION BY a.day ORDER BY b.day DESC) AS k
-      FROM m a LEFT JOIN m b ON b.n >= 5 AND b.day BETWEEN a.day - 5 AND a.day - 1)
-SELECT day, mood, prev_day, prev_mood, CASE WHEN abs(mood::DECIMAL(6,1) - prev_mood::DECIMAL(6,1)) >= 5 THEN (mood::DECIMAL(6,1) - prev_mood::DECIMAL(6,1))::DOUBLE END AS change FROM p WHERE k = 1""", dates=("day", "prev_day"))
-def prev_session_change(spark, d):
-    idx = index.daily_index(headlines(spark, d)).withColumn("mood_index", F.round("mood_index", 9))
-    prev = report.previous_session(idx).withColumn("mood", displayed())
-    return prev.select("day", "mood", "prev_day", "prev_mood", report.change(F.col("mood"), F.col("prev_mood")).alias("change"))
-
-
-@query(f"""WITH {EV}, c AS (SELECT day, count(*) AS n FROM ev GROUP BY day)
-SELECT a.day, coalesce(sum(b.n), 0)::BIGINT AS n_background FROM c a LEFT JOIN c b ON b.day BETWEEN a.day - 30 AND a.day - 1 GROUP BY a.day""", dates=("day",))
-def background_window(spark, d):
-    counts = headlines(spark, d).groupBy("day").agg(F.count("*").alias("n"))
-    near = report.background(counts.select("day"), counts).groupBy("target").agg(F.sum("n").alias("n_background"))
-    return counts.select("day").join(near.withColumnRenamed("target", "day"), "day", "left").na.fill(0)
-
-
-@query(f"WITH {EV} SELECT DISTINCT day, greatest(0, day - (SELECT min(day) FROM ev))::INT AS history_days FROM ev", dates=("day",))
-def history_days(spark, d):
-    days = headlines(spark, d).select("day").distinct()
-    return report.history_days(days, days.agg(F.min("day").alias("first_day"))).select("day", "history_days")
-
-
-NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]', ' ', 'g'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"
-
-
-@query(f"SELECT doc_id, sha256({NORM}) AS title_key, length({NORM}) AS n_chars FROM documents")
-def title_norm(spark, d):
-    key = title_key(F.col("text"), decode=False)  # these texts hold no references
-    return table(spark, d, "documents").select("doc_id", F.sha2(key, 256).alias("title_key"), F.length(key).cast("long").alias("n_chars"))
-
-
-CLEAN = r"trim(regexp_replace(lower(regexp_replace(regexp_replace(text, '(?i)(?:https?://|www\.)\S+', ' ', 'g'), '\$[A-Za-z]{1,5}\b', ' ', 'g')), '\s+', ' ', 'g'))"
-
-
-@query(f"SELECT doc_id, sha256({CLEAN}) AS cleaned FROM documents")
-def clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(clean(F.col("text")), 256).alias("cleaned"))
-
-
-@query("SELECT page_id, sha256(url) AS id, coalesce(regexp_matches(url, '(?i)^https?://[^/?#]+'), false) AS linked FROM pages")
-def url_hash_linkable(spark, d):
-    return table(spark, d, "pages").select("page_id", url_hash(F.col("url")).alias("id"), linkable(F.col("url")).alias("linked"))
-
-
-@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages WHERE trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) <> ''")
-def page_title_scan(spark, d):
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return table(spark, d, "pages").select("page_id", title.alias("title")).where(F.trim("title") != "")
-
-
-def _keyed(spark, d):
-    e = table(spark, d, "events")
-    return e.select(
-        (F.col("user_id") * 100 + F.col("event_id") % 37).cast("string").alias("id"), F.concat("event_type", (F.round(F.col("value")) % 400).cast("string")).alias("title_norm"),
-        F.col("event_id").alias("seq"), F.col("ts").alias("published_at"),
-    )
-
-
-@query()
-def dedupe_first_seen(spark, d):
-    return dedupe.merge(_keyed(spark, d)).select("id", "title_norm", "seq", "published_at")
-
-
-@query("SELECT md5(text) AS k, min(doc_id) AS first_id, min(n_chars) AS least FROM documents GROUP BY 1")
-def earliest_published(spark, d):
-    return table(spark, d, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("k")).agg(F.min("doc_id").alias("first_id"), F.min("n_chars").alias("least"))
-
-
-WORDS = f"""w AS (SELECT doc_id, source, regexp_extract_all({CLEAN}, '[\\p{{L}}][\\p{{L}}\\p{{N}}_-]+') AS t FROM documents),
-g AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM w),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
-df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM tf GROUP BY term)"""
-
-
-def _terms(spark, d):
-    return themes.term_rows(table(spark, d, "documents"))
-
-
-@query(f"WITH {WORDS} SELECT term, df, n FROM df")
-def token_df(spark, d):
-    return themes.document_frequency(_terms(spark, d))
-
-
-def _tfidf(spark, d):
-    docs = table(spark, d, "documents")
-    terms = _terms(spark, d)
-    return themes.transform(terms, themes.vocabulary(terms, docs.count()))
-
-
-TFIDF = WORDS + """,
-raww AS (SELECT doc_id, term, tf, tf * (ln((1.0::DOUBLE + n.n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS w FROM tf JOIN df USING (term), n WHERE df >= 2),
-nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM raww GROUP BY doc_id), x AS (SELECT doc_id, term, tf, w / norm AS tfidf FROM raww JOIN nrm USING (doc_id))"""
-
-
-@query(f"WITH {TFIDF} SELECT doc_id, term, tf, round(tfidf, 5) AS tfidf FROM x")
-def tfidf_window(spark, d):
-    return _tfidf(spark, d).withColumn("tfidf", F.round("tfidf", 5))
-
-
-@query(f"""WITH {TFIDF}, s AS (SELECT doc_id, source = 'src1' AS t FROM documents WHERE source IN ('src1', 'src2', 'src3')),
-c AS (SELECT count(*) FILTER (WHERE t) AS nt, count(*) FILTER (WHERE NOT t) AS nb FROM s),
-m AS (SELECT term, count(*) FILTER (WHERE t) AS n, coalesce(sum(tfidf) FILTER (WHERE t), 0) AS st, coalesce(sum(tfidf) FILTER (WHERE NOT t), 0) AS sb FROM x JOIN s USING (doc_id) GROUP BY term)
-SELECT term, n, CASE WHEN sb = 0 THEN -1.0 ELSE round((st / nt) / (sb / nb), 4) END AS lift FROM m, c WHERE n >= 2""")
-def term_lift(spark, d):
-    docs = table(spark, d, "documents")
-    target, background = (docs.where(F.col("source").isin(*s)).select("doc_id") for s in (["src1"], ["src2", "src3"]))
-    ranked = themes.rank_terms(_tfidf(spark, d), target, background)
-    return ranked.select("term", "n", F.when(F.col("lift") == float("inf"), -1.0).otherwise(F.round("lift", 4)).alias("lift"))
-
-
-@query(f"""WITH {TFIDF}, s AS (SELECT doc_id, source IS NOT DISTINCT FROM 'src1' AS t FROM documents),
-c AS (SELECT count(*) FILTER (WHERE t) AS nt, count(*) FILTER (WHERE NOT t) AS nb FROM s),
-m AS (SELECT term, count(*) FILTER (WHERE t) AS n, coalesce(sum(tfidf) FILTER (WHERE t), 0) AS st, coalesce(sum(tfidf) FILTER (WHERE NOT t), 0) AS sb FROM x JOIN s USING (doc_id) GROUP BY term)
-SELECT term, n, CASE WHEN sb = 0 THEN -1.0 ELSE round((st / nt) / (sb / nb), 4) END AS lift FROM m, c WHERE n >= 2""")
-def term_lift_all_others(spark, d):
-    """One source against every other document, those without a source too."""
-    docs = table(spark, d, "documents")
-    own = F.col("source").eqNullSafe("src1")
-    target, background = (docs.where(side).select("doc_id") for side in (own, ~own))
-    ranked = themes.rank_terms(_tfidf(spark, d), target, background)
-    return ranked.select("term", "n", F.when(F.col("lift") == float("inf"), -1.0).otherwise(F.round("lift", 4)).alias("lift"))
-
-
-@query(f"""WITH {WORDS}, b AS (SELECT DISTINCT unnest(regexp_extract_all({CLEAN}, '[\\p{{L}}][\\p{{L}}\\p{{N}}_-]+')) AS term FROM benchmark),
-u AS (SELECT doc_id, unnest(t) AS term FROM w), m AS (SELECT u.doc_id, u.term, b.term IS NULL AS outside FROM u LEFT JOIN b USING (term))
-SELECT count(*) AS n_tokens, count(*) FILTER (WHERE outside) AS n_oov, count(DISTINCT term) FILTER (WHERE outside) AS n_oov_types,
-       (SELECT count(*) FROM (SELECT doc_id FROM m GROUP BY doc_id HAVING bool_and(outside))) AS docs_all_oov, (count(*) FILTER (WHERE outside))::DOUBLE / count(*) AS oov_rate FROM m""")
-def oov_rate(spark, d):
-    known = table(spark, d, "benchmark").select(F.explode(tokens(clean(F.col("text")), PORTABLE_TOKEN)).alias("term")).distinct()
-    return themes.oov(table(spark, d, "documents"), known)
-
-
-def _conversation_themes(spark, d, cfg=Explain(cluster_distance=0.97, min_cluster_size=2)):
-    """Turns of a conversation as the headlines of a day: TF-IDF over all turns, clusters within each."""
-    turns = table(spark, d, "conversations").withColumn("doc_id", F.concat_ws(":", "conv_id", "turn"))
-    terms = themes.term_rows(turns)
-    tfidf = themes.transform(terms, themes.vocabulary(terms, turns.count()))
-    placed = tfidf.join(turns.select("doc_id", F.col("conv_id").alias("group"), F.col("turn").alias("position")), "doc_id")
-    label = F.when(F.col("role") == "assistant", "positive").when(F.col("role") == "user", "negative").otherwise("neutral")
-    conf = F.lit(0.34) + (F.length("text") % 67) / 100
-    rows = turns.select(F.col("conv_id").alias("group"), "doc_id", label.alias("label"), (conf * F.when(label == "positive", 1).when(label == "negative", -1).otherwise(0)).alias("term_weight"))
-    return themes.clusters(placed, cfg), rows, cfg
-
-
-@query()
-def theme_clusters(spark, d):
-    members, rows, _ = _conversation_themes(spark, d)
-    return themes.cluster_stats(members, rows)
-
-
-@query()
-def driver(spark, d):
-    members, rows, cfg = _conversation_themes(spark, d)
-    moods = rows.groupBy("group").agg((100 * F.sum("term_weight") / F.sum(F.abs("term_weight"))).alias("mood"))
-    return themes.driver(themes.cluster_stats(members, rows), moods, cfg)
-
-
 @query(f"""WITH {IDX}, m AS (SELECT day, {SHOWN} AS mood, n FROM idx), h AS (SELECT *, sha256(strftime(day, '%Y-%m-%d')) AS x,
   CASE WHEN abs(mood) < 5 THEN 'roughly flat' ELSE (CASE WHEN abs(mood) < 15 THEN 'mildly' WHEN abs(mood) < 35 THEN 'moderately' ELSE 'strongly' END) || CASE WHEN mood > 0 THEN ' positive' ELSE ' negative' END END AS band FROM m),
 b AS (SELECT *, ('0x' || substr(x, 1, 2))::INT % 3 AS b0, ('0x' || substr(x, 5, 2))::INT % 3 AS b2, ('0x' || substr(x, 7, 2))::INT % 2 AS b3 FROM h)
@@ -775,7 +507,10 @@ def json_scalar(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query(dates=("date",))
+@query("""WITH t AS (SELECT event_type || ' ' || user_id || ' ' || round(value) AS title, min(ts) AS ts FROM events GROUP BY 1),
+c AS (SELECT ((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')::DATE AS date, length(title) % 3 - 1 AS s, 50 + 5 * (length(title) % 7) AS c FROM t)
+SELECT date, count(*) AS n_headlines, count(*) FILTER (WHERE s = 1) AS n_positive, count(*) FILTER (WHERE s = 0) AS n_neutral, count(*) FILTER (WHERE s = -1) AS n_negative,
+       round((100 * sum(c * s))::DOUBLE / sum(c), 6) AS mood_index FROM c GROUP BY date""", dates=("date",))
 def stream_ingest(spark, d):
     """Events as a stream of headline files: upserted, scored, indexed; the index that results."""
     from tidemark.sources.store import Store
