@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Split
+from tidemark.functions.numbers import ratio
 
 
 def order_hash(id_col: Column, seed: int) -> Column:
@@ -90,6 +92,17 @@ def same_ids(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
     return left.union(b.select(id_col).join(a.select(id_col), id_col, "left_anti").withColumn("side", F.lit("right")))
 
 
+def nested(levels: list[tuple[str, DataFrame]], column: str = "text") -> DataFrame:
+    """(inner, outer, value) of every value that a level has and the next one lacks, in order; levels go from the smallest to the largest."""
+    out = None
+    for i, ((inner, a), (outer, b)) in enumerate(zip(levels, levels[1:])):
+        bad = nesting_violations(a, b, column).select(F.lit(i).alias("_i"), F.lit(inner).alias("inner"), F.lit(outer).alias("outer"), F.col(column).alias("value"))
+        out = bad if out is None else out.unionByName(bad)
+    if out is None:
+        raise ValueError("nesting needs two levels")
+    return out.orderBy("_i", "value").drop("_i")
+
+
 def blind_export(headlines: DataFrame, n: int, seed: int, first_fetch) -> DataFrame:
     """A sample to label by hand, without the model's labels; refuses while a row of the pool is unscored."""
     pool = headlines.where(F.col("fetched_at") >= F.lit(first_fetch))
@@ -100,22 +113,60 @@ def blind_export(headlines: DataFrame, n: int, seed: int, first_fetch) -> DataFr
     return sample(pool, n, seed).select("id", "title", F.lit("").alias("label"), F.lit(False).alias("hard"))
 
 
-def save(rows: DataFrame, path: str, cfg: Split = Split(), text: str = "text") -> dict:
-    """Write rows with ``split`` as JSON lines a split, and a meta file with ratios, counts and the test split's hash."""
-    from tidemark.render import write_atomic
+def save_blind(export: DataFrame, path: str) -> None:
+    """Write an export for labelling; one that holds labels already is never overwritten."""
+    try:
+        done = export.sparkSession.read.schema("label string").json(path).where("label <> ''").count()
+    except AnalysisException:
+        done = 0  # nothing there
+    if done:
+        raise ValueError(f"{path} holds {done} labels")
+    export.coalesce(1).write.mode("overwrite").json(path)
+
 
+def save_sample(rows: DataFrame, path: str, n: int, seed: int, id_col: str = "id") -> int:
+    """Write a seeded sample as one file of JSON lines; returns how many rows it has."""
+    picked = sample(rows, n, seed, id_col)
+    picked.coalesce(1).write.mode("overwrite").json(path)
+    return rows.sparkSession.read.schema(picked.schema).json(path).count()
+
+
+def save(rows: DataFrame, path: str, cfg: Split = Split(), text: str = "text") -> dict:
+    """Write rows with ``split`` as JSON lines a split, and beside them, in the same file system, ratios, counts and the test split's hash."""
     rows.write.mode("overwrite").partitionBy("split").json(f"{path}/rows")
     counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
     pin = set_hash(rows.where("split = 'test'"), text).first()["set_hash"]
     meta = {"train": cfg.train, "val": cfg.val, "test": cfg.test, "seed": cfg.seed, "counts": counts, "test_sha256": pin}
-    write_atomic(f"{path}/meta.json", json.dumps(meta, indent=2, sort_keys=True) + "\n")
+    line = rows.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return meta
 
 
+def read_meta(spark: SparkSession, path: str) -> dict:
+    try:
+        return json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    except AnalysisException as e:
+        raise FileNotFoundError(f"{path} holds no splits: build them first") from e
+
+
 def load(spark: SparkSession, path: str, schema: str, text: str = "text") -> DataFrame:
     """Rows written by ``save``; fails where the meta file is missing or the test split is not the one that was pinned."""
-    with open(f"{path}/meta.json", encoding="utf-8") as f:
-        meta = json.load(f)
+    meta = read_meta(spark, path)
     rows = spark.read.schema(f"{schema}, split string").json(f"{path}/rows")
     verify(rows.where("split = 'test'"), meta["test_sha256"], text)
     return rows
+
+
+def build(rows: DataFrame, path: str, cfg: Split = Split(), n_sample: int = 100, id_col: str = "id", label: str = "label", text: str = "text") -> dict:
+    """Split rows, write the splits with their pin, and a sample of the test split beside them."""
+    done = save(stratified(rows, cfg, id_col, label), path, cfg, text)
+    again = load(rows.sparkSession, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), text)
+    save_sample(again.where("split = 'test'").drop("split"), f"{path}/sample", n_sample, cfg.seed, id_col)
+    return done
+
+
+def summary(rows: DataFrame, label: str = "label") -> DataFrame:
+    """(split, label, n, share) of each split's labels."""
+    counts = rows.groupBy("split", F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    whole = counts.groupBy("split").agg(F.sum("n").alias("_all"))
+    return counts.join(whole, "split").select("split", "label", "n", ratio(F.col("n"), F.col("_all")).alias("share"))

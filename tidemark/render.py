@@ -9,6 +9,7 @@ conversions !t and !u escape a text or an address for Markdown, and a format suc
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import string
 import tempfile
@@ -202,6 +203,26 @@ def metrics_table(rows: list[dict]) -> str:
     return head + "\n".join(map(line, rows)) + "\n"
 
 
+def metrics_text(rows: list[dict], confusion: list[dict]) -> str:
+    """Plain text of metric rows (as in ``metrics_table``) and of one confusion table (y_true and a count a label)."""
+    names = [k for k in confusion[0] if k != "y_true"] if confusion else []
+    out = [f"{r['method']}: accuracy {r['accuracy']:.4f}, macro-F1 {r['macro_f1']:.4f}, weighted-F1 {r['weighted_f1']:.4f}, n {r['n']}" for r in rows]
+    out += ["true \\ predicted".ljust(18) + "".join(n.rjust(10) for n in names)] if names else []
+    out += [r["y_true"].ljust(18) + "".join(str(r[n]).rjust(10) for n in names) for r in confusion]
+    return "\n".join(out) + "\n"
+
+
+def speed_text(rows: list[dict]) -> str:
+    """Plain text of latencies (name, n, p50, p95, most in seconds, rows_per_second)."""
+    form = "{name}: {n} runs, p50 {p50:.4f} s, p95 {p95:.4f} s, slowest {most:.4f} s, {rows_per_second:.1f} rows/s"
+    return "".join(form.format(**r) + "\n" for r in rows)
+
+
+def write_history(path: str, history: list[dict]) -> None:
+    """The training history so far; written after every epoch, so a stopped run leaves whole epochs."""
+    write_atomic(path, json.dumps(history, indent=2) + "\n")
+
+
 def replace_region(doc: str, name: str, body: str) -> str:
     """The document with the text between its two markers replaced; the rest is untouched."""
     start, end = f"<!-- {name}:start -->", f"<!-- {name}:end -->"

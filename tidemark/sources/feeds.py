@@ -82,10 +82,14 @@ def fetch_all(
         status.append((name, len(items), error))
     found = headlines(spark.createDataFrame(rows, FEED), fetched_at)
     found = found.withColumn("seq", F.col("feed_ord").cast("long") * (1 << 32) + F.col("item_ord")).drop("feed_ord", "item_ord")
-    kept = found.groupBy("source").agg(F.count("*").alias("kept"), F.max("published_at").alias("newest_published_at"))
-    s = spark.createDataFrame(status, "name string, received long, error string").join(F.broadcast(kept.withColumnRenamed("source", "name")), "name", "left")
+    return found, accounted(spark.createDataFrame(status, "name string, received long, error string"), found)
+
+
+def accounted(received: DataFrame, found: DataFrame) -> DataFrame:
+    """Feed status: (name, received, error) with the items that were skipped and the newest of the valid ones (undated ones aside)."""
+    kept = found.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("kept"), F.max("published_at").alias("newest_published_at"))
     skipped = F.col("received") - F.coalesce("kept", F.lit(0))
-    return found, s.select("name", "received", skipped.alias("skipped"), "newest_published_at", "error")
+    return received.join(kept, "name", "left").select("name", "received", skipped.alias("skipped"), "newest_published_at", "error")
 
 
 def tallies(status: DataFrame) -> DataFrame:
@@ -118,3 +122,10 @@ def read_labelled_text(spark: SparkSession, path: str, encoding: str = "ISO-8859
 def checksum(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def verify_checksum(spark: SparkSession, path: str, pinned: str) -> None:
+    """Stops where a file is not the one that was pinned."""
+    for r in checksum(spark, path).collect():
+        if r["sha256"] != pinned:
+            raise ValueError(f"{r['path']} has the checksum {r['sha256']}, not {pinned}")
