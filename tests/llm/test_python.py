@@ -462,6 +462,16 @@ def test_the_librarys_own_segmentation_can_be_drawn():
         assert at is None or at == s.n
 
 
+def test_samples_do_not_depend_on_the_texts_before_them():
+    text, keys = "a b  xq\nthe internationalisation of words é", np.arange(1, dtype=np.uint64)
+    alone = pieces.sample_texts([text], keys, 3)
+    _, lattices = pieces._tools(None, 1.0)
+    for before in (["x"], ["unbelievably " * 3 + "z" * 40, "qq words of xq"]):
+        lattices._clear()
+        pieces.sample_texts(before, np.arange(len(before), dtype=np.uint64), 2)
+        assert str(pieces.sample_texts([text], keys, 3)) == str(alone)
+
+
 def test_copies_of_a_row_get_samples_of_their_own(spark):
     df = clashing(spark.createDataFrame([(1, "some words to cut here")] * 3 + [(2, None)] * 2 + [(None, "x y")], DOCS)).withColumn("copy", F.lit("x"))
     got = pieces.sample(df, 2, copies=True).collect()
