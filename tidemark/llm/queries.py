@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, html_text, mixing, near_dup, pieces, pii, quality, sharding, token_files
+from tidemark.llm import chat, exact_dedup, hard_negatives, html_text, mixing, near_dup, paragraph_sketch, pieces, pii, quality, sharding, token_files
 from tidemark.llm.common import table
 
 
@@ -80,10 +80,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.pages_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.chained(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), hard_negatives.scaled(F.col("embedding")).alias("embedding"))
+    return hard_negatives.mine(rows, rows.where("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_exact_dedup, op3_mixing, op4_token_files, op5_pii, op6_sentencepiece, op7_minhash_near_dedup, op8_sharding, op9_chat_formatting,
-        op10_html_extraction,
+        op10_html_extraction, op11_fingerprints, op12_hard_negatives,
     )}
 
 
@@ -177,5 +187,17 @@ FROM d JOIN f ON d.conv_id IS NOT DISTINCT FROM f.conv_id
 """
 
 
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS other_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score FROM a JOIN v ON a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS k FROM s WHERE same),
+n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, k ORDER BY score DESC, other_id)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score WHERE k <= 5)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op8_sharding": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op12_hard_negatives": OP12_SQL, "op1_quality_rules": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op8_sharding": OP8_SQL, "op9_chat_formatting": OP9_SQL}
