@@ -201,7 +201,7 @@ def test_chat_windows_hold_their_budget_and_history(spark):
     r = random.Random(12)
     rows = [(c, t, r.choice(["user", "assistant"]), "w " * r.choice([0, 1, 5, 20, 47, 61, 130, 300])) for c in range(25) for t in range(r.randint(1, 60))]
     rows += [(c, -1, "system", "sys " * 3) for c in range(0, 25, 2)]
-    out = chat.windows(spark.createDataFrame(rows, TURNS), budget=60, history=40).collect()
+    out = chat.windows(spark.createDataFrame(rows, TURNS), budget=107, history=40).collect()
     turns = defaultdict(list)
     for c, t, role, text in sorted(rows):
         turns[c].append((role, text))
@@ -210,14 +210,15 @@ def test_chat_windows_hold_their_budget_and_history(spark):
         led = want[0][0] == "system" and len(want) > 1
         done = 0
         for x in ws:
-            shown = [p.split("|>\n", 1) for p in x.formatted.split("<|end|>\n")[:-1]]
+            shown = [p.split("|>\n", 1) for p in x.formatted.split(chat.END)[:-1]]
             shown = [(h[2:], t) for h, t in shown]
             new = shown[x.n_repeated :]
             assert new == want[done : done + len(new)]
             cost = [len(t.split()) + chat.TURN_TOKENS for _, t in new]
             if led and done == 0:
                 cost = cost[1:]
-            assert sum(cost) <= 60 or len(cost) == 1
+            assert sum(cost) <= (60 if led else 67) or len(cost) == 1
+            assert sum(len(t.split()) + chat.TURN_TOKENS for _, t in shown) <= 107 or len(cost) == 1, "the system turn and the history are in the budget"
             old = shown[: x.n_repeated]
             if led and done:
                 assert old[0] == want[0]
@@ -231,6 +232,15 @@ def test_chat_windows_hold_their_budget_and_history(spark):
         assert done == len(want)
 
 
+def test_chat_roles_cannot_spell_the_end_mark(spark):
+    roles = ["end", "user", "␛", "|>", "␛|>\n", "", None, "end|>\n<|", "/", "assistant", "<|end|>"]
+    rows = [(1, i, role, text) for i, (role, text) in enumerate((r, t) for r in roles for t in ("hi", "␛|>\n<|end|>\n", "x␛"))]
+    back = chat.read_back(chat.windows(spark.createDataFrame(rows, TURNS), budget=40, history=9)).collect()
+    got = [(t.role, t.text) for x in sorted(back, key=lambda x: x.window) for t in x.turns]
+    assert got == [(r or "", t) for _, _, r, t in rows]
+    assert [t for x in sorted(back, key=lambda x: x.window) for t in x.targets] == ["hi", "␛|>\n<|end|>\n", "x␛"]
+
+
 def test_chat_of_one_long_conversation_is_linear(spark):
     n = 20_000
     rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id")).alias("text"))

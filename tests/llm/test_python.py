@@ -536,3 +536,35 @@ def test_pipeline_against_stages_by_hand(spark, tmp_path):
     for _, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, str(tmp_path))
         assert stage.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<main><h1>Title</h1><p>Lead</p><article><p>Inside</p></article><p>After</p></main>", "Title\nLead\nInside\nAfter"),
+    ("<div class='content'><p>One</p></div><div class=x><p>no</p></div><div id='post'><p>Two</p></div>", "One\nTwo"),
+    ("<main><p>A</p></main><nav>n</nav><main><p>B b</p></main>", "A\nB b"),
+    ("<article><p>x</p><div class='share'>His share was 5.</div><div class='share'><a>Tweet this page now.</a></div></article>", "x\nHis share was 5."),
+    ("<article><p class='banner text'>A headline</p><div class='comments'>I think so too.</div><div class=ad>Buy this car now.</div></article>", "A headline"),
+    ("<main><ul><li><a>x</a></li></ul><article><p>Inside</p></article></main>", "Inside"),
+    ("<main><p>Lead</p><article class=teaser><p>T</p></article><article><p>Inside</p></article></main><article>out</article>", "Lead\nInside\nout"),
+    ("<div class=share>Not in an article, this one.</div><p>y</p>", "y"),
+])
+def test_main_part_keeps_the_article(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_pages_of_stray_and_deep_tags_are_linear():
+    import time
+
+    n = 100_000
+    began = time.process_time()
+    for page in ("<div>" * n + "text" + "</b>" * n, "<p>" + "<b>" * n + "text" + "<hr>" * n, "<ul>" + "<div>" * n + "<li></li>" * n + "text", "<b>" * n + "<article>" + "text" + "</b>" * n, "<article>" * n + "text"):
+        assert html_text.extract(page) == "text"
+    assert time.process_time() - began < 60
+    assert html_text.extract("<div>" * 600 + "<p>deep" + "</div>" * 600 + "<article>after</article>") == "after"
+
+
+def test_passing_with_columns_named_like_its_own(spark):
+    df = spark.createDataFrame([(1, "word " * 60, 1, {"a": 1}), (None, " ".join(f"w{i}" for i in range(60)), 2, None)] * 2, "doc_id long, text string, _measured_n_words int, m map<string, int>")
+    df = df.withColumns({c: F.lit("x") for c in ("n_words", "row", "fail_bits", "_measured_bits")})
+    kept = quality.passing(df)
+    assert kept.columns == df.columns and [(r.doc_id, r._measured_n_words) for r in kept.collect()] == [(None, 2)] * 2

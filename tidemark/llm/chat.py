@@ -9,11 +9,11 @@ loss, so over all windows each assistant text is a target exactly once.
 
 Work is linear in the turns and no conversation is one task's: sums go by (conversation, block
 of TURNS turn numbers) first, a window over those few rows gives each block its offset, and
-every turn is sent to its own cell and to the one or two next ones whose history it may be
-(for a history up to the budget), the system turn to all: texts are shuffled twice, by block and by cell. A cell's turns are few, as each has TURN_TOKENS at least.
+every turn is sent to its own cell and to the one or two next ones whose history it may be, the system turn to all: texts are shuffled twice, by block and by cell. A cell's turns are few, as each has TURN_TOKENS at least.
 
-Template: ``<|role|>`` newline text ``<|end|>`` newline. Control strings inside texts and
-roles, the template's and the common public ones, become U+241B and a digit, and back.
+Template: ``<|role|>`` newline text, then the end mark and a newline. Control strings inside texts and
+roles, the template's and the common public ones, become U+241B and a digit, and back; the end
+mark is ``<|`` U+241B ``|>``, in which no digit follows, so no role or text can spell it.
 
 Defined results: a null text or role is empty; null turns come first; equal turn numbers
 are ordered by role, then text; repeated rows are repeated turns; a null conversation id is
@@ -31,7 +31,7 @@ from tidemark.llm.common import word_count
 MARK = "␛"
 #: Control strings of this template and of common public ones.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-END = "<|end|>\n"
+END = f"<|{MARK}|>\n"
 #: Tokens that the template adds to a turn.
 TURN_TOKENS = 4
 BUDGET, HISTORY = 512, 128
@@ -53,7 +53,7 @@ def unescape(text: Column) -> Column:
 
 
 def _sent(rows: DataFrame, budget: int, history: int) -> DataFrame:
-    """Every turn once for each cell that shows it: (c, conv_id, cell, kind, t), kind being new, old or lead."""
+    """Every turn once for each cell that shows it: (c, conv_id, cell, room, kind, t), kind being new, old or lead."""
     named = F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))  # a key that joins nulls too
     t = rows.select(
         named.alias("c"), "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
@@ -71,26 +71,26 @@ def _sent(rows: DataFrame, budget: int, history: int) -> DataFrame:
     t = t.withColumn("i", F.row_number().over(by)).withColumn("upto", F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     t = t.join(blocks.join(whole, "c"), ["c", "block"]).withColumn("i", F.col("i") + F.col("n_before"))
     t = t.withColumn("upto", F.col("upto") + F.col("sum_before") - F.col("lead_tokens")).withColumn("from", F.col("upto") - F.col("tokens"))
-    lead = (F.col("i") == 1) & (F.col("lead_tokens") > 0)
-    own = F.floor(F.col("from") / budget)
-    last = F.when(lead, F.floor((F.col("all_tokens") - F.col("lead_tokens") - 1) / budget)).otherwise(F.floor((F.col("from") + history) / budget))
+    lead, room = (F.col("i") == 1) & (F.col("lead_tokens") > 0), F.greatest(F.lit(budget - history) - F.col("lead_tokens"), F.lit(max(history, 1)))
+    own = F.floor(F.col("from") / room)
+    last = F.when(lead, F.floor((F.col("all_tokens") - F.col("lead_tokens") - 1) / room)).otherwise(F.floor((F.col("from") + history) / room))
     part = F.struct(
         "i", "upto", "from", F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n")).alias("head"), escape(F.col("text")).alias("body"),
         (F.col("role") == "assistant").alias("target"),
     )
-    out = t.select("c", "conv_id", lead.alias("lead"), own.alias("own"), part.alias("t"), F.explode(F.sequence(F.when(lead, 0).otherwise(own), last)).alias("cell"))
+    out = t.select("c", "conv_id", room.alias("room"), lead.alias("lead"), own.alias("own"), part.alias("t"), F.explode(F.sequence(F.when(lead, 0).otherwise(own), last)).alias("cell"))
     kind = F.when(F.col("lead"), "lead").when(F.col("own") == F.col("cell"), "new").otherwise("old")
-    return out.select("c", "conv_id", "cell", kind.alias("kind"), "t")
+    return out.select("c", "conv_id", "cell", "room", kind.alias("kind"), "t")
 
 
 def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window (rising within a conversation), n_repeated (leading turns repeated from before), formatted, loss (code point spans, end exclusive)."""
     of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("t")))).alias(kind)
-    cells = _sent(rows, budget, history).groupBy("c", "cell").agg(F.first("conv_id").alias("conv_id"), *map(of, ("new", "old", "lead"))).where("size(new) > 0")
+    cells = _sent(rows, budget, history).groupBy("c", "cell").agg(F.first("conv_id").alias("conv_id"), F.first("room").alias("room"), *map(of, ("new", "old", "lead"))).where("size(new) > 0")
     # all of the cell's turns, or those before the last and the last alone
     last = "new[size(new) - 1]"
     spans = F.expr(f"""
-        if(size(new) = 1 or {last}.upto - new[0].from <= {budget},
+        if(size(new) = 1 or {last}.upto - new[0].from <= room,
            array(named_struct('k', 0, 'at', 1, 'n', size(new))),
            array(named_struct('k', 0, 'at', 1, 'n', size(new) - 1), named_struct('k', 1, 'at', size(new), 'n', 1)))""")
     w = cells.select("conv_id", "cell", "new", "old", "lead", F.explode(spans).alias("s"))
@@ -114,7 +114,7 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
 def read_back(formatted: DataFrame, *carry: str) -> DataFrame:
     """conv_id, window, turns (role, text) that are new in the window, targets (texts under the loss mask), from the text alone."""
     sep = "|>\n"
-    pieces = F.split("formatted", r"<\|end\|>\n")
+    pieces = F.split("formatted", rf"<\|{MARK}\|>\n")
     new = F.slice(pieces, F.col("n_repeated") + 1, F.size(pieces) - 1 - F.col("n_repeated"))
 
     def turn(x: Column) -> Column:

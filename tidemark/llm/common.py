@@ -103,6 +103,16 @@ def lean(step: Callable, forget: Callable[[], None] | None = None) -> Callable:
     return run
 
 
+def settle(spark: SparkSession) -> None:
+    """Between the stages of a long session: the JVMs of driver and executors collect their garbage and return free heap.
+
+    Without it a heap that one stage has filled stays as large beside the Python workers of the next.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.sparkContext._jvm.System.gc()
+    spark.range(0, 2 * cores, 1, 2 * cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def trim() -> None:
     try:
         ctypes.CDLL(None).malloc_trim(0)

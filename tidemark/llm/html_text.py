@@ -21,7 +21,8 @@ from __future__ import annotations
 import functools
 import html as _html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -60,6 +61,8 @@ PLAIN = frozenset(
 )
 #: The article's own head and foot, and what names them its own.
 OWN, OWNERS = frozenset({"header", "masthead"}), frozenset({"article", "post", "entry", "story", "content"})
+#: Words that are also about what a text says, or how it looks.
+SOFT = frozenset("banner share sharing social widget toolbar topbar masthead".split())
 #: Words that mark an article as a pointer to another page.
 TEASER = frozenset("card cards preview previews teaser teasers".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -74,6 +77,7 @@ _token = re.compile(
 )
 _mark = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _words = re.compile(r"[a-z]+")
+_sentence = re.compile(r"\S+\s+\S+\s+\S*\w[.!?…。][\"'”’)\]]*(?:\s|\Z)")
 
 
 class Node:
@@ -83,10 +87,21 @@ class Node:
         self.tag, self.marks, self.kids, self.dropped, self.hash = tag, marks, [], False, 0
 
 
+#: Open elements at most; what would lie deeper becomes a sibling, as in browsers. It bounds the search for what an end tag closes.
+DEPTH = 512
+
+
 def parse(page: str) -> Node:
     """The element tree: kids are nodes and decoded strings."""
     root = Node("#root", {})
     stack = [root]
+    opened: Counter[str] = Counter()  # open elements by tag
+    beyond: Counter[str] = Counter()  # elements past DEPTH whose end tags are still to come
+
+    def close(i: int) -> None:
+        opened.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
     at, n = 0, len(page)
     while at < n:
         m = _token.search(page, at)
@@ -102,35 +117,42 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "body", "table") and tag not in BLOCK:
-                    break  # an inline end tag does not close a section
-            else:
-                if tag == "br":
-                    stack[-1].kids.append(" ")
+            if beyond[tag]:
+                beyond[tag] -= 1
+            elif opened[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if stack[i].tag in ("article", "main", "body", "table") and tag not in BLOCK:
+                        break  # an inline end tag does not close a section
+            elif tag == "br":
+                stack[-1].kids.append(" ")
             continue
         if tag == "br":
             stack[-1].kids.append(" ")
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
         if tag in _closes:
             shut, walls = _closes[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in shut) else ():
                 if stack[i].tag in shut:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in walls:
                     break
         attrs = m[3] or ""
+        if len(stack) > DEPTH and tag not in VOID and tag not in RAW:
+            beyond[tag] += 1
+            if tag in BLOCK:
+                stack[-1].kids.append(Node("hr", {}))  # its text begins a block, in the element that is open
+            continue
         node = Node(tag, {k.lower(): (v or "").strip("\"'").lower() for k, v in _mark.findall(attrs)} if attrs.strip(" /") else {})
         stack[-1].kids.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
@@ -142,10 +164,25 @@ def parse(page: str) -> Node:
             at = shut.end() if shut else n
             continue
         stack.append(node)
+        opened[tag] += 1
     return root
 
 
-def _beside(node: Node) -> bool:
+def _prose(node: Node) -> bool:
+    """Whether a sentence lies in the part outside of links and buttons."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if _sentence.search(x):
+                return True
+        elif x.tag not in ("a", "button"):
+            todo.extend(x.kids)
+    return False
+
+
+def _beside(node: Node, inside: bool = False) -> bool:
+    """Whether the element is beside the article. Within it (``inside``) a name that may be about the text itself counts only for parts without a sentence, and never for a paragraph or heading."""
     if node.tag in DROPPED:
         return True
     if not node.marks:
@@ -155,16 +192,20 @@ def _beside(node: Node) -> bool:
     m = node.marks
     if "hidden" in m or m.get("aria-hidden") == "true" or m.get("role") in ROLES or node.tag == "header":
         return True
-    return any(_names_beside(name) for key in ("class", "id") for name in m.get(key, "").split())
+    told = frozenset().union(*(_names_beside(name) for key in ("class", "id") for name in m.get(key, "").split()))
+    if inside and told <= SOFT and (node.tag == "p" or node.tag in HEADINGS or told and _prose(node)):
+        return False
+    return bool(told)
 
 
 @functools.lru_cache(10_000)
-def _names_beside(name: str) -> bool:
+def _names_beside(name: str) -> frozenset[str]:
+    """The words of a name that mark a part beside the article; none if its other words say something else."""
     words = set(_words.findall(name))
     told = words & BESIDE
     if told and told <= OWN and words & OWNERS:
-        return False
-    return bool(told) and words <= BESIDE | PLAIN
+        return frozenset()
+    return frozenset(told if words <= BESIDE | PLAIN else ())
 
 
 def prune(node: Node, inside: bool = False, beside: bool = False) -> None:
@@ -175,7 +216,7 @@ def prune(node: Node, inside: bool = False, beside: bool = False) -> None:
         inside = inside or node.tag in ("article", "main")
         for k in node.kids:
             if not isinstance(k, str):
-                out = _beside(k)
+                out = _beside(k, inside)
                 if out and k.tag == "header" and inside and not beside:
                     k.kids = [x for x in k.kids if not isinstance(x, str) and (x.tag in HEADINGS or x.tag in ("hgroup", "div"))]
                     out = False
@@ -211,22 +252,60 @@ def _articles(root: Node) -> list[Node]:
     return found or [max(teasers, key=_size)] if found or teasers else []
 
 
+def _outermost(root: Node, is_it: Callable[[Node], bool]) -> list[Node]:
+    """Live nodes that are it and not inside another one, in page order."""
+    found, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if is_it(x):
+            found.append(x)
+        else:
+            todo.extend(k for k in reversed(x.kids) if not isinstance(k, str) and not k.dropped)
+    return found
+
+
+def _paragraph_outside(part: Node, articles: list[Node]) -> bool:
+    """Whether the part has a paragraph that is in none of the articles, nor in a list or table."""
+    own, todo = {id(a) for a in articles}, [part]
+    while todo:
+        x = todo.pop()
+        if x.tag == "p" and any(blocks(x)):
+            return True
+        todo.extend(k for k in x.kids if not isinstance(k, str) and not k.dropped and id(k) not in own and k.tag not in ("ul", "ol", "dl", "table", "article"))
+    return False
+
+
+def _joined(parts: list[Node]) -> Node:
+    if len(parts) == 1:
+        return parts[0]
+    whole = Node("#parts", {})
+    whole.kids = parts
+    return whole
+
+
+def _content(node: Node) -> bool:
+    words = set(_words.findall(f"{node.marks.get('class', '')} {node.marks.get('id', '')}"))
+    return node.tag in ("div", "section", "td") and bool(words & {"content", "article", "post", "entry", "story"}) and not words & TEASER
+
+
 def main_part(root: Node) -> Node:
-    """The articles (joined in page order), else the largest main element or content part, else the body."""
+    """The articles, or the main elements if these have paragraphs around their articles; else the main elements, else the content parts, else the body.
+
+    Of each kind all that are not inside another one are joined in page order.
+    """
+    mains = _outermost(root, lambda x: x.tag == "main" or x.marks.get("role") == "main")
     if articles := _articles(root):
-        if len(articles) == 1:
-            return articles[0]
-        joined = Node("#articles", {})
-        joined.kids = articles
-        return joined
-    nodes = _order(root)
-    for is_it in (
-        lambda x: x.tag == "main" or x.marks.get("role") == "main",
-        lambda x: x.tag in ("div", "section", "td") and bool({"content", "article", "post", "entry", "story"} & set(_words.findall(f"{x.marks.get('class', '')} {x.marks.get('id', '')}"))),
-    ):
-        if found := [x for x in nodes if is_it(x)]:
-            return max(found, key=_size)
-    return next((x for x in nodes if x.tag == "body"), root)
+        around = [m for m in mains if _paragraph_outside(m, articles)]
+        if not around:
+            return _joined(articles)
+        for x in _outermost(root, lambda x: x.tag == "article" or x.marks.get("role") == "article"):
+            x.dropped = all(x is not a for a in articles)  # teasers
+        inside = {id(x) for m in around for x in _order(m)}
+        whole = _outermost(root, lambda x: any(x is m for m in around) or any(x is a for a in articles))
+        return _joined([x for x in whole if id(x) in inside or any(x is a for a in articles)])
+    if parts := mains or _outermost(root, _content):
+        return _joined(parts)
+    return next((x for x in _order(root) if x.tag == "body"), root)
 
 
 def digest(part: Node) -> list[int]:

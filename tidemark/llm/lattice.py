@@ -128,8 +128,8 @@ class _Numbers(dict):
 class Lattices:
     """Lattices of chunks; rows of all tables are nodes."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
+    def __init__(self, vocab: Vocabulary, cache: int = CACHE):
+        self.vocab, self.cache = vocab, cache
         self._clear()
 
     def _clear(self) -> None:
@@ -142,7 +142,7 @@ class Lattices:
 
     def chunks(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Chunk numbers of all texts and how many each text has."""
-        if self.used > CACHE:
+        if self.used > self.cache:
             self._clear()
         number, out, counts = self.at.__getitem__, [], np.zeros(len(texts), np.int64)
         # a key is what follows a space (more spaces and a word), or, behind a line end, "\n" and the word; "\n" alone is the line end

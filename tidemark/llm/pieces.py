@@ -35,16 +35,16 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _tools(path: str | None, theta: float):
+def _tools(path: str | None, theta: float, cache: int = lattice.CACHE):
     """The processor and the lattices, loaded once a worker."""
-    if (path, theta) not in _loaded:
+    if (path, theta, cache) not in _loaded:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path or model_path())
         n = sp.vocab_size()
         vocab = lattice.Vocabulary([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], theta)
-        _loaded[path, theta] = sp, lattice.Lattices(vocab)
-    return _loaded[path, theta]
+        _loaded[path, theta, cache] = sp, lattice.Lattices(vocab, cache)
+    return _loaded[path, theta, cache]
 
 
 def decode_ids(ids: list[int], vocab: lattice.Vocabulary) -> str:
@@ -69,8 +69,8 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
         yield batch.slice(at, len(texts)), texts
 
 
-def sample_texts(texts: list[str], keys: np.ndarray, k: int, path: str | None = None, theta: float = 1.0) -> list[list[dict]]:
-    _, lattices = _tools(path, theta)
+def sample_texts(texts: list[str], keys: np.ndarray, k: int, path: str | None = None, theta: float = 1.0, cache: int = lattice.CACHE) -> list[list[dict]]:
+    _, lattices = _tools(path, theta, cache)
     s = lattice.Sampler(lattices, texts, keys)
     paths, bound = s.top(k)
     chars = np.frombuffer("".join(lattice.SPACE + t.replace(" ", lattice.SPACE) for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -95,17 +95,17 @@ def _arrow(found: list[list[dict]]) -> pa.ListArray:
 _COPY = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _sampler(k: int, path: str | None, theta: float, use: Callable | None):
+def _sampler(k: int, path: str | None, theta: float, use: Callable | None, cache: int = lattice.CACHE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in _runs(batch):
                 keys = np.array([x or 0 for x in rows.column(0).to_pylist()], np.int64).view(np.uint64)
                 keys ^= np.array(rows.column(2).to_pylist(), np.int64).view(np.uint64) * _COPY
-                found = sample_texts(texts, keys, k, path, theta)
+                found = sample_texts(texts, keys, k, path, theta, cache)
                 if use is None:
                     yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), _arrow(found)], ["doc_id", "copy", "samples"])
                 else:
-                    yield use(rows, texts, found, _tools(path, theta)[1].vocab)
+                    yield use(rows, texts, found, _tools(path, theta, cache)[1].vocab)
 
     return run
 
@@ -121,16 +121,18 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def sample(
-    docs: DataFrame, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, theta: float = 1.0, copies: bool = False
-) -> DataFrame:
+    docs: DataFrame, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, theta: float = 1.0, copies: bool = False,
+    cache: int = lattice.CACHE,
+) -> DataFrame:
     """doc_id, copy and samples (ids, logp, gumbel, inclusion), best first: one row for each row.
 
     One scan without a shuffle; ``copies`` numbers rows equal in id and text (else 0) and gives
-    each number samples of its own, at the price of a shuffle.
+    each number samples of its own, at the price of a shuffle. ``cache`` is the number of lattice
+    nodes that a worker keeps; results do not depend on it.
     """
     schema = "doc_id long, copy long, samples array<struct<ids: array<int>, logp: double, gumbel: double, inclusion: double>>"
     rows = _rows(docs, id_col, text_col)
-    return (_numbered(rows) if copies else rows).mapInArrow(lean(_sampler(k, path, theta, None)), schema)
+    return (_numbered(rows) if copies else rows).mapInArrow(lean(_sampler(k, path, theta, None, cache)), schema)
 
 
 def sample_digests(docs: DataFrame, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, theta: float = 1.0) -> DataFrame:

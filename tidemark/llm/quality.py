@@ -128,10 +128,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *MEASURES])
 
 
-def fail_bits(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
-    """One failure bit a rule, over the measurements of MEASURES with a prefix."""
-    fails = [re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"{prefix}\1", r.fails) for r in rules]
-    bits = [F.when(F.expr(f), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for f, r in zip(fails, rules)]
+def fail_bits(rules: tuple[Rule, ...] = RULES) -> Column:
+    """One failure bit a rule, over the measurements of MEASURES."""
+    bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules]
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
@@ -145,19 +144,17 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 def passing(docs: DataFrame, policy: Policy = V1, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that the base and the policy keep, in one scan without a shuffle; columns are unchanged."""
     at = docs.columns.index(text_col)
-    added = [f"_measured_{m}" for m in MEASURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure_text(x.as_buffer() and x.as_buffer().to_pybytes()) for x in batch.column(at)]
+            rows = [measure_text(x.as_buffer() and x.as_buffer().to_pybytes()) for x in batch.column(0).field(at)]
             cols = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *added])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["row", *MEASURES])
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(a, T.LongType()) for a in added)])
-    measured = docs.mapInArrow(lean(run), schema)
-    book = measured.withColumn("_measured_bits", fail_bits(rules, "_measured_"))
-    rejected = failed(BASE, "_measured_bits", rules) | failed(policy, "_measured_bits", rules)
-    return book.where(~rejected).select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.struct("*").alias("row"))  # no column of docs can clash with a measurement
+    measured = packed.mapInArrow(lean(run), T.StructType([*packed.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)]))
+    book = measured.withColumn("fail_bits", fail_bits(rules))
+    return book.where(~(failed(BASE, rules=rules) | failed(policy, rules=rules))).select("row.*")
 
 
 def failed(policy: Policy, bits: str = "fail_bits", rules: tuple[Rule, ...] = RULES) -> Column:

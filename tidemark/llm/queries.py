@@ -175,9 +175,10 @@ t AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + {chat.TU
              sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto0,
              first_value(tokens) OVER w AS first_tokens, first_value(chars) OVER w AS first_chars
       FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-u AS (SELECT *, led0 AND n > 1 AS led, upto0 - CASE WHEN led0 AND n > 1 THEN first_tokens ELSE 0 END AS upto, upto - tokens AS start, start // {chat.BUDGET} AS cell FROM t),
+u AS (SELECT *, led0 AND n > 1 AS led, upto0 - CASE WHEN led0 AND n > 1 THEN first_tokens ELSE 0 END AS upto, upto - tokens AS start,
+             greatest({chat.BUDGET - chat.HISTORY} - CASE WHEN led0 AND n > 1 THEN first_tokens ELSE 0 END, {chat.HISTORY}) AS room, start // room AS cell FROM t),
 v AS (SELECT *, max(i) OVER c AS last_i, count(*) OVER c AS k, max(upto) OVER c - min(start) OVER c AS total FROM u WHERE NOT (led AND i = 1) WINDOW c AS (PARTITION BY conv_id, cell)),
-s AS (SELECT conv_id, cell, k > 1 AND total > {chat.BUDGET} AND i = last_i AS alone, min(i) AS i, min(start) AS start, sum(chars) + any_value(CASE WHEN led THEN first_chars ELSE 0 END) AS chars FROM v GROUP BY ALL),
+s AS (SELECT conv_id, cell, k > 1 AND total > room AND i = last_i AS alone, min(i) AS i, min(start) AS start, sum(chars) + any_value(CASE WHEN led THEN first_chars ELSE 0 END) AS chars FROM v GROUP BY ALL),
 o AS (SELECT s.conv_id, s.i, sum(v.chars) AS chars FROM s JOIN v ON v.conv_id IS NOT DISTINCT FROM s.conv_id AND v.i < s.i AND s.start - v.start <= {chat.HISTORY} GROUP BY ALL),
 f AS (SELECT conv_id, sum(chars) AS chars FROM (SELECT conv_id, chars FROM s UNION ALL SELECT conv_id, chars FROM o) GROUP BY conv_id),
 d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
