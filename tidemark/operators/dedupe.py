@@ -59,25 +59,14 @@ def merge(rows: DataFrame) -> DataFrame:
     return rows.drop("published_at").join(kept.select("seq"), "seq", "left_semi").join(earliest, "seq")
 
 
-def upsert(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """A batch (with seq from 0) into a snapshot: stored rows come first. Returns the new snapshot and its account."""
-    old = stored.withColumn("_seq", F.struct(F.lit(0).alias("s"), F.col("fetched_at").cast("string").alias("a"), F.col("id").alias("b")))
-    new = batch.withColumn("_seq", F.struct(F.lit(1).alias("s"), F.lpad(F.col("seq").cast("string"), 20, "0").alias("a"), F.col("id").alias("b"))).drop("seq")
-    both = old.unionByName(new, allowMissingColumns=True).withColumnRenamed("_seq", "seq")
-    merged = merge(both).drop("seq").select(*stored.columns)
-    received, held = batch.count(), stored.count()
-    inserted = merged.count() - held
-    return merged, {"received": received, "inserted": inserted, "duplicates": received - inserted}
-
-
-def fill_scores(headlines: DataFrame, scores: DataFrame, scored_at) -> DataFrame:
-    """Set label, confidence and scored_at only where a row has none; scores are (id, label, confidence)."""
+def fill_scores(headlines: DataFrame, scores: DataFrame, scored_at, mark: str | None = None) -> DataFrame:
+    """Set label, confidence and scored_at only where a row has none; scores are (id, label, confidence). ``mark`` names a column that says which rows got one."""
     s = scores.select("id", F.col("label").alias("_l"), F.col("confidence").alias("_c"))
     fresh = F.col("label").isNull() & F.col("_l").isNotNull()
     joined = headlines.join(s, "id", "left")
-    filled = joined.withColumns({
+    filled = joined.withColumns(({mark: fresh} if mark else {}) | {
         "scored_at": F.when(fresh, F.lit(scored_at).cast("timestamp")).otherwise(F.col("scored_at")),
         "confidence": F.when(fresh, F.col("_c")).otherwise(F.col("confidence")),
         "label": F.when(fresh, F.col("_l")).otherwise(F.col("label")),
     })
-    return filled.select(*headlines.columns)
+    return filled.select(*headlines.columns, *([mark] if mark else []))

@@ -224,11 +224,38 @@ def _keyed(spark, d):
     )
 
 
-@query()
+#: In rounds: of the undecided rows those that lead both their groups enter, and rows that share a key with one of them drop.
+FIRST_SEEN = """RECURSIVE r AS (SELECT event_id AS seq, (user_id * 100 + event_id % 37)::VARCHAR AS id, event_type || (round(value) % 400) AS title_norm, ts AS published_at FROM events),
+s(seq, id, title_norm, state) USING KEY (seq) AS (
+  SELECT seq, id, title_norm, 0 FROM r
+  UNION
+  (WITH u AS (SELECT * FROM recurring.s WHERE state = 0),
+        m AS (SELECT *, seq = min(seq) OVER (PARTITION BY id) AND seq = min(seq) OVER (PARTITION BY title_norm) AS leads FROM u),
+        f AS (SELECT *, bool_or(leads) OVER (PARTITION BY id) OR bool_or(leads) OVER (PARTITION BY title_norm) AS hit FROM m)
+   SELECT seq, id, title_norm, CASE WHEN leads THEN 1 ELSE 2 END FROM f WHERE hit)),
+k AS (SELECT seq, id, title_norm FROM s WHERE state = 1),
+o AS (SELECT coalesce(t.seq, i.seq) AS owner, r.published_at FROM r LEFT JOIN k t ON t.title_norm = r.title_norm AND t.seq <= r.seq LEFT JOIN k i ON i.id = r.id AND i.seq <= r.seq),
+first_seen AS (SELECT k.id, k.title_norm, k.seq, min(o.published_at) AS published_at FROM k JOIN o ON o.owner = k.seq GROUP BY ALL)"""
+
+
+@query(f"WITH {FIRST_SEEN} SELECT * FROM first_seen", dates=("published_at",))
 def dedupe_first_seen(spark, d):
     return dedupe.merge(_keyed(spark, d)).select("id", "title_norm", "seq", "published_at")
 
 
+@query(f"WITH {FIRST_SEEN} SELECT id, title_norm, published_at FROM first_seen", dates=("published_at",))
+def keyed_store(spark, d):
+    """All events, oldest ids first, as three batches into a new bucketed store; its headlines."""
+    from tidemark.sources.store import Store
+
+    store = Store(spark, f"{dedupe.shared_folder(spark)}/tidemark-store-{uuid.uuid4().hex[:12]}", buckets=16)
+    rows = _keyed(spark, d).withColumns({"published_at": F.col("published_at").cast("timestamp"), "fetched_at": F.lit("2024-01-31 00:00:00").cast("timestamp")})
+    top = rows.agg(F.max("seq")).first()[0] or 0
+    for part in range(3):
+        store.ingest(rows.where(F.floor(F.col("seq") * 3 / (top + 1)) == part))
+    return store.headlines().select("id", "title_norm", "published_at")
+
+
 @query("SELECT md5(text) AS k, min(doc_id) AS first_id, min(n_chars) AS least FROM documents GROUP BY 1")
 def earliest_published(spark, d):
     return table(spark, d, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("k")).agg(F.min("doc_id").alias("first_id"), F.min("n_chars").alias("least"))
