@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import Explain
-from tidemark.operators import classify, dedupe, gates, index, metrics, report, splits, themes
+from tidemark.operators import classify, dedupe, gates, index, linkage, metrics, report, splits, themes
 from tidemark.plans import queries
 
 DAY = dt.date(2026, 10, 1)
@@ -221,14 +221,51 @@ def brute_linkage(d, threshold):
         groups.sort(key=min)
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_linkage_agrees_with_brute_force(seed):
-    r = np.random.default_rng(seed)
-    x = r.random((18, 4))
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    label = themes.linkage(d, 0.7)
-    got = sorted(sorted(np.flatnonzero(label == k).tolist()) for k in set(label.tolist()))
-    assert got == brute_linkage(d, 0.7)
+def drawn_rows(r, n, terms):
+    """Sparse unit rows with copies and repeated entries: (row, column, value) and the matrix."""
+    x = r.random((n, terms)) * (r.random((n, terms)) < 0.2)
+    x[np.arange(n), r.integers(0, terms, n)] += 0.3
+    x[n - n // 6 :] = x[r.integers(0, max(1, n // 3), n // 6)]
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    at, col = np.nonzero(x)
+    at, col = np.append(at, at[:9]), np.append(col, col[:9])
+    return at, col, x[at, col], x
+
+
+@pytest.mark.parametrize("room", [0, 1 << 20])
+@pytest.mark.parametrize("cut", [0.3, 0.6, 0.97])
+def test_linkage_agrees_with_brute_force(monkeypatch, cut, room):
+    monkeypatch.setattr(linkage, "KEPT_BYTES", room)
+    for seed in range(6):
+        at, col, value, x = drawn_rows(np.random.default_rng(seed), 30, 12)
+        label = linkage.complete_linkage(at, col, value, 30, cut)
+        got = sorted(sorted(np.flatnonzero(label == k).tolist()) for k in set(label.tolist()))
+        assert got == brute_linkage(np.round(1 - x @ x.T, 12), cut) and all(label[k] == k for k in label)
+
+
+@pytest.mark.parametrize(("cut", "block"), [(0.6, 4), (0.97, 512), (0.2, 512), (1.0, 4), (1.5, 4)])
+def test_clusters_of_drawn_groups_equal_brute_force(spark, monkeypatch, cut, block):
+    monkeypatch.setattr(linkage, "BLOCK", block)
+    rows, want = [], set()
+    for g in range(50):
+        r = np.random.default_rng(100 + g)
+        n = int(r.integers(1, 24))
+        at, col, value, x = drawn_rows(r, n, 10)
+        order = r.permutation(n)  # places of rows that are not in the order of their names
+        rows += [(g, int(order[i]), f"d{i:02}", f"t{c}", float(v)) for i, c, v in zip(at, col, value)]
+        x = x[np.argsort(order)]
+        names = np.argsort(order)
+        want |= {(g, f"d{names[i]:02}", c[0]) for c in brute_linkage(np.round(1 - x @ x.T, 12), cut) if len(c) > 1 for i in c}
+    df = spark.createDataFrame(rows, "group long, position int, doc_id string, term string, tfidf double").repartition(5)
+    got = themes.clusters(df, Explain(cluster_distance=cut, min_cluster_size=2)).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i + 1, i) for i in range(0, 60)] + [(1000, k) for k in range(900, 950)] + [(5000, 5000)]
+    got = {x.id: x.component for x in linkage.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(61), 0) | dict.fromkeys([*range(900, 950), 1000], 900) | {5000: 5000}
+    assert linkage.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -373,27 +410,12 @@ def test_full_threshold_sweep_finds_optima_beyond_a_half(spark, tmp_path):
     assert got[0.7, -0.3] == 1.0 and max(a for (p, n), a in got.items() if p <= 0.5) < 1
 
 
-@pytest.mark.parametrize("threshold", [0.6, 0.97])
-@pytest.mark.parametrize("room", [0, 1 << 20])
-def test_sparse_linkage_agrees_with_the_matrix(monkeypatch, threshold, room):
-    monkeypatch.setattr(themes, "KEPT_BYTES", room)
-    for seed in range(6):
-        r = np.random.default_rng(seed)
-        x = r.random((60, 25)) * (r.random((60, 25)) < 0.15)
-        x[:, 0] += 0.01
-        x[50:] = x[r.integers(0, 10, 10)]  # copies
-        x /= np.sqrt((x * x).sum(1, keepdims=True))
-        at, col = np.nonzero(x)
-        at, col = np.append(at, at[:9]), np.append(col, col[:9])  # repeated entries
-        assert themes.sparse_linkage(at, col, x[at, col], 60, threshold).tolist() == themes.linkage(np.round(1 - x @ x.T, 12), threshold).tolist()
-
-
-def test_clusters_of_a_group_over_the_matrix_limit(spark):
-    n = themes.MAX_ROWS + 100
+def test_clusters_of_a_hot_group(spark):
+    n = 50_000
     rows = [("hot", i, str(i), f"t{i // 2}", 0.6) for i in range(n)] + [("hot", i, str(i), f"u{i // 4}", 0.8) for i in range(n)]
     rows += [("other", i, f"o{i}", "t", 1.0) for i in range(3)]
     tfidf = spark.createDataFrame(rows, "group string, position int, doc_id string, term string, tfidf double")
-    got = themes.clusters(tfidf, Explain()).toPandas()
+    got = themes.clusters(tfidf.repartition(8), Explain()).toPandas()
     want = {("hot", str(i), i // 4 * 4) for i in range(n)} | {("other", f"o{i}", 0) for i in range(3)}
     assert {tuple(x) for x in got.itertuples(index=False)} == want and len(got) == len(want)
 
