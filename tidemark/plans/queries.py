@@ -325,7 +325,10 @@ def oov_rate(spark, d):
     return themes.oov(table(spark, d, "documents"), known)
 
 
-def _conversation_themes(spark, d, cfg=Explain(cluster_distance=0.97, min_cluster_size=2)):
+WIDE = Explain(cluster_distance=0.97, min_cluster_size=2)
+
+
+def _conversation_themes(spark, d, cfg=WIDE):
     """Turns of a conversation as the headlines of a day: TF-IDF over all turns, clusters within each."""
     turns = table(spark, d, "conversations").withColumn("doc_id", F.concat_ws(":", "conv_id", "turn"))
     terms = themes.term_rows(turns)
@@ -337,29 +340,56 @@ def _conversation_themes(spark, d, cfg=Explain(cluster_distance=0.97, min_cluste
     return themes.clusters(placed, cfg), rows, cfg
 
 
+def _theme_sql(cfg: Explain, driver: bool = False) -> str:
+    """Complete linkage as a recursive query: in each round every group merges its closest pair of clusters, ties by the lowest rows."""
+    terms = TFIDF.replace("FROM documents", "FROM turns")
+    stats = f"""WITH RECURSIVE turns AS (SELECT conv_id AS grp, turn AS position, conv_id || ':' || turn AS doc_id, NULL AS source, text,
+  CASE role WHEN 'assistant' THEN 1 WHEN 'user' THEN -1 ELSE 0 END AS s, 34 + length(text) % 67 AS c FROM conversations),
+{terms},
+p AS (SELECT grp, doc_id, row_number() OVER (PARTITION BY grp ORDER BY position, doc_id) - 1 AS i FROM turns WHERE doc_id IN (SELECT doc_id FROM x)),
+cosine AS (SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.tfidf * b.tfidf), 12) AS c FROM x a JOIN p pa ON pa.doc_id = a.doc_id JOIN x b ON b.term = a.term JOIN p pb ON pb.doc_id = b.doc_id AND pb.grp = pa.grp GROUP BY ALL),
+dist AS MATERIALIZED (SELECT a.grp, a.i, b.i AS j, 1 - coalesce(c, 0) AS d FROM p a JOIN p b ON a.grp = b.grp AND a.i <> b.i LEFT JOIN cosine ON cosine.a = a.doc_id AND cosine.b = b.doc_id),
+l(grp, i, cluster) USING KEY (grp, i) AS (
+  SELECT grp, i, i FROM p
+  UNION
+  (WITH far AS (SELECT a.grp, a.cluster AS ca, b.cluster AS cb, max(d) AS d FROM recurring.l a JOIN recurring.l b ON a.grp = b.grp AND a.cluster < b.cluster
+                JOIN dist ON dist.grp = a.grp AND dist.i = a.i AND dist.j = b.i GROUP BY ALL HAVING max(d) < {cfg.cluster_distance}::DOUBLE),
+        best AS (SELECT grp, ca, cb FROM far QUALIFY row_number() OVER (PARTITION BY grp ORDER BY d, ca, cb) = 1)
+   SELECT l.grp, l.i, ca FROM recurring.l l JOIN best ON l.grp = best.grp AND l.cluster = cb)),
+moved AS (SELECT grp, sum(abs(c * s)) AS moved, 100 * sum(c * s)::DOUBLE / nullif(sum(abs(c * s)), 0) AS mood FROM turns GROUP BY grp),
+stats AS (SELECT grp AS "group", cluster, count(*) AS size, count(*) FILTER (WHERE s = -1) AS n_negative, count(*) FILTER (WHERE s = 0) AS n_neutral, count(*) FILTER (WHERE s = 1) AS n_positive,
+    coalesce(round((100 * sum(c * s))::DECIMAL(38,9) / nullif(any_value(moved), 0), 1)::DOUBLE, 0) AS share_pct
+  FROM l JOIN p USING (grp, i) JOIN turns USING (grp, doc_id) JOIN moved USING (grp) GROUP BY ALL HAVING count(*) >= {cfg.min_cluster_size})"""
+    if not driver:
+        return f"{stats} SELECT * FROM stats"
+    return f"""{stats}, ranked AS (SELECT stats.*, row_number() OVER (PARTITION BY "group" ORDER BY CASE WHEN mood > 0 THEN share_pct ELSE -share_pct END DESC, size DESC, cluster) AS k
+  FROM stats JOIN moved ON moved.grp = "group" WHERE abs(round(mood::DECIMAL(18,9), 1)) >= 5 AND CASE WHEN mood > 0 THEN n_positive ELSE n_negative END::DOUBLE / size >= {cfg.cluster_purity}::DOUBLE
+    AND CASE WHEN mood > 0 THEN share_pct ELSE -share_pct END > 0) SELECT * EXCLUDE (k) FROM ranked WHERE k = 1"""
+
+
 def _driver(members, rows, cfg):
     moods = rows.groupBy("group").agg((100 * F.sum("term_weight") / F.sum(F.abs("term_weight"))).alias("mood"))
     return themes.driver(themes.cluster_stats(members, rows), moods, cfg)
 
 
-@query()
+@query(_theme_sql(WIDE))
 def theme_clusters(spark, d):
     members, rows, _ = _conversation_themes(spark, d)
     return themes.cluster_stats(members, rows)
 
 
-@query()
+@query(_theme_sql(S.explain))
 def theme_clusters_default(spark, d):
     members, rows, _ = _conversation_themes(spark, d, S.explain)
     return themes.cluster_stats(members, rows)
 
 
-@query()
+@query(_theme_sql(WIDE, True))
 def driver(spark, d):
     return _driver(*_conversation_themes(spark, d))
 
 
-@query()
+@query(_theme_sql(S.explain, True))
 def driver_default(spark, d):
     return _driver(*_conversation_themes(spark, d, S.explain))
 
