@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
+from tidemark.operators.dedupe import shared_folder
 from tidemark.schema import LABELS
 
 Z95 = 1.959963984540054
@@ -70,12 +71,10 @@ def wilson(hits: Column, n: Column, z: float = Z95) -> Column:
 
 def grouped_accuracy(pred: DataFrame, *columns: str) -> DataFrame:
     """Accuracy with Wilson bounds over all rows and by each column, as grouping sets (one pass)."""
-    sets = ", ".join(["()", *(f"({c})" for c in columns)])
-    pred.createOrReplaceTempView("_tidemark_pred")
-    names = ", ".join([*columns, *(f"grouping({c}) AS g_{c}" for c in columns)])
-    rows = pred.sparkSession.sql(
-        f"SELECT {names}, count_if(y_true = y_pred) AS hits, count(*) AS n FROM _tidemark_pred GROUP BY GROUPING SETS ({sets})"
-    )
+    sets = [[], *([F.col(f"`{c}`")] for c in columns)]
+    counts = (F.count_if(F.col("y_true") == F.col("y_pred")).alias("hits"), F.count("*").alias("n"))
+    grouped = pred.groupingSets(sets, *[F.col(f"`{c}`") for c in columns]) if columns else pred.groupBy()
+    rows = grouped.agg(*[F.grouping(f"`{c}`").alias(f"g_{c}") for c in columns], *counts)
     part = reduce(lambda a, c: F.when(F.col(f"g_{c}") == 0, F.lit(c)).otherwise(a), columns, F.lit("all"))
     value = F.coalesce(*[F.when(F.col(f"g_{c}") == 0, F.col(c).cast("string")) for c in columns], F.lit("all"))
     w = wilson(F.col("hits"), F.col("n"))
@@ -135,17 +134,68 @@ def sweep(scores: DataFrame, positives: list[float], negatives: list[float], lab
     )
 
 
-def best_of(swept: DataFrame, metric: str = "macro_f1") -> DataFrame:
-    """The pair with the best metric (ties: smaller positive cut-off, then larger negative one) and those that match it."""
-    return swept.orderBy(F.col(metric).desc(), "pos_cut", F.col("neg_cut").desc()).limit(1)
+def best_of(swept: DataFrame, metric: str = "macro_f1", then: str = "accuracy") -> DataFrame:
+    """The pairs with the best metric, all that match it to 12 digits: by ``then`` falling, smaller positive cut-off, larger negative one."""
+    shown = F.round(metric, 12)
+    both = swept.crossJoin(F.broadcast(swept.agg(F.max(shown).alias("_top"))))  # one row
+    return both.where(shown == F.col("_top")).drop("_top").orderBy(F.round(then, 12).desc(), "pos_cut", F.desc("neg_cut"))
+
+
+def clearing(swept: DataFrame, floor: float) -> DataFrame:
+    """The pairs that are more accurate than a floor, such as the majority rate."""
+    return swept.where(F.round("accuracy", 12) > round(floor, 12))
+
+
+def beating(swept: DataFrame, pos_cut: float, neg_cut: float, metric: str = "macro_f1") -> DataFrame:
+    """The pairs whose metric is over that of the configured pair, which has to be among those swept, with the ``gain``, best first."""
+    own = swept.where((F.round("pos_cut", 9) == round(pos_cut, 9)) & (F.round("neg_cut", 9) == round(neg_cut, 9))).first()
+    if own is None:
+        raise ValueError(f"the pair ({pos_cut}, {neg_cut}) was not swept")
+    gain = F.round(metric, 12) - round(own[metric], 12)
+    return swept.withColumn("gain", gain).where("gain > 0").orderBy(F.desc("gain"), F.round("accuracy", 12).desc(), "pos_cut", F.desc("neg_cut"))
+
+
+#: Ranges that a pass of ``at_ranks`` counts.
+RANGES = 1024
+
+
+def at_ranks(values: DataFrame, column: str, ranks: DataFrame, *group: str) -> DataFrame:
+    """The ranks (group columns, name, rank from 0) with the value at each rank of its group's sorted column; nulls of the column aside.
+
+    A pass counts the rows of RANGES equal ranges between the least and the largest value left and keeps the range that
+    holds the rank, until that is one value. A pass sends RANGES rows a task and rank at most; values are never listed or sorted.
+    """
+    shared_folder(values.sparkSession)
+    key = F.to_json(F.struct(*_by(group))) if group else F.lit("")
+    rows = values.where(F.col(column).isNotNull()).select(key.alias("_g"), F.col(column).alias("_v"))
+    ends = rows.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    left = ranks.withColumn("_g", key).withColumn("_left", F.col("rank")).join(ends, "_g").withColumn("_n", F.monotonically_increasing_id()).checkpoint()
+    done = left.where("lo = hi")
+    while not (left := left.where("lo < hi")).isEmpty():
+        spread = F.col("hi").cast("double") - F.col("lo").cast("double")
+        near = rows.join(left.select("_g", "_n", "_left", "lo", "hi"), "_g").where("_v between lo and hi")
+        at = F.floor((F.col("_v").cast("double") - F.col("lo").cast("double")) / spread * RANGES)
+        at = F.when(F.col("_v") == F.col("hi"), RANGES).when(F.col("_v") == F.col("lo"), -1).otherwise(F.least(F.lit(RANGES - 1), at))  # the ends are ranges of their own
+        counts = near.groupBy("_n", at.alias("at")).agg(F.count("*").alias("k"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_left").alias("_was"))
+        before = F.coalesce(F.sum("k").over(Window.partitionBy("_n").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = counts.withColumn("b", before).where((F.col("b") <= F.col("_was")) & (F.col("_was") < F.col("b") + F.col("k")))
+        left = left.drop("lo", "hi", "_left").join(held.select("_n", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), (F.col("_was") - F.col("b")).alias("_left")), "_n").checkpoint()
+        done = done.unionByName(left.where("lo = hi"))
+    return done.select(*_by(group), "name", "rank", F.col("lo").alias("value"))
 
 
 def percentiles(values: DataFrame, column: str, *group: str) -> DataFrame:
-    """n, p50 and p95 (linear interpolation) and the largest value of a column."""
-    counts = values.groupBy(*group, F.col(column).alias("v")).agg(F.count("*").alias("k"))  # one row a distinct value
-    return counts.groupBy(*group).agg(
-        F.sum("k").alias("n"), F.percentile("v", 0.5, F.col("k")).alias("p50"), F.percentile("v", 0.95, F.col("k")).alias("p95"), F.max("v").alias("most"),
-    )
+    """n, p50 and p95 (linear interpolation) and the largest value of a column; nulls aside, a group of nulls alone has no row."""
+    counts = values.where(F.col(column).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), F.max(column).alias("most"))
+    wanted = [(name, (F.col("n") - 1) * q) for name, q in (("p50", 0.5), ("p95", 0.95))]
+    each = [F.struct(F.lit(f"{name}_{side}").alias("name"), step(at).cast("long").alias("rank")) for name, at in wanted for side, step in (("low", F.floor), ("high", F.ceil))]
+    found = at_ranks(values, column, counts.select(*group, F.explode(F.array(*each)).alias("r")).select(*group, "r.*"), *group)
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("value").cast("double"))).alias(name)
+    ends = found.groupBy(*group).agg(*[pick(f"{name}_{side}") for name, _ in wanted for side in ("low", "high")])
+    same = reduce(lambda a, b: a & b, [F.col(f"c.{g}").eqNullSafe(F.col(f"e.{g}")) for g in group], F.lit(True))
+    both = counts.alias("c").join(ends.alias("e"), same)
+    between = [(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (at - F.floor(at))).alias(name) for name, at in wanted]
+    return both.select(*[F.col(f"c.{g}").alias(g) for g in group], "n", *between, "most")
 
 
 def summary_table(results: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -158,13 +208,10 @@ def summary_table(results: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, column: str, q: float = 0.95) -> DataFrame:
-    """The value at 0-based position int(n * q) of the sorted column, from counts of distinct values."""
-    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
-    listed = counts.agg(F.array_sort(F.collect_list(F.struct("v", "k"))).alias("c"), F.sum("k").alias("n"))
-    at = F.floor(F.col("n") * q)
-    walk = F.aggregate("c", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(dict(values.dtypes)[column]).alias("v")), lambda s, x: F.struct(
-        (s["seen"] + x["k"]).alias("seen"), F.when(s["v"].isNull() & (s["seen"] + x["k"] > at), x["v"]).otherwise(s["v"]).alias("v")))
-    return listed.select(walk["v"].alias("value"), "n")
+    """The value at 0-based position int(n * q) of the sorted column, and n; nulls aside, no row where there is nothing else."""
+    n = values.agg(F.count(column).alias("n"))
+    rank = n.where("n > 0").select(F.lit("q").alias("name"), F.least(F.floor(F.col("n") * q), F.col("n") - 1).cast("long").alias("rank"))
+    return at_ranks(values, column, rank).crossJoin(n).select("value", "n")  # one row each
 
 
 def weighted_loss(batches: DataFrame, *group: str) -> DataFrame:

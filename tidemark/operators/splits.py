@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Split
 from tidemark.functions.numbers import ratio
+from tidemark.operators.dedupe import shared_folder
 
 
 def order_hash(id_col: Column, seed: int) -> Column:
@@ -65,7 +66,7 @@ def stratified_draw(rows: DataFrame, train: DataFrame, seed: int, id_col: str =
 def set_hash(rows: DataFrame, text: str = "text") -> DataFrame:
     """SHA-256 of the sorted texts joined by line ends: the pin of an evaluation split.
 
-    The pin is one hash over one string, so the split must fit a task; use ``multiset_hash`` beyond.
+    The published form of a pin: one hash over one string, so the split must fit a task. ``tree`` pins splits of any size.
     """
     return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "\n"), 256).alias("set_hash"), F.count("*").alias("n"))
 
@@ -76,6 +77,50 @@ def multiset_hash(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.agg(F.sha2(F.concat_ws(":", *[part(i).cast("string") for i in range(5)]), 256).alias("set_hash"), F.count("*").alias("n"))
 
 
+#: Rows that a leaf of a pin is to hold, and children of a node.
+LEAF_ROWS, FAN = 256, 16
+PIN = "path string, hash string, n long"
+
+
+def entry(*columns: str) -> Column:
+    """SHA-256 of a row: every value as its length in bytes and its text, null apart from any text."""
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.sha2(F.concat(*map(part, columns)), 256)
+
+
+def tree(rows: DataFrame, *columns: str, depth: int | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(path, hash, n): a hash tree over the rows, a pin for splits of any size. The root's path is empty.
+
+    Leaves are ranges of row digests, named by their first hexadecimal digits, and there are enough of them that one holds about ``leaf_rows`` rows
+    (equal rows are one entry with a count); a node hashes its FAN children. So no task sees a split, and a changed row is found by its leaf.
+    """
+    if depth is None:
+        n, depth = rows.count(), 0
+        while n > leaf_rows * FAN**depth:
+            depth += 1
+    joined = lambda key, value: F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(key, F.lit(":"), value))), "\n"), 256).alias("hash")
+    entries = rows.groupBy(entry(*columns).alias("digest")).agg(F.count("*").alias("k"))
+    level = entries.groupBy(F.substring("digest", 1, depth).alias("path")).agg(joined(F.col("digest"), F.col("k").cast("string")), F.sum("k").alias("n"))
+    shared_folder(rows.sparkSession)
+    level = out = level.checkpoint()
+    for d in range(depth - 1, -1, -1):
+        level = level.groupBy(F.substring("path", 1, d).alias("path")).agg(joined(F.col("path"), F.col("hash")), F.sum("n").alias("n"))
+        out = out.unionByName(level)
+    return out
+
+
+def verify_tree(rows: DataFrame, pinned: DataFrame, *columns: str) -> None:
+    """Stops where the rows are not those of a pin, and names the first leaf that differs."""
+    depth = pinned.agg(F.max(F.length("path"))).first()[0]
+    leaf = F.length("path") == (depth or 0)
+    mine, theirs = (t.where(leaf).select("path", F.struct("hash", "n").alias(c)) for t, c in ((tree(rows, *columns, depth=depth or 0), "mine"), (pinned, "theirs")))
+    odd = mine.join(theirs, "path", "full").where(~F.col("mine").eqNullSafe(F.col("theirs")))
+    first = odd.agg(F.min(F.struct("path", F.coalesce("mine.n", F.lit(0)).alias("has"), F.coalesce("theirs.n", F.lit(0)).alias("had"))).alias("x"), F.count("*").alias("n")).first()
+    if first["n"]:
+        x = first["x"]
+        raise ValueError(f"the split is not the pinned one: leaf {x['path']!r} has {x['has']} rows, pinned were {x['had']}; {first['n']} leaves differ")
+
+
 def verify(rows: DataFrame, expected: str, text: str = "text") -> None:
     if (got := set_hash(rows, text).first()["set_hash"]) != expected:
         raise ValueError(f"the split's hash is {got}, not {expected}")
@@ -131,12 +176,14 @@ def save_sample(rows: DataFrame, path: str, n: int, seed: int, id_col: str = "id
     return rows.sparkSession.read.schema(picked.schema).json(path).count()
 
 
-def save(rows: DataFrame, path: str, cfg: Split = Split(), text: str = "text") -> dict:
-    """Write rows with ``split`` as JSON lines a split, and beside them, in the same file system, ratios, counts and the test split's hash."""
+def save(rows: DataFrame, path: str, cfg: Split = Split()) -> dict:
+    """Write rows with ``split`` as JSON lines a split, and beside them, in the same file system, ratios, counts and the test split's pin, over all columns."""
     rows.write.mode("overwrite").partitionBy("split").json(f"{path}/rows")
+    columns = sorted(c for c in rows.columns if c != "split")
+    tree(rows.where("split = 'test'"), *columns).write.mode("overwrite").parquet(f"{path}/pin")
     counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
-    pin = set_hash(rows.where("split = 'test'"), text).first()["set_hash"]
-    meta = {"train": cfg.train, "val": cfg.val, "test": cfg.test, "seed": cfg.seed, "counts": counts, "test_sha256": pin}
+    root = rows.sparkSession.read.schema(PIN).parquet(f"{path}/pin").where("path = ''").first()
+    meta = {"train": cfg.train, "val": cfg.val, "test": cfg.test, "seed": cfg.seed, "counts": counts, "columns": columns, "test_root": root and root["hash"]}
     line = rows.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string")
     line.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return meta
@@ -149,18 +196,21 @@ def read_meta(spark: SparkSession, path: str) -> dict:
         raise FileNotFoundError(f"{path} holds no splits: build them first") from e
 
 
-def load(spark: SparkSession, path: str, schema: str, text: str = "text") -> DataFrame:
+def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows written by ``save``; fails where the meta file is missing or the test split is not the one that was pinned."""
     meta = read_meta(spark, path)
     rows = spark.read.schema(f"{schema}, split string").json(f"{path}/rows")
-    verify(rows.where("split = 'test'"), meta["test_sha256"], text)
+    pinned = spark.read.schema(PIN).parquet(f"{path}/pin")
+    if (root := pinned.where("path = ''").first()) and root["hash"] != meta["test_root"]:
+        raise ValueError(f"the pin in {path} is not the one that its meta file names")
+    verify_tree(rows.where("split = 'test'"), pinned, *meta["columns"])
     return rows
 
 
-def build(rows: DataFrame, path: str, cfg: Split = Split(), n_sample: int = 100, id_col: str = "id", label: str = "label", text: str = "text") -> dict:
+def build(rows: DataFrame, path: str, cfg: Split = Split(), n_sample: int = 100, id_col: str = "id", label: str = "label") -> dict:
     """Split rows, write the splits with their pin, and a sample of the test split beside them."""
-    done = save(stratified(rows, cfg, id_col, label), path, cfg, text)
-    again = load(rows.sparkSession, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), text)
+    done = save(stratified(rows, cfg, id_col, label), path, cfg)
+    again = load(rows.sparkSession, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
     save_sample(again.where("split = 'test'").drop("split"), f"{path}/sample", n_sample, cfg.seed, id_col)
     return done
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tidemark.config import Explain, Settings
 from tidemark.functions.numbers import certainty, half_up
 from tidemark.functions.scalars import band, linkable, url_hash
 from tidemark.functions.text import PORTABLE_TOKEN, clean, title_key, tokens
-from tidemark.operators import classify, dedupe, gates, index, metrics, report, splits, themes
+from tidemark.operators import classify, dedupe, gates, index, metrics, report, review, splits, themes
 from tidemark.plans.views import EV, GOLD, IDX, RAW, gold, headlines, raw_headlines, table
 
 S = Settings()
@@ -132,6 +133,36 @@ def gate_status(spark, d):
     return gates.evaluate(inputs).select("day", "gate", "status")
 
 
+@query(f"""WITH {EV}, c AS (SELECT day, source, count(*) AS n FROM ev GROUP BY day, source), t AS (SELECT day, max(n) AS top, sum(n) AS n FROM c GROUP BY day),
+low AS (SELECT day, count(*) FILTER (WHERE confidence < 0.6) AS low FROM ev GROUP BY day), u AS (SELECT day, count(*) FILTER (WHERE label IS NULL) AS unscored, max(published_at) AS last FROM raw GROUP BY day),
+f AS (SELECT u.day, v.i, 'src' || v.i AS name, (dayofmonth(u.day) + v.i) % 4 <> 0 AS responded, max(raw.published_at) AS newest FROM u CROSS JOIN (VALUES (0), (1), (2), (3)) v(i)
+      LEFT JOIN raw ON raw.day = u.day AND raw.source = 'src' || v.i GROUP BY ALL),
+g AS (SELECT f.day, count(*) FILTER (WHERE NOT responded) AS down, count(*) FILTER (WHERE responded AND (f.day + 1)::TIMESTAMP + INTERVAL 40 HOUR + INTERVAL 45 MINUTE - newest >= INTERVAL 36 HOUR) AS stale FROM f GROUP BY f.day),
+a AS (SELECT u.*, t.n, t.top, low.low, g.down, g.stale, (u.day + 1)::TIMESTAMP + INTERVAL 40 HOUR + INTERVAL 45 MINUTE AS now FROM u JOIN g USING (day) LEFT JOIN t USING (day) LEFT JOIN low USING (day))
+SELECT day, v.gate, CASE v.gate
+  WHEN 'pipeline_fresh' THEN CASE WHEN now - last >= INTERVAL 36 HOUR THEN 'fail' ELSE 'pass' END
+  WHEN 'all_scored' THEN CASE WHEN unscored > 0 THEN 'fail' ELSE 'pass' END
+  WHEN 'thin_day' THEN CASE WHEN n IS NULL THEN 'not_applicable' WHEN n < 8 THEN 'fired' ELSE 'pass' END
+  WHEN 'feeds_down' THEN CASE WHEN down > 0 THEN 'fired' ELSE 'pass' END
+  WHEN 'single_source' THEN CASE WHEN n IS NULL THEN 'not_applicable' WHEN top::DOUBLE / n > 0.7 THEN 'fired' ELSE 'pass' END
+  WHEN 'low_confidence' THEN CASE WHEN n IS NULL THEN 'not_applicable' WHEN low::DOUBLE / n > 0.5 THEN 'fired' ELSE 'pass' END
+  ELSE CASE WHEN stale > 0 THEN 'fired' ELSE 'pass' END END AS status
+FROM a, (VALUES ('pipeline_fresh'), ('all_scored'), ('thin_day'), ('feeds_down'), ('single_source'), ('low_confidence'), ('stale_feed')) v(gate)""", dates=("day",))
+def gate_status_of_runs(spark, d):
+    """Every day as a run of its own, 40.75 hours after the day's last UTC midnight, with four feeds, of which some did not respond."""
+    raw = raw_headlines(spark, d)
+    top = report.top_source(raw.where("label is not null")).select("day", "n_headlines", F.col("source").alias("top_source"), F.col("n").alias("top_count"))
+    low = index.daily_index(raw.where("label is not null")).select("day", "n_low_conf")
+    per_day = raw.groupBy("day").agg(F.count_if(F.col("label").isNull()).alias("n_unscored"), F.max(F.col("published_at").cast("timestamp")).alias("last_fetched_at"))
+    newest = raw.groupBy("day", "source").agg(F.max(F.col("published_at").cast("timestamp")).alias("newest"))
+    named = per_day.select("day", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).withColumn("source", F.concat(F.lit("src"), "i"))
+    feed = F.struct(F.col("source").alias("name"), ((F.dayofmonth("day") + F.col("i")) % 4 != 0).alias("responded"), F.col("newest").alias("newest_published_at"))
+    feeds = named.join(newest, ["day", "source"], "left").groupBy("day").agg(F.collect_list(feed).alias("feeds"))
+    now = F.date_add("day", 1).cast("timestamp") + F.expr("INTERVAL '40:45' HOUR TO MINUTE")
+    inputs = per_day.join(feeds, "day").join(top, "day", "left").join(low, "day", "left").withColumns({"is_today": F.lit(True), "now": now})
+    return gates.evaluate(inputs).select("day", "gate", "status")
+
+
 @query(f"WITH {RAW} SELECT id, day FROM raw WHERE label IS NULL", dates=("day",))
 def unscored_scan(spark, d):
     return raw_headlines(spark, d).where("label is null").select("id", "day").orderBy("id")
@@ -438,6 +469,30 @@ def wilson_by_group(spark, d):
     return g.withColumns({k: F.round(k, 6) for k in ("accuracy", "low", "high")}).withColumn("low", F.when(F.col("low") == 0, 0.0).otherwise(F.col("low")))
 
 
+@query(f"""WITH {GOLD}, p AS (SELECT 'model' AS part, lang, y_true, y_pred FROM gold
+  UNION ALL SELECT 'self', NULL, y_true, CASE WHEN doc_id % 5 = 0 THEN 'neutral' ELSE y_true END FROM gold WHERE n_chars % 4 = 0),
+g AS (SELECT part, 'all' AS value, count(*) FILTER (WHERE y_true = y_pred) AS hits, count(*) AS n FROM p GROUP BY part
+  UNION ALL SELECT part, 'lang=' || lang, count(*) FILTER (WHERE y_true = y_pred), count(*) FROM p WHERE part = 'model' GROUP BY part, lang),
+z AS (SELECT *, hits::DOUBLE / n AS a, 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE AS z2 FROM g),
+w AS (SELECT *, (a + z2 / (2 * n)) / (1 + z2 / n) AS mid, sqrt(z2) * sqrt(a * (1 - a) / n + z2 / (4.0::DOUBLE * n * n)) / (1 + z2 / n) AS half FROM z),
+c AS (SELECT part, label, count(*) FILTER (WHERE y_true = label AND y_pred = label) AS hit, count(*) FILTER (WHERE y_pred = label) AS said, count(*) FILTER (WHERE y_true = label) AS support
+  FROM p, (VALUES ('negative'), ('neutral'), ('positive')) v(label) GROUP BY ALL),
+f AS (SELECT *, coalesce(hit::DOUBLE / nullif(said, 0), 0) AS precision, coalesce(hit::DOUBLE / nullif(support, 0), 0) AS recall, coalesce((2 * hit)::DOUBLE / nullif(said + support, 0), 0) AS f1 FROM c),
+k AS (SELECT part, sum(hit)::DOUBLE / sum(support) AS po, sum(said * support)::DOUBLE / sum(support) / sum(support) AS pe FROM c GROUP BY part),
+long AS (SELECT part, value, unnest(['n', 'accuracy', 'low', 'high']) AS measure, unnest([n::DOUBLE, a, mid - half, mid + half]) AS amount FROM w
+  UNION ALL SELECT part, 'all', 'kappa', (po - pe) / (1 - pe) FROM k
+  UNION ALL SELECT part, label, unnest(['precision', 'recall', 'f1', 'support']), unnest([precision, recall, f1, support::DOUBLE]) FROM f
+  UNION ALL SELECT part, 'all', unnest(['macro_f1', 'weighted_f1']), unnest([avg(f1), sum(f1 * support) / sum(support)]) FROM f GROUP BY part)
+SELECT part, value, measure, round(amount, 6) AS amount FROM long""")
+def drift_report(spark, d):
+    """Hand labels against the rule's, in all and by language, and against second hand labels of a quarter of the rows."""
+    rows = gold(spark, d)
+    hand = rows.select(F.col("doc_id").alias("id"), F.col("y_true").alias("label"))
+    model = rows.select(F.col("doc_id").alias("id"), F.col("y_pred").alias("label"), "lang")
+    again = rows.where("n_chars % 4 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "neutral").otherwise(F.col("y_true")).alias("label"))
+    return review.drift(hand, model, again, "lang").withColumn("amount", F.round("amount", 6))
+
+
 @query(f"""WITH {GOLD}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE y_true = y_pred) AS same FROM gold),
 m AS (SELECT sum(a * b)::DOUBLE AS chance FROM (SELECT count(*) FILTER (WHERE y_true = label) AS a, count(*) FILTER (WHERE y_pred = label) AS b FROM gold, (VALUES ('negative'), ('neutral'), ('positive')) v(label) GROUP BY label))
 SELECT n, round(same::DOUBLE / n, 9) AS po, round(chance / n / n, 9) AS pe, round((same::DOUBLE / n - chance / n / n) / (1 - chance / n / n), 9) AS kappa FROM t, m""")
@@ -474,6 +529,37 @@ def threshold_sweep_full(spark, d):
     return metrics.sweep(scores, FULL_CUTS, FULL_CUTS).withColumns({k: F.round(k, 6) for k in ("accuracy", "macro_f1", "negative_recall")})
 
 
+FULL_SWEEP = GOLD + """, s AS (SELECT y_true, (n_chars % 201 - 100) / 100::DOUBLE AS score FROM gold), k AS (SELECT round(i * 0.05::DOUBLE, 2) AS c FROM range(-19, 20) t(i)),
+p AS (SELECT a.c AS pos_cut, b.c AS neg_cut, y_true, CASE WHEN score >= a.c THEN 'positive' WHEN score <= b.c THEN 'negative' ELSE 'neutral' END AS y_pred FROM s, k a, k b WHERE a.c >= b.c),
+f AS (SELECT pos_cut, neg_cut, label, count(*) FILTER (WHERE y_true = label AND y_pred = label) AS hit, count(*) FILTER (WHERE y_pred = label) AS said, count(*) FILTER (WHERE y_true = label) AS sup
+      FROM p, (VALUES ('negative'), ('neutral'), ('positive')) v(label) GROUP BY ALL),
+sweep AS (SELECT pos_cut, neg_cut, round(sum(hit)::DOUBLE / sum(sup), 12) AS accuracy, round(avg(coalesce((2 * hit)::DOUBLE / nullif(said + sup, 0), 0)), 12) AS macro_f1,
+          round(coalesce(sum(hit) FILTER (WHERE label = 'negative')::DOUBLE / nullif(sum(sup) FILTER (WHERE label = 'negative'), 0), 0), 12) AS negative_recall FROM f GROUP BY pos_cut, neg_cut)"""
+
+
+@query(f"""WITH {FULL_SWEEP}, fl AS (SELECT round(max(n)::DOUBLE / sum(n), 12) AS floor FROM (SELECT count(*) AS n FROM gold GROUP BY y_true)), own AS (SELECT macro_f1 FROM sweep WHERE pos_cut = 0.05 AND neg_cut = -0.05),
+c AS (SELECT sweep.* FROM sweep, fl WHERE accuracy > floor),
+r AS (SELECT 'best_macro_f1' AS kind, * FROM (SELECT * FROM sweep WHERE macro_f1 = (SELECT max(macro_f1) FROM sweep))
+      UNION ALL SELECT 'best_accuracy', * FROM (SELECT * FROM sweep WHERE accuracy = (SELECT max(accuracy) FROM sweep))
+      UNION ALL SELECT 'clearing_macro_f1', * FROM (SELECT * FROM c WHERE macro_f1 = (SELECT max(macro_f1) FROM c))
+      UNION ALL SELECT 'clearing_negative_recall', * FROM (SELECT * FROM c WHERE negative_recall = (SELECT max(negative_recall) FROM c))
+      UNION ALL SELECT 'beating', c.* FROM c, own WHERE c.macro_f1 > own.macro_f1)
+SELECT kind, pos_cut, neg_cut, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(negative_recall, 6) AS negative_recall FROM r""")
+def threshold_choice(spark, d):
+    """Of the full sweep: the best pairs, the best ones over the majority rate, and those of them that beat the pair (0.05, -0.05)."""
+    scores = gold(spark, d).select("y_true", ((F.col("n_chars") % 201 - 100) / 100).alias("score"))
+    swept = metrics.sweep(scores, FULL_CUTS, FULL_CUTS).cache()  # 780 rows
+    own = metrics.distribution(gold(spark, d), "y_true").first()
+    clear = metrics.clearing(swept, own["majority_rate"] if own else 0.0)
+    better = metrics.beating(swept, 0.05, -0.05).drop("gain").join(clear.select("pos_cut", "neg_cut"), ["pos_cut", "neg_cut"])
+    kinds = {
+        "best_macro_f1": metrics.best_of(swept), "best_accuracy": metrics.best_of(swept, "accuracy", "macro_f1"), "clearing_macro_f1": metrics.best_of(clear),
+        "clearing_negative_recall": metrics.best_of(clear, "negative_recall", "macro_f1"), "beating": better,
+    }
+    out = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), *swept.columns) for kind, df in kinds.items()])
+    return out.withColumns({k: F.round(k, 6) for k in ("accuracy", "macro_f1", "negative_recall")})
+
+
 @query(f"WITH {GOLD} SELECT y_true AS label, round((SELECT count(*) FROM gold)::DOUBLE / (3 * count(*)), 9) AS weight FROM gold GROUP BY y_true")
 def class_weights(spark, d):
     return metrics.class_weights(gold(spark, d), "y_true").withColumn("weight", F.round("weight", 9))
@@ -511,6 +597,21 @@ def split_set_hash(spark, d):
     return splits.set_hash(table(spark, d, "benchmark"))
 
 
+_PIN_LEAF = "SELECT substr(digest, 1, depth) AS path, sha256(string_agg(digest || ':' || k, chr(10) ORDER BY digest || ':' || k)) AS hash, sum(k)::BIGINT AS n, any_value(depth) AS depth FROM e, z GROUP BY 1"
+
+
+@query(f"""WITH e AS (SELECT sha256('+' || strlen(doc_id::VARCHAR) || ':' || doc_id || coalesce('+' || strlen(text) || ':' || text, '-')) AS digest, count(*) AS k FROM documents GROUP BY 1),
+z AS (SELECT min(t.d) AS depth FROM range(0, 12) t(d) WHERE (SELECT count(*) FROM documents) <= 16 * 16 ** t.d),
+l3 AS ({_PIN_LEAF}),
+l2 AS (SELECT substr(path, 1, length(path) - 1) AS path, sha256(string_agg(path || ':' || hash, chr(10) ORDER BY path)) AS hash, sum(n)::BIGINT AS n, any_value(depth) AS depth FROM l3 WHERE depth > 0 GROUP BY 1),
+l1 AS (SELECT substr(path, 1, length(path) - 1) AS path, sha256(string_agg(path || ':' || hash, chr(10) ORDER BY path)) AS hash, sum(n)::BIGINT AS n, any_value(depth) AS depth FROM l2 WHERE depth > 1 GROUP BY 1),
+l0 AS (SELECT substr(path, 1, length(path) - 1) AS path, sha256(string_agg(path || ':' || hash, chr(10) ORDER BY path)) AS hash, sum(n)::BIGINT AS n, any_value(depth) AS depth FROM l1 WHERE depth > 2 GROUP BY 1)
+SELECT path, hash, n FROM l3 UNION ALL SELECT path, hash, n FROM l2 UNION ALL SELECT path, hash, n FROM l1 UNION ALL SELECT path, hash, n FROM l0""")
+def split_tree(spark, d):
+    """The hash tree of all documents, 16 rows a leaf (the SQL reaches 65,536 documents)."""
+    return splits.tree(table(spark, d, "documents"), "doc_id", "text", leaf_rows=16)
+
+
 @query("SELECT DISTINCT text FROM benchmark WHERE text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL)")
 def nesting_violations(spark, d):
     return splits.nesting_violations(table(spark, d, "benchmark"), table(spark, d, "documents"))
