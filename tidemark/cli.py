@@ -94,7 +94,11 @@ def main(argv: list[str] | None = None) -> int:
         n = store.write_scores(classify.score_unscored(store.headlines(), classify.rule_classifier), now.replace(tzinfo=None))
         print(f"{n} headlines scored")
     elif a.command == "score":
-        rows = spark.createDataFrame([(a.text,)], "sentence string") if a.text is not None else feeds.read_jsonl(spark, a.file)
+        try:
+            rows = spark.createDataFrame([(a.text,)], "sentence string") if a.text is not None else feeds.read_jsonl(spark, a.file)
+        except ValueError as e:
+            say(e)
+            return 2
         for row in classify.score_records(rows.select("sentence"), classify.rule_classifier).toLocalIterator():
             print(json.dumps(row.asDict(), ensure_ascii=False))
     else:

@@ -16,6 +16,7 @@ from tidemark.functions.scalars import band, linkable, url_hash
 from tidemark.functions.text import PORTABLE_TOKEN, clean, title_key, tokens
 from tidemark.operators import classify, dedupe, gates, index, metrics, report, review, splits, themes
 from tidemark.plans.views import EV, GOLD, IDX, RAW, gold, headlines, raw_headlines, table
+from tidemark.sources import feeds
 
 S = Settings()
 TODAY = dt.date(2024, 1, 30)
@@ -247,6 +248,23 @@ def page_title_scan(spark, d):
     return table(spark, d, "pages").select("page_id", title.alias("title")).where(F.trim("title") != "")
 
 
+#: Documents as feeds of one item a line; every tenth is broken XML.
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text <> ''), n AS (SELECT doc_id, {NORM} AS key FROM l),
+c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE key = '') AS skipped, sha256(coalesce(string_agg(key, chr(10) ORDER BY key) FILTER (WHERE key <> ''), '')) AS keys FROM n GROUP BY doc_id)
+SELECT documents.doc_id::VARCHAR AS name, CASE WHEN doc_id % 10 = 3 THEN 0 ELSE coalesce(n, 0) END::BIGINT AS received, CASE WHEN doc_id % 10 = 3 THEN 0 ELSE coalesce(skipped, 0) END::BIGINT AS skipped,
+       CASE WHEN doc_id % 10 = 3 THEN 'ParseError' WHEN n IS NULL THEN 'no entries' END AS failure, CASE WHEN doc_id % 10 = 3 OR n = skipped THEN NULL ELSE keys END AS keys FROM documents LEFT JOIN c USING (doc_id)""")
+def feed_scan(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    item = lambda line: F.concat(F.lit("<item><title>"), line, F.lit("</title><link>https://feed.example/x</link></item>"))
+    items = F.when(F.col("text") == "", "").otherwise(F.array_join(F.transform(F.split(escaped, "\n"), item), ""))
+    body = F.concat(F.lit("<rss><channel>"), items, F.when(F.col("doc_id") % 10 == 3, "</rss>").otherwise("</channel></rss>"))
+    rows = feeds.parse(docs.select(F.col("doc_id").cast("string").alias("feed"), F.lit(0).alias("feed_ord"), body.alias("body")))
+    found, status = feeds.parted(rows, dt.datetime(2024, 1, 31))
+    keys = found.groupBy(F.col("source").alias("name")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("title_norm")), "\n"), 256).alias("keys"))
+    return status.join(keys, "name", "left").select("name", "received", "skipped", F.nullif(F.regexp_extract("error", "^[^:]*", 0), F.lit("")).alias("failure"), "keys")
+
+
 def _keyed(spark, d):
     e = table(spark, d, "events")
     return e.select(
@@ -637,6 +655,32 @@ def lexicon_score(spark, d):
     return classify.lexicon_labels(scored).withColumn("compound", F.round("compound", 9))
 
 
+RULES = classify.Rules(boosters={"of": 0.293, "to": 0.293, "in": -0.293, "und": -0.293}, negations=("is", "de", "die"), shift="that")
+
+
+def _rule_step(k: int, fade: float) -> str:
+    boost = f"CASE p{k} WHEN 'of' THEN 0.293::DOUBLE WHEN 'to' THEN 0.293::DOUBLE WHEN 'in' THEN -0.293::DOUBLE WHEN 'und' THEN -0.293::DOUBLE END"
+    loud = f"CASE WHEN mixed AND u{k} THEN CASE WHEN v > 0 THEN 0.733::DOUBLE ELSE -0.733::DOUBLE END ELSE 0 END"
+    return f"SELECT * REPLACE ((v + coalesce((CASE WHEN v < 0 THEN -({boost}) ELSE {boost} END + {loud}) * {fade}::DOUBLE, 0)) * CASE WHEN p{k} IN ('is', 'de', 'die') THEN -0.74::DOUBLE ELSE 1 END AS v) FROM v{k - 1}"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}'']+') AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM t), f AS (SELECT *, lower(w) AS l, w = upper(w) AND w <> lower(w) AS u FROM e),
+g AS (SELECT *, lag(l, 1) OVER d AS p1, lag(l, 2) OVER d AS p2, lag(l, 3) OVER d AS p3, lag(u, 1) OVER d AS u1, lag(u, 2) OVER d AS u2, lag(u, 3) OVER d AS u3,
+      bool_or(u) OVER a AND NOT bool_and(u) OVER a AS mixed, min(CASE WHEN l = 'that' THEN i END) OVER a AS shift FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY i), a AS (PARTITION BY doc_id)),
+lex(term, valence) AS (VALUES ('the', 0.5::DOUBLE), ('and', -0.25), ('der', 1.0), ('que', -1.0), ('idiot', -3.0)),
+v0 AS (SELECT g.*, valence + CASE WHEN mixed AND u THEN sign(valence) * 0.733::DOUBLE ELSE 0 END AS v FROM g JOIN lex ON l = term),
+v1 AS ({_rule_step(1, 1.0)}), v2 AS ({_rule_step(2, 0.95)}), v3 AS ({_rule_step(3, 0.9)}),
+s AS (SELECT doc_id, sum((v * CASE WHEN shift IS NULL OR i = shift THEN 1 WHEN i < shift THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END)::DECIMAL(38,18))::DOUBLE AS s FROM v3 GROUP BY doc_id),
+m AS (SELECT documents.doc_id, coalesce(s, 0) AS s, coalesce(length(text) - length(replace(text, '!', '')), 0) AS e, coalesce(length(text) - length(replace(text, '?', '')), 0) AS a FROM documents LEFT JOIN s USING (doc_id)),
+n AS (SELECT doc_id, s + sign(s) * (least(e, 4) * 0.292::DOUBLE + CASE WHEN a > 3 THEN 0.96::DOUBLE WHEN a > 1 THEN a * 0.18::DOUBLE ELSE 0 END) AS s FROM m)
+SELECT doc_id, round(s / sqrt(s * s + 15), 9) AS compound FROM n""")
+def lexicon_rules(spark, d):
+    """The sequence rules with words of the test texts as boosters, negations and shift."""
+    lexicon = spark.createDataFrame([("the", 0.5), ("and", -0.25), ("der", 1.0), ("que", -1.0), ("idiot", -3.0)], "term string, valence double")
+    return classify.rule_scores(table(spark, d, "documents"), lexicon, RULES).withColumn("compound", F.round("compound", 9))
+
+
 @query("SELECT doc_id, (['negative', 'neutral', 'positive'])[length(text) % 3 + 1] AS pred_label, round(0.5 + (length(text) % 7) / 20.0, 6)::DOUBLE AS confidence FROM documents")
 def score_batch(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
