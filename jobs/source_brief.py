@@ -3,15 +3,18 @@
     python -m jobs.source_brief --documents DOCUMENTS --target OUT [--config FILE]
 
 Of documents with the same normalised text the one with the smallest id stays. Those that stay are scored
-by a lexicon and compared by source: a term's lift is its mean TF-IDF in the source over its mean in
-all other sources. The job writes
+by a lexicon with sequence rules and compared by source: a term's lift is its mean TF-IDF in the source
+over its mean in all other sources. Whole texts are never shuffled: digests decide which documents stay,
+scores are sums by document, and words are placed by document once, for a table of term counts
+that the rest reads. The job writes
 
+* ``OUT/kept`` and ``OUT/counts``: the documents that stay, and their terms with counts,
 * ``OUT/scores`` by source: the compound score and label of every document that stays,
 * ``OUT/terms`` by source: the first terms by lift (a term that no other source has comes first), then
   document count, then term; lifts are rounded to four digits before they rank,
 * ``OUT/briefs``: a row a source with counts, mood (100 x sum of scores over sum of their sizes) and its terms.
 
-All three are replaced as a whole, so a rerun gives the same result, and so does one after a failure. A
+All are replaced as a whole, so a rerun gives the same result, and so does one after a failure. A
 missing or blank source is named "unknown".
 """
 
@@ -27,12 +30,13 @@ from tidemark.functions.numbers import exact_sum
 from tidemark.functions.scalars import named_source
 from tidemark.functions.text import title_key
 from tidemark.operators import classify, themes
-from tidemark.plans.queries import NORM, TFIDF
+from tidemark.plans.queries import NORM, RULE_SCORES, TFIDF
 
 LOG = logging.getLogger("jobs.source_brief")
 DEFAULTS = {
     "terms": 10, "min_documents": 2, "min_df": 2, "positive": 0.05, "negative": -0.05,
     "lexicon": {"the": 0.5, "and": -0.25, "der": 1.0, "que": -1.0, "idiot": -3.0},
+    "boosters": {"of": 0.293, "to": 0.293, "in": -0.293, "und": -0.293}, "negations": ["is", "de", "die"], "shift": "that",
 }
 
 
@@ -49,16 +53,16 @@ def run(spark: SparkSession, documents: str, target: str, cfg: dict = DEFAULTS)
     docs = spark.read.parquet(documents).select("doc_id", "text", "source")
     first_of_equal(docs.observe(read, F.count("*").alias("n"))).write.mode("overwrite").parquet(f"{target}/kept")
     kept = spark.read.parquet(f"{target}/kept")
-    texts = docs.select("doc_id", "text").join(kept, "doc_id")
-
     lexicon = spark.createDataFrame(list(cfg["lexicon"].items()), "term string, valence double")
-    scores = classify.lexicon_labels(classify.lexicon_scores(texts, F.broadcast(lexicon)), cfg["positive"], cfg["negative"])
+    rules = classify.Rules(boosters=cfg["boosters"], negations=tuple(cfg["negations"]), shift=cfg["shift"])
+    scores = classify.lexicon_labels(classify.rule_scores(docs, lexicon, rules), cfg["positive"], cfg["negative"])
     scores = scores.join(kept, "doc_id").select("doc_id", "compound", F.col("y_pred").alias("label"), "source")
     scores.hint("rebalance", "source").write.mode("overwrite").partitionBy("source").parquet(f"{target}/scores")
 
-    terms = themes.term_rows(texts.select("doc_id", "text"))
+    themes.term_rows(docs).join(kept.select("doc_id"), "doc_id").write.mode("overwrite").parquet(f"{target}/counts")
+    counts = spark.read.parquet(f"{target}/counts")
     n_docs = kept.count()
-    tfidf = themes.transform(terms, themes.vocabulary(terms, n_docs, min_df=cfg["min_df"]))
+    tfidf = themes.transform(counts, themes.vocabulary(counts, n_docs, min_df=cfg["min_df"]))
     lifted = themes.lift_by_group(tfidf, kept.withColumnRenamed("source", "group"), cfg["min_documents"])
     ranked = themes.first_terms(lifted.withColumn("lift", F.round("lift", 4)), cfg["terms"]).withColumnRenamed("group", "source")
     ranked.hint("rebalance", "source").write.mode("overwrite").partitionBy("source").parquet(f"{target}/terms")
@@ -90,7 +94,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output(spark, target).withColumn("mood", F.round("mood", 6))
 
 
-SQL = f"""WITH named AS (SELECT doc_id, text, coalesce(nullif(trim(source), ''), 'unknown') AS source FROM documents),
+SQL = f"""WITH scored AS (WITH {RULE_SCORES} SELECT * FROM rule_scores),
+named AS (SELECT doc_id, text, coalesce(nullif(trim(source), ''), 'unknown') AS source FROM documents),
 d AS (SELECT doc_id, text, source FROM (SELECT *, row_number() OVER (PARTITION BY sha256({NORM.replace("lower(text)", "lower(coalesce(text, ''))")}) ORDER BY doc_id, source) AS k FROM named) WHERE k = 1),
 {TFIDF.replace("FROM documents", "FROM d")},
 g2 AS (SELECT source, count(*) AS rows FROM d GROUP BY source),
@@ -99,9 +104,7 @@ lifted AS (SELECT source, term, n, CASE WHEN sum(n) OVER t = n THEN 'inf'::DOUBL
     ELSE round((s / rows) / ((sum(s) OVER t - s) / ((SELECT count(*) FROM d) - rows)), 4) END AS lift FROM own JOIN g2 USING (source) WINDOW t AS (PARTITION BY term)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lift DESC, n DESC, term) AS rank FROM lifted WHERE n >= 2),
 listed AS (SELECT source, string_agg(term, ', ' ORDER BY rank) AS terms FROM ranked WHERE rank <= 10 GROUP BY source),
-lw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}]+')) AS term FROM d),
-lex(term, valence) AS (VALUES ('the', 0.5), ('and', -0.25), ('der', 1.0), ('que', -1.0), ('idiot', -3.0)), ls AS (SELECT doc_id, sum(valence)::DOUBLE AS s FROM lw JOIN lex USING (term) GROUP BY doc_id),
-sc AS (SELECT d.doc_id, source, coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15) AS c FROM d LEFT JOIN ls USING (doc_id)),
+sc AS (SELECT d.doc_id, source, compound AS c FROM d JOIN scored USING (doc_id)),
 lean AS (SELECT source, count(*) AS n_kept, count(*) FILTER (WHERE c >= 0.05) AS n_positive, count(*) FILTER (WHERE c <= -0.05) AS n_negative, coalesce(100 * sum(c) / nullif(sum(abs(c)), 0), 0) AS mood FROM sc GROUP BY source),
 al AS (SELECT source, count(*) AS n_docs FROM named GROUP BY source)
 SELECT source, n_docs, coalesce(n_kept, 0) AS n_kept, coalesce(n_positive, 0) AS n_positive, coalesce(n_negative, 0) AS n_negative, round(coalesce(mood, 0), 6) AS mood, coalesce(terms, '') AS terms

@@ -664,7 +664,7 @@ def _rule_step(k: int, fade: float) -> str:
     return f"SELECT * REPLACE ((v + coalesce((CASE WHEN v < 0 THEN -({boost}) ELSE {boost} END + {loud}) * {fade}::DOUBLE, 0)) * CASE WHEN p{k} IN ('is', 'de', 'die') THEN -0.74::DOUBLE ELSE 1 END AS v) FROM v{k - 1}"
 
 
-@query(rf"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}'']+') AS w FROM documents),
+RULE_SCORES = rf"""t AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}'']+') AS w FROM documents),
 e AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM t), f AS (SELECT *, lower(w) AS l, w = upper(w) AND w <> lower(w) AS u FROM e),
 g AS (SELECT *, lag(l, 1) OVER d AS p1, lag(l, 2) OVER d AS p2, lag(l, 3) OVER d AS p3, lag(u, 1) OVER d AS u1, lag(u, 2) OVER d AS u2, lag(u, 3) OVER d AS u3,
       bool_or(u) OVER a AND NOT bool_and(u) OVER a AS mixed, min(CASE WHEN l = 'that' THEN i END) OVER a AS shift FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY i), a AS (PARTITION BY doc_id)),
@@ -673,8 +673,11 @@ v0 AS (SELECT g.*, valence + CASE WHEN mixed AND u THEN sign(valence) * 0.733::D
 v1 AS ({_rule_step(1, 1.0)}), v2 AS ({_rule_step(2, 0.95)}), v3 AS ({_rule_step(3, 0.9)}),
 s AS (SELECT doc_id, sum((v * CASE WHEN shift IS NULL OR i = shift THEN 1 WHEN i < shift THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END)::DECIMAL(38,18))::DOUBLE AS s FROM v3 GROUP BY doc_id),
 m AS (SELECT documents.doc_id, coalesce(s, 0) AS s, coalesce(length(text) - length(replace(text, '!', '')), 0) AS e, coalesce(length(text) - length(replace(text, '?', '')), 0) AS a FROM documents LEFT JOIN s USING (doc_id)),
-n AS (SELECT doc_id, s + sign(s) * (least(e, 4) * 0.292::DOUBLE + CASE WHEN a > 3 THEN 0.96::DOUBLE WHEN a > 1 THEN a * 0.18::DOUBLE ELSE 0 END) AS s FROM m)
-SELECT doc_id, round(s / sqrt(s * s + 15), 9) AS compound FROM n""")
+n AS (SELECT doc_id, s + sign(s) * (least(e, 4) * 0.292::DOUBLE + CASE WHEN a > 3 THEN 0.96::DOUBLE WHEN a > 1 THEN a * 0.18::DOUBLE ELSE 0 END) AS s FROM m),
+rule_scores AS (SELECT doc_id, s / sqrt(s * s + 15) AS compound FROM n)"""
+
+
+@query(f"WITH {RULE_SCORES} SELECT doc_id, round(compound, 9) AS compound FROM rule_scores")
 def lexicon_rules(spark, d):
     """The sequence rules with words of the test texts as boosters, negations and shift."""
     lexicon = spark.createDataFrame([("the", 0.5), ("and", -0.25), ("der", 1.0), ("que", -1.0), ("idiot", -3.0)], "term string, valence double")
