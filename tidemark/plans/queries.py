@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Explain, Settings
+from tidemark.functions import calendar, scalars
 from tidemark.functions.numbers import certainty, half_up
 from tidemark.functions.scalars import band, linkable, url_hash
 from tidemark.functions.text import PORTABLE_TOKEN, clean, title_key, tokens
@@ -150,6 +151,10 @@ SELECT day, v.gate, CASE v.gate
   ELSE CASE WHEN stale > 0 THEN 'fired' ELSE 'pass' END END AS status
 FROM a, (VALUES ('pipeline_fresh'), ('all_scored'), ('thin_day'), ('feeds_down'), ('single_source'), ('low_confidence'), ('stale_feed')) v(gate)""", dates=("day",))
 def gate_status_of_runs(spark, d):
+    return gates.evaluate(_runs(spark, d)).select("day", "gate", "status")
+
+
+def _runs(spark, d):
     """Every day as a run of its own, 40.75 hours after the day's last UTC midnight, with four feeds, of which some did not respond."""
     raw = raw_headlines(spark, d)
     top = report.top_source(raw.where("label is not null")).select("day", "n_headlines", F.col("source").alias("top_source"), F.col("n").alias("top_count"))
@@ -158,10 +163,9 @@ def gate_status_of_runs(spark, d):
     newest = raw.groupBy("day", "source").agg(F.max(F.col("published_at").cast("timestamp")).alias("newest"))
     named = per_day.select("day", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).withColumn("source", F.concat(F.lit("src"), "i"))
     feed = F.struct(F.col("source").alias("name"), ((F.dayofmonth("day") + F.col("i")) % 4 != 0).alias("responded"), F.col("newest").alias("newest_published_at"))
-    feeds = named.join(newest, ["day", "source"], "left").groupBy("day").agg(F.collect_list(feed).alias("feeds"))
+    seen = named.join(newest, ["day", "source"], "left").groupBy("day").agg(F.collect_list(feed).alias("feeds"))
     now = F.date_add("day", 1).cast("timestamp") + F.expr("INTERVAL '40:45' HOUR TO MINUTE")
-    inputs = per_day.join(feeds, "day").join(top, "day", "left").join(low, "day", "left").withColumns({"is_today": F.lit(True), "now": now})
-    return gates.evaluate(inputs).select("day", "gate", "status")
+    return per_day.join(seen, "day").join(top, "day", "left").join(low, "day", "left").withColumns({"is_today": F.lit(True), "now": now})
 
 
 @query(f"WITH {RAW} SELECT id, day FROM raw WHERE label IS NULL", dates=("day",))
@@ -254,15 +258,18 @@ c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE key = '') AS skipped,
 SELECT documents.doc_id::VARCHAR AS name, CASE WHEN doc_id % 10 = 3 THEN 0 ELSE coalesce(n, 0) END::BIGINT AS received, CASE WHEN doc_id % 10 = 3 THEN 0 ELSE coalesce(skipped, 0) END::BIGINT AS skipped,
        CASE WHEN doc_id % 10 = 3 THEN 'ParseError' WHEN n IS NULL THEN 'no entries' END AS failure, CASE WHEN doc_id % 10 = 3 OR n = skipped THEN NULL ELSE keys END AS keys FROM documents LEFT JOIN c USING (doc_id)""")
 def feed_scan(spark, d):
+    found, status = feeds.parted(_document_feeds(spark, d), dt.datetime(2024, 1, 31))
+    keys = found.groupBy(F.col("source").alias("name")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("title_norm")), "\n"), 256).alias("keys"))
+    return status.join(keys, "name", "left").select("name", "received", "skipped", F.nullif(F.regexp_extract("error", "^[^:]*", 0), F.lit("")).alias("failure"), "keys")
+
+
+def _document_feeds(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     item = lambda line: F.concat(F.lit("<item><title>"), line, F.lit("</title><link>https://feed.example/x</link></item>"))
     items = F.when(F.col("text") == "", "").otherwise(F.array_join(F.transform(F.split(escaped, "\n"), item), ""))
     body = F.concat(F.lit("<rss><channel>"), items, F.when(F.col("doc_id") % 10 == 3, "</rss>").otherwise("</channel></rss>"))
-    rows = feeds.parse(docs.select(F.col("doc_id").cast("string").alias("feed"), F.lit(0).alias("feed_ord"), body.alias("body")))
-    found, status = feeds.parted(rows, dt.datetime(2024, 1, 31))
-    keys = found.groupBy(F.col("source").alias("name")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("title_norm")), "\n"), 256).alias("keys"))
-    return status.join(keys, "name", "left").select("name", "received", "skipped", F.nullif(F.regexp_extract("error", "^[^:]*", 0), F.lit("")).alias("failure"), "keys")
+    return feeds.parse(docs.select(F.col("doc_id").cast("string").alias("feed"), F.lit(0).alias("feed_ord"), body.alias("body")))
 
 
 def _keyed(spark, d):
@@ -750,3 +757,166 @@ def constraint_violations(spark, d):
         (F.col("value") / 100).alias("confidence"), F.col("ts").cast("timestamp").alias("scored_at"),
     )
     return schema.violations(rows)
+
+
+@query(f"""WITH {RAW}, s AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE (['negative', 'neutral', 'positive'])[id % 3 + 1] END AS l, (id % 50 + 50) / 100::DOUBLE AS c FROM raw WHERE id % 7 <> 0)
+SELECT raw.id, coalesce(label, l) AS label, CASE WHEN label IS NULL AND l IS NOT NULL THEN c ELSE confidence END AS confidence, label IS NULL AND l IS NOT NULL AS filled FROM raw LEFT JOIN s USING (id)""")
+def fill_once(spark, d):
+    """Scores for most rows, some of them empty: only rows without a label take one."""
+    rows = raw_headlines(spark, d).select("id", "label", "confidence", F.lit(None).cast("timestamp").alias("scored_at"))
+    label = F.element_at(F.array(*map(F.lit, ("negative", "neutral", "positive"))), (F.col("id") % 3 + 1).cast("int"))
+    scores = rows.where("id % 7 <> 0").select("id", F.when(F.col("id") % 4 != 0, label).alias("label"), ((F.col("id") % 50 + 50) / 100).alias("confidence"))
+    return dedupe.fill_scores(rows, scores, dt.datetime(2024, 2, 1), "filled").drop("scored_at")
+
+
+@query("""WITH e AS (SELECT event_id::VARCHAR AS id, 'src' || (user_id % 3) AS source, ts FROM events)
+SELECT 'newest' AS kind, source AS key, date_trunc('second', max(ts))::VARCHAR AS value FROM e GROUP BY source
+UNION ALL SELECT 'span', 'first', '2024-01-31 00:00:00' UNION ALL SELECT 'span', 'last', '2024-01-31 00:00:00'
+UNION ALL SELECT 'recent', id, 'title ' || id FROM e WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'""")
+def store_reports(spark, d):
+    """A store of all events: newest item of each source, span of fetches, titles of the last seven days."""
+    from tidemark.sources.store import Store
+
+    store, key = Store(spark, f"{dedupe.shared_folder(spark)}/tidemark-store-{uuid.uuid4().hex[:12]}", buckets=8), F.col("event_id").cast("string")
+    rows = table(spark, d, "events").select(
+        key.alias("id"), F.concat(F.lit("src"), (F.col("user_id") % 3).cast("string")).alias("source"), F.concat(F.lit("title "), key).alias("title"), key.alias("title_norm"),
+        F.col("ts").cast("timestamp").alias("published_at"), F.lit("2024-01-31 00:00:00").cast("timestamp").alias("fetched_at"), F.col("event_id").alias("seq"),
+    )
+    store.ingest(rows)
+    text = lambda c: F.date_trunc("second", c).cast("string").alias("value")
+    newest = store.freshness().select(F.lit("newest").alias("kind"), F.col("source").alias("key"), text("newest_published_at"))
+    span = store.fetch_span().select(F.explode(F.create_map(F.lit("first"), "first", F.lit("last"), "last")).alias("key", "at")).select(F.lit("span").alias("kind"), "key", text("at"))
+    recent = store.recent_titles(dt.datetime(2024, 1, 31), 7).select(F.lit("recent").alias("kind"), F.col("id").alias("key"), F.col("title").alias("value"))
+    return newest.unionByName(span).unionByName(recent)
+
+
+SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(rf"""SELECT doc_id, sha256(regexp_replace(trim(regexp_replace(text, '{SPACE}', ' ', 'g')), '([\\`*_\[\]<>|~#])', '\\\1', 'g')) AS shown FROM documents""")
+def markdown_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(scalars.markdown(F.col("text")), 256).alias("shown"))
+
+
+@query(r"SELECT page_id, regexp_replace(url || '|<x>', '([\\<>|])', '\\\1', 'g') AS url FROM pages")
+def markdown_link(spark, d):
+    return table(spark, d, "pages").select("page_id", scalars.markdown_url(F.concat("url", F.lit("|<x>"))).alias("url"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding[1:3] AS l FROM embeddings WHERE embedding IS NOT NULL), m AS (SELECT vec_id, l, list_max(l) AS top FROM e)
+SELECT vec_id, (['negative', 'neutral', 'positive'])[list_position(l, top)] AS label, round(1 / list_sum(list_transform(l, lambda x: exp(x::DOUBLE - top::DOUBLE))), 9) AS confidence FROM m""")
+def softmax_labels(spark, d):
+    """The first three components of each vector as logits."""
+    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    rows = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", logits.alias("l"))
+    picked = scalars.softmax_label(F.col("l"), F.array(*map(F.lit, ("negative", "neutral", "positive"))))
+    return rows.select("vec_id", picked.alias("p")).select("vec_id", "p.label", F.round("p.confidence", 9).alias("confidence"))
+
+
+@query(r"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at FROM events")
+def utc_texts(spark, d):
+    return table(spark, d, "events").select("event_id", scalars.utc_text(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query(f"""WITH {EV}, g AS (SELECT DISTINCT day FROM ev WHERE dayofweek(day) BETWEEN 1 AND 5), p AS (SELECT day, lag(day) OVER (ORDER BY day) AS prev FROM g)
+SELECT day, CASE WHEN prev = day - 1 THEN 'yesterday' ELSE strftime(prev, '%a %b %-d') END AS said FROM p""", dates=("day",))
+def previous_day_texts(spark, d):
+    """Business days with the name of the one before."""
+    days = headlines(spark, d).where("dayofweek(day) between 2 and 6").select("day").distinct()
+    prev = F.max("prev").alias("prev")
+    near = days.join(days.select(F.col("day").alias("prev")), (F.col("prev") < F.col("day")) & (F.col("prev") >= F.date_sub("day", 4)), "left").groupBy("day").agg(prev)
+    return near.select("day", calendar.when_text(F.col("prev"), F.col("day")).alias("said"))
+
+
+@query(f"""WITH g AS ({ORACLE['gate_status_of_runs']}) SELECT day, count(*) FILTER (WHERE b AND status = 'pass') AS n_passed, count(*) FILTER (WHERE b AND status <> 'not_applicable') AS n_applicable,
+  count(*) FILTER (WHERE b AND status = 'not_applicable') AS n_not_applicable, bool_or(b AND status = 'fail') AS blocked,
+  coalesce(string_agg(gate, ',' ORDER BY k) FILTER (WHERE status = 'fired'), '') AS notes
+FROM (SELECT *, gate IN ('pipeline_fresh', 'all_scored') AS b, list_position(['pipeline_fresh', 'all_scored', 'thin_day', 'feeds_down', 'single_source', 'low_confidence', 'stale_feed'], gate) AS k FROM g) GROUP BY day""")
+def gate_summary(spark, d):
+    """What the gates of each run come to."""
+    done = gates.summary(gates.evaluate(_runs(spark, d)))
+    return done.withColumns({"day": F.col("day").cast("string"), "notes": F.array_join(F.transform("notes", lambda n: n["gate"]), ",")})
+
+
+@query(f"""WITH {GOLD}, m AS (SELECT 'rule' AS method, 0 AS position, y_true, y_pred FROM gold UNION ALL SELECT 'always neutral', 1, y_true, 'neutral' FROM gold),
+c AS (SELECT method, position, label, count(*) FILTER (WHERE y_true = label AND y_pred = label) AS hit, count(*) FILTER (WHERE y_pred = label) AS said, count(*) FILTER (WHERE y_true = label) AS support
+  FROM m, (VALUES ('negative'), ('neutral'), ('positive')) v(label) GROUP BY ALL), f AS (SELECT *, coalesce((2 * hit)::DOUBLE / nullif(said + support, 0), 0) AS f1 FROM c)
+SELECT position, method, round(sum(hit)::DOUBLE / sum(support), 9) AS accuracy, round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1, sum(support)::BIGINT AS n FROM f GROUP BY ALL""")
+def eval_suite(spark, d):
+    """The rule and the constant method on the labelled documents, in the order given."""
+    rows = gold(spark, d).select("y_true", "y_pred")
+    found = metrics.summary_table([("rule", rows), ("always neutral", rows.withColumn("y_pred", F.lit("neutral")))])
+    return found.select("position", "method", *[F.round(k, 9).alias(k) for k in ("accuracy", "macro_f1", "weighted_f1")], "n")
+
+
+@query(f"""WITH {GOLD} SELECT doc_id, y_true, y_pred, (n_chars % 100) / 100::DOUBLE AS confidence, row_number() OVER (ORDER BY y_true, y_pred, n_chars % 100 DESC, doc_id) AS place FROM gold WHERE y_true <> y_pred""")
+def disagreement_order(spark, d):
+    """Where hand and rule differ, numbered in the order of review."""
+    rows = gold(spark, d).select("doc_id", "y_true", "y_pred", (F.col("n_chars") % 100 / 100).alias("confidence"))
+    place = Window.orderBy("y_true", "y_pred", F.desc("confidence"), "doc_id")  # of one review's rows
+    return metrics.disagreements(rows).withColumn("place", F.row_number().over(place).cast("long"))
+
+
+@query("""WITH b AS (SELECT event_type, value AS loss, event_id % 7 + 1 AS rows, user_id % 5 + 1 AS seconds FROM events)
+SELECT event_type, round(sum(loss * rows) / sum(rows), 6) AS loss, round(sum(rows)::DOUBLE / sum(seconds), 9) AS rows_per_second FROM b GROUP BY event_type""")
+def weighted_losses(spark, d):
+    """Events as batches with a loss, a number of rows and a time."""
+    e = table(spark, d, "events")
+    batches = e.select("event_type", F.col("value").alias("loss"), (F.col("event_id") % 7 + 1).alias("rows"), (F.col("user_id") % 5 + 1).alias("seconds"))
+    return metrics.weighted_loss(batches, "event_type").withColumns({"loss": F.round("loss", 6), "rows_per_second": F.round("rows_per_second", 9)})
+
+
+@query(f"""WITH {GOLD} SELECT 'model' AS part, doc_id AS id, y_true, y_pred FROM gold
+UNION ALL SELECT 'again', doc_id, y_true, CASE WHEN doc_id % 5 = 0 THEN 'neutral' ELSE y_true END FROM gold WHERE n_chars % 4 = 0""")
+def label_joins(spark, d):
+    """Hand labels with the rule's for the same ids, and with second hand labels for some of them."""
+    rows = gold(spark, d)
+    hand = rows.select(F.col("doc_id").alias("id"), F.col("y_true").alias("label"))
+    again = rows.where("n_chars % 4 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "neutral").otherwise(F.col("y_true")).alias("label"))
+    model = review.joined(hand, rows.select(F.col("doc_id").alias("id"), F.col("y_pred").alias("label")))
+    return model.select(F.lit("model").alias("part"), "id", "y_true", "y_pred").unionByName(review.relabelled(hand, again).select(F.lit("again").alias("part"), "id", "y_true", "y_pred"))
+
+
+@query(f"WITH {SPLIT}, c AS (SELECT split, y_true AS label, count(*) AS n FROM sp GROUP BY ALL) SELECT split, label, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY split), 9) AS share FROM c")
+def split_summary(spark, d):
+    parts = splits.stratified(gold(spark, d).select("doc_id", "y_true"), S.split, "doc_id", "y_true")
+    return splits.summary(parts, "y_true").withColumn("share", F.round("share", 9))
+
+
+@query("""SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+def id_differences(spark, d):
+    return splits.same_ids(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT event_id, date_trunc('second', ts)::VARCHAR AS published_at FROM events")
+def feed_dates(spark, d):
+    """Times as feeds write them, in three forms, read back."""
+    at = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    forms = [F.date_format(at, "EEE, d MMM yyyy HH:mm:ss Z"), F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")]
+    text = F.element_at(F.array(*forms), (F.col("event_id") % 3 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", feeds.published(text).cast("string").alias("published_at"))
+
+
+@query(f"WITH s AS ({ORACLE['feed_scan']}) SELECT count(*) FILTER (WHERE failure IS NULL) AS live, count(*) AS feeds, sum(received)::BIGINT AS entries FROM s")
+def feed_tallies(spark, d):
+    return feeds.tallies(feeds.parted(_document_feeds(spark, d), dt.datetime(2024, 1, 31))[1])
+
+
+@query(f"WITH {EV} SELECT day, sha256(string_agg(id || '=' || round(s * c100 / 100.0::DOUBLE, 2), ',' ORDER BY published_at, id)) AS terms, count(*) AS n FROM ev WHERE value < 40 GROUP BY day", dates=("day",))
+def snapshot_lists(spark, d):
+    """The rows behind each day, in order, with the terms that were stored."""
+    rows = headlines(spark, d).where("value < 40")
+    held = index.snapshot_terms(rows)
+    counted = index.counted(rows.drop("term"), held)
+    listed = index.ordered_terms(counted.select(F.col("day").alias("date"), "published_at", "id", "term"))
+    shown = F.transform("terms", lambda t: F.concat(t["id"].cast("string"), F.lit("="), F.round(t["term"], 2).cast("string")))
+    return listed.select(F.col("date").alias("day"), F.sha2(F.array_join(shown, ","), 256).alias("terms"), F.size("terms").cast("long").alias("n"))
+
+
+@query(f"""WITH {SPLIT}, c AS (SELECT y_true, count(*) AS n, min(doc_id) AS first FROM sp WHERE split = 'train' GROUP BY 1)
+SELECT y_true AS label, (SELECT count(*) FROM sp WHERE split = 'test' AND sp.y_true = c.y_true) AS hits, (SELECT count(*) FROM sp WHERE split = 'test') AS n FROM c ORDER BY c.n DESC, first LIMIT 1""")
+def majority_floor(spark, d):
+    """The commonest label of the train split as the prediction for the test split."""
+    parts = splits.stratified(gold(spark, d).select("doc_id", "y_true"), S.split, "doc_id", "y_true")
+    label = classify.majority(parts.where("split = 'train'"), "y_true", "doc_id")
+    return parts.where("split = 'test'").agg(F.lit(label).alias("label"), F.count_if(F.col("y_true") == label).alias("hits"), F.count("*").alias("n"))
