@@ -72,6 +72,36 @@ def test_index_levels_and_lookup(spark, tmp_path, weak):
     assert sorted(p.name[:6] for p in (tmp_path / "i").iterdir()) == ["level2", "manife"] and look() == sorted([*want, (8, -5)])
 
 
+def test_tiers_leave_other_levels_alone_and_merge_without_a_shuffle(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "i"))
+    files = lambda level: {str(p) for p in (tmp_path / "i").glob(f"level{level}-*/entries/*.parquet")}
+    levels = lambda: sorted(r["level"] for r in index.live())
+    docs = [(i, f"text {i % 700}", "") for i in range(2000)]
+    for a in range(0, 1000, 250):
+        index.flush(spark.createDataFrame(docs[a : a + 250], DOCS))
+        index.compact(fan=4)
+    assert levels() == [2]
+    held = files(2)
+    for a in range(1000, 1750, 250):
+        index.flush(spark.createDataFrame(docs[a : a + 250], DOCS))
+        index.compact(fan=4)
+    index.flush(spark.createDataFrame(docs[1750:], DOCS))
+    assert levels() == [0, 1, 1, 1, 2] and files(2) == held, "merging level 0 touches no run above"
+    ones = [index._entries(r) for r in index.live() if r["level"] == 1]
+    plan = index._merged(ones[0].unionByName(ones[1]))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    index.vacuum()
+    assert files(2) == held
+    look = index.lookup(spark.createDataFrame([(9000 + i, f"TEXT {i}", "") for i in range(690, 710)], DOCS), spark.createDataFrame(docs, DOCS)).collect()
+    assert {(r.doc_id - 9000, r.keep_id) for r in look} == {(i, i) for i in range(690, 700)}
+    with pytest.raises(Exception, match="already exists"):
+        index._manifest = lambda: spark.createDataFrame([], "version long")  # another writer that has seen no version
+        index._publish([])
+    merged = {r.keep_id: r.n for r in exact_dedup.DigestIndex(spark, str(tmp_path / "i")).compact().collect()}
+    assert merged == {i: len(range(i, 2000, 700)) for i in range(700)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark")]
+
+
 def test_filters_lose_no_member(spark):
     rows = spark.range(5000).withColumnRenamed("id", "k")
     members = rows.where("k % 7 = 0")
