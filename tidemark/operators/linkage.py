@@ -207,7 +207,7 @@ def linked(tfidf: DataFrame, cut: float, least: int) -> DataFrame:
     there twice counts once; an empty table gives no cluster.
     """
     shared_folder(tfidf.sparkSession)
-    rows = tfidf.groupBy("group", "doc_id", "term").agg(F.max("tfidf").alias("w"), F.min("position").alias("position"))
+    rows = tfidf.groupBy("group", "doc_id", "term").agg(F.max("tfidf").alias("w"), F.min("position").alias("position")).checkpoint()
     terms = rows.groupBy("group", "term").agg(F.count("*").alias("df")).withColumn("t", F.monotonically_increasing_id()).checkpoint()
     vectors = rows.join(terms, ["group", "term"]).groupBy("group", "doc_id").agg(F.min("position").alias("position"), F.array_sort(F.collect_list(F.struct("df", "t", "w"))).alias("v"))
     vectors = vectors.withColumn("node", F.monotonically_increasing_id()).checkpoint()
