@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a table: write to the shared folder as Parquet and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def entering(rows: DataFrame) -> DataFrame:
     """Of rows (id, title_norm, seq), those that enter."""
     shared_folder(rows.sparkSession)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.dedupe import shared_folder
+from tidemark.operators.dedupe import shared_folder, written
 
 #: Digits of a cosine that count, rows of a block, terms of a block at once, bytes of distance rows that a component keeps.
 DIGITS, BLOCK, TERMS, KEPT_BYTES = 12, 512, 4096, 128 << 20
@@ -206,11 +206,10 @@ def linked(tfidf: DataFrame, cut: float, least: int) -> DataFrame:
     A cluster is named by the place of its first row among its group's rows in (position, doc_id) order, from 0. An entry that is
     there twice counts once; an empty table gives no cluster.
     """
-    shared_folder(tfidf.sparkSession)
-    rows = tfidf.groupBy("group", "doc_id", "term").agg(F.max("tfidf").alias("w"), F.min("position").alias("position")).checkpoint()
-    terms = rows.groupBy("group", "term").agg(F.count("*").alias("df")).withColumn("t", F.monotonically_increasing_id()).checkpoint()
+    rows = written(tfidf.groupBy("group", "doc_id", "term").agg(F.max("tfidf").alias("w"), F.min("position").alias("position")), "theme-rows")
+    terms = written(rows.groupBy("group", "term").agg(F.count("*").alias("df")).withColumn("t", F.monotonically_increasing_id()), "theme-terms")
     vectors = rows.join(terms, ["group", "term"]).groupBy("group", "doc_id").agg(F.min("position").alias("position"), F.array_sort(F.collect_list(F.struct("df", "t", "w"))).alias("v"))
-    vectors = vectors.withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    vectors = written(vectors.withColumn("node", F.monotonically_increasing_id()), "theme-vectors")
     if cut > 1:  # rows without a common term are near too
         placed = vectors.withColumn("component", F.min("node").over(Window.partitionBy("group")))
     else:
@@ -227,7 +226,7 @@ def linked(tfidf: DataFrame, cut: float, least: int) -> DataFrame:
         node = pdf["node"].to_numpy()
         return pd.DataFrame({"node": node[large], "first": node[label[large]]})
 
-    found = work.groupBy("component").applyInPandas(link, "node long, first long").checkpoint()
+    found = written(work.groupBy("component").applyInPandas(link, "node long, first long"), "theme-clusters")
     place = F.row_number().over(Window.partitionBy("group").orderBy("position", "doc_id")) - 1
     spots = vectors.select("node", "group", "doc_id", place.cast("long").alias("cluster"))
     firsts = spots.join(found.select(F.col("first").alias("node")).distinct(), "node").select(F.col("node").alias("first"), "cluster")
