@@ -568,3 +568,23 @@ def test_passing_with_columns_named_like_its_own(spark):
     df = df.withColumns({c: F.lit("x") for c in ("n_words", "row", "fail_bits", "_measured_bits")})
     kept = quality.passing(df)
     assert kept.columns == df.columns and [(r.doc_id, r._measured_n_words) for r in kept.collect()] == [(None, 2)] * 2
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Account Number: 12345678", [("account", "12345678")]), ("Passport No. X1234567", [("account", "X1234567")]),
+    ("password is hunter22", [("account", "hunter22")]), ("password is correct horse", []), ("the account is open today", []),
+    ("see HttpS://ex.org/a(b) and (http://a.b/c).", [("url", "HttpS://ex.org/a(b)"), ("url", "http://a.b/c")]),
+    ("http://[::1]:80/y, ftp://münchen.de!", [("url", "http://[::1]:80/y"), ("url", "ftp://münchen.de")]),
+    ("http://u:pw@h.de/x", [("email", "pw@h.de"), ("url", "http://u:pw@h.de/x")]), ("http:// and http://! and :// and http://-x", []),
+])
+def test_added_kinds(text, want):
+    assert [(k, text[a:b]) for k, a, b in pii.spans(text)] == want
+
+
+def test_addresses_are_found_in_linear_time():
+    import time
+
+    n, began = 100_000, time.process_time()
+    for text in ("http://!" * n, "http://a" * n, "http://a.b" + "." * n * 8, "http://a@" * n, "password is " * n):
+        pii.spans(text)
+    assert time.process_time() - began < 60

@@ -27,7 +27,9 @@ KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 #: Cues in front of an account, key or document number.
 CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "passport", "ssn", "swift", "token", "api_key", "apikey", "secret", "password")
-SCHEMES = ("http://", "https://", "ftp://")
+SCHEMES = ("https", "http", "ftp")
+#: Cues whose identifier is one word that may have few digits.
+SECRETS = frozenset(("token", "api_key", "apikey", "secret", "password"))
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,8 +37,9 @@ _ip = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _url = re.compile(r"[^\s<>\"'`|\\^{}]+")
-_host = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]{1,5})?(?=[/?#]|$)")
-_account = re.compile(r"(?:[ \t]{0,3}(?:number|no\.?|nr\.?|id|is))?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5})")
+_host = re.compile(r"(?:[^\s/?#@<>\"'`|\\^{}]*+@)?(?:\[[0-9A-Fa-f:.]++\]|[^\W_][\w-]*+(?:\.[\w-]++)*+)(?::[0-9]{1,5})?(?=[\s/?#.,;:!)\]<>\"'`|\\^{}]|\Z)")
+_account = re.compile(r"(?:[ \t]{0,3}(?i:number|no\.?|nr\.?|id|is))?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5})")
+_secret = re.compile(r"(?=[^\W\d_]*+[0-9])[A-Za-z0-9]{6,}+")
 _word = re.compile(r"[A-Za-z0-9]++(?:-[A-Za-z0-9]++)*+")
 _iban = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 
@@ -49,9 +52,7 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word(d, ("d", 1))
     a.add_word("@", ("@", 1))
     a.add_word("+", ("+", 1))
-    for s in SCHEMES:
-        for form in (s, s.upper(), s.capitalize()):
-            a.add_word(form, ("s", len(s)))
+    a.add_word("://", ("s", 3))
     for c in CUES:
         for form in {c, c.upper(), c.capitalize()}:
             a.add_word(form, ("c", len(c)))
@@ -111,6 +112,14 @@ def _identifier(text: str, start: int) -> int | None:
     return last if len(_digits(text[start:last])) >= 4 else None
 
 
+def _length(url: str) -> int:
+    """Length without the punctuation behind it; a bracket stays if the address has an opening one."""
+    end, kept = len(url), {"]": "[" in url, ")": "(" in url}
+    while end and url[end - 1] in ".,;:!?)]" and not kept.get(url[end - 1]):
+        end -= 1
+    return end
+
+
 def spans(text: str | None) -> list[Span]:
     """All spans of a text, by kind as listed, then start."""
     global _anchors
@@ -150,13 +159,17 @@ def spans(text: str | None) -> list[Span]:
                 if 8 <= len(_digits(m[0])) <= 15:
                     out["phone"].append(("phone", at, phone))
         elif kind == "s":
-            if at >= url and (m := _url.match(text, last + 1)) and _host.match(m[0]):
-                end = last + 1 + len(m[0].rstrip(".,;:!?)]"))
-                if end > last + 1:
-                    url = end
-                    out["url"].append(("url", at, end))
+            scheme = next((s for s in SCHEMES if text[max(0, at - len(s)) : at].lower() == s), None)
+            if scheme and at - len(scheme) >= url and _host.match(text, last + 1):  # the host ends at a slash, so failures stay short
+                url = last + 1 + _length(_url.match(text, last + 1)[0])
+                out["url"].append(("url", at - len(scheme), url))
         elif at >= account and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
-            if (m := _account.match(text, last + 1)) and m.start(1) > last + 1 and (end := _identifier(text, m.start(1))):
+            if not ((m := _account.match(text, last + 1)) and m.start(1) > last + 1):
+                continue
+            end = _identifier(text, m.start(1))
+            if end is None and text[at : last + 1].lower() in SECRETS and (word := _secret.match(text, m.start(1))):
+                end = word.end()
+            if end is not None:
                 account = end
                 out["account"].append(("account", m.start(1), account))
     return [s for k in KINDS for s in out[k]]
