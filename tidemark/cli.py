@@ -1,4 +1,4 @@
-"""Command line: ingest, report, score, eval and queries."""
+"""Command line: ingest, report, score, eval, splits and queries."""
 
 from __future__ import annotations
 
@@ -35,13 +35,23 @@ def main(argv: list[str] | None = None) -> int:
     mode.add_argument("--text")
     mode.add_argument("--file")
     mode.add_argument("--store")
+    s.add_argument("--benchmark", action="store_true", help="time the classifier on the file instead of printing its labels")
+    b = sub.add_parser("splits", help="build splits of Parquet rows (id, text, label), sum them up, or check that files are nested")
+    b.add_argument("--path", help="folder of the splits")
+    b.add_argument("--build", metavar="ROWS", help="split these rows into the folder and keep a sample beside them")
+    b.add_argument("--summary", action="store_true", help="labels of each split, after the pin has been checked")
+    b.add_argument("--check-nesting", nargs="+", metavar="ROWS", help="files of rows from the smallest to the largest; exit code 1 if a text is missing")
     q = sub.add_parser("query", help="run a registered query and print rows")
     q.add_argument("name")
     q.add_argument("dir")
     q.add_argument("--rows", type=int, default=20)
     a = p.parse_args(argv)
+    if a.command == "score" and a.benchmark and not a.file:
+        p.error("--benchmark needs --file")
+    if a.command == "splits" and not (a.check_nesting or a.path and (a.build or a.summary)):
+        p.error("splits needs --check-nesting, or --path with --build or --summary")
     from tidemark import render
-    from tidemark.operators import classify, metrics
+    from tidemark.operators import classify, metrics, splits
     from tidemark.plans import queries, report_run
     from tidemark.sources import feeds
     from tidemark.sources.store import Store
@@ -99,8 +109,22 @@ def main(argv: list[str] | None = None) -> int:
         except ValueError as e:
             say(e)
             return 2
+        if a.benchmark:
+            print(json.dumps(classify.speed(classify.timed(rows, classify.rule_classifier, "sentence")).first().asDict()))
+            return 0
         for row in classify.score_records(rows.select("sentence"), classify.rule_classifier).toLocalIterator():
             print(json.dumps(row.asDict(), ensure_ascii=False))
+    elif a.command == "splits":
+        kind = "id long, text string, label string"
+        if a.check_nesting:
+            bad = splits.nested([(path, spark.read.parquet(path)) for path in a.check_nesting]).take(20)
+            for x in bad:
+                say(f"{x['outer']} lacks a text of {x['inner']}: {x['value'][:80]}")
+            return int(bool(bad))
+        if a.build:
+            splits.build(spark.read.schema(kind).parquet(a.build), a.path)
+        for x in splits.summary(splits.load(spark, a.path, kind)).orderBy("split", "label").collect():
+            print(f"{x['split']:<6} {x['label']:<10} {x['n']:>8} {100 * x['share']:5.1f}%")
     else:
         queries.QUERIES[a.name](spark, a.dir).show(a.rows, truncate=False)
     return 0

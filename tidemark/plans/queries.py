@@ -334,7 +334,7 @@ def token_df(spark, d):
 
 def _tfidf(spark, d):
     docs = table(spark, d, "documents")
-    terms = _terms(spark, d)
+    terms = dedupe.written(_terms(spark, d), "terms")  # read by the fit and by the weights
     return themes.transform(terms, themes.vocabulary(terms, docs.count()))
 
 
@@ -387,7 +387,7 @@ WIDE = Explain(cluster_distance=0.97, min_cluster_size=2)
 def _conversation_themes(spark, d, cfg=WIDE):
     """Turns of a conversation as the headlines of a day: TF-IDF over all turns, clusters within each."""
     turns = table(spark, d, "conversations").withColumn("doc_id", F.concat_ws(":", "conv_id", "turn"))
-    terms = themes.term_rows(turns)
+    terms = dedupe.written(themes.term_rows(turns), "terms")
     tfidf = themes.transform(terms, themes.vocabulary(terms, turns.count()))
     placed = tfidf.join(turns.select("doc_id", F.col("conv_id").alias("group"), F.col("turn").alias("position")), "doc_id")
     label = F.when(F.col("role") == "assistant", "positive").when(F.col("role") == "user", "negative").otherwise("neutral")
