@@ -127,9 +127,8 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     listed = tmp_path / "feeds.json"
     listed.write_text(json.dumps({"a": "u", "b": "v"}))
     bodies = {"u": feed([(t, f"https://x.example/{k}", "Thu, 01 Oct 2026 12:00:00 +0000") for k, t in enumerate(TITLES)]), "v": ValueError("down")}
-    real = feeds.fetch_all
     monkeypatch.setattr(cli, "session", lambda: spark)
-    monkeypatch.setattr(feeds, "fetch_all", lambda spark, found, now: real(spark, found, now, fake(bodies), lambda s: None))
+    monkeypatch.setattr(feeds, "scan", lambda spark, found, now: feeds.fetch_all(spark, found, now, fake(bodies), lambda s: None))
     store = str(tmp_path / "s")
     assert cli.main(["ingest", "--store", store, "--feeds", str(listed), "--dry-run"]) == 0
     said = capsys.readouterr()

@@ -62,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
     def fetched():
         """Rows and feed status of the feeds in the file; failures are said, not raised."""
         with open(a.feeds, encoding="utf-8") as f:
-            rows, status = feeds.fetch_all(spark, list(json.load(f).items()), now)
+            rows, status = feeds.scan(spark, list(json.load(f).items()), now)
         rows, status = rows.cache(), status.collect()
         for x in status:
             if x["error"]:
