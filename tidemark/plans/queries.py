@@ -269,7 +269,7 @@ def _document_feeds(spark, d):
     item = lambda line: F.concat(F.lit("<item><title>"), line, F.lit("</title><link>https://feed.example/x</link></item>"))
     items = F.when(F.col("text") == "", "").otherwise(F.array_join(F.transform(F.split(escaped, "\n"), item), ""))
     body = F.concat(F.lit("<rss><channel>"), items, F.when(F.col("doc_id") % 10 == 3, "</rss>").otherwise("</channel></rss>"))
-    return feeds.parse(docs.select(F.col("doc_id").cast("string").alias("feed"), F.lit(0).alias("feed_ord"), body.alias("body")))
+    return dedupe.written(feeds.parse(docs.select(F.col("doc_id").cast("string").alias("feed"), F.lit(0).alias("feed_ord"), body.alias("body"))), "feed-rows")
 
 
 def _keyed(spark, d):

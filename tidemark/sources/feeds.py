@@ -114,9 +114,8 @@ def parse(bodies: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, order, body in zip(batch["feed"], batch["feed_ord"], batch["body"]):
-                out = pd.DataFrame(feed_rows(name, int(order), lambda: body or b""), columns=kinds)  # noqa: B023
-                yield out.astype({"received": "Int32"})
+            out = [row for name, order, body in zip(batch["feed"], batch["feed_ord"], batch["body"]) for row in feed_rows(name, int(order), lambda: body or b"")]  # noqa: B023
+            yield pd.DataFrame(out, columns=kinds).astype({"received": "Int32"})
 
     return bodies.select("feed", "feed_ord", F.col("body").cast("binary").alias("body")).mapInPandas(run, FEED_ROW)
 
