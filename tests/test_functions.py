@@ -95,3 +95,19 @@ def test_settings_precedence(tmp_path):
         load(env={}, split={"train": 0.9})
     with pytest.raises(ValueError):
         load(env={}, model={"revision": "main"})
+
+
+def test_stored_sum_is_that_of_sql_decimals(spark):
+    """Sums whose sign the shortest text of a double gets wrong."""
+    import random
+
+    import duckdb
+
+    r = random.Random(3)
+    values = [(g, r.choice([-1, 1]) * r.choice([0.5, 0.25, 3.0, 0.733]) * r.choice([1.0, 0.95, -0.74]) * r.choice([0.5, 1.0, 1.5]) + r.choice([0, 0.293 * 0.9])) for g in range(40) for _ in range(50)]
+    values += [(100, 0.1 * 3), (100, -0.3), (101, 15.75), (101, -1e-17), (102, -2.22), (102, 3 * 0.74)]
+    got = {x.g: x.s for x in spark.createDataFrame(values, "g long, v double").groupBy("g").agg(numbers.stored_sum(F.col("v")).alias("s")).collect()}
+    rows = ", ".join(f"({g}, {v!r}::DOUBLE)" for g, v in values)
+    want = dict(duckdb.sql(f"SELECT g, sum(v::DECIMAL(38,18))::DOUBLE FROM (VALUES {rows}) t(g, v) GROUP BY g").fetchall())
+    assert got == {g: pytest.approx(s, rel=1e-14, abs=0) for g, s in want.items()}
+    assert got[100] == pytest.approx(6.4e-17, rel=1e-9)
