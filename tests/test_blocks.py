@@ -1,9 +1,11 @@
 """Terms by blocks of documents against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +53,22 @@ def test_only_distinct_terms_of_a_block_meet(spark):
     plan = blocks.weights(words, blocks.fitted(found, 300))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") == 0 and themes.document_frequency(themes.term_rows(docs)).count() == 79
     assert themes.term_rows(docs.limit(0)).count() == 0 and blocks.weights(blocks.placed(docs.limit(0)), blocks.fitted(blocks.parts(blocks.placed(docs.limit(0))), 0)).count() == 0
+
+
+def test_vectors_of_a_small_group_are_sent_once(spark, monkeypatch):
+    """Before, a vector went out once for each of its prefix terms; both ways connect the same rows."""
+    from tidemark.operators import linkage
+
+    r = random.Random(5)
+    rows = [("g", i, [(2, t, 1 / math.sqrt(6)) for t in r.sample(range(12), 6)]) for i in range(20)]
+    vectors = spark.createDataFrame(rows, "group string, node long, v array<struct<df: long, t: long, w: double>>")
+
+    def joined():
+        return {(x.id, x.component) for x in linkage.components(linkage.near_links(vectors, 0.4)).collect()}
+
+    whole = joined()
+    with monkeypatch.context() as m:
+        m.setattr(linkage, "BLOCK", 4)
+        assert joined() == whole
+    monkeypatch.setattr(linkage, "_compare", lambda cut: lambda batches: (pa.RecordBatch.from_arrays([b.column(3), b.column(3)], ["a", "b"]) for b in batches))
+    assert linkage.near_links(vectors, 0.97).count() == 20

@@ -2,7 +2,7 @@
 
 * Two rows nearer than the cut share one of their rarest terms: with a row's terms from rare to common, the
   terms after its prefix have a norm under 1 - cut and cannot bring a pair over it alone. Rows that share a
-  prefix term are compared in blocks of BLOCK rows, a block (or pair of blocks) at a time, and leave a
+  prefix term (in a group of at most BLOCK rows: all rows) are compared in blocks of BLOCK rows, a block (or pair of blocks) at a time, and leave a
   spanning forest of the pairs nearer than the cut: at most a link a row, never the pairs.
 * The distance of clusters is that of their farthest rows, so no cluster reaches over two components of those
   links. Each component is linked alone, by the same algorithm whatever its size.
@@ -187,7 +187,14 @@ def _compare(cut: float):
 
 
 def near_links(vectors: DataFrame, cut: float) -> DataFrame:
-    """(a, b): links that connect the rows nearer than the cut, of vectors (node, v: terms (df, t, w) from rare to common), a written table."""
+    """(a, b): links that connect the rows nearer than the cut, of vectors (group, node, v: terms (df, t, w) from rare to common), a written table.
+
+    A group of at most BLOCK rows is one block, so its vectors are shuffled once, however many prefix terms they have.
+    """
+    groups = vectors.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("lead"))
+    lists = [F.col("v.t").alias("ids"), F.col("v.w").alias("weights")]
+    whole = vectors.join(groups.where(F.col("n").between(2, BLOCK)), "group").select((-1 - F.col("lead")).alias("t"), F.lit(0).alias("a"), F.lit(0).alias("b"), "node", *lists)
+    vectors = vectors.join(groups.where(F.col("n") > BLOCK).select("group"), "group", "left_semi")
     left = F.lit(max(0.0, 1 - cut) ** 2 - 1e-9)
     walk = F.aggregate("v", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k")), lambda s, x: F.struct(
         (s["sum"] + x["w"] * x["w"]).alias("sum"), (s["k"] + F.when(1 - s["sum"] > left, 1).otherwise(0)).alias("k")))
@@ -196,7 +203,7 @@ def near_links(vectors: DataFrame, cut: float) -> DataFrame:
     placed = prefix.join(sizes, "t").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = placed.select("t", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node")
-    work = keyed.join(vectors.select("node", F.col("v.t").alias("ids"), F.col("v.w").alias("weights")), "node").select("t", "a", "b", "node", "ids", "weights")
+    work = keyed.join(vectors.select("node", *lists), "node").select("t", "a", "b", "node", "ids", "weights").unionByName(whole)
     return work.repartition("t", "a", "b").sortWithinPartitions("t", "a", "b").mapInArrow(_compare(cut), "a long, b long")
 
 
