@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,17 @@ def test_vectors_of_a_small_group_are_sent_once(spark, monkeypatch):
         assert joined() == whole
     monkeypatch.setattr(linkage, "_compare", lambda cut: lambda batches: (pa.RecordBatch.from_arrays([b.column(3), b.column(3)], ["a", "b"]) for b in batches))
     assert linkage.near_links(vectors, 0.97).count() == 20
+
+
+def test_feeds_are_given_on_in_small_frames(spark):
+    """Before, a batch of feeds became one frame of all their items."""
+    from tidemark.sources import feeds
+
+    class Bodies:
+        select = lambda self, *_: self
+        mapInPandas = lambda self, run, schema: run  # noqa: E731, N815
+
+    body = b"<rss><channel>" + b"<item><title>t</title></item>" * 300 + b"</channel></rss>"
+    batch = pd.DataFrame({"feed": [str(i) for i in range(100)], "feed_ord": 0, "body": [body] * 100})
+    sizes = [len(f) for f in feeds.parse(Bodies())(iter([batch]))]
+    assert sum(sizes) == 100 * 301 and max(sizes) < feeds.HELD_ROWS + 301

@@ -95,6 +95,8 @@ def fetch_all(
 
 
 FEED_ROW = FEED + ", error string, received int"
+#: Rows that a task holds before it gives them on; a feed is parsed as a whole.
+HELD_ROWS = 2000
 
 
 def feed_rows(name: str, order: int, load: Callable[[], bytes]) -> list[tuple]:
@@ -112,10 +114,18 @@ def parse(bodies: DataFrame) -> DataFrame:
     """Items and status rows (FEED_ROW) of bodies (feed, feed_ord, body), a feed a row."""
     kinds = [f.split()[0] for f in FEED_ROW.split(", ")]
 
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=kinds).astype({"received": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [row for name, order, body in zip(batch["feed"], batch["feed_ord"], batch["body"]) for row in feed_rows(name, int(order), lambda: body or b"")]  # noqa: B023
-            yield pd.DataFrame(out, columns=kinds).astype({"received": "Int32"})
+            out = []
+            for name, order, body in zip(batch["feed"], batch["feed_ord"], batch["body"]):
+                out += feed_rows(name, int(order), lambda: body or b"")  # noqa: B023
+                if len(out) >= HELD_ROWS:
+                    yield framed(out)
+                    out = []
+            yield framed(out)
 
     return bodies.select("feed", "feed_ord", F.col("body").cast("binary").alias("body")).mapInPandas(run, FEED_ROW)
 
