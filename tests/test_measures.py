@@ -1,5 +1,6 @@
 """Selection by rank, sweep choices, pins, label joins and the drift report against plain Python."""
 
+import collections
 import json
 import math
 import random
@@ -7,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, review, splits
+from tidemark.operators import blocks, classify, metrics, review, splits
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -139,3 +140,26 @@ def test_nesting_over_levels_and_samples(spark, tmp_path):
     assert splits.save_sample(rows, str(tmp_path / "q"), 7, 3) == 7
     read = lambda p: sorted(x.id for x in spark.read.json(str(tmp_path / p)).collect())
     assert read("p") == read("q")
+
+
+def test_a_baseline_takes_the_commonest_terms_ties_by_length_then_term(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg"][: r.choice([3, 7])]) for _ in range(r.randrange(0, 14))) for _ in range(60)] + ["all " * 3] * 3
+    texts = [f"all {t}" for t in texts]
+    counts, df = collections.Counter(), collections.Counter()
+    for w in map(str.split, texts):
+        grams = [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+        counts.update(grams)
+        df.update(set(grams))
+    rows = spark.createDataFrame([(t, "xy"[i % 2]) for i, t in enumerate(texts)] + [(None, "x")], "text string, label string").repartition(3)
+    most = 0.95 * (len(texts) + 1)
+    fit = sorted((t for t in counts if 2 <= df[t] <= most), key=lambda t: (-counts[t], t.count(" "), t))
+    for features in (1, 4, 12, 40, 10000):
+        model = classify.fit_baseline(rows, ("x", "y"), features=features)
+        assert model.stages[0].vocabulary == fit[:features] and "all" not in fit
+        given = [math.log((2 + len(texts)) / (1 + df[t])) + 1 for t in fit[:features]]
+        assert list(model.stages[1].getScalingVec().toArray()) == pytest.approx(given)
+    held = blocks.term_vectors(spark.createDataFrame([(1, ["aa", "bb", "aa", "bb"]), (2, []), (3, None)], "id long, words array<string>"), ["bb aa", "aa bb", "aa", "zz"])
+    assert {x.id: dict(zip(x.tf.indices.tolist(), x.tf.values.tolist())) for x in held.collect()} == {1: {0: 1.0, 1: 2.0, 2: 2.0}, 2: {}, 3: {}}
+    said = classify.predict_baseline(model, rows, ("x", "y"))
+    assert said.columns == ["text", "label", "y_pred", "confidence"] and said.count() == len(texts) + 1
