@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema
+from tidemark.operators import dedupe
 from tidemark.sources.store import Store
 
 NOW = dt.datetime(2026, 10, 1, 12)
@@ -111,3 +112,14 @@ def test_readers_keep_their_version_until_vacuum(spark, tmp_path):
     assert old.count() == 1 and store.headlines().count() == 10
     store.vacuum()
     assert store.headlines().count() == 10 and len(glob.glob(str(tmp_path / "s/headlines/data/*/*"))) == 2
+
+
+def test_rows_that_share_no_key_are_not_shuffled(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("b", "y", 2), ("a", "z", 3), ("c", "y", 4), ("d", "w", 5)], "id string, title_norm string, seq long").withColumn("published_at", F.lit(None).cast("timestamp"))
+    keys = dedupe.shared(rows)
+    assert [[x[0] for x in k.collect()] for k in keys] == [["a"], ["y"]]
+    alone, together = dedupe.parted(rows, *keys)
+    assert [x.seq for x in alone.collect()] == [5] and sorted(x.seq for x in together.collect()) == [1, 2, 3, 4]
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert sorted(x.seq for x in dedupe.merge(rows).collect()) == [1, 2, 5]

@@ -52,11 +52,30 @@ def entering(rows: DataFrame) -> DataFrame:
     return entered if entered is not None else open_
 
 
+def shared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ids and the title keys that more than one row (id, title_norm) has, as tables: only keys are shuffled to find them."""
+    several = lambda key: written(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1).where(F.col(key).isNotNull()).select(key), f"shared-{key}")
+    return several("id"), several("title_norm")
+
+
+def parted(rows: DataFrame, ids: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that share neither key with another, and the others. The keys' tables tell their size, so the planner need not shuffle rows where few are shared."""
+    both = rows.join(ids.withColumn("_i", F.lit(True)), "id", "left").join(titles.withColumn("_t", F.lit(True)), "title_norm", "left")
+    alone = F.col("_i").isNull() & F.col("_t").isNull()
+    return both.where(alone).select(*rows.columns), both.where(~alone).select(*rows.columns)
+
+
 def merge(rows: DataFrame) -> DataFrame:
     """The rows that enter, with the earliest published_at of themselves and of the duplicates that hit them.
 
-    A duplicate that hits two entered rows updates the one that shares its title.
+    A duplicate that hits two entered rows updates the one that shares its title. A row that shares no key enters as it is.
     """
+    alone, together = parted(rows, *shared(rows))
+    return settled(together).unionByName(alone)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """``merge`` of rows that share keys."""
     kept = entering(rows)
     by_title = kept.select("title_norm", F.col("seq").alias("title_seq"))
     by_id = kept.select("id", F.col("seq").alias("id_seq"))

@@ -85,6 +85,12 @@ class Store:
         """The buckets that rows fall in: at most as many numbers as the store has buckets."""
         return sorted({r[0] for d in keyed for r in d.select("bucket").distinct().collect()})
 
+    def _met(self, table: str, keyed: DataFrame, key: str) -> DataFrame:
+        """Stored rows that share a key with ``keyed`` (key, bucket); where its buckets hold none yet, nothing is joined."""
+        buckets = self._buckets(keyed)
+        found = self._read(table, buckets)
+        return found.join(keyed.select(key), key, "left_semi") if self._live(table).keys() & set(buckets) else found
+
     def headlines(self) -> DataFrame:
         return self._read("headlines").drop("bucket")
 
@@ -100,19 +106,20 @@ class Store:
         dedupe.shared_folder(self.spark)
         rows = batch.observe(seen, F.count("*").alias("n")).select(*given, "seq", self.bucket(F.col("id")).alias("bucket")).checkpoint()
         received = seen.get["n"]
-        asked = rows.select("title_norm", self.bucket(F.col("title_norm")).alias("bucket")).distinct().checkpoint()
-        owners = self._read("titles", self._buckets(asked)).join(asked.select("title_norm"), "title_norm", "left_semi")
-        keys = rows.select("id", "bucket").union(owners.select("id", self.bucket(F.col("id")))).distinct().checkpoint()
-        met = self._read("headlines", self._buckets(keys)).join(keys.select("id"), "id", "left_semi")
-        met = met.select("id", "title_norm", "published_at", "bucket").checkpoint()
+        asked = rows.select("title_norm", self.bucket(F.col("title_norm")).alias("bucket"))
+        owners = self._met("titles", asked, "title_norm").checkpoint()
+        keys = rows.select("id", "bucket").union(owners.select("id", self.bucket(F.col("id"))))
+        met = self._met("headlines", keys, "id").select("id", "title_norm", "published_at", "bucket").checkpoint()
 
         first = F.struct(F.lit(0).alias("s"), F.lit("").alias("a"), F.col("id").alias("b"))
         then = F.struct(F.lit(1).alias("s"), F.lpad(F.col("seq").cast("string"), 20, "0").alias("a"), F.col("id").alias("b"))
         both = met.select("id", "title_norm", "published_at", first.alias("seq")).unionByName(rows.select("id", "title_norm", "published_at", then.alias("seq")))
-        merged = dedupe.merge(both).checkpoint()
+        shared = dedupe.shared(both)
+        merged = dedupe.settled(dedupe.parted(both, *shared)[1]).checkpoint()
         entering = merged.where("seq.s = 1").select(F.col("seq").alias("_at"), F.col("published_at").alias("_published"))
-        new = rows.withColumn("_at", then).join(entering, "_at").withColumn("published_at", F.col("_published")).select(*columns, "bucket")
-        new = new.observe(came, F.count("*").alias("n")).checkpoint()
+        alone, together = dedupe.parted(rows, *shared)  # rows that share no key enter where they are
+        new = together.withColumn("_at", then).join(entering, "_at").withColumn("published_at", F.col("_published")).select(*columns, "bucket")
+        new = alone.select(*columns, "bucket").unionByName(new).observe(came, F.count("*").alias("n")).checkpoint()
         earlier = merged.where("seq.s = 0").select("id", F.col("published_at").alias("_published")).join(met.select("id", "published_at", "bucket"), "id")
         earlier = earlier.where("_published < published_at or published_at is null and _published is not null").select("id", "_published", "bucket").checkpoint()
 
