@@ -87,3 +87,13 @@ def test_feeds_are_given_on_in_small_frames(spark):
     batch = pd.DataFrame({"feed": [str(i) for i in range(100)], "feed_ord": 0, "body": [body] * 100})
     sizes = [len(f) for f in feeds.parse(Bodies())(iter([batch]))]
     assert sum(sizes) == 100 * 301 and max(sizes) < feeds.HELD_ROWS + 301
+
+
+def test_a_tasks_blocks_do_not_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", 20)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    words = blocks.placed(docs)
+    held = words.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("block").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    assert words.rdd.getNumPartitions() == 200 and held[0] > 80 and held[1] <= 6
+    plan = blocks.weights(words, blocks.fitted(blocks.parts(words), 200))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(block") == 3 and plan.count(", 200)") == 3  # words twice, one exchange that is reused, and the vocabulary
