@@ -1,27 +1,29 @@
-"""Adaptive context-mixing range coder for token ids, vectorised over blocks.
+"""Context-mixing range coder for token ids, vectorised over blocks.
 
 A segment is a byte string that holds many blocks. Each block is coded by itself (all
 statistics and the coder start anew) and carries a CRC-32 of its ids, so a damaged block
 spoils no other: ``decode_blocks`` returns the good ones and names the bad. All blocks of a
 segment advance together, one id a step, as numpy arrays.
 
-A block names its different ids first, in order; what is coded are their numbers. Model: a
-mixture of three predictions, of which one interval a step is coded.
+A block lists its different ids in order, with their counts; what is coded are their numbers. Model:
+a mixture of three predictions, of which one interval a step is coded.
 
-* order 0: the counts of the block so far. Every number has weight 1 at least. Sums are held
-  by 16 groups of 16 groups of 16 numbers.
+* order 0: the block's counts, whose sum is the number of its ids.
 * orders 1 and 2: the last number, or the last two, predict the one that followed them last.
 
 A number's probability is w0 * order0 + w1 * [it is order 1's] + w2 * [it is order 2's]. The
 weights adapt in the block, chosen by how often either was right before and by whether
-both agree. w0 never falls under FLOOR / 65536, so every number has an interval of 1 at least.
+both agree. w0 never falls under FLOOR / 2 ** BITS, so every number has an interval of 1 at least.
 
-The predicted numbers come first on the line, then the others in order.
+Numbers lie on the line in order, each with its weights of orders 2 and 1 before its share of order 0. To decode,
+what orders 1 and 2 add below a point is taken away; the rest is a place among the block's sorted ids.
+
+All values are whole numbers under 2 ** 53 in doubles, so every step is exact.
 
 Layout, little-endian: magic "TMRC", u16 version, u32 blocks, u32 ids in a block, u32 crc32 of
-the block table; the block table (u32 ids, u32 crc32 of the ids as u32, u32 payload words of 16
-bits, u32 bytes of the id list); the id lists (zlib: gaps less one as bytes, 255 for those of
-255 or more; a byte 255; those as u16; u16 ids); the payloads.
+the block table; the block table (u32 ids, u32 crc32 of the ids as u32, u32 payload words of 24
+bits, u32 bytes of the id list); the id lists (zlib: gaps less one as bytes, counts less one as bytes, 255 for those of
+255 or more; those gaps, then those counts, as u16; u16 ids); the payloads.
 """
 
 from __future__ import annotations
@@ -31,173 +33,131 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"TMRC", 3
-#: Most ids in a block (and different ids: three levels of 16), blocks in a segment, and fewest ids in a block of a segment that has several.
-BLOCK, LANES, SMALL = 4096, 1024, 1024
-#: Ids are below 2 ** 16. An occurrence weighs INC, a number that did not occur yet 1.
-_ONE, _BITS = 1 << 16, 30
-INC = 3
-FLOOR = 128
-_SURE, _RATE = 7, 4
-_U = np.uint64
-_TOP = _U(1 << 32)
-_add17 = (INC * (np.arange(17) > np.arange(16)[:, None])).astype(np.uint16)
-_under16 = (np.arange(16) < np.arange(16)[:, None]).astype(np.uint16)
-assert FLOOR << (_BITS - 16) > BLOCK * (1 + INC) < _ONE  # no interval is empty, sums fit 16 bits
+MAGIC, VERSION = b"TMRC", 4
+#: Most ids in a block, blocks in a segment, and fewest ids in a block of a segment that has several.
+BLOCK, LANES, SMALL = 4096, 2048, 1024
+#: Intervals are parts of 2 ** BITS; a block's low end and range have 48 bits and give out words of 24.
+BITS, _WORD = 20, float(1 << 24)
+FLOOR = 1 << 13
+#: An entry of a guess is a number and how often it was right in a row, 3 at most.
+_RATE = 1 / 16
+_ALL = float(1 << BITS)
+_PART, _OUT = 1 / _ALL, 1 / _WORD
+_MOST = _ALL - FLOOR
+_IDS = 1 << 16
+assert FLOOR > BLOCK * 1.01  # no interval is empty
 
 
 class Damaged(ValueError):
     """A segment or block that does not read back as it was written."""
 
 
-class _Coder:
-    """State of all lanes: 64-bit low and range, words of 16 bits."""
-
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-
-    def narrow(self, n: int, start: np.ndarray, width: np.ndarray) -> None:
-        """Take the sub-interval [start, start + width) of 2 ** _BITS in the first n lanes."""
-        if n and width.min() < 1:
-            raise AssertionError("an id without an interval")
-        r = self.range[:n] >> _U(_BITS)
-        self.low[:n] += r * start.astype(_U)
-        self.range[:n] = r * width.astype(_U)
-
-    def ready(self, n: int):
-        """Yields lanes whose range fell under 2 ** 32, which emit or take a word; afterwards none is left."""
-        low, rng = self.low[:n], self.range[:n]
-        i = np.flatnonzero(rng < _TOP)
-        while len(i):
-            lo = low[i]
-            cut = (lo ^ (lo + (rng[i] - _U(1)))) >> _U(48) != 0
-            if cut.any():  # the interval crosses a word boundary: keep the part below it
-                j = i[cut]
-                rng[j] = (~low[j] & _U((1 << 48) - 1)) + _U(1)
-            yield i
-            low[i] = lo << _U(16)
-            rng[i] = rng[i] << _U(16)
-            i = i[rng[i] < _TOP]
+def _weights(lanes: int) -> np.ndarray:
+    """First weights of orders 2 and 1, for all lanes, in each context (times right of order 2, of order 1, whether they agree)."""
+    c2, c1, same = np.arange(32) >> 3, np.arange(32) >> 1 & 3, np.arange(32) & 1
+    rate = np.array([0, 0.3, 0.6, 0.8])
+    w2, w1 = rate[c2] * np.where((c1 > 0) & (same == 0), 0.5, 1), rate[c1] * np.where(c2 > 0, 0.5, 1) * (1 - same)
+    return np.concatenate((np.tile(w2 * _MOST, lanes), np.tile(w1 * _MOST, lanes)))
 
 
 class _Model:
-    """Counts, contexts and weights of all lanes; ``kinds`` is the number of different ids of each."""
-
-    def __init__(self, kinds: np.ndarray):
-        lanes = len(kinds)
-        self.kinds, self.lane = kinds, np.arange(lanes)
-        at = np.minimum(np.arange(17) * 256, kinds[:, None])
-        self.k1 = at.astype(np.uint16)
-        at = np.clip(kinds[:, None, None] - np.arange(16)[:, None] * 256, 0, np.arange(17) * 16)
-        self.k2 = at.astype(np.uint16).reshape(-1, 17)
-        self.n = np.zeros(lanes << 12, np.uint16)
-        self.by16 = self.n.reshape(-1, 16)
-        self.t1, self.t2 = np.zeros(lanes << 12, np.uint16), np.zeros(lanes << 12, np.uint16)
-        self.a, self.b = np.full(lanes * 32, 1 << 13, np.int64), np.full(lanes * 32, 1 << 12, np.int64)
-        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.seen = 0
-
-    def weight(self, lane: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Order-0 weights of the numbers x in lanes."""
-        return 1 + INC * self.n[(lane << 12) + x].astype(np.int64)
-
-    def below(self, lane: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Order-0 weight of all numbers under x."""
-        g, k = x >> 4, x & 15
-        row = (lane << 8) + g
-        count = (self.by16[row] * _under16[k]).sum(1, dtype=np.int64)
-        return INC * count + self.k1[lane, g >> 4] + self.k2[row >> 4, g & 15] + k
-
-    def predict(self, n: int) -> None:
-        """Guesses (-1 for none), the interval of either, and the interval and weight of all other numbers."""
-        p1, lane = self.p1[:n], self.lane[:n]
-        base = lane << 12
-        self.i1 = base + p1
-        self.i2 = base + ((p1 * 2531 + self.p2[:n] * 1049 + (self.p2[:n] >> 5)) & 4095)
-        self.e1, self.e2 = self.t1[self.i1].astype(np.int64), self.t2[self.i2].astype(np.int64)
-        c1, c2 = self.e1 & _SURE, self.e2 & _SURE
-        g1, g2 = self.e1 >> 3, self.e2 >> 3  # an entry that was never right nor written has confidence 0
-        some1, some2 = c1 > 0, c2 > 0
-        same = some1 & some2 & (g1 == g2)
-        self.has_a, self.has_b = some1 | some2, some1 & some2 & ~same
-        self.first, self.second = np.where(some2, g2, g1), g1
-        self.at = (lane << 5) + (np.minimum(c2, 3) << 3 | np.minimum(c1, 3) << 1 | same)
-        self.was_a, self.was_b = self.a[self.at], self.b[self.at]
-        wa = (self.was_a * (_ONE - FLOOR) >> 16) * self.has_a
-        wb = (self.was_b * (_ONE - FLOOR - wa) >> 16) * self.has_b
-        w0 = (_ONE - wa - wb) << (_BITS - 16)
-        total = self.kinds[:n] + INC * self.seen
-        self.fa = self.weight(lane, self.first) * self.has_a
-        self.fb = self.weight(lane, self.second) * self.has_b
-        self.wide_a = (wa << (_BITS - 16)) + w0 * self.fa // total
-        self.wide_b = (wb << (_BITS - 16)) + w0 * self.fb // total
-        self.guessed = self.wide_a + self.wide_b
-        self.left = (1 << _BITS) - self.guessed
-        self.rest = total - self.fa - self.fb
-
-    def interval(self, i: np.ndarray, below: np.ndarray, weight: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        """Fill in start and width of numbers of lanes i that no guess meets: of ``below`` the guesses are left out."""
-        left, rest = self.left[i], self.rest[i]
-        begin = left * below // rest
-        start[i] = self.guessed[i] + begin
-        width[i] = left * (below + weight) // rest - begin
-
-    def others_below(self, i: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return self.below(i, x) - self.fa[i] * (self.first[i] < x) - self.fb[i] * (self.second[i] < x)
-
-    def find(self, i: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of lanes i whose intervals, guesses left out, hold the targets, and what stands below them."""
-        a, b, fa, fb = self.first[i], self.second[i], self.fa[i], self.fb[i]
-        left = target + fa * (target >= self.below(i, a) - fb * (b < a))  # among all numbers
-        two = np.flatnonzero(fb)
-        left[two] += fb[two] * (target[two] >= self.below(i[two], b[two]) - fa[two] * (a[two] < b[two]))
-        each = np.arange(len(i))
-        g, row = np.zeros(len(i), np.int64), i
-        for sums in (self.k1, self.k2):
-            own = sums[row]
-            k = np.argmax(own[:, 1:] > left.astype(np.uint16)[:, None], axis=1)
-            left -= own[each, k]
-            g = g << 4 | k
-            row = (row << 4) + k
-        own = np.cumsum(self.by16[row], axis=1, dtype=np.uint16)
-        own *= np.uint16(INC)
-        own += np.arange(1, 17, dtype=np.uint16)
-        k = np.argmax(own > left.astype(np.uint16)[:, None], axis=1)
-        left -= np.where(k > 0, own[each, k - 1], 0)
-        return g << 4 | k, target - left
-
-    def update(self, n: int, x: np.ndarray, hit_a: np.ndarray, hit_b: np.ndarray) -> None:
-        a, b = self.was_a, self.was_b
-        self.a[self.at] = a + (np.where(hit_a, _ONE - 64 - a, 64 - a) >> _RATE) * self.has_a
-        self.b[self.at] = b + (np.where(hit_b, _ONE - 64 - b, 64 - b) >> _RATE) * (self.has_b & ~hit_a)
-        value = x << 3
-        for t, i, e in ((self.t1, self.i1, self.e1), (self.t2, self.i2, self.e2)):
-            t[i] = np.where(e & ~_SURE == value, e + ((e & _SURE) < _SURE), value | 1)
-        row = (self.lane[:n] << 8) + (x >> 4)
-        self.k1[:n] += _add17[x >> 8]
-        self.k2[row >> 4] += _add17[(x >> 4) & 15]
-        self.n[(self.lane[:n] << 12) + x] += 1
-        self.p2[:n] = self.p1[:n]
-        self.p1[:n] = x
-        self.seen += 1
-
-
-def _list(ids: np.ndarray) -> bytes:
-    """Rising different ids as bytes."""
-    gaps = np.diff(ids, prepend=-1) - 1
-    return zlib.compress(np.minimum(gaps, 255).astype(np.uint8).tobytes() + b"\xff" + gaps[gaps >= 255].astype("<u2").tobytes() + struct.pack("<H", len(ids)), 1)
-
-
-def _listed(raw: bytes) -> np.ndarray:
-    """The ids of a list; one id 0 if the bytes are no list."""
+    """Guesses and weights of all lanes, of order 2 and then of order 1; ``sizes`` is the number of ids of each."""
+
+    def __init__(self, sizes: np.ndarray):
+        lanes = len(sizes)
+        lane = np.arange(2 * lanes).reshape(2, lanes)
+        self.entries, self.contexts = lane << 12, lane << 5
+        self.inverse = (1 - 2.0**-40) / np.maximum(sizes, 1)
+        self.guesses, self.weights = np.full(lanes << 13, 0, np.uint16), _weights(lanes)
+        self.context = np.zeros((2, lanes), np.int64)
+        self.last = np.zeros(lanes, np.uint16)
+
+    def shorten(self, n: int) -> None:
+        self.inverse, self.last = self.inverse[:n], self.last[:n]
+        self.entries, self.contexts, self.context = self.entries[:, :n], self.contexts[:, :n], self.context[:, :n]
+
+    def predict(self) -> None:
+        """The guesses g, their weights w, and the weight w0 of an occurrence in order 0."""
+        self.i = self.entries + self.context
+        self.e = self.guesses.take(self.i)
+        self.g = self.e >> 2
+        sure = self.e & 3
+        at = sure[0] << 3
+        at += sure[1] << 1
+        at |= self.g[0] == self.g[1]
+        self.at = self.contexts + at
+        self.was = self.weights.take(self.at)
+        self.w = np.floor(self.was)
+        rest = _ALL - self.w[0]
+        rest -= self.w[1]
+        rest *= self.inverse
+        self.w0 = np.floor(rest, out=rest)
+
+    def interval(self, x: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Start and width of the numbers x, where ``held`` is how many of order 0 are below them, and how many they are."""
+        above = np.empty((2, *self.g.shape), bool)
+        np.greater(x, self.g, out=above[0])
+        self.hit = np.equal(x, self.g, out=above[1])
+        more = self.w * above
+        found = self.w0 * held
+        found += more[:, 0]
+        found += more[:, 1]
+        return found
+
+    def place(self, v: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Places in order 0 of the points v, where ``before`` stand before the guesses."""
+        g2, g1 = self.g
+        w2, w1 = self.w
+        begin = self.w0 * before
+        begin[1] += w2 * (g2 <= g1)
+        for begins, w in ((begin[1], w1), (begin[0], w2)):
+            over = v - begins
+            np.maximum(over, 0, out=over)
+            v = v - np.minimum(over, w, out=over)
+        v /= self.w0
+        return np.floor(v, out=v)
+
+    def update(self, x: np.ndarray) -> None:
+        """Learn the numbers x (16 bits), of which ``interval`` was asked."""
+        right = np.minimum(self.e + 1, self.e | 3)
+        new = x << 2
+        new |= 1
+        self.guesses[self.i] = np.where(self.hit, right, new)
+        hit = self.hit
+        hit[1] &= ~hit[0]
+        self.was *= 1 - _RATE
+        self.was += hit * (_MOST * _RATE)
+        self.weights[self.at] = self.was
+        self.context[1] = x
+        key = x * 2531
+        key += self.last
+        key &= 4095
+        self.context[0] = key
+        self.last = x * 1049
+
+
+def _list(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising different ids and their counts as bytes."""
+    gaps, more = ids.copy(), counts - 1
+    gaps[1:] -= ids[:-1] + 1
+    small = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in (gaps, more)]
+    large = [x[x >= 255].astype("<u2").tobytes() for x in (gaps, more)]
+    return zlib.compress(b"".join(small + large) + struct.pack("<H", len(ids)), 1)
+
+
+def _listed(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of a list; ``size`` times the id 0 if the bytes are no list of so many."""
     try:
         x = zlib.decompress(raw)
         n = struct.unpack("<H", x[-2:])[0]
-        gaps = np.frombuffer(x, np.uint8, n).astype(np.int64)
-        gaps[gaps == 255] = np.frombuffer(x[n + 1 : -2], "<u2")
+        both = np.frombuffer(x, np.uint8, 2 * n).astype(np.int64)
+        both[both == 255] = np.frombuffer(x[2 * n : -2], "<u2")
+        ids, counts = np.cumsum(both[:n] + 1) - 1, both[n:] + 1
+        if n and ids[-1] < _IDS and counts.sum() == size:
+            return ids, counts
     except (zlib.error, struct.error, ValueError):
-        return np.zeros(1, np.int64)
-    return (np.cumsum(gaps + 1) - 1)[:BLOCK] & (_ONE - 1) if n else np.zeros(1, np.int64)
+        pass
+    return np.zeros(1, np.int64), np.array([size])
 
 
 def _steps(sizes: np.ndarray):
@@ -209,45 +169,63 @@ def _steps(sizes: np.ndarray):
 def encode(ids: np.ndarray) -> bytes:
     """One segment of the ids (below 2 ** 16)."""
     ids = np.asarray(ids)
-    if len(ids) and not 0 <= ids.min() <= ids.max() < _ONE:
+    if len(ids) and not 0 <= ids.min() <= ids.max() < _IDS:
         raise ValueError("ids must be below 65536")
     block = min(BLOCK, max(SMALL, -(-len(ids) // LANES)))
     lanes = -(-len(ids) // block)
     sizes = np.full(lanes, block)
     if lanes:
         sizes[-1] = len(ids) - block * (lanes - 1)
-    padded = np.zeros(lanes * block, np.uint16)
-    padded[: len(ids)] = ids
-    lists, grid = [], np.zeros((block, lanes), np.uint16)
+    ids = ids.astype(np.uint16)
+    tables, crcs, number_of = [], [], np.zeros(_IDS, np.uint16)
+    grid, befores, counts = (np.zeros((lanes, block), np.uint16) for _ in range(3))
     for i, size in enumerate(sizes.tolist()):
-        known, number = np.unique(padded[i * block : i * block + size], return_inverse=True)
-        lists.append(known.astype(np.int64))
-        grid[:size, i] = number
-    coder, model = _Coder(lanes), _Model(np.array([len(x) for x in lists], np.int64))
-    out = np.zeros((lanes, 3 * block + 8), np.uint16)
-    fill = np.zeros(lanes, np.int64)
+        own = ids[i * block : i * block + size]
+        count = np.bincount(own)
+        known = np.flatnonzero(count > 0)
+        count = count[known]
+        starts = np.cumsum(count) - count
+        number_of[known] = np.arange(len(known), dtype=np.uint16)
+        grid[i, :size] = number = number_of[own]
+        befores[i, :size], counts[i, :size] = starts[number], count[number]
+        tables.append(_list(known, count))
+        crcs.append(zlib.crc32(own.astype("<u4").tobytes()))
+    grid, counted = np.ascontiguousarray(grid.T), np.stack((befores.T, counts.T))
+    low, rng = np.zeros(lanes), np.full(lanes, _WORD * _WORD)
+    model, alive, ended = _Model(sizes), lanes, low
+    out, kept = np.zeros((block + 2, lanes), np.uint32), np.zeros((block + 2, lanes), bool)
     for t, n in _steps(sizes):
-        x = grid[t, :n].astype(np.int64)
-        model.predict(n)
-        hit_a, hit_b = (x == model.first) & model.has_a, (x == model.second) & model.has_b
-        start, width = model.wide_a * hit_b, np.where(hit_a, model.wide_a, model.wide_b)
-        i = np.flatnonzero(~(hit_a | hit_b))
-        model.interval(i, model.others_below(i, x[i]), model.weight(i, x[i]), start, width)
-        coder.narrow(n, start, width)
-        for i in coder.ready(n):
-            out[i, fill[i]] = (coder.low[i] >> _U(48)).astype(np.uint16)
-            fill[i] += 1
-        model.update(n, x, hit_a, hit_b)
-    for _ in range(4):  # the low end itself, which the decoder compares with
-        out[np.arange(lanes), fill] = (coder.low >> _U(48)).astype(np.uint16)
-        coder.low <<= _U(16)
-        fill += 1
+        if n < alive:  # the last lane has no more ids
+            model.shorten(n)
+            low, rng, alive = low[:n], rng[:n], n
+        x = grid[t, :n]
+        model.predict()
+        held = model.interval(x, counted[:, t, :n])
+        held *= np.floor(rng * _PART)
+        low += held[0]
+        top = np.floor(low * _OUT)
+        out[t, :n] = top  # may hold a carry in bit 24
+        full = np.less(held[1], _WORD, out=kept[t, :n]).astype(np.float64)
+        top *= full
+        top *= _WORD
+        low -= top
+        full *= _WORD - 1
+        full += 1
+        low *= full
+        np.multiply(held[1], full, out=rng)
+        model.update(x)
+    for t in (block, block + 1):
+        top = np.floor(ended * _OUT)
+        out[t], kept[t] = top, True
+        ended = (ended - top * _WORD) * _WORD
+    fill = np.count_nonzero(kept, axis=0)
+    words = out.T[kept.T]
+    while (carry := words >> 24).any():  # never out of a lane's first word
+        words &= (1 << 24) - 1
+        words[:-1] += carry[1:]
     blocks = np.zeros((lanes, 4), "<u4")
-    tables = [_list(x) for x in lists]
-    blocks[:, 0], blocks[:, 2], blocks[:, 3] = sizes, fill, [len(x) for x in tables]
-    whole = padded.astype("<u4")
-    blocks[:, 1] = [zlib.crc32(whole[i * block : i * block + s].tobytes()) for i, s in enumerate(sizes.tolist())]
-    words = out[np.arange(out.shape[1]) < fill[:, None]].astype("<u2").tobytes()
+    blocks[:, 0], blocks[:, 1], blocks[:, 2], blocks[:, 3] = sizes, crcs, fill, [len(x) for x in tables]
+    words = words.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
     return MAGIC + struct.pack("<HIII", VERSION, lanes, block, zlib.crc32(blocks.tobytes())) + blocks.tobytes() + b"".join(tables) + words
 
 
@@ -264,38 +242,59 @@ def decode_blocks(segment: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     blocks = np.frombuffer(segment, "<u4", lanes * 4, 18).reshape(lanes, 4).astype(np.int64)
     sizes, fill = blocks[:, 0], blocks[:, 2]
     ends = at + np.cumsum(blocks[:, 3])
-    lists = [_listed(segment[b - size : b]) for b, size in zip(ends.tolist(), blocks[:, 3].tolist())]
+    lists = [_listed(segment[b - size : b], n) for b, size, n in zip(ends.tolist(), blocks[:, 3].tolist(), sizes.tolist())]
     at = int(ends[-1]) if lanes else at
-    words = np.concatenate([np.frombuffer(segment, "<u2", max(0, len(segment) - at) // 2, min(at, len(segment))), np.zeros(8, np.uint16)])
-    take = np.concatenate(([0], np.cumsum(fill)))[:-1]
-    kinds = np.array([len(x) for x in lists], np.int64)
-    name_of = np.zeros((lanes, int(kinds.max(initial=1))), np.uint16)
-    for i, x in enumerate(lists):
-        name_of[i, : len(x)] = x
-    coder, model = _Coder(lanes), _Model(kinds)
-    code = np.zeros(lanes, _U)
-    for k in range(4):
-        code = code << _U(16) | words[np.minimum(take + k, len(words) - 1)].astype(_U)
-    take = take + 4
+    payload = np.frombuffer(segment, np.uint8, max(0, len(segment) - at) // 3 * 3, min(at, len(segment))).reshape(-1, 3)
+    words = np.zeros((len(payload) + 4, 4), np.uint8)
+    words[: len(payload), :3] = payload
+    words = words.view("<u4").reshape(-1).astype(np.float64)
+    take = np.cumsum(fill) - fill
+    # per block: the numbers in order, as often as they occur, and for each number how many stand before it
+    rows = max((len(x) for x, _ in lists), default=0) + 1
+    rising, befores, names = np.zeros((lanes, block), np.uint16), np.zeros((lanes, rows), np.uint16), np.zeros((lanes, rows), np.uint16)
+    for i, (known, count) in enumerate(lists):
+        rising[i, : sizes[i]] = np.repeat(np.arange(len(known), dtype=np.uint16), count)
+        befores[i, 1 : len(known) + 1] = np.cumsum(count)
+        names[i, : len(known)] = known
+    rising, befores = rising.reshape(-1), befores.reshape(-1)
+    model, lane, last = _Model(sizes), np.arange(lanes), sizes - 1.0
+    row, first, above = lane * rows, lane * block, np.array([[0], [1]])
+    code, rng, alive = words.take(take, mode="clip") * _WORD + words.take(take + 1, mode="clip"), np.full(lanes, _WORD * _WORD), lanes
+    take = take + 2
     grid = np.zeros((block, lanes), np.uint16)
     for t, n in _steps(sizes):
-        model.predict(n)
-        value = np.minimum((code[:n] - coder.low[:n]) // (coder.range[:n] >> _U(_BITS)), _U((1 << _BITS) - 1)).astype(np.int64)
-        hit_a = value < model.wide_a  # 0 where there is no such guess
-        hit_b = ~hit_a & (value < model.guessed)
-        x = np.where(hit_a, model.first, model.second)
-        start, width = model.wide_a * hit_b, np.where(hit_a, model.wide_a, model.wide_b)
-        i = np.flatnonzero(value >= model.guessed)
-        y, below = model.find(i, ((value[i] - model.guessed[i] + 1) * model.rest[i] - 1) // model.left[i])
-        x[i] = y
-        model.interval(i, below, model.weight(i, y), start, width)
-        coder.narrow(n, start, width)
-        for i in coder.ready(n):
-            code[i] = code[i] << _U(16) | words[np.minimum(take[i], len(words) - 1)].astype(_U)
-            take[i] += 1
-        model.update(n, x, hit_a, hit_b)
-        grid[t, :n] = name_of[model.lane[:n], x]
-    whole = grid.T.reshape(-1)[: int(sizes.sum())].astype("<u4")
+        if n < alive:  # the last lane has no more ids
+            model.shorten(n)
+            code, rng, take, row, first, last, alive = code[:n], rng[:n], take[:n], row[:n], first[:n], last[:n], n
+        model.predict()
+        r = np.floor(rng * _PART)
+        v = np.floor(code / r)
+        place = model.place(v, befores.take(row + model.g))
+        np.minimum(place, last, out=place)
+        x = rising.take(first + place.astype(np.int64))
+        held = befores.take(row + x + above)
+        held[1] -= held[0]
+        held = model.interval(x, held)
+        held *= r
+        rng = held[1]
+        code = np.subtract(code, held[0], out=held[0])
+        np.minimum(code, rng - 1, out=code)  # met in damaged blocks only
+        moved = rng < _WORD
+        full = moved.astype(np.float64)
+        more = words.take(take, mode="clip")
+        more *= full
+        take += moved
+        full *= _WORD - 1
+        full += 1
+        rng *= full
+        code *= full
+        code += more
+        model.update(x)
+        grid[t, :n] = x
+    ids = np.empty((lanes, block), np.uint16)
+    for i in range(lanes):
+        ids[i] = names[i].take(grid[:, i])
+    whole = ids.reshape(-1)[: int(sizes.sum())].astype("<u4")
     ends = np.cumsum(sizes)
     spans = zip((ends - sizes).tolist(), ends.tolist(), blocks[:, 1].tolist())
     return whole, [(a, b) for a, b, sum_ in spans if zlib.crc32(whole[a:b].tobytes()) != sum_]

@@ -10,8 +10,9 @@ Read: segments are decoded and checked block by block; a document's start is the
 ids before it, from sums by part, then by segment, then within the segment.
 
 Encoding keeps the tokenizer's results for words between single spaces, which its pattern
-never joins, in a bounded cache; texts with other white space next to a space, or with the string
-of a special token, are encoded whole. The tokenizer's settings are its file's: the string of a special
+never joins, in a bounded cache, whose rare words go first. New words of common characters are cut by that pattern, and only new pieces go through
+the library's merges. Other words are encoded by the whole tokenizer; so are whole texts with other white space next to a space, or with the string
+of a special token. The tokenizer's settings are its file's: the string of a special
 token in a text becomes that token.
 
 Defined results: null and empty texts have the end id only; equal ids are ordered by text;
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,11 +39,18 @@ from tidemark.llm.common import lean, scratch
 
 END_ID = 0
 SEGMENT = rangecoder.BLOCK * rangecoder.LANES
-#: Words kept in a worker's cache, and the words that are encoded in one call.
-CACHE, CALL = 400_000, 4096
+#: Words kept in a worker's cache, the pieces that are encoded in one call, and the bytes of texts that are split at once.
+CACHE, CALL, CHUNK = 1_000_000, 4096, 6_000_000
 SCHEMA = "part int, seq int, doc_ids array<long>, n_tokens array<int>, data binary"
 
-_SPLIT_ALONE = r"\s\x20|\x20\s|\A\x20|\x20\Z"
+#: White space of Unicode and of Python.
+_WHITE = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPLIT_ALONE = rf"{_WHITE}\x20|\x20{_WHITE}|\A\x20|\x20\z"
+#: Words of characters whose classes no version of Unicode changes, with single line ends inside, and the tokenizer's pattern on
+#: them, behind spaces and separated by _CUT.
+_LETTERS, _NUMBERS, _CUT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\x01"
+_COMMON = r"\A (?:[!-~\x{a1}-\x{24f}]+(?:\n[!-~\x{a1}-\x{24f}]+)*)\z"
+_PIECE = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^ \n{_CUT}{_LETTERS}{_NUMBERS}]+|\n|{_CUT}")
 _loaded: dict = {}
 
 
@@ -51,51 +60,154 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of the ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _list(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Store:
+    """Strings and their 16-bit ids, all in one array."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint16)
+        self.starts, self.sizes, self.asked = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.n = self.used = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Codes of new entries, whose ids follow each other."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.n + len(sizes) > len(self.sizes):
+            self.starts, self.sizes, self.asked = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes, self.asked))
+        new = slice(self.n, self.n + len(sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.sizes[new] = sizes
+        self.starts[new] = self.used + np.cumsum(sizes) - sizes
+        self.n, self.used = new.stop, self.used + len(ids)
+        return np.arange(new.start, new.stop)
+
+    def get(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of entries, one entry after the other."""
+        return self.ids[_ranges(self.starts[codes], self.sizes[codes])]
+
+    def often(self, most: int) -> _Store:
+        """A store of the strings that were asked for more than once; empty if they are more than ``most``."""
+        store = _Store()
+        kept = [(x, i) for x, i in self.codes.items() if self.asked[i] > 1]
+        if kept and len(kept) <= most:
+            codes = np.array([i for _, i in kept], np.int64)
+            store.codes = dict(zip((x for x, _ in kept), store.add(self.get(codes), self.sizes[codes]).tolist()))
+        return store
+
+
 class Encoder:
-    """Ids of texts as little-endian 16-bit bytes."""
+    """Ids of texts, as 16-bit numbers."""
 
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.t = Tokenizer.from_file(path or tokenizer_path())
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.t, self.merges = (Tokenizer.from_file(path or tokenizer_path()) for _ in range(2))
+        # pieces are of one match of the pattern each and come as the characters of their bytes, so the second looks for spaces only
+        self.merges.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = (b for b in range(256) if b not in same)
+        self.byte_chars = {b: b for b in same} | {b: 256 + i for i, b in enumerate(other)}
         special = [re.escape(t.content) for t in self.t.get_added_tokens_decoder().values()]
-        self.alone = re.compile("|".join([_SPLIT_ALONE, *special]))
+        self.alone = "|".join([_SPLIT_ALONE, *special])
         vocab = self.t.get_vocab()
         if max(vocab.values()) >= 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # byte-level tokens: one character a byte
             self.width[i] = len(token)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode words behind a space in one call and cut the ids at the words' ends."""
-        ids = self._ids("".join(f" {w}" for w in words))
-        cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(w.encode()) + 1 for w in words])) + 1
-        raw, a = ids.astype("<u2").tobytes(), 0
-        for w, b in zip(words, (2 * cut).tolist()):
-            self.known[w] = raw[a:b]
-            a = b
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, out = self.known, []
-        split = [None if self.alone.search(t) else t.split(" ") for t in texts]
-        new = list(dict.fromkeys(w for s in split if s for w in s[1:] if w not in known))
-        for i in range(0, len(new), CALL):
-            self._learn(new[i : i + CALL])
-        for t, s in zip(texts, split):
-            if s is None:
-                out.append(self._ids(t).astype("<u2").tobytes())
-            else:
-                first = self._ids(s[0]).astype("<u2").tobytes() if s[0] else b""
-                out.append(first + b"".join(map(known.__getitem__, s[1:])))
-        return out
+        self.store = _Store()
+
+    def _add(self, ids: list[int], lengths: list[int]) -> np.ndarray:
+        """Codes of strings that were encoded in one call, cut at their ends."""
+        ids = np.array(ids, np.int64)
+        cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(lengths)) + 1
+        return self.store.add(ids, np.diff(cut, prepend=0))
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        for ascii_only in (True, False):
+            those = [x for x in pieces if x.isascii() == ascii_only]
+            for i in range(0, len(those), CALL):
+                some = those[i : i + CALL]
+                if ascii_only:
+                    lengths, text = list(map(len, some)), _CUT.join(some).replace(" ", "Ġ").replace("\n", "Ċ").replace(_CUT, " ")
+                else:
+                    lengths = [len(x.encode()) for x in some]
+                    text = " ".join(x.encode().decode("latin-1").translate(self.byte_chars) for x in some)
+                found = self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                self.store.codes.update(zip(some, self._add(found, lengths).tolist()))
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts and the number of each text's."""
+        found = [x.ids for x in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)
+
+    def _learn(self, words: pa.Array) -> None:
+        """Take up new words, each with the space before it."""
+        known = self.store.codes
+        common = pc.match_substring_regex(words, _COMMON)
+        letters = pc.and_(common, pc.utf8_is_alpha(pc.utf8_slice_codeunits(words, 1)))
+        plain, mixed = _list(words.filter(letters)), _list(words.filter(pc.and_not(common, letters)))
+        pieces = _PIECE.findall("".join(f"{x}{_CUT}" for x in mixed))
+        self._learn_pieces(list(dict.fromkeys([*plain, *(x for x in pieces if x not in known and x != _CUT)])))
+        ends = np.array([x == _CUT for x in pieces], bool)
+        codes = np.array([known[x] for x in pieces if x != _CUT], np.int64)
+        np.add.at(self.store.asked, codes, 1)
+        owner = np.cumsum(ends)[~ends]
+        sizes = np.bincount(owner, self.store.sizes[codes], len(mixed)).astype(np.int64)
+        known.update(zip(mixed, self.store.add(self.store.get(codes), sizes).tolist()))
+        rest = _list(words.filter(pc.invert(common)))
+        for i in range(0, len(rest), CALL):
+            some = rest[i : i + CALL]
+            found = self.t.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
+            known.update(zip(some, self._add(found, [len(x.encode()) for x in some]).tolist()))
+
+    def _codes(self, words: pa.Array) -> np.ndarray:
+        """Codes of words behind a space."""
+        named = words.dictionary_encode()
+        spaced, known = pc.binary_join_element_wise(" ", named.dictionary, ""), self.store.codes
+        strings = _list(spaced)
+        new = np.array([x not in known for x in strings], bool)
+        if new.any():
+            self._learn(spaced.filter(pa.array(new)))
+        codes = np.array([known[x] for x in strings], np.int64)
+        self.store.asked[codes] += 1
+        return codes[named.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts (no null), with the end id behind each, and the number of each text's."""
+        if len(self.store.codes) > CACHE:
+            self.store = self.store.often(CACHE // 2)
+        alone = pc.match_substring_regex(texts, self.alone)
+        kept, alone = pc.if_else(alone, "", texts), alone.to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(kept, " ")
+        words, offsets = split.values, split.offsets.to_numpy()
+        heads = np.zeros(len(words), bool)
+        heads[offsets[:-1]] = True
+        codes = np.zeros(len(words), np.int64)
+        codes[~heads] = self._codes(words.filter(pa.array(~heads)))
+        n, used = self.store.n, self.store.used
+        first = _list(words.filter(pa.array(heads)))
+        for i in np.flatnonzero(alone).tolist():
+            first[i] = texts[i].as_py()
+        codes[offsets[:-1]] = self.store.add(*self._whole(first))
+        end = self.store.add(np.array([END_ID]), np.array([1]))
+        codes = np.insert(codes, offsets[1:], end)
+        at = offsets[1:] + np.arange(1, len(texts) + 1)
+        ids, ends = self.store.get(codes), np.cumsum(self.store.sizes[codes])[at - 1]
+        self.store.n, self.store.used = n, used  # first words and whole texts are not kept
+        return ids, np.diff(ends, prepend=0)
 
 
 def _encoder(path: str | None) -> Encoder:
@@ -104,30 +216,54 @@ def _encoder(path: str | None) -> Encoder:
     return _loaded[path]
 
 
+def _strings(texts: pa.Array) -> pa.Array:
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.string())
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of CHUNK bytes of text or a little more."""
+    held, n = [], 0
+    for batch in batches:
+        while len(batch):
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            m = min(len(batch), int(np.searchsorted(sizes, CHUNK - n)) + 1)
+            held.append(batch.slice(0, m))
+            n, batch = n + int(sizes[m - 1]), batch.slice(m)
+            if n >= CHUNK:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _segments(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = _encoder(path), TaskContext.get().partitionId(), 0
         ids, docs, sizes, n = [], [], [], 0
-        end = np.array([END_ID], "<u2").tobytes()
 
         def segment() -> pa.RecordBatch:
-            data = rangecoder.encode(np.frombuffer(b"".join(ids), "<u2"))
-            lists = (pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())))
+            data = rangecoder.encode(np.concatenate(ids))
+            own = np.concatenate(sizes)
+            lists = (pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x) for x in (pa.concat_arrays(docs), pa.array(own, pa.int32())))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), *lists, pa.array([data], pa.binary())], ["part", "seq", "doc_ids", "n_tokens", "data"])
 
-        for batch in batches:
-            for a in range(0, len(batch), 256):
-                some = batch.slice(a, 256)
-                texts = [(x.as_py() or b"").decode("utf-8", "replace") for x in some.column(1)]
-                for doc, raw in zip(some.column(0).to_pylist(), encoder.encode(texts)):
-                    ids.append(raw + end)
-                    docs.append(doc)
-                    sizes.append(len(raw) // 2 + 1)
-                    n += sizes[-1]
-                    if n >= SEGMENT:
-                        yield segment()
-                        seq += 1
-                        ids, docs, sizes, n = [], [], [], 0
+        for some in _chunks(batches):
+            found, each = encoder.encode(_strings(some.column(1)))
+            while len(each):  # whole documents up to the segment's size or a little more
+                m = min(len(each), int(np.searchsorted(np.cumsum(each), SEGMENT - n)) + 1)
+                k = int(each[:m].sum())
+                ids.append(found[:k])
+                docs.append(some.column(0)[:m])
+                sizes.append(each[:m])
+                n += k
+                found, each, some = found[k:], each[m:], some.slice(m)
+                if n >= SEGMENT:
+                    yield segment()
+                    seq += 1
+                    ids, docs, sizes, n = [], [], [], 0
         if docs:
             yield segment()
 
