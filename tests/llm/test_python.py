@@ -377,6 +377,25 @@ def test_range_coder_limits_damage_to_its_block_and_learns():
     assert len(rangecoder.encode(np.tile(ids[:200], 100))) < 0.3 * 2 * 20000
 
 
+def test_encoder_cuts_new_words_as_the_tokenizer_and_merges_a_piece_once():
+    import pyarrow as pa
+
+    e, r = token_files.Encoder(), random.Random(12)
+    seen = []
+    merges = e.merges
+    e.merges = type("Counting", (), {"encode_batch_fast": lambda _, texts, **k: seen.extend(" ".join(texts).split(" ")) or merges.encode_batch_fast(texts, **k)})()
+    alphabet = ["a", "Thé", "ß", "don't", "'ll", "'x", "'", "_", "7", "²¼", "ª", "µ", "×", "\u00ad", "\n", "\n\n", "\x01", "\x85", "\xa0", "\x1f", "\u0301", "漢", "Ω", "ɏ", "$$", ".", "<|endoftext|>", " ", " ", " ", " "]
+    texts = ["".join(r.choices(alphabet, k=r.randint(0, 25))) for _ in range(4000)] + ["", " ", "x tree, tree. tree! (tree) tree\nfell"]
+    for part in (texts[:2000], texts[2000:], texts):
+        ids, sizes = e.encode(pa.array(part, pa.string()))
+        whole = [[*e.t.encode(x, add_special_tokens=False).ids, token_files.END_ID] for x in part]
+        assert sizes.tolist() == [len(x) for x in whole] and ids.tolist() == [i for x in whole for i in x]
+    assert seen.count("Ġtree") == 1 and len(seen) == len(set(seen))
+    often = e.store.often(10**6)
+    assert 0 < len(often.codes) < len(e.store.codes)
+    assert all(often.get(np.array([i])).tolist() == e.t.encode(x, add_special_tokens=False).ids for x, i in often.codes.items())
+
+
 def test_token_files(spark, tmp_path):
     r = random.Random(6)
     parts = ["a", "b'", "s ", "  ", " ", "\n", "é", "1", "!!", " the", "\t", "don't", "漢"]

@@ -18,7 +18,7 @@ both agree. w0 never falls under FLOOR / 2 ** BITS, so every number has an inter
 Numbers lie on the line in order, each with its weights of orders 2 and 1 before its share of order 0. To decode,
 what orders 1 and 2 add below a point is taken away; the rest is a place among the block's sorted ids.
 
-All values are whole numbers under 2 ** 53 in doubles, so every step is exact.
+Weights are whole numbers up to 2 ** 20 in floats, low ends and ranges under 2 ** 53 in doubles, so every step is exact.
 
 Layout, little-endian: magic "TMRC", u16 version, u32 blocks, u32 ids in a block, u32 crc32 of
 the block table; the block table (u32 ids, u32 crc32 of the ids as u32, u32 payload words of 24
@@ -44,6 +44,7 @@ _RATE = 1 / 16
 _ALL = float(1 << BITS)
 _PART, _OUT = 1 / _ALL, 1 / _WORD
 _MOST = _ALL - FLOOR
+_KEPT, _GAIN = np.float32(1 - _RATE), np.float32(_MOST * _RATE)
 _IDS = 1 << 16
 assert FLOOR > BLOCK * 1.01  # no interval is empty
 
@@ -57,7 +58,7 @@ def _weights(lanes: int) -> np.ndarray:
     c2, c1, same = np.arange(32) >> 3, np.arange(32) >> 1 & 3, np.arange(32) & 1
     rate = np.array([0, 0.3, 0.6, 0.8])
     w2, w1 = rate[c2] * np.where((c1 > 0) & (same == 0), 0.5, 1), rate[c1] * np.where(c2 > 0, 0.5, 1) * (1 - same)
-    return np.concatenate((np.tile(w2 * _MOST, lanes), np.tile(w1 * _MOST, lanes)))
+    return np.concatenate((np.tile(w2 * _MOST, lanes), np.tile(w1 * _MOST, lanes))).astype(np.int32).astype(np.float32)
 
 
 class _Model:
@@ -67,13 +68,13 @@ class _Model:
         lanes = len(sizes)
         lane = np.arange(2 * lanes).reshape(2, lanes)
         self.entries, self.contexts = lane << 12, lane << 5
-        self.inverse = (1 - 2.0**-40) / np.maximum(sizes, 1)
+        self.sizes = np.maximum(sizes, 1).astype(np.float32)
         self.guesses, self.weights = np.full(lanes << 13, 0, np.uint16), _weights(lanes)
         self.context = np.zeros((2, lanes), np.int64)
         self.last = np.zeros(lanes, np.uint16)
 
     def shorten(self, n: int) -> None:
-        self.inverse, self.last = self.inverse[:n], self.last[:n]
+        self.sizes, self.last = self.sizes[:n], self.last[:n]
         self.entries, self.contexts, self.context = self.entries[:, :n], self.contexts[:, :n], self.context[:, :n]
 
     def predict(self) -> None:
@@ -86,11 +87,10 @@ class _Model:
         at += sure[1] << 1
         at |= self.g[0] == self.g[1]
         self.at = self.contexts + at
-        self.was = self.weights.take(self.at)
-        self.w = np.floor(self.was)
-        rest = _ALL - self.w[0]
+        self.w = self.weights.take(self.at)
+        rest = np.float32(_ALL) - self.w[0]
         rest -= self.w[1]
-        rest *= self.inverse
+        rest /= self.sizes
         self.w0 = np.floor(rest, out=rest)
 
     def interval(self, x: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -125,9 +125,9 @@ class _Model:
         self.guesses[self.i] = np.where(self.hit, right, new)
         hit = self.hit
         hit[1] &= ~hit[0]
-        self.was *= 1 - _RATE
-        self.was += hit * (_MOST * _RATE)
-        self.weights[self.at] = self.was
+        self.w *= _KEPT
+        self.w += hit * _GAIN
+        self.weights[self.at] = np.floor(self.w, out=self.w)
         self.context[1] = x
         key = x * 2531
         key += self.last
@@ -191,6 +191,7 @@ def encode(ids: np.ndarray) -> bytes:
         tables.append(_list(known, count))
         crcs.append(zlib.crc32(own.astype("<u4").tobytes()))
     grid, counted = np.ascontiguousarray(grid.T), np.stack((befores.T, counts.T))
+    del befores, counts
     low, rng = np.zeros(lanes), np.full(lanes, _WORD * _WORD)
     model, alive, ended = _Model(sizes), lanes, low
     out, kept = np.zeros((block + 2, lanes), np.uint32), np.zeros((block + 2, lanes), bool)
@@ -201,7 +202,7 @@ def encode(ids: np.ndarray) -> bytes:
         x = grid[t, :n]
         model.predict()
         held = model.interval(x, counted[:, t, :n])
-        held *= np.floor(rng * _PART)
+        held = held * np.floor(rng * _PART)
         low += held[0]
         top = np.floor(low * _OUT)
         out[t, :n] = top  # may hold a carry in bit 24
@@ -257,7 +258,7 @@ def decode_blocks(segment: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
         befores[i, 1 : len(known) + 1] = np.cumsum(count)
         names[i, : len(known)] = known
     rising, befores = rising.reshape(-1), befores.reshape(-1)
-    model, lane, last = _Model(sizes), np.arange(lanes), sizes - 1.0
+    model, lane, last = _Model(sizes), np.arange(lanes), (sizes - 1).astype(np.float32)
     row, first, above = lane * rows, lane * block, np.array([[0], [1]])
     code, rng, alive = words.take(take, mode="clip") * _WORD + words.take(take + 1, mode="clip"), np.full(lanes, _WORD * _WORD), lanes
     take = take + 2
@@ -269,13 +270,13 @@ def decode_blocks(segment: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
         model.predict()
         r = np.floor(rng * _PART)
         v = np.floor(code / r)
-        place = model.place(v, befores.take(row + model.g))
+        place = model.place(v.astype(np.float32), befores.take(row + model.g))
         np.minimum(place, last, out=place)
         x = rising.take(first + place.astype(np.int64))
         held = befores.take(row + x + above)
         held[1] -= held[0]
         held = model.interval(x, held)
-        held *= r
+        held = held * r
         rng = held[1]
         code = np.subtract(code, held[0], out=held[0])
         np.minimum(code, rng - 1, out=code)  # met in damaged blocks only

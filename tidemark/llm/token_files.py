@@ -26,6 +26,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,9 @@ def tokenizer_path() -> str:
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions of the ranges, one after the other."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return at
 
 
 def _list(strings: pa.Array) -> list[str]:
@@ -94,7 +97,13 @@ class _Store:
 
     def get(self, codes: np.ndarray) -> np.ndarray:
         """Ids of entries, one entry after the other."""
-        return self.ids[_ranges(self.starts[codes], self.sizes[codes])]
+        sizes = self.sizes[codes]
+        found, a = np.empty(int(sizes.sum()), np.uint16), 0
+        for i in range(0, len(codes), 1 << 16):
+            at = _ranges(self.starts[codes[i : i + (1 << 16)]], sizes[i : i + (1 << 16)])
+            found[a : a + len(at)] = self.ids[at]
+            a += len(at)
+        return found
 
     def often(self, most: int) -> _Store:
         """A store of the strings that were asked for more than once; empty if they are more than ``most``."""
@@ -161,9 +170,10 @@ class Encoder:
         plain, mixed = _list(words.filter(letters)), _list(words.filter(pc.and_not(common, letters)))
         pieces = _PIECE.findall("".join(f"{x}{_CUT}" for x in mixed))
         self._learn_pieces(list(dict.fromkeys([*plain, *(x for x in pieces if x not in known and x != _CUT)])))
-        ends = np.array([x == _CUT for x in pieces], bool)
-        codes = np.array([known[x] for x in pieces if x != _CUT], np.int64)
-        np.add.at(self.store.asked, codes, 1)
+        codes = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        ends = codes < 0  # only the cuts are no pieces
+        codes = codes[~ends]
+        self.store.asked += np.bincount(codes, minlength=len(self.store.asked))
         owner = np.cumsum(ends)[~ends]
         sizes = np.bincount(owner, self.store.sizes[codes], len(mixed)).astype(np.int64)
         known.update(zip(mixed, self.store.add(self.store.get(codes), sizes).tolist()))
@@ -178,10 +188,11 @@ class Encoder:
         named = words.dictionary_encode()
         spaced, known = pc.binary_join_element_wise(" ", named.dictionary, ""), self.store.codes
         strings = _list(spaced)
-        new = np.array([x not in known for x in strings], bool)
-        if new.any():
-            self._learn(spaced.filter(pa.array(new)))
-        codes = np.array([known[x] for x in strings], np.int64)
+        codes = np.fromiter(map(known.get, strings, repeat(-1)), np.int64, len(strings))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            self._learn(spaced.take(pa.array(new)))
+            codes[new] = [known[strings[i]] for i in new.tolist()]
         self.store.asked[codes] += 1
         return codes[named.indices.to_numpy()]
 
