@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, html_text, lattice, near_dup, pieces, pii, quality, rangecoder, token_files
+from tidemark.llm import common, components, html_text, lattice, near_dup, pieces, pii, quality, rangecoder, token_files
 from tidemark.llm import shingles as S
 
 DOCS = "doc_id long, text string"
@@ -270,6 +270,22 @@ def test_near_duplicate_recall_on_documents(spark):
     assert true and sum(got[a] == got[b] for a, b in true) >= 0.9 * len(true)
 
 
+def test_near_duplicate_tasks_stay_small_in_any_session(spark, monkeypatch):
+    """Before, 20 entries a document were broadcast by an estimate that knew nothing of the exploded list, and tasks grew to the session's 64 MB."""
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before, seen = [spark.conf.get(k) for k in names], {}
+    real = near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda df, name: seen.update({name: [spark.conf.get(k) for k in names]}) or real(df, name))
+    monkeypatch.setattr(near_dup, "TASK_DOCS", 3)
+    df = spark.createDataFrame([(i, "some words that all of these texts have in common " * 3 + str(i // 2)) for i in range(40)], DOCS)
+    assert near_dup.classes(df).count() == 40
+    assert [spark.conf.get(k) for k in names] == before
+    assert {tuple(v) for k, v in seen.items() if k != "signed"} == {(str(16 << 20), str(1 << 20), "14")} and "members" in seen and "named" in seen
+    with pytest.raises(ZeroDivisionError), common.bounded_tasks(spark, 99):
+        1 / 0
+    assert [spark.conf.get(k) for k in names] == before
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     r = random.Random(9)
     a, b, c = ([f"{k}{r.randint(0, 10**6)}" for _ in range(120)] for k in "abc")
