@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -97,3 +98,24 @@ def test_a_tasks_blocks_do_not_grow_with_the_input(spark, monkeypatch):
     assert words.rdd.getNumPartitions() == 200 and held[0] > 80 and held[1] <= 6
     plan = blocks.weights(words, blocks.fitted(blocks.parts(words), 200))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(block") == 3 and plan.count(", 200)") == 3  # words twice, one exchange that is reused, and the vocabulary
+
+
+def test_no_term_is_a_row_of_a_shuffle(spark, monkeypatch):
+    """Before, a block's terms met the others' as rows, came back as rows, and words travelled as lists; terms of one hash keep an order of their own."""
+    docs = spark.createDataFrame([(i, f"same words here and w{'abcde'[i % 5]}{'xyz'[i % 3]} again", None if i % 2 else True) for i in range(30)], "doc_id long, text string, is_target boolean")
+
+    def rows():
+        words = blocks.placed(docs, blocks.PORTABLE_TOKEN, None, "text", "is_target")
+        found = blocks.parts(words, flag="is_target")
+        out = blocks.weights(words, blocks.fitted(found, 30, flagged=3))
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (out, blocks.frequency(found))]
+        assert not any("hashpartitioning(term" in p or "Window" in p for p in plans) and dict(words.dtypes)["words"] == "string"
+        return {(r.doc_id, r.term): (r.tf, round(r.tfidf, 9)) for r in out.collect()}, sorted(map(tuple, blocks.frequency(found).collect()))
+
+    whole = rows()
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", 100)
+    assert rows() == whole and len(whole[0]) > 200
+    monkeypatch.setattr(blocks.pd.util, "hash_array", lambda x, categorize: np.array([len(w) for w in x], np.uint64))
+    terms = [f"{a}{b}" for a in "abcdef" for b in ("", "x", "yy")]
+    kept = [[pa.array(t).take(pa.array(o)).to_pylist(), ends.tolist()] for t in (terms, terms[::-1]) for o, ends in [blocks._ranged(pa.array(t), 2)]]
+    assert kept[0] == kept[1] and kept[0][1] == [0, 6, 18]
