@@ -160,3 +160,17 @@ def test_command_line(tmp_path):
     assert "read 1000 events, wrote 1000 new headlines" in done.stderr and glob.glob(f"{tmp_path}/out/index/day=*")
     with open(f"{REPO}/jobs/daily_mood.json", encoding="utf-8") as f:
         assert json.load(f)["recent_days"] == 1
+
+
+def test_groups_of_a_term_meet_packed_in_parts_of_any_size(spark, monkeypatch):
+    """Before, every group's term was a row of two shuffles."""
+    from tidemark.operators import blocks, themes
+
+    rows = [(f"t{i % 13}", "abc"[i % 3] if i % 7 else None, 1 / (1 + i)) for i in range(300)]
+    tfidf = spark.createDataFrame(rows, "term string, group string, tfidf double").repartition(3)
+    sizes = spark.createDataFrame([(g, 100) for g in "abc"], "group string, rows long")
+    want = {(t, g): (sum(r[:2] == (t, g) for r in rows), sum(r[0] == t for r in rows), pytest.approx(sum(r[2] for r in rows if r[:2] == (t, g)), abs=1e-12)) for t, g, _ in rows}
+    monkeypatch.setattr(blocks, "SUMMED_BYTES", 200)
+    assert {(r["term"], r["group"]): (r["n"], r["all_n"], r["s"]) for r in blocks.group_sums(tfidf, 5).collect()} == want
+    plan = themes.lift_of_groups(tfidf, sizes, 2, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(range" in plan and "hashpartitioning(term" not in plan and "Window" not in plan
